@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prefix_bpe
+from . import digest_cache, fertility, prefix_bpe, simhash
+from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,13 +18,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = public_tokenizers.path
+    return fertility.judge(docs, path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, row="doc_id")
+
+
+def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest_cache.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-counts"))
+
+
 def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_prefix_bpe,)}
+    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op6_prefix_bpe, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
