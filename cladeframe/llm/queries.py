@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_cache, fertility, prefix_bpe, simhash
+from . import digest_cache, feistel, fertility, mixing, prefix_bpe, simhash, warc
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_cache.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-counts"))
 
 
+def op5_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -38,9 +43,35 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), new_path(spark, "archives"))
+
+
+def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op6_prefix_bpe, op8_simhash)}
+    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op5_splitting_tree, op6_prefix_bpe, op8_simhash, op9_boundary_chain, op10_feistel)}
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(({' + '.join(f'(strpos({chr(39)}0123456789abcdef{chr(39)}, substr(h, {5 * k + j + 1}, 1)) - 1) * {16 ** (4 - j)}' for j in range(5))}) // {32 ** (3 - i)} % 32 AS INTEGER), 1)"
+    for k in range(8)
+    for i in range(4)
+)
+
+ORACLES = {
+    "op9_boundary_chain": f"""
+WITH p AS (SELECT page_id, COALESCE(html, '') AS t, sha1(COALESCE(html, '')) AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest FROM p),
+f AS (SELECT *, MIN(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+ CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
