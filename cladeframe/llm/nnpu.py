@@ -12,7 +12,8 @@ for the positives are the model's inputs.  Fitting takes at most ``positives``
 confirmed and ``unlabelled`` other training documents, those with the smallest
 hashes of their ids; the prior comes from all training labels.  A feature needs
 ``evidence`` (texts with it times the log of its over-representation) well above what
-chance gives the luckiest of a million words.  Both bounds and the
+chance gives the luckiest of a million words, and by itself a ``posterior`` (prior
+times over-representation) well above one half, which common words never have.  Both bounds and the
 number of features bound what reaches the driver.
 
 Labels of rows whose crc32(id) mod 5 is 0 are never used; nor are labels, language,
@@ -131,7 +132,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n if k == 0 else zero), pa.array(zero if k == 0 else n)], ["feature", "p", "u"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, unlabelled: int = 8000, features: int = 1024, evidence: float = 12.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, unlabelled: int = 8000, features: int = 1024, evidence: float = 10.0, posterior: float = 0.7) -> Model:
     """Trains on at most positives + unlabelled documents (see above)."""
     train = labels.where(training_row(F.col("doc_id"), FOLDS) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     shares = train.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
@@ -149,8 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_p or not n_u:
         return Model()
     counted = sample.mapInArrow(_count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    weight = F.col("p") * F.log(((F.col("p") + 0.5) / (n_p + 1)) / ((F.col("u") + 0.5) / (n_u + 1)))
-    best = [r.feature for r in counted.where(F.col("p") >= 3).select("feature", weight.alias("weight")).where(F.col("weight") >= evidence).orderBy(F.desc("weight"), "feature").limit(features).collect()]
+    ratio = ((F.col("p") + 0.5) / (n_p + 1)) / ((F.col("u") + 0.5) / (n_u + 1))
+    weight = F.col("p") * F.log(ratio)
+    best = [r.feature for r in counted.where((F.col("p") >= 3) & (prior * ratio >= posterior)).select("feature", weight.alias("weight")).where(F.col("weight") >= evidence).orderBy(F.desc("weight"), "feature").limit(features).collect()]
     place = {f: k for k, f in enumerate(best)}
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
