@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_cache, feistel, fertility, mixing, nnpu, prefix_bpe, simhash, warc
+from . import digest_cache, ego, feistel, fertility, mixing, nnpu, prefix_bpe, simhash, warc
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,7 +60,7 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op4_nnpu, op5_splitting_tree, op6_prefix_bpe, op8_simhash, op9_boundary_chain, op10_feistel)}
+    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op4_nnpu, op5_splitting_tree, op6_prefix_bpe, op7_epsilon_grid, op8_simhash, op9_boundary_chain, op10_feistel)}
 
 
 _BASE32 = " || ".join(
@@ -66,6 +70,15 @@ _BASE32 = " || ".join(
 )
 
 ORACLES = {
+    "op7_epsilon_grid": """
+WITH RECURSIVE v AS (
+ SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id != b.vec_id AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
+r(node, at) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.at)
+SELECT e.vec_id, CAST((SELECT COUNT(*) FROM l WHERE l.a = e.vec_id) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT node, MIN(at) AS component_id FROM r GROUP BY node) c ON c.node = e.vec_id""",
     "op9_boundary_chain": f"""
 WITH p AS (SELECT page_id, COALESCE(html, '') AS t, sha1(COALESCE(html, '')) AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest FROM p),
