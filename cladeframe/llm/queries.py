@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_cache, ego, feistel, fertility, mixing, nnpu, prefix_bpe, simhash, warc
+from . import digest_cache, ego, feistel, fertility, lbl, mixing, nnpu, prefix_bpe, simhash, warc
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_cache.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-counts"))
 
 
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnpu.toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
 
@@ -60,7 +64,7 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op4_nnpu, op5_splitting_tree, op6_prefix_bpe, op7_epsilon_grid, op8_simhash, op9_boundary_chain, op10_feistel)}
+    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op3_log_bilinear, op4_nnpu, op5_splitting_tree, op6_prefix_bpe, op7_epsilon_grid, op8_simhash, op9_boundary_chain, op10_feistel)}
 
 
 _BASE32 = " || ".join(
