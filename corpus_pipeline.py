@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Documents that score as toxic go, then those that the quality rules reject, then all
+near-duplicates but one; what is left is mixed to target weights (a document may be
+taken twice) and every copy is encoded and decoded by byte-level BPE.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +11,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cladeframe.llm import common, prefix_bpe
+from cladeframe.llm import common, fertility, mixing, nnpu, prefix_bpe, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score 0.5 or more; the classifier learns from the stage's documents and the labels table."""
+    model = nnpu.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(nnpu.score_column(F.col("text"), model) < 0.5)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rules or their language's fertility bands.  A verdict belongs to a document's id, language and text."""
+    key, here = common.fresh(docs.columns, "key", "here")
+    named = docs.withColumn(key, F.xxhash64("doc_id", "lang", "text"))
+    path = public_tokenizers.path
+    judged = fertility.judge(named, path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, row=key)
+    kept = judged.where("kept").select(F.col("doc_id").alias(here)).distinct()
+    return named.join(kept, F.col(key) == F.col(here), "left_semi").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("byte-level BPE", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources", mixture),
+    ("byte-level BPE", tokens),
+]
 
-#: Tokenisers, trained models and fingerprints are beyond SQL.
+#: Tokenisers, trained models and fingerprints are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
