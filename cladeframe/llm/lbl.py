@@ -40,8 +40,9 @@ from .common import training_row, written
 FOLDS = 10
 END, OTHER = 0, 1
 SMOOTH = 0.1
-#: Distinct words that a task counts before it passes them on.
-_FLUSH = 300_000
+#: Distinct words that a task counts before it passes them on; texts whose words it holds at a time.
+_FLUSH = 200_000
+_SLICE = 256
 _LN10 = float(np.log(10))
 
 
@@ -137,6 +138,12 @@ class Tables:
         return self.g1[w1, w] + self.g2[w2, w] - self.log_z[w1, w2]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(at, _SLICE)
+
+
 # -- counting -------------------------------------------------------------------
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[bytes] = Counter()
@@ -171,7 +178,7 @@ def train(texts: DataFrame, classes: dict[bytes, int], share: np.ndarray, dims:
         def learn(batches: Iterator[pa.RecordBatch], held: Parameters = held, k: int = k) -> Iterator[pa.RecordBatch]:
             trainer, tokens = Trainer(held, share, noise, rate, seed + 1 + k), 0
             get = classes.get
-            for rows in batches:
+            for rows in _slices(batches):
                 texts_ids = [[get(w, OTHER) for w in words_of(t)] + [END] for t in rows.column("text").to_pylist()]
                 ids = np.fromiter((i for x in texts_ids for i in x), np.int64)
                 one, two = contexts(ids)
@@ -229,10 +236,8 @@ def score(docs: DataFrame, classes: int = 2048, head: int = 200_000, dims: int =
             _TABLES.clear()
             _TABLES[key] = Tables(parameters)
         tables, get = _TABLES[key], class_of.get
-        for rows in batches:
+        for rows in _slices(batches):
             words = [words_of(t) for t in rows.column("text").to_pylist()]
-            if not words:
-                continue
             lengths = np.array([len(x) + 1 for x in words])
             ids = np.fromiter((i for x in words for i in (*(get(w, OTHER) for w in x), END)), np.int64, int(lengths.sum()))
             one, two = contexts(ids)

@@ -361,7 +361,7 @@ def transitions_n10(f: Fixture) -> DataFrame:
     return st.transitions(st.statuses(f.spark, TARGETS), TARGETS).groupBy("status").agg(F.count("*").alias("n_tracts"), F.count_distinct("after").alias("n_after"))
 
 
-@plan(_duck(_tract_sql(10), """SELECT status, SUM(CASE WHEN min_t=max_t THEN 0.1+min_t ELSE (0.2+min_t+max_t)*0.3 END * CASE WHEN min_deact!=min_t THEN 0.05 ELSE 1 END * CASE WHEN max_deact!=max_t THEN 0.07 ELSE 1 END) AS away FROM q GROUP BY 1 UNION ALL SELECT 1023, 0"""))
+@plan(_duck(_tract_sql(10), """SELECT status, SUM(CASE WHEN min_t=max_t THEN 1E-1+min_t ELSE (2E-1+min_t+max_t)*3E-1 END * CASE WHEN min_deact!=min_t THEN 5E-2 ELSE 1E0 END * CASE WHEN max_deact!=max_t THEN 7E-2 ELSE 1E0 END) AS away FROM q GROUP BY 1 UNION ALL SELECT 1023, 0E0"""))
 def hazard_away(f: Fixture) -> DataFrame:
     """The closed form; the SQL sums over all tracts."""
     lams = F.array(*(F.lit(0.1 + t) for t in range(TARGETS)))
