@@ -202,7 +202,7 @@ def train(texts: DataFrame, classes: dict[bytes, int], share: np.ndarray, dims:
 
 
 # -- scoring --------------------------------------------------------------------
-_TABLES: dict[int, Tables] = {}
+_TABLES: list = []  # the parameters that a worker scored with last, and their tables
 
 
 def score(docs: DataFrame, classes: int = 2048, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 512, rounds: int = 1, trainers: int = 1024, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,11 +231,9 @@ def score(docs: DataFrame, classes: int = 2048, head: int = 200_000, dims: int =
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over the words that the head knows; the list of the others."""
         parameters, class_of, log_count = sent.value
-        key = id(parameters)
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = Tables(parameters)
-        tables, get = _TABLES[key], class_of.get
+        if not _TABLES or _TABLES[0] is not parameters:
+            _TABLES[:] = [parameters, Tables(parameters)]
+        tables, get = _TABLES[1], class_of.get
         for rows in _slices(batches):
             words = [words_of(t) for t in rows.column("text").to_pylist()]
             lengths = np.array([len(x) + 1 for x in words])
