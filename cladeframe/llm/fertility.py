@@ -39,8 +39,8 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
-    names: dict[bytes, int] = {}
-    rank = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
+    names = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    rank = np.fromiter(map(names.__getitem__, words), np.int64, len(words))
     span = 1
     while span < width:
         rank = np.unique(rank[:-span] * (int(rank.max()) + 1) + rank[span:], return_inverse=True)[1]
@@ -77,6 +77,9 @@ def measure_column(text: Column, model_path: str, ranks_path: str, pattern: str)
                     continue
                 counts, other = vocabularies.measure(t)
                 n = int(counts.sum())
+                if not n:  # white space that the vocabulary's normal form drops
+                    rows.append((*base, 0, 0.0, 0.0, 0.0, 0.0))
+                    continue
                 some = counts[counts > 0]
                 entropy = float(np.log2(n) - (some * np.log2(some)).sum() / n)
                 rows.append((*base, n, len(t) / n, len(t) / other, float(counts[vocabularies.fallback].sum()) / n, entropy))

@@ -1,26 +1,15 @@
-"""Tokens of public vocabularies for many texts, each distinct word encoded once in a worker.
-
-Neither vocabulary has a token that holds a space behind another character, so a
-text is cut before single spaces and the parts encode as they would inside the
-text.  Texts in which that isn't sure (runs of white space around a space, spaces
-at an end, the sign that stands for a space) are encoded whole.
-"""
+"""Tokens of public vocabularies for whole texts, by their own libraries; models are loaded once in a worker."""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
-import regex
 import sentencepiece
 import tiktoken
 
 from .prefix_bpe import read_ranks
 
-#: Parts that a Python worker keeps; beyond it they are encoded again, results are the same.
-MEMO_ENTRIES = 400_000
-
-_RUNS = regex.compile(r"\s \s|^ | $|  |▁")
 _HELD: dict[tuple, object] = {}
 
 
@@ -35,59 +24,22 @@ class PieceCounter:
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.memo: dict[str, int] = {}
 
     def count(self, text: str) -> int:
-        if _RUNS.search(text):
-            return len(self.model.encode(text))
-        memo, parts = self.memo, text.split(" ")
-        counts = list(map(memo.get, parts))
-        if None in counts:
-            new = list(dict.fromkeys(p for p, n in zip(parts, counts) if n is None))
-            found = dict(zip(new, map(len, self.model.encode(new))))
-            if len(memo) < MEMO_ENTRIES:
-                memo.update(found)
-            counts = [found[p] if n is None else n for p, n in zip(parts, counts)]
-        return sum(counts)
+        return len(self.model.encode(text))
 
 
 class TwoVocabularies:
-    """Ids by a sentencepiece model and numbers of tokens by byte-level BPE ranks.
-
-    A part is kept as 16-bit ids, then 32768 + its number of byte-level tokens."""
+    """Ids by a sentencepiece model and numbers of tokens by byte-level BPE ranks."""
 
     def __init__(self, model_path: str, ranks_path: str, pattern: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        if self.model.get_piece_size() > 32768:
-            raise ValueError("ids need to fit in 15 bits")
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        self.memo: dict[str, bytes] = {}
-
-    def _packed(self, parts: list[str]) -> list[bytes]:
-        lengths = [len(self.ranks.encode_ordinary(" " + p)) for p in parts]
-        return [np.array([*ids, 32768 + min(n, 32767)], np.uint16).tobytes() for ids, n in zip(self.model.encode(parts), lengths)]
 
     def measure(self, text: str) -> tuple[np.ndarray, int]:
         """Counts by id of the first vocabulary's tokens; the number of the second's."""
-        size = len(self.fallback)
-        if _RUNS.search(text) or len(text) > 1 << 24:
-            return np.bincount(np.array(self.model.encode(text), np.int64), minlength=size), len(self.ranks.encode_ordinary(text))
-        memo, parts = self.memo, text.split(" ")
-        kept = list(map(memo.get, parts))
-        if None in kept:
-            new = list(dict.fromkeys(p for p, x in zip(parts, kept) if x is None))
-            found = dict(zip(new, self._packed(new)))
-            if len(memo) < MEMO_ENTRIES:
-                memo.update(found)
-            kept = [found[p] if x is None else x for p, x in zip(parts, kept)]
-        ids = np.frombuffer(b"".join(kept), np.uint16)
-        ends = ids >= 32768
-        lengths = ids[ends].astype(np.int64) - 32768
-        if (lengths == 32767).any():
-            return np.bincount(ids[~ends], minlength=size), len(self.ranks.encode_ordinary(text))
-        first = len(self.ranks.encode_ordinary(parts[0])) - int(lengths[0])  # no space stands before it
-        return np.bincount(ids[~ends], minlength=size), int(lengths.sum()) + first
+        return np.bincount(np.array(self.model.encode(text), np.int64), minlength=len(self.fallback)), len(self.ranks.encode_ordinary(text))
 
 
 def piece_counter(path: str) -> PieceCounter:
