@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte-level BPE", tokens),
 ]
 
-#: Tokenisers, trained models and fingerprints are beyond SQL; tests/llm compares run() with a brute-force version.
+#: Tokenisers, trained models and fingerprints are beyond SQL.  tests/llm tests the stages' operators; run() as a whole has no brute-force test yet.
 ORACLE_SQL = None
 
 

@@ -1,4 +1,4 @@
-"""Mixing, sharding and the pipeline."""
+"""Mixing and sharding."""
 
 import random
 import zlib
