@@ -6,8 +6,10 @@ single fallback bytes, and the entropy of its tokens.  Every language has its ow
 rejection bands for each octave of text length (in tokens): the median and the
 quartiles over all documents give a centre and a spread, and a text more than
 ``low`` spreads below or ``high`` above the centre of any measure (for fallback
-only above) is rejected.  Octaves of a language with fewer than ``least`` documents
-take the bands of the octave over all languages; if that has too few, none.
+only above) is rejected.  Where an octave of a language has fewer than ``least``
+documents, the nearest octave of the language that has enough gives the bands (the
+shorter one of two), else the language over all lengths, else the nearest octave over
+all languages, else all documents, however few: every text with tokens meets bands.
 
 Base rules on words (runs of other than ASCII white space) come first.
 Rows: null counts as empty (no words: base_failed); a null language is a language
@@ -88,19 +90,33 @@ def measure_column(text: Column, model_path: str, ranks_path: str, pattern: str)
     return measure(text)
 
 
-def bands(measured: DataFrame, low: float, high: float, least: int) -> tuple[DataFrame, DataFrame]:
-    """Bounds lo_m, hi_m of each measure by (lang, octave), and by octave over all languages."""
+def bands(measured: DataFrame, low: float, high: float, least: int) -> DataFrame:
+    """Bounds lo_m, hi_m of each measure for every (lang, octave) that measured has: the first that there are of its own
+    or the language's nearest octave, the language, the nearest octave over all languages, all documents."""
+    passed = measured.where("NOT base_failed")
 
-    def of(*keys: str) -> DataFrame:
+    def of(rows: int, *keys: str) -> DataFrame:
         quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in MEASURES]
-        found = measured.where("NOT base_failed").groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least)
-        out = list(keys)
+        found = passed.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= rows)
+        out = []
         for m in MEASURES:
             spread = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(0.01))
             out += [(F.col(m)[1] - low * spread).alias(f"lo_{m}"), (F.col(m)[1] + high * spread).alias(f"hi_{m}")]
-        return found.select(*out)
+        return found.select(*keys, F.struct(*out).alias("band"))
 
-    return of("lang", "octave"), of("octave")
+    def nearest(wanted: DataFrame, found: DataFrame, name: str, *keys: str) -> DataFrame:
+        """wanted with the band of the octave of found that is nearest, the shorter one of two."""
+        there = found.withColumnRenamed("octave", "at")
+        pairs = wanted.select(*keys, "octave").distinct().join(there, list(keys)) if keys else wanted.select("octave").distinct().crossJoin(there)
+        far = F.struct(F.abs(F.col("at") - F.col("octave")), "at")
+        return wanted.join(pairs.groupBy(*keys, "octave").agg(F.min_by("band", far).alias(name)), [*keys, "octave"], "left")
+
+    wanted = written(measured.groupBy("lang", "octave").agg(F.count("*").alias("n")).select("lang", "octave"), "octaves")
+    out = nearest(wanted, written(of(least, "lang", "octave"), "bands"), "own", "lang")
+    out = out.join(of(least, "lang").withColumnRenamed("band", "language"), "lang", "left")
+    out = nearest(out, written(of(least, "octave"), "bands"), "octave_of_all")
+    out = out.join(F.broadcast(of(1).withColumnRenamed("band", "every")), how="left")
+    return out.select("lang", "octave", F.coalesce("own", "language", "octave_of_all", "every").alias("band")).select("lang", "octave", "band.*")
 
 
 def judge(docs: DataFrame, model_path: str, ranks_path: str, pattern: str, *, row: str, text_col: str = "text", lang_col: str = "lang", low: float = 4.0, high: float = 8.0, least: int = 50) -> DataFrame:
@@ -109,13 +125,14 @@ def judge(docs: DataFrame, model_path: str, ranks_path: str, pattern: str, *, ro
     measured = picked.select("doc_id", "lang", "m.*")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = written(measured.withColumns({"base_failed": failed, "octave": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")}), "measured")
-    own, all_langs = (written(x, "bands") for x in bands(measured, low, high, least))
+    own = written(bands(measured, low, high, least), "bands")
     if own.count() <= BROADCAST_ROWS:  # languages times octaves; a corpus with more of them joins by shuffle
         own = F.broadcast(own)
-    joined = measured.alias("d").join(own.alias("o"), ["lang", "octave"], "left").join(F.broadcast(all_langs).alias("a"), "octave", "left")
+    joined = measured.alias("d").join(own.alias("o"), ["lang", "octave"], "left")
     inside = F.lit(True)
     for m in MEASURES:
-        lo, hi = (F.coalesce(F.col(f"o.{s}_{m}"), F.col(f"a.{s}_{m}")) for s in ("lo", "hi"))
+        lo, hi = F.col(f"o.lo_{m}"), F.col(f"o.hi_{m}")
+        # no band only where no text passes the base rules; a text without tokens fails them
         inside &= F.coalesce((F.col(f"d.{m}") <= hi) if m == "fallback" else F.col(f"d.{m}").between(lo, hi), F.lit(True))
     names = [x.split()[0] for x in BASE.split(", ")]
     return joined.select("doc_id", *names, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "n_tokens", *(F.col(f"d.{m}") for m in MEASURES))

@@ -64,6 +64,21 @@ def test_fertility_bands_reject_the_odd_one(spark, docs):
     assert fertility.judge(docs.where("doc_id > 1000"), PIECES, RANKS, PATTERN, row="doc_id").count() == 0
 
 
+def test_fertility_judges_lengths_with_few_documents(spark):
+    """One long text of junk, and one of a language of its own: neither its octave nor its language has bands."""
+    rng = random.Random(2)
+    words = ["river", "mountain", "evening", "paper", "window", "summer", "people", "garden", "letter", "morning", "the", "of"]
+    plain = [" ".join(rng.choice(words) for _ in range(rng.randrange(80, 110))) for _ in range(120)]
+    odd = lambda n: " ".join("".join(chr(rng.randrange(0x12000, 0x12300)) for _ in range(4)) for _ in range(n))
+    good = " ".join(rng.choice(words) for _ in range(70))
+    rows = [(k, t, "en", None, None) for k, t in enumerate(plain)] + [(200, odd(1500), "en", None, None), (201, odd(900), "xx", None, None), (202, good, "xx", None, None)]
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, SCHEMA), PIECES, RANKS, PATTERN, row="doc_id").collect()}
+    assert not got[200].base_failed and not got[200].kept and not got[201].base_failed and not got[201].kept
+    assert got[202].kept and len(got) == len(rows)
+    few = fertility.judge(spark.createDataFrame([rows[0], rows[1], rows[2]], SCHEMA), PIECES, RANKS, PATTERN, row="doc_id").collect()
+    assert len(few) == 3
+
+
 def test_prefix_bpe_round_trip(docs):
     tiktoken = pytest.importorskip("tiktoken")
     library = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=prefix_bpe.read_ranks(RANKS), special_tokens={})
