@@ -75,6 +75,22 @@ def common_ancestors(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.min_by(F.struct("mrca", "l"), "h").alias("m")).select("a", "b", "m.mrca", F.col("m.l").alias("to_mrca"))
 
 
+def shared_events(nodes: DataFrame, paths: DataFrame, events: DataFrame) -> DataFrame:
+    """node_id, k: the events of every node, from distinct events (node_id, k) of leaves.  A node has those that all leaves
+    below it have, so that no event is ever lost on the way down; the root is unmodified."""
+    leaves = nodes.where("is_leaf").select(F.col("node_id").alias("desc_id"))
+    below = paths.join(nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("anc_id")), "anc_id", "left_semi").join(leaves, "desc_id")
+    size = below.groupBy("anc_id").agg(F.count("*").alias("n"))
+    held = below.join(events.select(F.col("node_id").alias("desc_id"), "k"), "desc_id").groupBy("anc_id", "k").agg(F.count("*").alias("c"))
+    return held.join(size, "anc_id").where("c = n").select(F.col("anc_id").alias("node_id"), "k")
+
+
+def new_events(nodes: DataFrame, states: DataFrame) -> DataFrame:
+    """node_id, parent_id, k: the events of a node that its parent has not, over all edges; their number is the parsimony score."""
+    own = states.join(nodes.where("parent_id IS NOT NULL").select("node_id", "parent_id"), "node_id")
+    return own.join(states.select(F.col("node_id").alias("parent_id"), "k"), ["parent_id", "k"], "left_anti").select("node_id", "parent_id", "k")
+
+
 def clades(paths: DataFrame, leaves: DataFrame) -> DataFrame:
     """A signature of each node's set of leaves: their number and the sum and xor of their hashes, added up without lists."""
     h = F.xxhash64("desc_id")

@@ -478,12 +478,25 @@ def single_abundance(f: Fixture) -> DataFrame:
 @plan(_duck("e AS (SELECT DISTINCT 'O'||cell_id AS node_id, min_target*10+max_target AS k FROM fx_event), p AS (SELECT n.parent_id, e.k FROM e JOIN fx_node n ON n.node_id=e.node_id GROUP BY n.parent_id, e.k HAVING COUNT(*)>1)",
  "SELECT n.parent_id, COUNT(*) AS new_events FROM e JOIN fx_node n ON n.node_id=e.node_id LEFT JOIN p ON p.parent_id=n.parent_id AND p.k=e.k WHERE p.k IS NULL GROUP BY 1"), "fx_node", "fx_event")
 def parsimony(f: Fixture) -> DataFrame:
-    """Events new to a leaf, where its parent has those that two of its leaves or more share."""
+    """Events new to a leaf, where its parent has those that two of its leaves or more share: edges to leaves alone; tree_parsimony has all."""
     own = f.event.select(F.concat(F.lit("O"), F.col("cell_id").cast("string")).alias("node_id"), (F.col("min_target") * 10 + F.col("max_target")).alias("k")).distinct().join(f.node.select("node_id", "parent_id"), "node_id")
     shared = own.groupBy("parent_id", "k").count().where("count > 1").drop("count")
     return own.join(shared, ["parent_id", "k"], "left_anti").groupBy("parent_id").agg(F.count("*").alias("new_events"))
 
 
+@plan(_duck("""e AS (SELECT DISTINCT 'O'||cell_id AS node_id, min_target*10+max_target AS k FROM fx_event),
+ b AS (SELECT c.anc_id, l.node_id FROM closure c JOIN fx_node l ON l.node_id=c.desc_id AND l.is_leaf WHERE c.anc_id<>'ROOT'), n AS (SELECT anc_id, COUNT(*) AS n FROM b GROUP BY 1),
+ s AS (SELECT b.anc_id AS node_id, e.k FROM b JOIN e ON e.node_id=b.node_id JOIN n ON n.anc_id=b.anc_id GROUP BY 1,2 HAVING COUNT(*)=MIN(n.n)),
+ x AS (SELECT substr(s.node_id,1,1) AS kind FROM s JOIN fx_node t ON t.node_id=s.node_id WHERE NOT EXISTS (SELECT 1 FROM s u WHERE u.node_id=t.parent_id AND u.k=s.k))""",
+ "SELECT kind, COUNT(*) AS new_events FROM x GROUP BY 1 UNION ALL SELECT 'all', COUNT(*) FROM x"), "fx_node", "fx_event", "closure")
+def tree_parsimony(f: Fixture) -> DataFrame:
+    """The parsimony score over all edges, by the kind of the lower node, and its total."""
+    events = f.event.select(F.concat(F.lit("O"), F.col("cell_id").cast("string")).alias("node_id"), (F.col("min_target") * 10 + F.col("max_target")).alias("k")).distinct()
+    new = trees.new_events(f.node, trees.shared_events(f.node, _paths(f), events))
+    kinds = new.groupBy(F.substring("node_id", 1, 1).alias("kind")).agg(F.count("*").alias("new_events"))
+    return kinds.union(new.agg(F.lit("all").alias("kind"), F.count("*").alias("new_events")))
+
+
 @plan("SELECT node_id, parent_id, CAST(ROW_NUMBER() OVER (PARTITION BY parent_id ORDER BY dist, node_id) AS INT) AS spine_ord FROM fx_node WHERE parent_id IN (SELECT parent_id FROM fx_node GROUP BY 1 HAVING COUNT(*)>2)", "fx_node")
 def spines(f: Fixture) -> DataFrame:
     return trees.spines(f.node.where("parent_id IS NOT NULL").withColumn("offset", F.col("dist"))).select("node_id", "parent_id", "spine_ord")
