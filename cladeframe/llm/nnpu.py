@@ -10,7 +10,7 @@ and their beginnings of five and six letters, present or not, under 64-bit names
 Spark counts the features of the samples; the ``features`` of them that speak most
 for the positives are the model's inputs.  Fitting takes at most ``positives``
 confirmed and ``unlabelled`` other training documents, those with the smallest
-hashes of their ids; the prior comes from all training labels.  A feature needs
+hashes of their ids, one text of each id (the least); the prior comes from all training labels.  A feature needs
 ``evidence`` (texts with it times the log of its over-representation) well above what
 chance gives the luckiest of a million words, and by itself a ``posterior`` (prior
 times over-representation) well above one half, which common words never have.  Both bounds and the
@@ -142,10 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64(F.lit(5), "doc_id")
     confirmed = train.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
     ids = docs.select(F.col(id_col).alias("doc_id")).where(training_row(F.col("doc_id"), FOLDS) & F.col("doc_id").isNotNull())
-    others = ids.orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(unlabelled)
-    picked = written(confirmed.select("doc_id", F.lit(True).alias("positive")).union(others.distinct().select("doc_id", F.lit(False).alias("positive"))), "picked")
+    others = ids.distinct().orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(unlabelled)
+    picked = written(confirmed.select("doc_id", F.lit(True).alias("positive")).union(others.select("doc_id", F.lit(False).alias("positive"))), "picked")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # at most positives + unlabelled ids
-    sample = written(texts.select("text", "positive"), "sample")
+    one = texts.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))  # an id is one example, however often it is repeated
+    sample = written(one.select("text", "positive"), "sample")
     n_p, n_u = sample.where("positive").count(), sample.where("NOT positive").count()
     if not n_p or not n_u:
         return Model()

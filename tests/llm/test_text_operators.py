@@ -163,6 +163,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert nnpu.toxicity(docs.where("false"), table).count() == 0
 
 
+def test_toxicity_sample_takes_an_id_once(spark, monkeypatch):
+    """Half of the rows are one id, the first by hash: the bounded sample still has as many documents as it may."""
+    rows = [(k, f"word{k % 7} plain") for k in range(400)] + [(k, f"vile word{k % 7}") for k in range(400, 460)]
+    first = spark.range(460).where(nnpu.training_row(F.col("id"), 5)).orderBy(F.xxhash64(F.lit(6), "id"), "id").first().id
+    docs = spark.createDataFrame([*rows, *[(first, "word1 plain")] * 500], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k >= 400)) for k in range(460)], "doc_id long, quality int, toxic int")
+    sizes, real = [], nnpu.written
+    monkeypatch.setattr(nnpu, "written", lambda df, name: (out := real(df, name), sizes.append((name, out.count())))[0])
+    nnpu.fit(docs, labels, unlabelled=100)
+    n_p = sum(trains(k, 5) for k in range(400, 460))
+    assert sizes == [("picked", n_p + 100), ("sample", n_p + 100)]
+
+
 def test_training_rows_are_crc32(spark):
     from cladeframe.llm.common import training_row
 
