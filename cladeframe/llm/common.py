@@ -13,12 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset on one
+    machine, as in tests.  A cluster without one is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="cladeframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -33,7 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that nothing will read again."""
+    remove(df.sparkSession, df.written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -78,7 +88,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         lower = written(lower, "lower")
         up = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
         new = written(lower.join(up, "component", "left").select("node", "old", F.coalesce(F.least("top", "component"), "component").alias("component")), "labels")
+        for used in (labels, lower):
+            discard(used)
         labels = new.select("node", "component")
+        labels.written_to = new.written_to
         if new.where("component != old").isEmpty():
+            discard(edges)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

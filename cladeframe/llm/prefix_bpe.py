@@ -8,7 +8,9 @@ merging their bytes together never joins a symbol of the one with a symbol of
 the other; the order of merges along the facing edges of both tokens decides it.
 
 Rows: null text counts as empty; an empty text has no tokens, an empty id list
-and decodes to empty bytes.  Repeated rows give repeated results.
+and decodes to empty bytes.  Very long texts are encoded whole, chunk by chunk of the
+pattern; repeated rows give repeated results; other columns, whatever their names,
+are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Entries that a Python worker keeps of each memo (prefixes, chunks); beyond it work is done again, results are the same.
 MEMO_ENTRIES = 300_000
@@ -259,30 +260,6 @@ def encoder(path: str, pattern: str) -> TextEncoder:
     return _ENCODERS[path, pattern]
 
 
-def encode_column(text: Column, path: str, pattern: str) -> Column:
-    """array<int> of token ids of each text."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(path, pattern)
-        for texts in batches:
-            yield pd.Series([[int(x) for x in enc.encode(t or "").split()] for t in texts])
-
-    return ids(text)
-
-
-def decode_column(ids: Column, path: str, pattern: str) -> Column:
-    """binary: the bytes of each list of ids (null: empty)."""
-
-    @F.pandas_udf(T.BinaryType())
-    def data(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(path, pattern)
-        for lists in batches:
-            yield pd.Series([enc.bpe.decode(x if x is not None else ()) for x in lists])
-
-    return data(ids)
-
-
 def digest_column(text: Column, path: str, pattern: str) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256, exact): the ids are made, decoded again and digested in one pass."""
 
@@ -301,6 +278,8 @@ def digest_column(text: Column, path: str, pattern: str) -> Column:
     return digest(text)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_tokens and both digests."""
-    return docs.select(F.col(id_col), digest_column(F.col(text_col), path, pattern).alias("d")).select(id_col, "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = False) -> DataFrame:
+    """One row per document: its id, n_tokens and both digests; with verify a text that does not come back from its ids is an error."""
+    out = docs.select(F.col(id_col), digest_column(F.col(text_col), path, pattern).alias("d"))
+    decoded = F.when(F.col("d.exact"), F.col("d.decoded_sha256")).otherwise(F.raise_error(F.lit("a text does not come back from its ids"))) if verify else F.col("d.decoded_sha256")
+    return out.select(id_col, "d.n_tokens", "d.ids_sha256", decoded.alias("decoded_sha256"))

@@ -21,7 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     path = public_tokenizers.path
-    return fertility.judge(docs, path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, row="doc_id")
+    judged = fertility.judge(docs, path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, row=["doc_id"])
+    return judged.select("row.doc_id", *judged.columns[1:])
 
 
 def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +81,9 @@ WITH RECURSIVE v AS (
  WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id != b.vec_id AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
-r(node, at) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.at)
+r(node, hop) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.hop)
 SELECT e.vec_id, CAST((SELECT COUNT(*) FROM l WHERE l.a = e.vec_id) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN (SELECT node, MIN(at) AS component_id FROM r GROUP BY node) c ON c.node = e.vec_id""",
+FROM embeddings e JOIN (SELECT node, MIN(hop) AS component_id FROM r GROUP BY node) c ON c.node = e.vec_id""",
     "op9_boundary_chain": f"""
 WITH p AS (SELECT page_id, COALESCE(html, '') AS t, sha1(COALESCE(html, '')) AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest FROM p),

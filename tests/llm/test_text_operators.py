@@ -57,11 +57,11 @@ def test_fertility_bands_reject_the_odd_one(spark, docs):
     plain = [" ".join(rng.choice(words) for _ in range(rng.randrange(80, 110))) for _ in range(120)]
     odd = " ".join("".join(chr(rng.randrange(0x12000, 0x12300)) for _ in range(4)) for _ in range(30))
     rows = [(k, t, "en", None, None) for k, t in enumerate([*plain, odd])]
-    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, SCHEMA), PIECES, RANKS, PATTERN, row="doc_id").collect()}
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, SCHEMA), PIECES, RANKS, PATTERN, row=["doc_id"]).select("row.doc_id", "*").collect()}
     assert sum(got[k].kept for k in range(120)) >= 118 and got[120].fallback > 0.5
-    edge = fertility.judge(docs, PIECES, RANKS, PATTERN, row="doc_id").collect()
+    edge = fertility.judge(docs, PIECES, RANKS, PATTERN, row=["doc_id"]).select("row.doc_id", "*").collect()
     assert len(edge) == docs.count() and all(r.base_failed and not r.kept for r in edge)
-    assert fertility.judge(docs.where("doc_id > 1000"), PIECES, RANKS, PATTERN, row="doc_id").count() == 0
+    assert fertility.judge(docs.where("doc_id > 1000"), PIECES, RANKS, PATTERN, row=["doc_id"]).select("row.doc_id", "*").count() == 0
 
 
 def test_fertility_judges_lengths_with_few_documents(spark):
@@ -72,13 +72,76 @@ def test_fertility_judges_lengths_with_few_documents(spark):
     odd = lambda n: " ".join("".join(chr(rng.randrange(0x12000, 0x12300)) for _ in range(4)) for _ in range(n))
     good = " ".join(rng.choice(words) for _ in range(70))
     rows = [(k, t, "en", None, None) for k, t in enumerate(plain)] + [(200, odd(1500), "en", None, None), (201, odd(900), "xx", None, None), (202, good, "xx", None, None)]
-    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, SCHEMA), PIECES, RANKS, PATTERN, row="doc_id").collect()}
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, SCHEMA), PIECES, RANKS, PATTERN, row=["doc_id"]).select("row.doc_id", "*").collect()}
     assert not got[200].base_failed and not got[200].kept and not got[201].base_failed and not got[201].kept
     assert got[202].kept and len(got) == len(rows)
-    few = fertility.judge(spark.createDataFrame([rows[0], rows[1], rows[2]], SCHEMA), PIECES, RANKS, PATTERN, row="doc_id").collect()
+    few = fertility.judge(spark.createDataFrame([rows[0], rows[1], rows[2]], SCHEMA), PIECES, RANKS, PATTERN, row=["doc_id"]).select("row.doc_id", "*").collect()
     assert len(few) == 3
 
 
+def brute_bands(rows, least=50, low=4.0, high=8.0):
+    """(kept, base_failed) of rows (lang, octave, failed, four measures), by sorting all values of a group."""
+
+    def band(values):
+        steps = sorted(math.floor(v / fertility.STEP) for v in values)
+        q1, q2, q3 = ((steps[-(-k * len(steps) // 4) - 1] + 0.5) * fertility.STEP for k in (1, 2, 3))
+        spread = max((q3 - q1) / 1.349, 0.01)
+        return q2 - low * spread, q2 + high * spread
+
+    passed = [r for r in rows if not r[2]]
+
+    def nearest(octave, groups):
+        there = {o: g for o, g in groups.items() if len(g) >= least}
+        return there[min(there, key=lambda o: (abs(o - octave), o))] if there else None
+
+    def octaves(some):
+        return {o: [r for r in some if r[1] == o] for o in {r[1] for r in some}}
+
+    out = []
+    for lang, octave, failed, *values in rows:
+        mine = [r for r in passed if r[0] == lang]
+        group = nearest(octave, octaves(mine)) or (mine if len(mine) >= least else None) or nearest(octave, octaves(passed)) or passed
+        good = not failed
+        for k, m in enumerate(fertility.MEASURES):
+            if group:
+                lo, hi = band([r[3 + k] for r in group])
+                good &= values[k] <= hi and (m == "fallback" or values[k] >= lo)
+        out.append(good)
+    return out
+
+
+def test_judge_by_brute_force(spark):
+    """Every column of judge() on four languages (one null, one empty), many octaves, junk, repeats and empty texts."""
+    sentencepiece, tiktoken = pytest.importorskip("sentencepiece"), pytest.importorskip("tiktoken")
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=prefix_bpe.read_ranks(RANKS), special_tokens={})
+    rng = random.Random(12)
+    words = "river mountain evening paper window summer people garden letter morning the of über façade 漢字 речка #tag".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    junk = lambda n: " ".join("".join(chr(rng.randrange(0x12000, 0x12300)) for _ in range(4)) for _ in range(n))
+    texts = [(text(rng.choice((25, 60, 130, 400))), rng.choice(["en", "en", "de", None, ""])) for _ in range(260)]
+    texts += [(junk(40), "en"), (junk(900), "de"), (junk(30), None), ("word " * 300, "en"), (None, "en"), ("", None), (" \n ", "xx"), (text(3000), "xx"), ("a#b\n" * 30, "en")]
+    docs = spark.createDataFrame([(k, t, lang, "x", 1) for k, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string, m string, octave int")
+    got = {r.doc_id: r for r in fertility.judge(docs, PIECES, RANKS, PATTERN, row=["doc_id"]).select("row.doc_id", "*").collect()}
+    rows = []
+    for k, (t, lang) in enumerate(texts):
+        t = t or ""
+        own = t.encode().split()
+        lines = [x for x in t.encode().split(b"\n") if x.split()]
+        base = (len(own), sum(len(w.decode()) for w in own), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeats(own))
+        assert base == tuple(got[k][n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        assert got[k].base_failed == failed
+        ids = pieces.encode(t)
+        shares = [c / len(ids) for c in Counter(ids).values()]
+        values = (len(t) / len(ids), len(t) / len(ranks.encode_ordinary(t)), sum(map(pieces.is_byte, ids)) / len(ids), -sum(x * math.log2(x) for x in shares)) if ids else (0.0,) * 4
+        assert got[k].n_tokens == len(ids) and [got[k][m] for m in fertility.MEASURES] == pytest.approx(values)
+        rows.append((lang, int(math.log2(max(1, len(ids)))), failed, *(got[k][m] for m in fertility.MEASURES)))
+    expected = brute_bands(rows)
+    assert [got[k].kept for k in range(len(texts))] == expected
+    assert not any(expected[k] for k in (260, 261, 262)) and sum(expected) > 200
+
+
 def test_prefix_bpe_round_trip(docs):
     tiktoken = pytest.importorskip("tiktoken")
     library = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=prefix_bpe.read_ranks(RANKS), special_tokens={})
