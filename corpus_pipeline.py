@@ -3,6 +3,10 @@
 Documents that score as toxic go, then those that the quality rules reject, then all
 near-duplicates but one; what is left is mixed to target weights (a document may be
 taken twice) and every copy is encoded and decoded by byte-level BPE.
+
+Null and empty texts fail the base rules; an empty table passes every stage empty;
+rows that are repeated leave near-duplicates once; further columns pass the first four
+stages untouched.
 """
 
 from __future__ import annotations
@@ -25,25 +29,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or their language's fertility bands.  A verdict belongs to a document's id, language and text."""
-    key, here = common.fresh(docs.columns, "key", "here")
-    named = docs.withColumn(key, F.xxhash64("doc_id", "lang", "text"))
+    """Rejects documents that fail the base rules or their language's fertility bands; the verdict stays with its row."""
     path = public_tokenizers.path
-    judged = fertility.judge(named, path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, row=key)
-    kept = judged.where("kept").select(F.col("doc_id").alias(here)).distinct()
-    return named.join(kept, F.col(key) == F.col(here), "left_semi").select(*docs.columns)
+    judged = fertility.judge(docs, path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, row=docs.columns)
+    return judged.where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group whose five-word shingles are similar to 4/5 or more, found by bit-sliced SimHash
+    comparison and confirmed by the shingles; documents without an id stay, equal rows become one."""
     return simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them (not at all, once or twice); a null source is a source."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token counts and digests of every copy; null texts are empty.  A text that does not come back from its ids is an error."""
+    return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, verify=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -54,7 +59,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte-level BPE", tokens),
 ]
 
-#: Tokenisers, trained models and fingerprints are beyond SQL.  tests/llm tests the stages' operators; run() as a whole has no brute-force test yet.
+#: Tokenisers, trained models and fingerprints are beyond SQL.  tests/llm tests the stages' operators, and run() against the stages by brute force.
 ORACLE_SQL = None
 
 
