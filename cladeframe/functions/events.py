@@ -56,7 +56,7 @@ def parse_event(text: Column, shift: int = 0) -> Column:
     return F.when(part(2) != "", F.struct(
         (F.try_to_number(part(3), F.lit("999999999")).cast("int") + shift).alias("start_pos"),
         F.when(deletion, part(1).try_cast("int")).otherwise(0).alias("del_len"),
-        F.when(deletion, "").otherwise(F.lower(part(4))).alias("insert_str"),
+        F.when(deletion, "").otherwise(part(4)).alias("insert_str"),
     ))
 
 
@@ -72,24 +72,6 @@ def hmid(events: Column, n: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell), "_")
 
 
-def merge_clashes(events: Column, threshold: int) -> Column:
-    """Left to right, an event joins the last one where their targets overlap, or where their dead targets touch and the gap is at
-    most the threshold; the joined event keeps the first start and both insertions, with one base of padding over a gap."""
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)
-        gap = e["start_pos"] - last["start_pos"] - last["del_len"]
-        clash = (last["max_target"] >= e["min_target"]) | ((last["max_deact"] + 1 >= e["min_deact"]) & (gap <= threshold))
-        both = F.struct(
-            last["start_pos"].alias("start_pos"), (e["start_pos"] - last["start_pos"] + e["del_len"]).alias("del_len"), last["min_target"].alias("min_target"),
-            F.greatest(last["max_target"], e["max_target"]).alias("max_target"), last["min_deact"].alias("min_deact"), F.greatest(last["max_deact"], e["max_deact"]).alias("max_deact"),
-            F.concat(last["insert_str"], F.when(gap > 0, "a").otherwise(""), e["insert_str"]).alias("insert_str"),
-        )
-        return F.when(clash, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(e)))
-
-    return F.when(F.size(events) == 0, events).otherwise(F.aggregate(F.slice(events, 2, F.greatest(F.size(events), F.lit(1))), F.slice(events, 1, 1), step))
-
-
 def weight_digit(weight: Column, largest: Column) -> Column:
     """Log-scaled base-36 digit of an event's weight, 1 to Z."""
     scaled = F.when(largest > 1, 1 + F.round(34 * F.log(weight) / F.log(largest))).otherwise(1)

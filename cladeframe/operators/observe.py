@@ -65,6 +65,17 @@ def log_interval(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return out.select(*keys, F.exp("m").alias("mid"), F.exp(F.col("m") - se).alias("lo"), F.exp(F.col("m") + se).alias("hi"))
 
 
-def weighted_sample(obs: DataFrame, k: int, seed: int) -> DataFrame:
-    """k rows without replacement, chance in proportion to abundance (exponential races)."""
-    return obs.where("abundance > 0").orderBy(-F.log(1 - F.rand(seed)) / F.col("abundance")).limit(k)
+def chance(seed: int, name: str) -> Column:
+    """A number in (0, 1] for each row by the digest of its name; the same in every run."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(name).cast("string"))), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
+
+
+def weighted_sample(obs: DataFrame, k: int, seed: int, name: str) -> DataFrame:
+    """k rows without replacement, chance in proportion to abundance: each draws an exponential time, the first k are taken."""
+    return obs.where("abundance > 0").orderBy(-F.log(chance(seed, name)) / F.col("abundance"), name).limit(k)
+
+
+def folds(obs: DataFrame, k: int, seed: int, name: str, *groups: str) -> DataFrame:
+    """obs with fold, 0 to k - 1, of equal sizes within groups, dealt in the order of digests."""
+    order = Window.partitionBy(*groups).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(name).cast("string"))), name)
+    return obs.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import bounded, numbered, written
+
+
+#: Distinct pairs of values up to which Kendall's tau compares all pairs of them.
+MOST_CELLS = 20_000
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r over rows that have both; null where either is constant or missing."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)).cast("double"), F.when(F.col(x).isNotNull(), F.col(y)).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)), F.lit(0.0)))
+
 
 def average_ranks(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Ranks from 1, ties share their mean; keys name small groups (a subject's targets)."""
@@ -16,34 +30,80 @@ def spearman(rows: DataFrame, subject: str, item: str, value: str) -> DataFrame:
     """Correlation of ranks of every two subjects over the items that both have."""
     ranked = average_ranks(rows, value, subject)
     side = lambda s: ranked.select(F.col(subject).alias(s), item, F.col("rank").alias(f"rank_{s}"))
-    return side("a").join(side("b"), item).where("a < b").groupBy("a", "b").agg(F.corr("rank_a", "rank_b").alias("rho"))
+    return side("a").join(side("b"), item).where("a < b").groupBy("a", "b").agg(correlation("rank_a", "rank_b").alias("rho"))
 
 
 def regression(rows: DataFrame, y: str, x: str, *keys: str) -> DataFrame:
-    """Least squares by keys: slope, intercept, r, and the slope's standard error."""
+    """Least squares by keys: slope, intercept, r, and the slope's standard error; null where x is constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    out = rows.where(both).groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    out = rows.where(both).groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), F.var_pop(x)).alias("slope"), F.avg(x).alias("mx"), F.avg(y).alias("my"), correlation(x, y).alias("r"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    out = out.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
     se = F.sqrt(F.try_divide((1 - F.col("r") * F.col("r")) * F.col("vy"), (F.col("n") - 2) * F.col("vx")))
     return out.select(*keys, "n", "slope", "intercept", "r", se.alias("slope_se"))
 
 
-def permutation_test(pairs: DataFrame, shuffles: DataFrame, item: str, x: str, y: str) -> DataFrame:
-    """r of x and y, and the share of shuffles (replicate, item, other: whose y to take) with a larger absolute r; one job for all."""
-    observed = pairs.agg(F.corr(x, y).alias("r"))
-    moved = shuffles.join(pairs.select(item, x), item).join(pairs.select(F.col(item).alias("other"), y), "other")
-    null = moved.groupBy("replicate").agg(F.corr(x, y).alias("r0"))
-    return null.join(F.broadcast(observed)).agg(F.first("r").alias("r"), F.avg((F.abs("r0") > F.abs("r")).cast("double")).alias("p"), F.count("*").alias("replicates"))
+def permutation_test(observed: DataFrame, replicates: DataFrame, x: str, y: str) -> DataFrame:
+    """r of x and y over the rows of observed, and the share of replicates (rows with a column replicate) with a larger absolute r, of those that have one."""
+    own = observed.agg(correlation(x, y).alias("r"))
+    null = replicates.groupBy("replicate").agg(correlation(x, y).alias("r0"))
+    larger = (F.abs("r0") > F.abs("r")).cast("double")
+    return null.join(F.broadcast(own)).agg(F.first("r").alias("r"), F.avg(larger).alias("p"), F.count("r0").alias("replicates"))
+
+
+def mean_correlation(matrix: DataFrame) -> DataFrame:
+    """mean, lo, hi: mean and outer quantiles of the pairs a < b of a matrix (a, b, rho)."""
+    return matrix.where("a < b").agg(F.avg("rho").alias("mean"), F.percentile("rho", 0.025).alias("lo"), F.percentile("rho", 0.975).alias("hi"))
+
+
+def bootstrap_pairs(matrix: DataFrame, draws: DataFrame, other_draws: DataFrame | None = None) -> DataFrame:
+    """lo and hi quantiles of the mean correlation over replicates of drawn subjects (replicate, place, subject).  One sample: every
+    two places, a subject with itself has 1.  Two samples: places of the one before places of the other, as an upper triangle."""
+    side = lambda d, n: d.select("replicate", F.col("place").alias(f"place_{n}"), F.col("subject").alias(n))
+    pairs = side(draws, "a").join(side(draws if other_draws is None else other_draws, "b"), "replicate").where("place_a < place_b")
+    both = matrix.select("a", "b", "rho")
+    if other_draws is None:
+        both = both.where("a < b")
+        both = both.union(both.select(F.col("b"), F.col("a"), "rho"))
+    found = pairs.join(F.broadcast(bounded(both, 1_000_000, "pairs of subjects")), ["a", "b"], "left")
+    rho = F.when(F.col("a") == F.col("b"), F.coalesce("rho", F.lit(1.0))).otherwise(F.col("rho")) if other_draws is None else F.col("rho")
+    means = found.groupBy("replicate").agg(F.avg(rho).alias("m"))
+    return means.agg(F.count("*").alias("replicates"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+
+
+def kendall_tau(rows: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+    """Tau-b of all pairs of rows (each standing for weight rows), from counts of distinct (x, y): those are compared pair by pair, so more than MOST_CELLS of them are an error."""
+    c = F.sum(weight).cast("double") if weight else F.count("*").cast("double")
+    cells = bounded(rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(c.alias("c")), MOST_CELLS, "distinct pairs of values")
+    a, b = cells.alias("a"), F.broadcast(cells).alias("b")
+    sign = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
+    score = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.sum(sign * F.col("a.c") * F.col("b.c")).alias("s"))
+    ties = lambda k: cells.groupBy(k).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t_{k}"), F.sum("t").alias(f"n_{k}"))
+    out = score.join(ties("x")).join(ties("y"))  # one row each
+    whole = F.col("n_x") * (F.col("n_x") - 1) / 2
+    return out.select(F.try_divide(F.coalesce("s", F.lit(0.0)), F.nullif(F.sqrt((whole - F.col("t_x")) * (whole - F.col("t_y"))), F.lit(0.0))).alias("tau"))
 
 
-def bootstrap_mean(values: DataFrame, draws: DataFrame, item: str, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Quantiles of the mean over draws (replicate, item, with repeats)."""
-    means = draws.join(values.select(item, value), item).groupBy("replicate").agg(F.avg(value).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", low).alias("lo"), F.percentile("m", high).alias("hi"))
+def cross_spearman(one: DataFrame, two: DataFrame, subject_one: str, subject_two: str, item: str, value: str) -> DataFrame:
+    """a, b, rho: rank correlation of every subject of the one sample with every one of the other over their items."""
+    side = lambda rows, s, n: average_ranks(rows, value, s).select(F.col(s).alias(n), item, F.col("rank").alias(f"rank_{n}"))
+    return side(one, subject_one, "a").join(side(two, subject_two, "b"), item).groupBy("a", "b").agg(correlation("rank_a", "rank_b").alias("rho"))
 
 
-def kendall_tau(rows: DataFrame, item: str, x: str, y: str) -> DataFrame:
-    """Tau-b over all pairs of the items (meant for short lists)."""
-    a, b = rows.alias("a"), rows.alias("b")
-    sx, sy = F.signum(F.col(f"a.{x}") - F.col(f"b.{x}")), F.signum(F.col(f"a.{y}") - F.col(f"b.{y}"))
-    pairs = a.join(b, F.col(f"a.{item}") < F.col(f"b.{item}"))
-    return pairs.agg((F.sum(sx * sy) / F.sqrt(F.sum(sx * sx) * F.sum(sy * sy))).alias("tau"))
+def shuffled_labels(labels: DataFrame, shuffles: list[tuple[int, int, int]]) -> DataFrame:
+    """replicate, node_id, organ, abundance: for each replicate (its number, a factor prime to the number of leaves, a shift) leaf i
+    takes the labels of leaf (i * factor + shift) mod n; their abundances are dealt anew among as many distinct organs drawn
+    from all, both in the order of digests.  labels: node_id, organ, abundance."""
+    groups = labels.groupBy("node_id").agg(F.collect_list(F.struct("organ", "abundance")).alias("own"))
+    leaves = written(numbered(groups, "node_id"), "leaves")
+    n = leaves.count()
+    if bad := [s for s in shuffles if math.gcd(n, s[1]) != 1]:
+        raise ValueError(f"factors that {n} leaves share a divisor with: {bad}")
+    organs = bounded(labels.select("organ").distinct(), 10_000, "organs").agg(F.array_sort(F.collect_list("organ")).alias("organs"))
+    table = labels.sparkSession.createDataFrame(shuffles, "replicate int, factor long, shift long")
+    to = leaves.select("node_id", "row_number").join(F.broadcast(table)).select("replicate", "node_id", ((F.col("row_number") * F.col("factor") + F.col("shift")) % n).alias("row_number"))
+    moved = to.join(leaves.select("row_number", "own"), "row_number").join(F.broadcast(organs))
+    digest = lambda kind, x: F.md5(F.concat_ws("|", F.lit(kind), F.col("replicate").cast("string"), "node_id", x))
+    dealt = F.array_sort(F.transform("own", lambda x: F.struct(digest("abundance", x["organ"]).alias("d"), x["abundance"].alias("abundance"))))
+    drawn = F.array_sort(F.transform("organs", lambda x: F.struct(digest("organ", x).alias("d"), x.alias("organ"))))
+    pairs = F.explode(F.zip_with(dealt, F.slice(drawn, 1, F.size("own")), lambda a, o: F.struct(o["organ"].alias("organ"), a["abundance"].alias("abundance"))))
+    return moved.select("replicate", "node_id", pairs.alias("x")).select("replicate", "node_id", "x.*")

@@ -8,19 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def closure(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """Every node with its ancestors and itself.  Path lengths double each round, so a tree of depth d takes log2(d) joins.
-    With depth given (a bound on hops) nothing is run; else rounds end when no path is as long, each cut by checkpoint()."""
-    paths = nodes.select(F.col("node_id").alias("anc_id"), F.col("node_id").alias("desc_id"), F.lit(0).alias("hops"), F.lit(0.0).alias("path_len"))
-    jump = nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("anc_id"), F.col("node_id").alias("desc_id"), F.lit(1).alias("hops"), F.col("dist").alias("path_len"))
-    reach = 1
-    while reach <= depth if depth is not None else not jump.isEmpty():
-        paths = paths.union(_compose(jump, paths))
-        jump = _compose(jump, jump)
-        if depth is None:
-            paths, jump = paths.checkpoint(), jump.checkpoint()
-        reach *= 2
+from ..tables import discard, numbered, written
+
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """Every node with its ancestors and itself, at rest.  Path lengths double each round until no path is as long, so a tree of
+    depth d takes log2(d) joins; both tables are written each round, and lost executors take nothing with them."""
+    none = F.lit(0.0)
+    paths = written(nodes.select(F.col("node_id").alias("anc_id"), F.col("node_id").alias("desc_id"), F.lit(0).alias("hops"), none.alias("path_len")), "paths")
+    jump = written(nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("anc_id"), F.col("node_id").alias("desc_id"), F.lit(1).alias("hops"), F.col("dist").alias("path_len")), "jumps")
+    while not jump.isEmpty():
+        longer, further = written(paths.union(_compose(jump, paths)), "paths"), written(_compose(jump, jump), "jumps")
+        for used in (paths, jump):
+            discard(used)
+        paths, jump = longer, further
     return paths
 
 
@@ -113,16 +114,21 @@ def spines(children: DataFrame, most: int = 2) -> DataFrame:
     return ranked.withColumn("spine_ord", F.row_number().over(own.orderBy("offset", "node_id")))
 
 
-def tissue_distances(nodes: DataFrame, paths: DataFrame, leaves: DataFrame) -> DataFrame:
-    """For each two tissues the mean, weighted by abundance over the leaves of either, of 1 - depth of a leaf's first ancestor
-    below the root that also has the other tissue among its leaves.  leaves: node_id, organ, abundance."""
-    tissues = leaf_values(paths, leaves, "organ").select("anc_id", F.col("organ").alias("other")).distinct()
-    placed = depths(nodes, paths).where("parent_id IS NOT NULL").select(F.col("node_id").alias("anc_id"), "depth")
-    up = paths.join(leaves.select(F.col("node_id").alias("desc_id"), "organ", "abundance"), "desc_id")
-    seen = up.join(placed, "anc_id").join(tissues, "anc_id").where("organ != other")
-    first = seen.groupBy("desc_id", "organ", "abundance", "other").agg(F.min_by("depth", "hops").alias("depth"))
+def tissue_distances(nodes: DataFrame, paths: DataFrame, tissues: DataFrame, *by: str) -> DataFrame:
+    """organ, other, one_way, distance, n: for each tissue and other tissue the mean, weighted by abundance over the leaves of the
+    first, of 1 - depth of the nearest node up from the leaf, itself included and the root not, that has the other among its
+    leaves (at the leaf itself half its branch); distance is the mean of both ways.  tissues: node_id, organ, abundance,
+    several rows for a leaf of several tissues, and by, columns that name labellings of the same tree.  Without a tissue's leaves: prune the tree first."""
+    other = leaf_values(paths, tissues, *by, "organ").select(*by, "anc_id", F.col("organ").alias("other")).distinct()
+    at = depths(nodes, paths).where("parent_id IS NOT NULL").select(F.col("node_id").alias("anc_id"), "depth", "dist")
+    up = paths.join(tissues.select(F.col("node_id").alias("desc_id"), *by, "organ", "abundance"), "desc_id")
+    seen = up.join(at, "anc_id").join(other, [*by, "anc_id"]).where("organ != other")
+    length = F.when(F.col("hops") == 0, F.col("dist") / 2).otherwise(1 - F.col("depth"))
+    first = seen.groupBy(*by, "desc_id", "organ", "abundance", "other").agg(F.min_by(length, "hops").alias("length"))
     w = F.col("abundance")
-    return first.groupBy(F.least("organ", "other").alias("organ"), F.greatest("organ", "other").alias("other")).agg((F.sum((1 - F.col("depth")) * w) / F.sum(w)).alias("distance"), F.count("*").alias("n_leaves"))
+    one = first.groupBy(*by, "organ", "other").agg((F.sum(F.col("length") * w) / F.sum(w)).alias("one_way"), F.count("*").alias("n"))
+    back = one.select(*by, F.col("organ").alias("other"), F.col("other").alias("organ"), F.col("one_way").alias("back"))
+    return one.join(back, [*by, "organ", "other"], "left").select(*by, "organ", "other", "one_way", ((F.col("one_way") + F.col("back")) / 2).alias("distance"), "n")
 
 
 def flows(nodes: DataFrame, placed: DataFrame, labels: DataFrame, grid: DataFrame) -> DataFrame:
@@ -130,3 +136,141 @@ def flows(nodes: DataFrame, placed: DataFrame, labels: DataFrame, grid: DataFram
     up = placed.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("from"))
     branch = placed.join(up, "parent_id").join(labels, "node_id")
     return branch.join(F.broadcast(grid), (F.col("from") < F.col("t")) & (F.col("t") < F.col("depth")))
+
+
+def traversal(nodes: DataFrame, paths: DataFrame, order: str = "node_id") -> DataFrame:
+    """node_id, level, preorder, postorder, level_order: numbers from 0, children by a column of nodes.
+
+    A node's place is the path of its ancestors' ranks among their sisters; preorder sorts by it, and postorder follows
+    from it, the level and the size of the subtree."""
+    rank = F.row_number().over(Window.partitionBy("parent_id").orderBy(order))
+    ranks = nodes.select(F.col("node_id").alias("anc_id"), F.lpad(rank.cast("string"), 12, "0").alias("rank"))
+    keys = paths.join(ranks, "anc_id").groupBy(F.col("desc_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("up"), "rank"))).alias("k"), (F.count("*") - 1).cast("int").alias("level"))
+    sizes = paths.groupBy(F.col("anc_id").alias("node_id")).agg(F.count("*").alias("size"))
+    placed = keys.select("node_id", "level", F.array_join(F.transform("k", lambda x: x["rank"]), ".").alias("key")).join(sizes, "node_id")
+    first = numbered(placed, "key").withColumnRenamed("row_number", "preorder")
+    both = numbered(first, "level", "key").withColumnRenamed("row_number", "level_order")
+    return both.select("node_id", "level", "preorder", (F.col("preorder") - F.col("level") + F.col("size") - 1).alias("postorder"), "level_order")
+
+
+def collapse_same_alleles(nodes: DataFrame, paths: DataFrame, placed: DataFrame) -> DataFrame:
+    """The tree that can't tell nodes of one allele apart (node_id, parent_id, dist, is_leaf, abundance).
+
+    nodes have label (allele) and abundance; placed: node_id, depth, level.  Nodes joined by branches without a change of
+    allele are a chain, named by its first.  Along time (then level and id) each of a chain hangs on the one before it, and
+    one that coincides with it has one abundance more; the first hangs where it did.  Nodes with one child then go."""
+    up = nodes.select(F.col("node_id").alias("parent_id"), F.col("label").alias("above"))
+    changed = nodes.join(up, "parent_id", "left").select("node_id", (~F.col("label").eqNullSafe(F.col("above")) | F.col("parent_id").isNull()).alias("changed"))
+    first = paths.join(changed.where("changed").select(F.col("node_id").alias("anc_id")), "anc_id").groupBy(F.col("desc_id").alias("node_id")).agg(F.min_by("anc_id", "hops").alias("chain"))
+    own = Window.partitionBy("chain").orderBy(F.round("depth", 9), "level", "node_id")  # heights that sums make differ in the last digits are one
+    rows = nodes.join(first, "node_id").join(placed.select("node_id", "depth", "level"), "node_id")
+    rows = rows.withColumns({"before": F.lag("node_id").over(own), "gap": F.col("depth") - F.lag("depth").over(own), "k": F.row_number().over(own)})
+    new = F.col("before").isNull() | (F.col("gap") > 1e-8)
+    rows = rows.withColumn("run", F.sum(new.cast("int")).over(own))
+    run = Window.partitionBy("chain", "run").orderBy("k")
+    bumped = F.first(F.when(F.col("before").isNull(), F.col("abundance")).otherwise(F.lit(1))).over(run) + F.row_number().over(run) - 1
+    moved = rows.select("node_id", F.coalesce("before", "parent_id").alias("parent_id"), F.coalesce("gap", "dist").alias("dist"), "is_leaf", bumped.alias("abundance"))
+    moved = written(moved, "collapsed")
+    chains = closure(moved)
+    return nearest_kept(moved, chains, branching(moved)).select("node_id", "parent_id", "dist", "is_leaf", "abundance")
+
+
+def without_unchanged(nodes: DataFrame) -> DataFrame:
+    """nodes (with label) less inner nodes of their parent's allele; then those with one child go.  Branches are 1 where the allele changes, else 0."""
+    up = nodes.select(F.col("node_id").alias("parent_id"), F.col("label").alias("above"))
+    counted = nodes.join(up, "parent_id", "left").select("node_id", "parent_id", F.when(F.col("parent_id").isNull() | F.col("label").eqNullSafe(F.col("above")), 0.0).otherwise(1.0).alias("dist"), "is_leaf")
+    counted = written(counted, "counted")
+    short = written(collapse_short(counted, closure(counted)), "short")
+    return nearest_kept(short, closure(short), branching(short)).select("node_id", "parent_id", "dist", "is_leaf")
+
+
+def merged_tissues(tissues: DataFrame, groups: DataFrame, without: list[str]) -> DataFrame:
+    """node_id, organ: organs under the name of their group (groups: organ, name), but for those left out."""
+    return tissues.join(F.broadcast(groups), "organ", "left").select("node_id", F.coalesce("name", "organ").alias("organ")).where(~F.col("organ").isin(*without)).distinct()
+
+
+def tissue_labels(nodes: DataFrame, paths: DataFrame, merged: DataFrame) -> DataFrame:
+    """node_id, label: the sorted first letters of the tissues below each node; a set has at most one letter a tissue."""
+    below = leaf_values(paths, merged, "organ").groupBy(F.col("anc_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("organ")), lambda o: F.substring(o, 1, 1)), "").alias("label"))
+    return nodes.select("node_id").join(below, "node_id", "left").select("node_id", F.coalesce("label", F.lit("")).alias("label"))
+
+
+def flow(nodes: DataFrame, paths: DataFrame, tissues: DataFrame, labels: DataFrame, times: int) -> DataFrame:
+    """progenitor, time, leaf_id, freq of leaves of one tissue: at each time the label of the branch's end, with the leaf's share of
+    abundance; time 0 is the root, ``times`` the leaf itself.  tissues: node_id, organ, abundance; labels: node_id, label."""
+    single = tissues.groupBy("node_id").agg(F.count("*").alias("k"), F.first("abundance").alias("abundance")).where("k = 1").select(F.col("node_id").alias("leaf_id"), "abundance")
+    placed = depths(nodes, paths)
+    above = placed.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("from"))
+    branches = placed.join(above, "parent_id").select(F.col("node_id").alias("anc_id"), "from", "depth")
+    grid = nodes.sparkSession.range(1, times).select(F.col("id").cast("int").alias("time"), (F.col("id") / times).alias("t"))
+    crossed = branches.join(F.broadcast(grid), (F.col("from") < F.col("t")) & (F.col("depth") > F.col("t"))).select("anc_id", "time")
+    up = paths.select("anc_id", F.col("desc_id").alias("leaf_id"))
+    ends = single.select(F.col("leaf_id").alias("anc_id"), F.lit(times).alias("time"), "leaf_id", "abundance")
+    roots = up.join(F.broadcast(nodes.where("parent_id IS NULL").select(F.col("node_id").alias("anc_id"))), "anc_id").join(single, "leaf_id").select("anc_id", F.lit(0).alias("time"), "leaf_id", "abundance")
+    inner = up.join(single, "leaf_id").join(crossed, "anc_id").select("anc_id", "time", "leaf_id", "abundance")
+    total = single.agg(F.sum("abundance").alias("total"))
+    named = ends.unionByName(roots).unionByName(inner).join(labels.select(F.col("node_id").alias("anc_id"), F.col("label").alias("progenitor")), "anc_id")
+    return named.join(F.broadcast(total)).select("progenitor", "time", "leaf_id", (F.col("abundance") / F.col("total")).alias("freq"))
+
+
+def time_links(nodes: DataFrame, paths: DataFrame, labels: DataFrame, buckets: int = 10) -> DataFrame:
+    """source, target (labels), bucket, n: the graph of labels by time bucket.  A branch that crosses buckets gives a link for
+    each: up to the middle under the label of its source (the last node above whose own branch crossed one, or the root), at
+    the middle from that to its own, then under its own; n counts distinct nodes at the links' start."""
+    at = F.floor(F.col("depth") * buckets + 1e-9).cast("int")
+    placed = depths(nodes, paths).withColumn("at", at)
+    up = placed.select(F.col("node_id").alias("parent_id"), F.col("at").alias("from"))
+    steps = placed.join(up, "parent_id", "left").select("node_id", "parent_id", F.coalesce("from", F.lit(0)).alias("from"), "at")
+    turns = steps.where("parent_id IS NULL OR at > from").select(F.col("node_id").alias("anc_id"))
+    source = paths.where("hops > 0").join(turns, "anc_id").groupBy(F.col("desc_id").alias("node_id")).agg(F.min_by("anc_id", "hops").alias("source_id"))
+    crossing = steps.where("parent_id IS NOT NULL AND at > from").join(source, "node_id")
+    half = F.expr("from + (at - from) div 2")
+    each = crossing.select("node_id", "source_id", half.alias("half"), F.explode(F.expr("sequence(from, at - 1)")).alias("bucket"))
+    first, second = F.when(F.col("bucket") <= F.col("half"), F.col("source_id")).otherwise(F.col("node_id")), F.when(F.col("bucket") < F.col("half"), F.col("source_id")).otherwise(F.col("node_id"))
+    ends = each.select("bucket", first.alias("one"), second.alias("two"))
+    name = lambda n: labels.select(F.col("node_id").alias(n), F.col("label").alias(f"label_{n}"))
+    named = ends.join(name("one"), "one").join(name("two"), "two")
+    return named.groupBy(F.col("label_one").alias("source"), F.col("label_two").alias("target"), "bucket").agg(F.count_distinct("one").alias("n"))
+
+
+def organ_pair_lengths(paths: DataFrame, nodes: DataFrame, tissues: DataFrame) -> DataFrame:
+    """organ, other, total: over all leaves of the one and of the other the distance from the first to their last common ancestor.
+
+    Along the way up from a leaf each branch counts for the other's leaves not below it, so the total is that of the leaves'
+    depths times the number of the others, less each branch times the leaves of both below it: no pairs of leaves are made."""
+    below = leaf_values(paths, tissues, "organ").groupBy("anc_id", "organ").agg(F.count("*").alias("n"))
+    placed = depths(nodes, paths)
+    whole = tissues.join(placed.select("node_id", "depth"), "node_id").groupBy("organ").agg(F.count("*").alias("leaves"), F.sum("depth").alias("depths"))
+    side = lambda n, d: d.select("anc_id", F.col("organ").alias(n), F.col("n").alias(f"n_{n}"))
+    own = below.join(nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("anc_id"), "dist"), "anc_id")
+    shared = side("organ", own).join(side("other", own).join(own.select("anc_id", "dist").distinct(), "anc_id"), "anc_id").groupBy("organ", "other").agg(F.sum(F.col("n_organ") * F.col("n_other") * F.col("dist")).alias("shared"))
+    pairs = whole.select("organ", "depths").join(F.broadcast(whole.select(F.col("organ").alias("other"), "leaves")))  # a row for each two tissues
+    return pairs.join(shared, ["organ", "other"], "left").select("organ", "other", (F.col("depths") * F.col("leaves") - F.coalesce("shared", F.lit(0.0))).alias("total"))
+
+
+def newick(nodes: DataFrame, levels: DataFrame) -> DataFrame:
+    """tree_id, newick of many trees (tree_id, node_id, parent_id, dist; levels: node_id, level): strings of children, by id, are put
+    together level by level.  A tree is one string in the end, so trees must be of a size that a row holds."""
+    held = written(nodes.join(levels.select("node_id", "level"), "node_id"), "levels")
+    text = None
+    for level in range(held.agg(F.max("level")).first()[0] or 0, -1, -1):
+        here = held.where(F.col("level") == level)
+        inner = F.lit("") if text is None else F.coalesce(F.concat(F.lit("("), F.col("inner"), F.lit(")")), F.lit(""))
+        if text is not None:
+            here = here.join(text, "node_id", "left")
+        lines = here.select("tree_id", "node_id", "parent_id", F.concat(inner, F.col("node_id"), F.lit(":"), F.format_string("%.3f", F.col("dist"))).alias("line"))
+        lines = written(lines, "lines")
+        text = lines.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("n"), "line"))), lambda x: x["line"]), ",").alias("inner"))
+        done = lines.where("parent_id IS NULL").select("tree_id", F.concat("line", F.lit(";")).alias("newick"))
+        out = done if level == (held.agg(F.max("level")).first()[0] or 0) else out.union(done)
+    return out
+
+
+def perfect_conflicts(carriers: DataFrame) -> DataFrame:
+    """a, b, shared: two events (carriers: taxon, event) that some taxa share though neither's taxa hold the other's; a perfect phylogeny
+    has none.  Pairs are counted within a taxon, which has few events."""
+    size = carriers.groupBy("event").agg(F.count("*").alias("n"))
+    side = lambda n: carriers.select("taxon", F.col("event").alias(n))
+    both = side("a").join(side("b"), "taxon").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    count = lambda n: size.select(F.col("event").alias(n), F.col("n").alias(f"n_{n}"))
+    return both.join(count("a"), "a").join(count("b"), "b").where("shared < n_a AND shared < n_b").select("a", "b", "shared")

@@ -5,8 +5,14 @@ The SQL of each view runs on Spark and, but for the string aggregate, on DuckDB.
 
 from __future__ import annotations
 
+import re
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import trees
+from ..tables import written
+
 #: Fixed values of the design: ten targets, cut sites 27 bases apart from base 19.
 TARGETS, FIRST_CUT, STEP, LENGTH = 10, 19, 27, 284
 
@@ -40,27 +46,93 @@ UNION ALL SELECT CONCAT('O',CAST(o_orderkey AS STRING)), p.node_id, (20-p.dep)/2
 
 LEAF = "SELECT CONCAT('O',CAST(cell_id AS STRING)) AS node_id, organ, abundance, allele_str, pairs FROM fx_obs"
 
-_ORDER = ("fx_target", "fx_event", "fx_obs", "fx_node", "fx_leaf")
+#: Tissues of a leaf: its organ, and for every seventh cell the next one as well.
+TISSUE = """SELECT CONCAT('O',CAST(cell_id AS STRING)) AS node_id, organ, abundance FROM fx_obs
+UNION ALL SELECT CONCAT('O',CAST(cell_id AS STRING)), CASE SUBSTRING(organ,1,1) WHEN '1' THEN '2-HIGH' WHEN '2' THEN '3-MEDIUM' WHEN '3' THEN '4-NOT SPECIFIED' WHEN '4' THEN '5-LOW' ELSE '1-URGENT' END, CAST(1+cell_id%3 AS BIGINT) FROM fx_obs WHERE cell_id%7=0"""
+
+#: Raw events of a read: off their cut sites, overlapping, past the end; every fourth order has insertions.
+RAW = """SELECT cell_id, CAST(GREATEST(19+27*t-pk%14+5, 0) AS INT) AS start_pos, CASE WHEN ins='' THEN CAST(27*(mx-t)+sk%15+CASE WHEN mx=9 AND pk%3=0 THEN 30 ELSE 0 END AS INT) ELSE 0 END AS del_len,
+ CAST(t AS INT) AS min_target, CAST(CASE WHEN ins='' THEN mx ELSE t END AS INT) AS max_target, ins AS insert_str
+FROM (SELECT cell_id, t, LEAST(t+CASE WHEN pk%5=0 THEN 2 ELSE 0 END, 9) AS mx, pk, sk, CASE WHEN cell_id%4=0 THEN SUBSTRING('acgt',1,CAST(1+pk%4 AS INT)) ELSE '' END AS ins
+ FROM (SELECT l_orderkey AS cell_id, CASE WHEN l_linenumber>=5 THEN l_linenumber+2 ELSE l_linenumber-1 END AS t, MIN(l_partkey) AS pk, MIN(l_suppkey) AS sk FROM lineitem GROUP BY l_orderkey, l_linenumber) d) w"""
+
+#: Another tree over the same leaves: every third customer hangs on the next nation; leaves end at the same height.
+OTHER = NODE.replace("CONCAT('N',CAST(c_nationkey AS STRING))", "CONCAT('N',CAST((c_nationkey+CASE WHEN c_custkey%3=0 THEN 1 ELSE 0 END)%25 AS STRING))")
+
+#: Alleles of all nodes, kept or changed on the way down.
+LABEL = """WITH c AS (SELECT c_custkey, n_nationkey, CASE WHEN c_custkey%4=0 THEN CONCAT('c',CAST(c_custkey AS STRING)) WHEN n_nationkey%3=0 THEN CONCAT('n',CAST(n_nationkey AS STRING)) ELSE 'x' END AS label FROM customer JOIN nation ON n_nationkey=c_nationkey)
+SELECT 'ROOT' AS node_id, 'x' AS label UNION ALL SELECT CONCAT('R',CAST(r_regionkey AS STRING)), 'x' FROM region
+UNION ALL SELECT CONCAT('N',CAST(n_nationkey AS STRING)), CASE WHEN n_nationkey%3=0 THEN CONCAT('n',CAST(n_nationkey AS STRING)) ELSE 'x' END FROM nation
+UNION ALL SELECT CONCAT('C',CAST(c_custkey AS STRING)), label FROM c
+UNION ALL SELECT CONCAT('O',CAST(o_orderkey AS STRING)), CASE WHEN o_orderkey%2=0 THEN label ELSE CONCAT('o',CAST(o_orderkey%5 AS STRING)) END FROM orders JOIN c ON c_custkey=o_custkey"""
+
+_ORDER = ("fx_target", "fx_event", "fx_raw", "fx_obs", "fx_node", "fx_other", "fx_label", "fx_leaf", "fx_tissue")
 _TABLES = ("region", "nation", "customer", "orders", "lineitem", "part", "supplier")
+_AT_REST: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Fixture:
-    """The views as DataFrames: f.event, f.obs, f.node, f.leaf, f.target."""
+    """The views as DataFrames: f.event, f.obs, f.node, f.leaf, f.target, f.raw, f.tissue; f.closure, at rest.  Node table and
+    closure are written once for a session and a folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         for t in _TABLES:
             setattr(self, t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        given = {t: getattr(self, t) for t in _TABLES}
         self.target = spark.sql(TARGET)
-        self.event = self._sql(EVENT, lineitem=given["lineitem"])
-        self.obs = self._sql(OBS_SPARK, orders=given["orders"], fx_event=self.event)
-        self.node = self._sql(NODE, **{t: given[t] for t in ("region", "nation", "customer", "orders")})
-        self.leaf = self._sql(LEAF, fx_obs=self.obs)
 
-    def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
-        import re
+    @cached_property
+    def _items(self) -> DataFrame:
+        """lineitem dealt by order once, for its groups, windows and lists alike."""
+        return self.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
+
+    @cached_property
+    def event(self) -> DataFrame:
+        return self._sql(EVENT, lineitem=self._items)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self._sql(RAW, lineitem=self._items)
+
+    @cached_property
+    def obs(self) -> DataFrame:
+        return self._sql(OBS_SPARK, orders=self.orders, fx_event=self.event)
+
+    @cached_property
+    def leaf(self) -> DataFrame:
+        return self._sql(LEAF, fx_obs=self.obs)
 
+    @cached_property
+    def tissue(self) -> DataFrame:
+        return self._sql(TISSUE, fx_obs=self.obs.select("cell_id", "organ", "abundance"))
+
+    @property
+    def node(self) -> DataFrame:
+        return self.at_rest("nodes", lambda: written(self._sql(NODE, **{t: getattr(self, t) for t in ("region", "nation", "customer", "orders")}), "nodes"))
+
+    @property
+    def other(self) -> DataFrame:
+        return self.at_rest("other-nodes", lambda: written(self._sql(OTHER, **{t: getattr(self, t) for t in ("region", "nation", "customer", "orders")}), "nodes"))
+
+    @property
+    def other_closure(self) -> DataFrame:
+        return self.at_rest("other-closure", lambda: trees.closure(self.other))
+
+    @cached_property
+    def label(self) -> DataFrame:
+        return self._sql(LABEL, **{t: getattr(self, t) for t in ("region", "nation", "customer", "orders")})
+
+    @property
+    def closure(self) -> DataFrame:
+        return self.at_rest("closure", lambda: trees.closure(self.node))
+
+    def at_rest(self, name: str, make) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _AT_REST:
+            _AT_REST[key] = make()
+        return _AT_REST[key]
+
+    def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         for name in frames:
             text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
         return self.spark.sql(text, **frames)
@@ -69,13 +141,18 @@ class Fixture:
 def duck(select: str, *views: str) -> str:
     """DuckDB SQL with the named views (and those they need) before it; recursive, so that trees can be walked."""
     need = set(views)
-    if "fx_leaf" in need:
+    if "closure" in need:
+        need.add("fx_node")
+    if "closure2" in need:
+        need.add("fx_other")
+    if need & {"fx_leaf", "fx_tissue"}:
         need.add("fx_obs")
     if "fx_obs" in need:
         need.add("fx_event")
-    text = {"fx_target": TARGET, "fx_event": EVENT, "fx_obs": OBS_DUCK, "fx_node": NODE, "fx_leaf": LEAF}
+    text = {"fx_target": TARGET, "fx_event": EVENT, "fx_raw": RAW, "fx_obs": OBS_DUCK, "fx_node": NODE, "fx_other": OTHER, "fx_label": LABEL, "fx_leaf": LEAF, "fx_tissue": TISSUE}
     parts = [f"{v} AS ({text[v]})" for v in _ORDER if v in need]
-    if "closure" in need:
-        parts.append("closure(anc_id, desc_id, hops, path_len) AS (SELECT node_id, node_id, 0, 0.0E0 FROM fx_node UNION ALL SELECT n.parent_id, c.desc_id, c.hops+1, c.path_len+n.dist FROM closure c JOIN fx_node n ON n.node_id=c.anc_id WHERE n.parent_id IS NOT NULL)")
-        parts.append("depth AS (SELECT desc_id AS node_id, path_len AS depth FROM closure WHERE anc_id='ROOT')")
+    for n, nodes in (("", "fx_node"), ("2", "fx_other")):
+        if f"closure{n}" in need:
+            parts.append(f"closure{n}(anc_id, desc_id, hops, path_len) AS (SELECT node_id, node_id, 0, 0.0E0 FROM {nodes} UNION ALL SELECT n.parent_id, c.desc_id, c.hops+1, c.path_len+n.dist FROM closure{n} c JOIN {nodes} n ON n.node_id=c.anc_id WHERE n.parent_id IS NOT NULL)")
+            parts.append(f"depth{n} AS (SELECT desc_id AS node_id, path_len AS depth FROM closure{n} WHERE anc_id='ROOT')")
     return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select

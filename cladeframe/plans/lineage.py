@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import events as ev
 from ..functions import status as st
 from ..operators import observe, stats, trees
-from .fixtures import STEP, TARGETS, Fixture, duck
-
-Plan = Callable[[Fixture], DataFrame]
-_PLANS: dict[str, Plan] = {}
-_SQL: dict[str, str] = {}
-
-
-def plan(sql: str | None = None, *views: str) -> Callable[[Plan], Plan]:
-    """Registers a plan as query q_<name>, with its DuckDB SQL over the named views."""
-
-    def add(f: Plan) -> Plan:
-        _PLANS[f"q_{f.__name__}"] = f
-        if sql:
-            _SQL[f"q_{f.__name__}"] = duck(sql, *views)
-        return f
-
-    return add
-
+from .fixtures import TARGETS, Fixture
+from .registry import plan
+from .registry import with_views as _duck
 
 UNIQ = "uniq AS (SELECT DISTINCT start_pos, del_len, min_target, max_target, insert_str FROM fx_event)"
 DEACT = """d AS (SELECT e.*, CASE WHEN e.min_target>0 AND e.start_pos <= 24+27*(e.min_target-1) THEN e.min_target-1 ELSE e.min_target END AS min_deact,
@@ -36,11 +19,6 @@ MASK = f"""{DEACT}, m AS (SELECT o.cell_id, o.organ, CAST(COALESCE(b.mask,0) AS
  LEFT JOIN (SELECT cell_id, BIT_OR((1<<(max_deact+1))-(1<<min_deact)) AS mask FROM d GROUP BY cell_id) b ON b.cell_id=o.cell_id)"""
 
 
-def _duck(text: str, select: str) -> str:
-    """Further views before a select."""
-    return f"SELECT * FROM (WITH {text} {select})"
-
-
 def _unique(f: Fixture) -> DataFrame:
     return f.event.select("start_pos", "del_len", "min_target", "max_target", "insert_str").distinct()
 
@@ -85,7 +63,6 @@ def encode_ranges(f: Fixture) -> DataFrame:
     return hit.groupBy("cell_id", "start_pos").agg(F.count("*").alias("n_cuts"), F.min("target").alias("min_target"), F.max("target").alias("max_target"))
 
 
-_CELL = "COALESCE((SELECT MIN(CASE WHEN insert_str='' THEN CONCAT(del_len,'D+',start_pos) ELSE CONCAT(del_len,'D+',start_pos,'&',LENGTH(insert_str),'I+',start_pos,'+',insert_str) END) FROM d WHERE d.cell_id=o.cell_id AND {t} BETWEEN min_deact AND max_deact AND start_pos=(SELECT MIN(start_pos) FROM d d2 WHERE d2.cell_id=o.cell_id AND {t} BETWEEN d2.min_deact AND d2.max_deact)),'NONE')"
 _HMID = f"""{DEACT}, g AS (SELECT o.cell_id, t.target, COALESCE(ARG_MIN(CASE WHEN insert_str='' THEN CONCAT(del_len,'D+',start_pos) ELSE CONCAT(del_len,'D+',start_pos,'&',LENGTH(insert_str),'I+',start_pos,'+',insert_str) END, start_pos),'NONE') AS c
  FROM fx_obs o CROSS JOIN fx_target t LEFT JOIN d ON d.cell_id=o.cell_id AND t.target BETWEEN d.min_deact AND d.max_deact GROUP BY 1,2),
  h AS (SELECT cell_id, STRING_AGG(c, '_' ORDER BY target) AS hmid FROM g GROUP BY 1)"""
@@ -118,9 +95,14 @@ def hidden_pairs(f: Fixture) -> DataFrame:
     return pairs.select(F.col("a.min_target").alias("outer_min"), F.col("a.max_target").alias("outer_max"), F.col("b.min_target").alias("inner_min"), F.col("b.max_target").alias("inner_max"), (F.col("a.count") * F.col("b.count")).alias("n_pairs"))
 
 
-@plan(_duck("p AS (SELECT DISTINCT min_target*10+max_target AS id, min_target, max_target FROM fx_event), own AS (SELECT DISTINCT cell_id, min_target, max_target FROM fx_event)",
- """SELECT o.cell_id, STRING_AGG(CASE WHEN w.cell_id IS NOT NULL THEN '1' WHEN EXISTS (SELECT 1 FROM own h WHERE h.cell_id=o.cell_id AND h.min_target<p.min_target AND p.max_target<h.max_target) THEN '?' ELSE '0' END, '' ORDER BY p.id) AS row
- FROM fx_obs o CROSS JOIN p LEFT JOIN own w ON w.cell_id=o.cell_id AND w.min_target=p.min_target AND w.max_target=p.max_target GROUP BY 1"""), "fx_obs")
+BINARY = (
+    "p AS (SELECT DISTINCT min_target*10+max_target AS id, min_target, max_target FROM fx_event), own AS (SELECT DISTINCT cell_id, min_target, max_target FROM fx_event)",
+    """SELECT o.cell_id, STRING_AGG(CASE WHEN w.cell_id IS NOT NULL THEN '1' WHEN EXISTS (SELECT 1 FROM own h WHERE h.cell_id=o.cell_id AND h.min_target<p.min_target AND p.max_target<h.max_target) THEN '?' ELSE '0' END, '' ORDER BY p.id) AS row
+ FROM fx_obs o CROSS JOIN p LEFT JOIN own w ON w.cell_id=o.cell_id AND w.min_target=p.min_target AND w.max_target=p.max_target GROUP BY 1""",
+)
+
+
+@plan(_duck(*BINARY), "fx_obs")
 def binary_matrix(f: Fixture) -> DataFrame:
     """A character for each kind of event (its span): present, hidden or absent; the kinds are at most n * n, so they stand in one row."""
     spans = f.event.select("min_target", "max_target").distinct()
@@ -138,16 +120,8 @@ def phylip_weights(f: Fixture) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.max("n").alias("m")))).select("min_target", "max_target", "n", ev.weight_digit(F.col("n"), F.col("m")).alias("digit"))
 
 
-@plan()
-def clash_merge(f: Fixture) -> DataFrame:
-    own = _dead(f).groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "del_len", "min_target", "max_target", "min_deact", "max_deact", "insert_str"))).alias("events"))
-    return own.select("cell_id", F.size("events").alias("before"), ev.allele_key(ev.merge_clashes(F.col("events"), 30)).alias("allele_str"))
 
 
-@plan("SELECT cell_id, start_pos, CASE WHEN max_target=9 AND start_pos+del_len>282 THEN 282-start_pos ELSE del_len END AS del_len FROM fx_event", "fx_event")
-def overflow_clip(f: Fixture) -> DataFrame:
-    most = F.lit(19 + STEP * 9 + 20)
-    return f.event.select("cell_id", "start_pos", F.when((F.col("max_target") == 9) & (ev.del_end() > most), most - F.col("start_pos")).otherwise(F.col("del_len")).alias("del_len"))
 
 
 _AUDIT = "SELECT a.max_target AS left_max, b.min_target AS right_min, COUNT(*) AS n_neighbours, CAST(SUM(CASE WHEN b.start_pos-(a.start_pos+a.del_len)<=3 THEN 1 ELSE 0 END) AS BIGINT) AS n_touching FROM s a JOIN s b ON a.cell_id=b.cell_id AND b.k=a.k+1 GROUP BY 1,2"
@@ -202,15 +176,12 @@ def phantom_leaf(f: Fixture) -> DataFrame:
     return observe.add_phantom(f.obs.groupBy("allele_str").agg(F.sum("abundance").alias("abundance")))
 
 
-@plan("SELECT CAST(t AS BIGINT) AS t, (SELECT COUNT(*) FROM g WHERE a<=t)/(SELECT COUNT(*) FROM g) AS share FROM (SELECT UNNEST(range(30)) AS t) x", "fx_obs")
+@plan(_duck("g AS (SELECT SUM(abundance) AS a FROM fx_obs GROUP BY pairs)", "SELECT CAST(t AS BIGINT) AS t, (SELECT COUNT(*) FROM g WHERE a<=t)/(SELECT COUNT(*) FROM g) AS share FROM (SELECT UNNEST(range(30)) AS t) x"), "fx_obs", doubles="share")
 def abundance_ecdf(f: Fixture) -> DataFrame:
     return observe.abundance_ecdf(observe.group_observations(f.obs, "pairs"))
 
 
-_SQL["q_abundance_ecdf"] = duck(_duck("g AS (SELECT SUM(abundance) AS a FROM fx_obs GROUP BY pairs)", "SELECT CAST(t AS BIGINT) AS t, (SELECT COUNT(*) FROM g WHERE a<=t)/(SELECT COUNT(*) FROM g) AS share FROM (SELECT UNNEST(range(30)) AS t) x"), "fx_obs")
-
-
-@plan(_duck(MASK, "SELECT t.target, COUNT(m.cell_id) AS n, COUNT(m.cell_id)/SUM(COUNT(m.cell_id)) OVER () AS share FROM fx_target t LEFT JOIN m ON (m.mask>>t.target)&1=1 GROUP BY 1"), "fx_obs", "fx_target")
+@plan(_duck(MASK, "SELECT t.target, COUNT(m.cell_id) AS n, COUNT(m.cell_id)/SUM(COUNT(m.cell_id)) OVER () AS share FROM fx_target t LEFT JOIN m ON (m.mask>>t.target)&1=1 GROUP BY 1"), "fx_obs", "fx_target", doubles="share")
 def target_deact_hist(f: Fixture) -> DataFrame:
     return observe.shares(observe.histogram(st.bits(_masks(f), "mask", TARGETS), F.col("target"), TARGETS)).withColumnRenamed("k", "target")
 
@@ -221,7 +192,7 @@ def barcode_exhaustion(f: Fixture) -> DataFrame:
 
 
 @plan(_duck(UNIQ, """SELECT COUNT(*) AS n_unique, CAST(SUM(CASE WHEN min_target<max_target THEN 1 ELSE 0 END) AS BIGINT) AS n_inter, CAST(SUM(CASE WHEN min_target+1<max_target THEN 1 ELSE 0 END) AS BIGINT) AS n_masking,
- AVG(CASE WHEN min_target<max_target THEN 1.0 ELSE 0.0 END) AS double_share, (SELECT CAST(SUM(abundance) AS BIGINT) FROM fx_obs) AS cells, (SELECT COUNT(DISTINCT allele_str) FROM fx_obs) AS alleles FROM uniq"""), "fx_obs")
+ AVG(CASE WHEN min_target<max_target THEN 1.0 ELSE 0.0 END) AS double_share, (SELECT CAST(SUM(abundance) AS BIGINT) FROM fx_obs) AS cells, (SELECT COUNT(DISTINCT allele_str) FROM fx_obs) AS alleles FROM uniq"""), "fx_obs", doubles="double_share")
 def event_summary(f: Fixture) -> DataFrame:
     inter = F.col("min_target") < F.col("max_target")
     own = _unique(f).agg(F.count("*").alias("n_unique"), F.count_if(inter).alias("n_inter"), F.count_if(F.col("min_target") + 1 < F.col("max_target")).alias("n_masking"), F.avg(inter.cast("double")).alias("double_share"))
@@ -233,48 +204,48 @@ def _rates_sql(weight: int) -> str:
     return _duck(UNIQ, f"SELECT target, COUNT(*) AS n, COUNT(*)/SUM(COUNT(*)) OVER () AS share FROM (SELECT min_target AS target FROM uniq WHERE min_target<max_target UNION ALL SELECT max_target FROM uniq WHERE min_target<max_target{focal}) x GROUP BY 1")
 
 
-@plan(_rates_sql(2), "fx_event")
+@plan(_rates_sql(2), "fx_event", doubles="share")
 def simple_rates_a(f: Fixture) -> DataFrame:
     return observe.target_rates(_unique(f), 2)
 
 
-@plan(_rates_sql(1), "fx_event")
+@plan(_rates_sql(1), "fx_event", doubles="share")
 def simple_rates_b(f: Fixture) -> DataFrame:
     return observe.target_rates(_unique(f), 1)
 
 
-@plan(_duck(UNIQ, "SELECT LENGTH(insert_str) AS insert_len, COUNT(*) AS n, quantile_cont(19+27*min_target-start_pos, 0.75) AS left_p75, quantile_cont(start_pos+del_len-19-27*max_target, 0.75) AS right_p75 FROM uniq GROUP BY 1"), "fx_event")
+@plan(_duck(UNIQ, "SELECT LENGTH(insert_str) AS insert_len, COUNT(*) AS n, quantile_cont(19+27*min_target-start_pos, 0.75) AS left_p75, quantile_cont(start_pos+del_len-19-27*max_target, 0.75) AS right_p75 FROM uniq GROUP BY 1"), "fx_event", doubles="left_p75 right_p75")
 def insert_summary(f: Fixture) -> DataFrame:
     x = ev.trims(ev.with_design(_unique(f), f.target))
     return x.groupBy(F.length("insert_str").alias("insert_len")).agg(F.count("*").alias("n"), F.percentile("left_trim", 0.75).alias("left_p75"), F.percentile("right_trim", 0.75).alias("right_p75"))
 
 
-@plan(_duck(MASK, "SELECT t.target, SUM((m.mask>>t.target)&1)/COUNT(*) AS saturation FROM fx_target t CROSS JOIN m GROUP BY 1"), "fx_obs", "fx_target")
+@plan(_duck(MASK, "SELECT t.target, SUM((m.mask>>t.target)&1)/COUNT(*) AS saturation FROM fx_target t CROSS JOIN m GROUP BY 1"), "fx_obs", "fx_target", doubles="saturation")
 def target_saturation(f: Fixture) -> DataFrame:
     flags = [F.avg(F.call_function("getbit", F.col("mask"), F.lit(t)).cast("double")).alias(str(t)) for t in range(TARGETS)]
     return _masks(f).agg(*flags).unpivot([], [str(t) for t in range(TARGETS)], "target", "saturation").withColumn("target", F.col("target").cast("int"))
 
 
-@plan("SELECT organ, CAST(SUM(abundance) AS BIGINT) AS cells, 100.0*SUM(abundance)/SUM(SUM(abundance)) OVER () AS percent, COUNT(DISTINCT allele_str) AS alleles FROM fx_obs GROUP BY 1", "fx_obs")
+@plan("SELECT organ, CAST(SUM(abundance) AS BIGINT) AS cells, 100.0*SUM(abundance)/SUM(SUM(abundance)) OVER () AS percent, COUNT(DISTINCT allele_str) AS alleles FROM fx_obs GROUP BY 1", "fx_obs", doubles="percent")
 def organ_composition(f: Fixture) -> DataFrame:
     own = f.obs.groupBy("organ").agg(F.sum("abundance").alias("cells"), F.count_distinct("allele_str").alias("alleles"))
     return observe.shares(own, "cells").select("organ", "cells", (100 * F.col("share")).alias("percent"), "alleles")
 
 
 @plan(_duck(MASK + ", c AS (SELECT m.organ, bit_count(m.mask) AS dead, COUNT(e.cell_id) AS n FROM m LEFT JOIN fx_event e ON e.cell_id=m.cell_id GROUP BY m.cell_id, m.organ, m.mask)",
- "SELECT organ, quantile_cont(n,0.25) AS events_q1, quantile_cont(n,0.5) AS events_median, quantile_cont(n,0.75) AS events_q3, AVG(dead) AS dead_mean FROM c GROUP BY 1"), "fx_obs")
+ "SELECT organ, quantile_cont(n,0.25) AS events_q1, quantile_cont(n,0.5) AS events_median, quantile_cont(n,0.75) AS events_q3, AVG(dead) AS dead_mean FROM c GROUP BY 1"), "fx_obs", doubles="events_q1 events_median events_q3 dead_mean")
 def organ_events(f: Fixture) -> DataFrame:
     x = _masks(f).join(f.event.groupBy("cell_id").agg(F.count("*").alias("k")), "cell_id", "left").withColumn("n", F.coalesce("k", F.lit(0)))
     q = lambda p, name: F.percentile("n", p).alias(name)
     return x.groupBy("organ").agg(q(0.25, "events_q1"), q(0.5, "events_median"), q(0.75, "events_q3"), F.avg(F.bit_count("mask")).alias("dead_mean"))
 
 
-@plan(_duck(UNIQ, "SELECT insert_str!='' AS inserted, COUNT(*) AS n, COUNT(DISTINCT start_pos) AS starts, COUNT(DISTINCT start_pos+del_len-1) AS ends, AVG(del_len) AS mean_len, MAX(del_len) AS max_len FROM uniq GROUP BY 1"), "fx_event")
+@plan(_duck(UNIQ, "SELECT insert_str!='' AS inserted, COUNT(*) AS n, COUNT(DISTINCT start_pos) AS starts, COUNT(DISTINCT start_pos+del_len-1) AS ends, AVG(del_len) AS mean_len, MAX(del_len) AS max_len FROM uniq GROUP BY 1"), "fx_event", doubles="mean_len")
 def unique_indels(f: Fixture) -> DataFrame:
     return _unique(f).groupBy((F.col("insert_str") != "").alias("inserted")).agg(F.count("*").alias("n"), F.count_distinct("start_pos").alias("starts"), F.count_distinct(ev.del_end() - 1).alias("ends"), F.avg("del_len").alias("mean_len"), F.max("del_len").alias("max_len"))
 
 
-@plan(_duck(UNIQ, "SELECT min_target, COUNT(*) AS n, CAST(MEDIAN(start_pos) AS DOUBLE) AS pos, MIN(start_pos) AS pos_min, MAX(start_pos) AS pos_max, CAST(MEDIAN(del_len) AS DOUBLE) AS len, MIN(del_len) AS len_min, MAX(del_len) AS len_max FROM uniq WHERE min_target=max_target GROUP BY 1"), "fx_event")
+@plan(_duck(UNIQ, "SELECT min_target, COUNT(*) AS n, CAST(MEDIAN(start_pos) AS DOUBLE) AS pos, MIN(start_pos) AS pos_min, MAX(start_pos) AS pos_max, CAST(MEDIAN(del_len) AS DOUBLE) AS len, MIN(del_len) AS len_min, MAX(del_len) AS len_max FROM uniq WHERE min_target=max_target GROUP BY 1"), "fx_event", doubles="pos len")
 def target_indel_summary(f: Fixture) -> DataFrame:
     stat = lambda c, name: (F.percentile(c, 0.5).alias(name), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"))
     return _unique(f).where("min_target = max_target").groupBy("min_target").agg(F.count("*").alias("n"), *stat("start_pos", "pos"), *stat("del_len", "len"))
@@ -297,7 +268,7 @@ def disturbed_counter(f: Fixture) -> DataFrame:
     return f.obs.join(own, "cell_id", "left").groupBy(F.coalesce("k", F.lit(0)).alias("disturbed")).agg(F.count("*").alias("n"))
 
 
-@plan(_duck(UNIQ, "SELECT LEAST(del_len,50) AS len, COUNT(*) AS n, SUM(COUNT(*)) OVER (ORDER BY LEAST(del_len,50) DESC)/SUM(COUNT(*)) OVER () AS tail_share FROM uniq WHERE min_target=max_target GROUP BY 1"), "fx_event")
+@plan(_duck(UNIQ, "SELECT LEAST(del_len,50) AS len, COUNT(*) AS n, SUM(COUNT(*)) OVER (ORDER BY LEAST(del_len,50) DESC)/SUM(COUNT(*)) OVER () AS tail_share FROM uniq WHERE min_target=max_target GROUP BY 1"), "fx_event", doubles="tail_share")
 def focal_deletions(f: Fixture) -> DataFrame:
     counts = observe.shares(_unique(f).where("min_target = max_target").groupBy(F.least("del_len", F.lit(50)).alias("len")).agg(F.count("*").alias("n")))
     return counts.select("len", "n", F.sum("share").over(Window.orderBy(F.desc("len"))).alias("tail_share"))  # at most 51 lengths
@@ -310,22 +281,22 @@ def _metric(f: Fixture) -> DataFrame:
     return f.orders.select(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("setting"), (F.col("o_orderkey") % 7).alias("seed"), (F.col("o_totalprice") / 1000.0).alias("v"))
 
 
-@plan(_duck(_METRIC, "SELECT method, COUNT(*) AS n, AVG(v) AS mean, SQRT(VAR_SAMP(v)/COUNT(*)) AS se, AVG(v)-1.96*SQRT(VAR_SAMP(v)/COUNT(*)) AS lo, AVG(v)+1.96*SQRT(VAR_SAMP(v)/COUNT(*)) AS hi FROM r GROUP BY 1"))
+@plan(_duck(_METRIC, "SELECT method, COUNT(*) AS n, AVG(v) AS mean, SQRT(VAR_SAMP(v)/COUNT(*)) AS se, AVG(v)-1.96*SQRT(VAR_SAMP(v)/COUNT(*)) AS lo, AVG(v)+1.96*SQRT(VAR_SAMP(v)/COUNT(*)) AS hi FROM r GROUP BY 1"), doubles="mean se lo hi")
 def method_table(f: Fixture) -> DataFrame:
     return observe.mean_se(_metric(f), "v", "method")
 
 
-@plan(_duck(_METRIC, "SELECT method, setting, EXP(AVG(LN(v))) AS mid, EXP(AVG(LN(v))-1.96*SQRT(VAR_POP(LN(v))/COUNT(*))) AS lo, EXP(AVG(LN(v))+1.96*SQRT(VAR_POP(LN(v))/COUNT(*))) AS hi FROM r GROUP BY 1,2"))
+@plan(_duck(_METRIC, "SELECT method, setting, EXP(AVG(LN(v))) AS mid, EXP(AVG(LN(v))-1.96*SQRT(VAR_POP(LN(v))/COUNT(*))) AS lo, EXP(AVG(LN(v))+1.96*SQRT(VAR_POP(LN(v))/COUNT(*))) AS hi FROM r GROUP BY 1,2"), doubles="mid lo hi")
 def log_ci(f: Fixture) -> DataFrame:
     return observe.log_interval(_metric(f), "v", "method", "setting")
 
 
-@plan(_duck(_METRIC, "SELECT method, ARG_MIN(setting, (v, seed, setting)) AS best_setting, MIN(v) AS best FROM r GROUP BY 1"))
+@plan(_duck(_METRIC, "SELECT method, ARG_MIN(setting, (v, seed, setting)) AS best_setting, MIN(v) AS best FROM r GROUP BY 1"), doubles="best")
 def best_of(f: Fixture) -> DataFrame:
     return _metric(f).groupBy("method").agg(F.min_by("setting", F.struct("v", "seed", "setting")).alias("best_setting"), F.min("v").alias("best"))
 
 
-@plan(_duck(_METRIC + ", t AS (SELECT AVG(v) AS truth FROM r)", "SELECT setting, seed, AVG(v)-MIN(truth) AS bias, VAR_POP(v) AS variance, AVG((v-truth)*(v-truth)) AS mse FROM r, t GROUP BY 1,2"))
+@plan(_duck(_METRIC + ", t AS (SELECT AVG(v) AS truth FROM r)", "SELECT setting, seed, AVG(v)-MIN(truth) AS bias, VAR_POP(v) AS variance, AVG((v-truth)*(v-truth)) AS mse FROM r, t GROUP BY 1,2"), doubles="bias variance mse")
 def bias_variance(f: Fixture) -> DataFrame:
     r = _metric(f).join(F.broadcast(_metric(f).agg(F.avg("v").alias("truth"))))
     off = F.col("v") - F.col("truth")
@@ -361,7 +332,7 @@ def transitions_n10(f: Fixture) -> DataFrame:
     return st.transitions(st.statuses(f.spark, TARGETS), TARGETS).groupBy("status").agg(F.count("*").alias("n_tracts"), F.count_distinct("after").alias("n_after"))
 
 
-@plan(_duck(_tract_sql(10), """SELECT status, SUM(CASE WHEN min_t=max_t THEN 1E-1+min_t ELSE (2E-1+min_t+max_t)*3E-1 END * CASE WHEN min_deact!=min_t THEN 5E-2 ELSE 1E0 END * CASE WHEN max_deact!=max_t THEN 7E-2 ELSE 1E0 END) AS away FROM q GROUP BY 1 UNION ALL SELECT 1023, 0E0"""))
+@plan(_duck(_tract_sql(10), """SELECT status, SUM(CASE WHEN min_t=max_t THEN 1E-1+min_t ELSE (2E-1+min_t+max_t)*3E-1 END * CASE WHEN min_deact!=min_t THEN 5E-2 ELSE 1E0 END * CASE WHEN max_deact!=max_t THEN 7E-2 ELSE 1E0 END) AS away FROM q GROUP BY 1 UNION ALL SELECT 1023, 0E0"""), doubles="away")
 def hazard_away(f: Fixture) -> DataFrame:
     """The closed form; the SQL sums over all tracts."""
     lams = F.array(*(F.lit(0.1 + t) for t in range(TARGETS)))
@@ -379,15 +350,15 @@ def event_set_distances(f: Fixture) -> DataFrame:
 
 # -- trees --------------------------------------------------------------------
 def _paths(f: Fixture) -> DataFrame:
-    return trees.closure(f.node, depth=4)
+    return f.closure
 
 
-@plan("SELECT n.node_id, d.depth FROM fx_node n JOIN depth d ON d.node_id=n.node_id", "fx_node", "closure")
+@plan("SELECT n.node_id, d.depth FROM fx_node n JOIN depth d ON d.node_id=n.node_id", "fx_node", "closure", doubles="depth")
 def dist_to_root(f: Fixture) -> DataFrame:
     return trees.depths(f.node, _paths(f)).select("node_id", "depth")
 
 
-@plan("SELECT hops, COUNT(*) AS n, MAX(path_len) AS longest FROM closure GROUP BY 1", "fx_node", "closure")
+@plan("SELECT hops, COUNT(*) AS n, MAX(path_len) AS longest FROM closure GROUP BY 1", "fx_node", "closure", doubles="longest")
 def closure_stats(f: Fixture) -> DataFrame:
     return _paths(f).groupBy("hops").agg(F.count("*").alias("n"), F.max("path_len").alias("longest"))
 
@@ -395,7 +366,7 @@ def closure_stats(f: Fixture) -> DataFrame:
 _LONE = ", k AS (SELECT DISTINCT anc_id AS node_id FROM closure WHERE desc_id IN (SELECT node_id FROM fx_leaf WHERE organ='1-URGENT' AND abundance=5))"
 
 
-@plan("SELECT n.node_id, n.parent_id, n.dist FROM fx_node n WHERE n.node_id IN (SELECT anc_id FROM closure WHERE desc_id IN (SELECT node_id FROM fx_leaf WHERE organ='1-URGENT' AND abundance=5))", "fx_node", "closure", "fx_leaf")
+@plan("SELECT n.node_id, n.parent_id, n.dist FROM fx_node n WHERE n.node_id IN (SELECT anc_id FROM closure WHERE desc_id IN (SELECT node_id FROM fx_leaf WHERE organ='1-URGENT' AND abundance=5))", "fx_node", "closure", "fx_leaf", doubles="dist")
 def prune(f: Fixture) -> DataFrame:
     return trees.with_kept_leaves(f.node, _paths(f), f.leaf.where("organ = '1-URGENT' AND abundance = 5")).select("node_id", "parent_id", "dist")
 
@@ -405,7 +376,7 @@ _BRANCHING = "s AS (SELECT node_id FROM fx_node WHERE node_id='ROOT' OR is_leaf
 
 @plan(_duck("""kept AS (SELECT * FROM fx_node WHERE node_id IN (SELECT anc_id FROM closure WHERE desc_id IN (SELECT node_id FROM fx_leaf WHERE organ='1-URGENT' AND abundance=5))),
  ch AS (SELECT parent_id AS p, COUNT(*) AS n FROM kept GROUP BY 1), s AS (SELECT k.node_id FROM kept k LEFT JOIN ch ON ch.p=k.node_id WHERE k.node_id='ROOT' OR ch.n IS NULL OR ch.n>1)""",
- "SELECT s.node_id, b.anc_id AS parent_id, COALESCE(b.path_len,0) AS dist FROM s LEFT JOIN (SELECT desc_id, ARG_MIN(anc_id,hops) AS anc_id, MIN(path_len) AS path_len FROM closure WHERE hops>0 AND anc_id IN (SELECT node_id FROM s) GROUP BY 1) b ON b.desc_id=s.node_id"), "fx_node", "closure", "fx_leaf")
+ "SELECT s.node_id, b.anc_id AS parent_id, COALESCE(b.path_len,0) AS dist FROM s LEFT JOIN (SELECT desc_id, ARG_MIN(anc_id,hops) AS anc_id, MIN(path_len) AS path_len FROM closure WHERE hops>0 AND anc_id IN (SELECT node_id FROM s) GROUP BY 1) b ON b.desc_id=s.node_id"), "fx_node", "closure", "fx_leaf", doubles="dist")
 def unary_suppress(f: Fixture) -> DataFrame:
     paths = _paths(f)
     kept = trees.with_kept_leaves(f.node, paths, f.leaf.where("organ = '1-URGENT' AND abundance = 5"))
@@ -413,12 +384,12 @@ def unary_suppress(f: Fixture) -> DataFrame:
 
 
 @plan(_duck("s AS (SELECT node_id FROM fx_node WHERE parent_id IS NULL OR is_leaf OR dist>0.12)",
- "SELECT s.node_id, b.anc_id AS parent_id, COALESCE(b.path_len,0) AS dist FROM s LEFT JOIN (SELECT desc_id, ARG_MIN(anc_id,hops) AS anc_id, MIN(path_len) AS path_len FROM closure WHERE hops>0 AND anc_id IN (SELECT node_id FROM s) GROUP BY 1) b ON b.desc_id=s.node_id"), "fx_node", "closure")
+ "SELECT s.node_id, b.anc_id AS parent_id, COALESCE(b.path_len,0) AS dist FROM s LEFT JOIN (SELECT desc_id, ARG_MIN(anc_id,hops) AS anc_id, MIN(path_len) AS path_len FROM closure WHERE hops>0 AND anc_id IN (SELECT node_id FROM s) GROUP BY 1) b ON b.desc_id=s.node_id"), "fx_node", "closure", doubles="dist")
 def short_collapse(f: Fixture) -> DataFrame:
     return trees.collapse_short(f.node, _paths(f), 0.12).select("node_id", "parent_id", "dist")
 
 
-@plan("SELECT d.node_id, d.depth, COUNT(DISTINCT l.organ) AS n_organs, CAST(SUM(l.abundance) AS BIGINT) AS cells FROM depth d JOIN closure c ON c.anc_id=d.node_id AND c.hops>0 JOIN fx_leaf l ON l.node_id=c.desc_id GROUP BY 1,2", "fx_node", "closure", "fx_leaf")
+@plan("SELECT d.node_id, d.depth, COUNT(DISTINCT l.organ) AS n_organs, CAST(SUM(l.abundance) AS BIGINT) AS cells FROM depth d JOIN closure c ON c.anc_id=d.node_id AND c.hops>0 JOIN fx_leaf l ON l.node_id=c.desc_id GROUP BY 1,2", "fx_node", "closure", "fx_leaf", doubles="depth")
 def celltypes_vs_time(f: Fixture) -> DataFrame:
     paths = _paths(f)
     below = trees.leaf_values(paths.where("hops > 0"), f.leaf, "organ", "abundance").groupBy("anc_id").agg(F.count_distinct("organ").alias("n_organs"), F.sum("abundance").alias("cells"))
@@ -426,7 +397,7 @@ def celltypes_vs_time(f: Fixture) -> DataFrame:
 
 
 @plan(_duck("g AS (SELECT d.node_id, d.depth, COUNT(DISTINCT CASE WHEN l.organ<'3' THEN 'early' ELSE 'late' END) AS k FROM depth d JOIN closure c ON c.anc_id=d.node_id AND c.hops>0 JOIN fx_leaf l ON l.node_id=c.desc_id GROUP BY 1,2)",
- "SELECT COUNT(*) AS n, ROUND(regr_slope(k,depth),6) AS slope, ROUND(regr_intercept(k,depth),6) AS intercept, ROUND(corr(k,depth),6) AS r FROM g"), "fx_node", "closure", "fx_leaf")
+ "SELECT COUNT(*) AS n, ROUND(regr_slope(k,depth),6) AS slope, ROUND(regr_intercept(k,depth),6) AS intercept, ROUND(corr(k,depth),6) AS r FROM g"), "fx_node", "closure", "fx_leaf", doubles="slope intercept r")
 def germ_layer_regression(f: Fixture) -> DataFrame:
     paths = _paths(f)
     layers = trees.leaf_values(paths.where("hops > 0"), f.leaf.withColumn("layer", F.when(F.col("organ") < "3", "early").otherwise("late")), "layer")
@@ -435,17 +406,12 @@ def germ_layer_regression(f: Fixture) -> DataFrame:
     return fit.select("n", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r")))
 
 
-@plan(_duck("""o AS (SELECT DISTINCT c.anc_id, l.organ AS other FROM closure c JOIN fx_leaf l ON l.node_id=c.desc_id),
- u AS (SELECT l.node_id, l.organ, l.abundance, o.other, ARG_MIN(d.depth, c.hops) AS depth FROM fx_leaf l JOIN closure c ON c.desc_id=l.node_id JOIN depth d ON d.node_id=c.anc_id JOIN o ON o.anc_id=c.anc_id WHERE c.anc_id!='ROOT' AND o.other!=l.organ GROUP BY 1,2,3,4)""",
- "SELECT LEAST(organ,other) AS organ, GREATEST(organ,other) AS other, ROUND(SUM((1-depth)*abundance)/SUM(abundance),9) AS distance, COUNT(*) AS n_leaves FROM u GROUP BY 1,2"), "fx_node", "closure", "fx_leaf")
-def tissue_distance(f: Fixture) -> DataFrame:
-    return trees.tissue_distances(f.node, _paths(f), f.leaf.select("node_id", "organ", "abundance")).withColumn("distance", F.round("distance", 9))
 
 
 _GRID = "grid AS (SELECT (k+0.5)/20.0E0 AS t, k FROM (SELECT UNNEST(range(20)) AS k) x)"
 
 
-@plan(_duck(_GRID + ", tot AS (SELECT SUM(abundance) AS s FROM fx_leaf)", "SELECT CAST(g.k AS BIGINT) AS k, l.organ, COUNT(*) AS n_leaves, ROUND(SUM(l.abundance)/MIN(tot.s),9) AS freq FROM fx_leaf l JOIN fx_node n ON n.node_id=l.node_id JOIN depth p ON p.node_id=n.parent_id JOIN depth d ON d.node_id=n.node_id JOIN grid g ON p.depth<g.t AND g.t<d.depth, tot GROUP BY 1,2"), "fx_node", "closure", "fx_leaf")
+@plan(_duck(_GRID + ", tot AS (SELECT SUM(abundance) AS s FROM fx_leaf)", "SELECT CAST(g.k AS BIGINT) AS k, l.organ, COUNT(*) AS n_leaves, ROUND(SUM(l.abundance)/MIN(tot.s),9) AS freq FROM fx_leaf l JOIN fx_node n ON n.node_id=l.node_id JOIN depth p ON p.node_id=n.parent_id JOIN depth d ON d.node_id=n.node_id JOIN grid g ON p.depth<g.t AND g.t<d.depth, tot GROUP BY 1,2"), "fx_node", "closure", "fx_leaf", doubles="freq")
 def divergence_flow(f: Fixture) -> DataFrame:
     grid = f.spark.range(20).select(F.col("id").alias("k"), ((F.col("id") + 0.5) / 20.0).alias("t"))
     crossed = trees.flows(f.node, trees.depths(f.node, _paths(f)), f.leaf.select("node_id", "organ", "abundance"), grid)
@@ -453,13 +419,6 @@ def divergence_flow(f: Fixture) -> DataFrame:
     return crossed.groupBy("k", "organ").agg(F.count("*").alias("n_leaves"), F.sum("abundance").alias("a")).join(total).select("k", "organ", "n_leaves", F.round(F.col("a") / F.col("total"), 9).alias("freq"))
 
 
-@plan("SELECT substr(n.parent_id,1,1) AS source, substr(n.node_id,1,1) AS target, CAST(FLOOR(p.depth*10+1e-9) AS INT) AS bucket, COUNT(*) AS n_branches, ROUND(SUM(n.dist),6) AS total_len FROM fx_node n JOIN depth p ON p.node_id=n.parent_id GROUP BY 1,2,3", "fx_node", "closure")
-def tree_graph(f: Fixture) -> DataFrame:
-    """Links between kinds of nodes by the time bucket in which they begin."""
-    up = trees.depths(f.node, _paths(f)).select(F.col("node_id").alias("parent_id"), "depth")
-    kind = lambda c: F.substring(c, 1, 1)
-    links = f.node.join(up, "parent_id").groupBy(kind("parent_id").alias("source"), kind("node_id").alias("target"), F.floor(F.col("depth") * 10 + 1e-9).cast("int").alias("bucket"))
-    return links.agg(F.count("*").alias("n_branches"), F.round(F.sum("dist"), 6).alias("total_len"))
 
 
 @plan("SELECT pairs, organ, CAST(SUM(abundance) AS BIGINT) AS abundance, CAST(ROW_NUMBER() OVER (PARTITION BY pairs ORDER BY SUM(abundance) DESC, organ) AS INT) AS rank FROM fx_leaf GROUP BY 1,2 QUALIFY rank=1 OR SUM(abundance)>4", "fx_leaf")
@@ -475,13 +434,6 @@ def single_abundance(f: Fixture) -> DataFrame:
     return f.leaf.select("node_id", F.explode(F.sequence(F.lit(0), F.col("abundance") - 1)).alias("copy"))
 
 
-@plan(_duck("e AS (SELECT DISTINCT 'O'||cell_id AS node_id, min_target*10+max_target AS k FROM fx_event), p AS (SELECT n.parent_id, e.k FROM e JOIN fx_node n ON n.node_id=e.node_id GROUP BY n.parent_id, e.k HAVING COUNT(*)>1)",
- "SELECT n.parent_id, COUNT(*) AS new_events FROM e JOIN fx_node n ON n.node_id=e.node_id LEFT JOIN p ON p.parent_id=n.parent_id AND p.k=e.k WHERE p.k IS NULL GROUP BY 1"), "fx_node", "fx_event")
-def parsimony(f: Fixture) -> DataFrame:
-    """Events new to a leaf, where its parent has those that two of its leaves or more share: edges to leaves alone; tree_parsimony has all."""
-    own = f.event.select(F.concat(F.lit("O"), F.col("cell_id").cast("string")).alias("node_id"), (F.col("min_target") * 10 + F.col("max_target")).alias("k")).distinct().join(f.node.select("node_id", "parent_id"), "node_id")
-    shared = own.groupBy("parent_id", "k").count().where("count > 1").drop("count")
-    return own.join(shared, ["parent_id", "k"], "left_anti").groupBy("parent_id").agg(F.count("*").alias("new_events"))
 
 
 @plan(_duck("""e AS (SELECT DISTINCT 'O'||cell_id AS node_id, min_target*10+max_target AS k FROM fx_event),
@@ -502,133 +454,12 @@ def spines(f: Fixture) -> DataFrame:
     return trees.spines(f.node.where("parent_id IS NOT NULL").withColumn("offset", F.col("dist"))).select("node_id", "parent_id", "spine_ord")
 
 
-_NATION = "SELECT 'N'||a.n_nationkey AS a, 'N'||b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey!=b.n_nationkey"
-
-
-def _pairs(f: Fixture) -> DataFrame:
-    side = lambda n: f.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias(n))
-    return side("a").join(side("b"), F.col("a") != F.col("b"))
-
-
-@plan(_duck(f"p AS ({_NATION})", "SELECT p.a, p.b, ARG_MIN(x.anc_id, x.hops) AS mrca, MIN(x.path_len) AS to_mrca FROM p JOIN closure x ON x.desc_id=p.a JOIN closure y ON y.desc_id=p.b AND y.anc_id=x.anc_id GROUP BY 1,2"), "fx_node", "closure")
-def mrca_pairs(f: Fixture) -> DataFrame:
-    return trees.common_ancestors(_paths(f), _pairs(f))
-
-
-def _variant(f: Fixture) -> DataFrame:
-    """Another tree over the same leaves: every third customer hangs on the next nation."""
-    key = F.substring("node_id", 2, 20).try_cast("long")
-    moved = F.col("node_id").startswith("C") & (key % 3 == 0)
-    return f.node.withColumn("parent_id", F.when(moved, F.concat(F.lit("N"), ((F.substring("parent_id", 2, 9).try_cast("int") + 1) % 25).cast("string"))).otherwise(F.col("parent_id")))
-
-
-@plan(_duck("""other AS (SELECT node_id, CASE WHEN node_id LIKE 'C%' AND TRY_CAST(substr(node_id,2) AS BIGINT)%3=0 THEN 'N'||((TRY_CAST(substr(parent_id,2) AS INT)+1)%25) ELSE parent_id END AS parent_id, is_leaf FROM fx_node),
- r1 AS (SELECT l.node_id AS leaf, c.node_id AS c, n.node_id AS n, r.node_id AS r FROM fx_node l JOIN fx_node c ON c.node_id=l.parent_id JOIN fx_node n ON n.node_id=c.parent_id JOIN fx_node r ON r.node_id=n.parent_id WHERE l.is_leaf),
- r2 AS (SELECT l.node_id AS leaf, c.node_id AS c, n.node_id AS n, r.node_id AS r FROM other l JOIN other c ON c.node_id=l.parent_id JOIN other n ON n.node_id=c.parent_id JOIN other r ON r.node_id=n.parent_id WHERE l.is_leaf),
+@plan(_duck("""r1 AS (SELECT l.node_id AS leaf, c.node_id AS c, n.node_id AS n, r.node_id AS r FROM fx_node l JOIN fx_node c ON c.node_id=l.parent_id JOIN fx_node n ON n.node_id=c.parent_id JOIN fx_node r ON r.node_id=n.parent_id WHERE l.is_leaf),
+ r2 AS (SELECT l.node_id AS leaf, c.node_id AS c, n.node_id AS n, r.node_id AS r FROM fx_other l JOIN fx_other c ON c.node_id=l.parent_id JOIN fx_other n ON n.node_id=c.parent_id JOIN fx_other r ON r.node_id=n.parent_id WHERE l.is_leaf),
  s1 AS (SELECT DISTINCT s FROM (SELECT STRING_AGG(leaf,',' ORDER BY leaf) AS s FROM (SELECT leaf,c AS k FROM r1 UNION ALL SELECT leaf,n FROM r1 UNION ALL SELECT leaf,r FROM r1 UNION ALL SELECT leaf,'ROOT' FROM r1) x GROUP BY k HAVING COUNT(*)>1) y),
  s2 AS (SELECT DISTINCT s FROM (SELECT STRING_AGG(leaf,',' ORDER BY leaf) AS s FROM (SELECT leaf,c AS k FROM r2 UNION ALL SELECT leaf,n FROM r2 UNION ALL SELECT leaf,r FROM r2 UNION ALL SELECT leaf,'ROOT' FROM r2) x GROUP BY k HAVING COUNT(*)>1) y)""",
- "SELECT COUNT(s1.s) AS clades_a, COUNT(s2.s) AS clades_b, CAST(SUM(CASE WHEN s1.s IS NULL OR s2.s IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unshared, SUM(CASE WHEN s1.s IS NULL OR s2.s IS NULL THEN 1 ELSE 0 END)/(COUNT(s1.s)+COUNT(s2.s)) AS rf FROM s1 FULL JOIN s2 ON s1.s=s2.s"), "fx_node")
+ "SELECT COUNT(s1.s) AS clades_a, COUNT(s2.s) AS clades_b, CAST(SUM(CASE WHEN s1.s IS NULL OR s2.s IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unshared, SUM(CASE WHEN s1.s IS NULL OR s2.s IS NULL THEN 1 ELSE 0 END)/(COUNT(s1.s)+COUNT(s2.s)) AS rf FROM s1 FULL JOIN s2 ON s1.s=s2.s"), "fx_node", "fx_other", doubles="rf")
 def clade_rf(f: Fixture) -> DataFrame:
-    leaves, other = f.node.where("is_leaf").select("node_id"), _variant(f)
-    rf, counts = trees.rf_distance(trees.clades(_paths(f), leaves), trees.clades(trees.closure(other, depth=4), leaves))
+    leaves = f.node.where("is_leaf").select("node_id")
+    rf, counts = trees.rf_distance(trees.clades(f.closure, leaves), trees.clades(f.other_closure, leaves))
     return counts.select("*", rf.alias("rf"))
-
-
-# -- correlation and resampling -------------------------------------------------
-_RATES = "x AS (SELECT o.organ, e.min_target AS target, COUNT(*) AS n FROM fx_event e JOIN fx_obs o ON o.cell_id=e.cell_id GROUP BY 1,2)"
-
-
-def _rates(f: Fixture) -> DataFrame:
-    return f.event.join(f.obs.select("cell_id", "organ"), "cell_id").groupBy("organ", F.col("min_target").alias("target")).agg(F.count("*").alias("n"))
-
-
-@plan(_duck(_RATES + ", k AS (SELECT *, RANK() OVER (PARTITION BY organ ORDER BY n)+(COUNT(*) OVER (PARTITION BY organ, n)-1)/2 AS rk FROM x)", "SELECT a.organ AS a, b.organ AS b, ROUND(corr(a.rk,b.rk),9) AS rho FROM k a JOIN k b ON a.target=b.target AND a.organ<b.organ GROUP BY 1,2"), "fx_obs")
-def spearman_rates(f: Fixture) -> DataFrame:
-    return stats.spearman(_rates(f), "organ", "target", "n").withColumn("rho", F.round("rho", 9))
-
-
-_NATIONS = "v AS (SELECT n_nationkey AS item, (n_nationkey*7)%25*1.0E0 AS x, n_regionkey*3.0E0+n_nationkey%4 AS y FROM nation), s AS (SELECT r AS replicate, item, (item*(r+1)*2+r*3+item%(r+2))%25 AS other FROM v, (SELECT UNNEST(range(100)) AS r) q)"
-
-
-def _items(f: Fixture) -> DataFrame:
-    k = F.col("n_nationkey")
-    return f.nation.select(k.alias("item"), ((k * 7) % 25).cast("double").alias("x"), (F.col("n_regionkey") * 3.0 + k % 4).alias("y"))
-
-
-def _draws(f: Fixture) -> DataFrame:
-    """A table of resampled items: replicates by modular arithmetic, the same in any engine."""
-    r, item = F.col("replicate"), F.col("item")
-    return _items(f).select("item").join(f.spark.range(100).select(F.col("id").alias("replicate"))).select("replicate", "item", ((item * (r + 1) * 2 + r * 3 + item % (r + 2)) % 25).alias("other"))
-
-
-@plan(_duck(_NATIONS + ", o AS (SELECT corr(x,y) AS r FROM v), n AS (SELECT s.replicate, corr(a.x,b.y) AS r0 FROM s JOIN v a ON a.item=s.item JOIN v b ON b.item=s.other GROUP BY 1)", "SELECT ROUND(MIN(o.r),9) AS r, AVG(CASE WHEN abs(r0)>abs(o.r) THEN 1.0 WHEN r0 IS NOT NULL THEN 0.0 END) AS p, COUNT(*) AS replicates FROM n, o"))
-def perm_test(f: Fixture) -> DataFrame:
-    return stats.permutation_test(_items(f), _draws(f), "item", "x", "y").withColumn("r", F.round("r", 9))
-
-
-@plan(_duck(_NATIONS + ", m AS (SELECT s.replicate, AVG(v.y) AS m FROM s JOIN v ON v.item=s.other GROUP BY 1)", "SELECT ROUND(AVG(m),9) AS mean, ROUND(quantile_cont(m,0.025),9) AS lo, ROUND(quantile_cont(m,0.975),9) AS hi FROM m"))
-def bootstrap(f: Fixture) -> DataFrame:
-    out = stats.bootstrap_mean(_items(f), _draws(f).select("replicate", F.col("other").alias("item")), "item", "y")
-    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
-
-
-@plan(_duck(_NATIONS, "SELECT ROUND(SUM(sign(a.x-b.x)*sign(a.y-b.y))/SQRT(SUM(abs(sign(a.x-b.x)))*SUM(abs(sign(a.y-b.y)))),9) AS tau FROM v a JOIN v b ON a.item<b.item"))
-def kendall(f: Fixture) -> DataFrame:
-    return stats.kendall_tau(_items(f), "item", "x", "y").withColumn("tau", F.round("tau", 9))
-
-
-#: Columns of doubles; both sides round them to six digits, as sums may be taken in any order.
-DOUBLES = {
-    "q_abundance_ecdf": "share",
-    "q_target_deact_hist": "share",
-    "q_event_summary": "double_share",
-    "q_simple_rates_a": "share",
-    "q_simple_rates_b": "share",
-    "q_insert_summary": "left_p75 right_p75",
-    "q_target_saturation": "saturation",
-    "q_organ_composition": "percent",
-    "q_organ_events": "events_q1 events_median events_q3 dead_mean",
-    "q_unique_indels": "mean_len",
-    "q_target_indel_summary": "pos len",
-    "q_focal_deletions": "tail_share",
-    "q_method_table": "mean se lo hi",
-    "q_log_ci": "mid lo hi",
-    "q_best_of": "best",
-    "q_bias_variance": "bias variance mse",
-    "q_hazard_away": "away",
-    "q_dist_to_root": "depth",
-    "q_closure_stats": "longest",
-    "q_prune": "dist",
-    "q_unary_suppress": "dist",
-    "q_short_collapse": "dist",
-    "q_celltypes_vs_time": "depth",
-    "q_germ_layer_regression": "slope intercept r",
-    "q_tissue_distance": "distance",
-    "q_divergence_flow": "freq",
-    "q_tree_graph": "total_len",
-    "q_mrca_pairs": "to_mrca",
-    "q_clade_rf": "rf",
-    "q_spearman_rates": "rho",
-    "q_perm_test": "r p",
-    "q_bootstrap": "mean lo hi",
-    "q_kendall": "tau",
-}
-
-
-# -- registry -----------------------------------------------------------------
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(name: str, p: Plan) -> Callable[[SparkSession, str], DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return p(Fixture(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in DOUBLES.get(name, "").split()})
-
-        return run
-
-    return {name: bind(name, p) for name, p in _PLANS.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    def rounded(name: str, sql: str) -> str:
-        columns = DOUBLES.get(name, "").split()
-        return f"SELECT * REPLACE ({', '.join(f'ROUND({c}, 6) AS {c}' for c in columns)}) FROM ({sql}) q" if columns else sql
-
-    return {name: rounded(name, sql) for name, sql in _SQL.items()}
