@@ -2,56 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import discard, new_path, remove, written  # noqa: F401  (the operators take them from here)
+
 #: Words of a text: runs of bytes other than these; bytes.split() cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset on one
-    machine, as in tests.  A cluster without one is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="cladeframe-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read from a table in the shared folder: lineage ends there, and lost executors take nothing with them."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a written table that nothing will read again."""
-    remove(df.sparkSession, df.written_to)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder by Spark's own file system, wherever it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -73,6 +33,18 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Lowers labels along links until both ends of each agree; labels are positions, a label's own label is itself."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            return
+        for end in (label[i], label[j], i, j):
+            np.minimum.at(label, end, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b): rows (node, component) with the smallest node that links reach.
 

@@ -53,3 +53,21 @@ def test_intervals_skip_only_distant_blocks():
     pairs = ego.near_intervals(boxes, 0.1)
     assert set(pairs) >= {(a, b) for a in range(40) for b in range(a, 40) if points[b] - points[a] <= 0.1}
     assert len(pairs) == len(set(pairs)) < 40 * 41 // 2
+
+
+def test_clusters_are_skipped_by_blocks(spark):
+    """Of clustered vectors most pairs of blocks are never compared, and those that are left have all links."""
+    rng = np.random.default_rng(9)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0][:8]
+    x = np.repeat(centres, 40, axis=0) + rng.normal(size=(320, 16)) * 0.02
+    u = ego.unit(x)
+    directions = ego.principal(u, 8)
+    p = ego.coordinates(u, directions)
+    eps = np.sqrt(0.1)
+    order = np.lexsort(np.floor(p[:, :8] / eps).T[::-1])
+    boxes = np.stack([[b.min(axis=0), b.max(axis=0)] for b in np.array_split(p[order], 32)])
+    pairs = ego.near_intervals(boxes, eps)
+    assert len(pairs) < 32 * 33 // 2 // 3
+    assert {(a, b) for a in range(32) for b in range(a, 32) if (np.array_split(u[order], 32)[a] @ np.array_split(u[order], 32)[b].T >= 0.95).any()} <= set(pairs)
+    gaps = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    assert (gaps <= ((u[:, None] - u[None]) ** 2).sum(axis=2) + 1e-9).all()
