@@ -5,10 +5,13 @@ tokenizer's version.  Only distinct contents that the cache lacks are encoded;
 their counts are appended to it as Parquet, one folder for each version.  The
 normal form changes no count: null becomes empty, nothing else.
 
-A digest that was appended twice (a run repeated after a failure) counts once.
-Copies meet as one row a task before they are shuffled, so a group of copies of
-any size is no hot key.  Rows: null and empty texts have 0 bytes and 0 tokens;
-repeated rows give repeated results; an empty table gives an empty result.
+Against a cache that holds something, digests are joined first, so texts that it knows
+are never moved.  A digest that was appended twice (a run repeated after a failure)
+counts once.  Copies meet as one row a task before their text is shuffled; the last join
+takes digests and sizes only, and adaptive execution splits it where one text has a
+large share of the rows.  Rows: null and empty texts have 0 bytes and 0 tokens; very
+long texts are counted whole; repeated rows give repeated results; other columns,
+whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,9 +62,13 @@ def token_counts(docs: DataFrame, model_path: str, cache: str, limit: int = 4096
     keyed = docs.select(F.col(id_col).alias("doc_id"), content_digest(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = stored_counts(spark, cache, version)
     before = written(known, "stored") if not known.isEmpty() else None
-    distinct = keyed.groupBy("content").agg(F.first("text").alias("text"))
-    misses = distinct if before is None else distinct.join(before, "content", "left_anti")
-    misses.select("content", count_column(F.col("text"), model_path).alias("n_tokens")).write.mode("append").parquet(f"{cache}/{version}")
+    fresh_texts = keyed
+    if before is not None:  # digests meet the cache alone; only texts that it lacks are moved
+        missing = written(keyed.select("content").distinct().join(before, "content", "left_anti"), "missing")
+        fresh_texts = None if missing.isEmpty() else keyed.join(missing, "content", "left_semi")
+    if fresh_texts is not None:
+        distinct = fresh_texts.groupBy("content").agg(F.first("text").alias("text"))
+        distinct.select("content", count_column(F.col("text"), model_path).alias("n_tokens")).write.mode("append").parquet(f"{cache}/{version}")
     counts = stored_counts(spark, cache, version)
     if before is not None:
         counts = counts.join(before.select("content", F.lit(True).alias("cached")), "content", "left")

@@ -1,25 +1,31 @@
 """Language-model scores from a log-bilinear neural model, trained by noise-contrastive estimation.
 
-The vector predicted for a token is C1 r(w1) + C2 r(w2) of the two tokens before it;
-its score is that vector's product with the token's own vector plus a bias.  The
-model knows the ``classes`` - 2 most frequent words, one class for all others and the
-end of a text (which also stands before its start).  Within the class of the others a
-word has its smoothed share of their training tokens, so the model is normalised over
-all words and one unseen one, as the unigram base score is.
-
-Spark counts every word of the training texts.  Training runs where the data are:
-each task goes over all of its training tokens in mini-batches (noise samples shared
-by a batch, AdaGrad in numpy) and the parameters are averaged by tokens, in ``rounds``
-rounds, each from the last one's mean; at most ``trainers`` tasks, whose parameters
-are averaged in groups first.  The normaliser of two context classes is
-a product of matrices: exp(R C1 Q') times exp(R C2 Q' + b) transposed gives it for all
-pairs of classes at once, so scoring a token takes three look-ups.
+The vector predicted for a token is C1 r(w1) + C2 r(w2) of the two tokens before it.  Every
+word has vectors: a frequent one its own, any other those of the words that begin with the same
+three bytes (so that contexts tell what language or field they are of).  These units, the end of
+a text among them (which also stands before its start), grow with the vocabulary: one for every
+``words_a_unit`` distinct words, at least ``fewest`` and at most ``most``, half of them words and half
+beginnings; rarer beginnings fall by hash into ``_REST`` units.
+
+Units stand in clusters, about the square root of their number, in the order of their bytes.
+A token's probability is that of its cluster given the predicted vector, times that of its
+unit among its cluster's, times its smoothed share among its unit's training tokens; each
+factor is normalised, over all words and one unseen one of each unit, by products of matrices.
+
+Spark counts every word of the training texts and turns texts into numbers of units once.
+Training deals training texts by their ids to one trainer for each ``tokens_a_trainer`` tokens
+(at most ``trainers``), so the model depends on the data and not on the cluster.  A trainer goes
+over its tokens in mini-batches (AdaGrad in numpy; a cluster's noise is shared by a batch, a
+unit's drawn for each token); the vectors of all are averaged, each unit's by how often a
+trainer met it, in ``rounds`` rounds, each over its part of the texts and from the last
+one's mean, so that every training token is gone over once.
 
 The ``head`` most frequent words go to the tasks with their counts (a fixed number of
 entries); the other words of each text meet their counts in a shuffle join.
 
 Rows: null text counts as empty and scores its end alone; a null id counts as the
-empty text for the split; repeated rows give repeated results; without training
+empty text for the split; very long texts are scored whole; repeated rows give repeated
+results; other columns, whatever their names, are not looked at; without training
 tokens every word is unknown; an empty table gives an empty result.
 """
 
@@ -27,22 +33,26 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_row, written
+from .common import discard, training_row, written
 
 FOLDS = 10
-END, OTHER = 0, 1
+END = 0
 SMOOTH = 0.1
-#: Distinct words that a task counts before it passes them on; texts whose words it holds at a time.
-_FLUSH = 200_000
-_SLICE = 256
+PREFIX = 3
+_REST = 64
+#: Distinct words that a task counts before it passes them on; texts whose words it holds at a time; tokens scored at once.
+_FLUSH, _SLICE, _CHUNK = 200_000, 256, 4096
+#: Counts up to which the most frequent words are told apart when a bound for them is looked for.
+_MOST_COUNT = 100_000
 _LN10 = float(np.log(10))
 
 
@@ -50,92 +60,189 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+# -- units ----------------------------------------------------------------------
+@dataclass
+class Units:
+    """Words and beginnings with vectors of their own; shares of training tokens; clusters of neighbours in byte order."""
+
+    words: dict[bytes, int]
+    prefixes: dict[bytes, int]
+    share: np.ndarray
+    cluster: np.ndarray  # of each unit
+    members: list[np.ndarray]  # units of each cluster
+    weight: np.ndarray  # log10 of the training tokens of a beginning's words, smoothed; 0 for words
+
+    @classmethod
+    def of(cls, words: list[tuple[bytes, int]], prefixes: list[tuple[bytes, int, int]], rest: list[tuple[int, int]], ends: int) -> Units:
+        """words: (word, count); prefixes: (beginning, count, distinct words); rest: (count, distinct words) of each rest unit."""
+        names = [b"", *(w for w, _ in words), *(p for p, _, _ in prefixes), *([b"\xff"] * len(rest))]
+        tokens = np.array([ends, *(c for _, c in words), *(c for _, c, _ in prefixes), *(c for c, _ in rest)], np.float64)
+        first = 1 + len(words)
+        kinds = np.array([*(v for _, _, v in prefixes), *(v for _, v in rest)], np.float64)
+        weight = np.zeros(len(names))
+        weight[first:] = np.log10(tokens[first:] + SMOOTH * (kinds + 1))
+        order = sorted(range(len(names)), key=lambda k: (names[k], k))
+        cluster = np.zeros(len(names), np.int64)
+        parts = np.array_split(np.array(order), max(1, int(np.sqrt(len(names)))))
+        for k, part in enumerate(parts):
+            cluster[part] = k
+        share = (tokens + SMOOTH) / (tokens + SMOOTH).sum()
+        return cls({w: k + 1 for k, (w, _) in enumerate(words)}, {p: first + k for k, (p, _, _) in enumerate(prefixes)}, share, cluster, [np.sort(p) for p in parts], weight)
+
+    def of_word(self, word: bytes) -> int:
+        got = self.words.get(word)
+        if got is None:
+            got = self.prefixes.get(word[:PREFIX])
+        return len(self.share) - _REST + rest_unit(word) if got is None else got
+
+
+def rest_unit(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word[:PREFIX]) % _REST
+
+
 # -- model ----------------------------------------------------------------------
 @dataclass
 class Parameters:
-    """Vectors r of context classes and q of predicted ones, the position matrices, the biases."""
+    """Vectors r of units as contexts and q as predicted ones with biases b; the position matrices; clusters' vectors and biases."""
 
     r: np.ndarray
     q: np.ndarray
+    b: np.ndarray
     c1: np.ndarray
     c2: np.ndarray
-    b: np.ndarray
+    qc: np.ndarray
+    bc: np.ndarray
 
     @classmethod
-    def start(cls, share: np.ndarray, dims: int, seed: int) -> Parameters:
-        rng, k = np.random.default_rng(seed), len(share)
+    def start(cls, units: Units, dims: int, seed: int) -> Parameters:
+        rng, k, n = np.random.default_rng(seed), len(units.share), len(units.members)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        whole = np.bincount(units.cluster, units.share, n)
         eye = np.eye(dims, dtype=np.float32)
-        return cls(small(k, dims), small(k, dims), eye.copy(), 0.5 * eye, np.log(share).astype(np.float32))
+        return cls(small(k, dims), small(k, dims), np.log(units.share / whole[units.cluster]).astype(np.float32), eye.copy(), 0.5 * eye, small(n, dims), np.log(whole).astype(np.float32))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [getattr(self, f.name) for f in fields(self)]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c1, self.c2, self.b)])
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
     def filled(self, flat: np.ndarray) -> Parameters:
         out, at = [], 0
-        for x in (self.r, self.q, self.c1, self.c2, self.b):
+        for x in self.arrays():
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return Parameters(*out)
 
 
-def _rows(total: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
-    """total[ids] += values, rows of equal ids summed."""
-    order = np.argsort(ids, kind="stable")
-    sorted_ids = ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-    total[sorted_ids[starts]] += np.add.reduceat(values[order], starts, axis=0)
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Trainer:
-    """Noise-contrastive estimation by mini-batches of tokens with their two contexts."""
-
-    def __init__(self, start: Parameters, share: np.ndarray, noise: int, rate: float, seed: int):
-        self.p, self.share, self.noise, self.rate = start.filled(start.flat()), share, noise, rate
-        self.cumulative = np.cumsum(share)
-        self.log_noise = np.log(noise * share).astype(np.float32)
-        self.sums = [np.full(x.shape, 1e-3, np.float32) for x in (self.p.r, self.p.q, self.p.c1, self.p.c2, self.p.b)]
+    """Noise-contrastive estimation of clusters and of units within them, by mini-batches of tokens with their two contexts."""
+
+    def __init__(self, start: Parameters, units: Units, noise: int, rate: float, seed: int):
+        self.p, self.units, self.noise, self.rate = start.filled(start.flat()), units, noise, rate
+        self.whole = np.bincount(units.cluster, units.share, len(units.members))
+        self.upto = np.cumsum(self.whole)
+        self.within = np.cumsum(np.concatenate([units.share[m] for m in units.members]))  # shares in the order of clusters
+        self.listed = np.concatenate(units.members)
+        self.first = np.concatenate([[0.0], self.within[np.cumsum([len(m) for m in units.members])[:-1] - 1]])
+        self.log_c = np.log(noise * self.whole).astype(np.float32)
+        self.few = max(1, noise // 16)
+        self.log_u = np.log(self.few * units.share / self.whole[units.cluster]).astype(np.float32)
+        self.sums = [np.full(x.shape, 1e-3, np.float32) for x in self.p.arrays()]
+        self.met = np.zeros(len(units.share))  # tokens of each unit
         self.rng = np.random.default_rng(seed)
 
+    def _move(self, ids: np.ndarray, *moved: tuple[int, np.ndarray]) -> None:
+        """AdaGrad steps on rows of parameters (number, gradients of the ids); rows of equal ids are summed first."""
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        ranked = ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        own = ranked[starts]
+        for k, grads in moved:
+            g = np.add.reduceat(grads[order], starts, axis=0)
+            x, s = self.p.arrays()[k], self.sums[k]
+            now = s[own] + g * g
+            s[own] = now
+            x[own] -= self.rate * g / np.sqrt(now)
+
     def step(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
-        p, n = self.p, len(w)
-        drawn = np.searchsorted(self.cumulative, self.rng.random(self.noise) * self.cumulative[-1]).clip(max=len(self.share) - 1)
-        r1, r2, own, others = p.r[w1], p.r[w2], p.q[w], p.q[drawn]
+        p, n, u = self.p, len(w), self.units
+        c = u.cluster[w]
+        r1, r2 = p.r[w1], p.r[w2]
         h = r1 @ p.c1 + r2 @ p.c2
-        true = _sigmoid((h * own).sum(axis=1) + p.b[w] - self.log_noise[w]) - 1
-        false = _sigmoid(h @ others.T + (p.b[drawn] - self.log_noise[drawn]))
+        # clusters: noise shared by the batch
+        drawn = np.searchsorted(self.upto, self.rng.random(self.noise) * self.upto[-1]).clip(max=len(self.upto) - 1)
+        own, others = p.qc[c], p.qc[drawn]
+        true = _sigmoid((h * own).sum(axis=1) + p.bc[c] - self.log_c[c]) - 1
+        false = _sigmoid(h @ others.T + (p.bc[drawn] - self.log_c[drawn]))
         dh = true[:, None] * own + false @ others
-        grads = [np.zeros_like(p.r), np.zeros_like(p.q), r1.T @ dh, r2.T @ dh, np.bincount(w, true, len(p.b)).astype(np.float32)]
-        _rows(grads[0], np.concatenate([w1, w2]), np.concatenate([dh @ p.c1.T, dh @ p.c2.T]))
-        _rows(grads[1], np.concatenate([w, drawn]), np.concatenate([true[:, None] * h, false.T @ h]))
-        np.add.at(grads[4], drawn, false.sum(axis=0))
-        for x, g, s in zip((p.r, p.q, p.c1, p.c2, p.b), grads, self.sums):
-            g /= n
-            s += g * g
-            x -= self.rate * g / np.sqrt(s)
+        ids, g, gb = np.concatenate([c, drawn]), np.concatenate([true[:, None] * h, false.T @ h]), np.concatenate([true, false.sum(axis=0)])
+        # units: noise of each token from its own cluster
+        spread = self.first[c][:, None] + self.rng.random((n, self.few)) * self.whole[c][:, None]
+        noise = self.listed[np.searchsorted(self.within, spread).clip(max=len(self.listed) - 1)]
+        noise = np.where(u.cluster[noise] == c[:, None], noise, w[:, None])  # at a cluster's edge rounding may step outside
+        mine, theirs = p.q[w], p.q[noise]
+        true = _sigmoid((h * mine).sum(axis=1) + p.b[w] - self.log_u[w]) - 1
+        false = _sigmoid((theirs @ h[:, :, None])[:, :, 0] + p.b[noise] - self.log_u[noise])
+        dh += true[:, None] * mine + (false[:, None, :] @ theirs)[:, 0]
+        both = np.concatenate([w, noise.ravel()])
+        self._move(both, (1, np.concatenate([true[:, None] * h, (false[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])]) / n), (2, np.concatenate([true, false.ravel()]) / n))
+        self._move(ids, (5, g / n), (6, gb / n))
+        self._move(np.concatenate([w1, w2]), (0, np.concatenate([dh @ p.c1.T, dh @ p.c2.T]) / n))
+        for k, x, r in ((3, p.c1, r1), (4, p.c2, r2)):
+            grad = r.T @ dh / n
+            self.sums[k] += grad * grad
+            x -= self.rate * grad / np.sqrt(self.sums[k])
+
+    def texts(self, ids: np.ndarray, batch: int) -> None:
+        """Goes over texts that follow each other, in mini-batches of their tokens in random order."""
+        one, two = contexts(ids)
+        order = self.rng.permutation(len(ids))
+        for lo in range(0, len(ids), batch):
+            part = order[lo : lo + batch]
+            self.step(ids[part], one[part], two[part])
+        self.met += np.bincount(ids, minlength=len(self.met))
 
 
 def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two places before each token of texts that follow each other, each with its end."""
+    """The units one and two places before each token of texts that follow each other, each with its end."""
     one = np.concatenate([[END], ids[:-1]])
     two = np.concatenate([[END], one[:-1]])
     return one, np.where(one == END, END, two)
 
 
-class Tables:
-    """Natural log-probabilities of classes given the two before: products of context and token, and all normalisers."""
-
-    def __init__(self, p: Parameters):
-        self.g1, self.g2 = (p.r @ p.c1) @ p.q.T, (p.r @ p.c2) @ p.q.T + p.b
-        m1, m2 = self.g1.max(axis=1, keepdims=True), self.g2.max(axis=1, keepdims=True)
-        self.log_z = np.log(np.exp(self.g1 - m1) @ np.exp(self.g2 - m2).T + np.float32(1e-37)) + m1 + m2.T
-
-    def log_p(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return self.g1[w1, w] + self.g2[w2, w] - self.log_z[w1, w2]
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each row, which it overwrites; logits are of a few units, far from where exp overflows."""
+    np.minimum(logits, np.float32(80), out=logits)
+    np.exp(logits, out=logits)
+    return np.log(logits.sum(axis=1) + np.float32(1e-30))
+
+
+def log_p(p: Parameters, units: Units, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of units given the two before: of the cluster, and of the unit in it."""
+    out, c = np.empty(len(w), np.float64), units.cluster[w]
+    a, b = p.r @ p.c1, p.r @ p.c2
+    h = a[w1] + b[w2]
+    for lo in range(0, len(w), _CHUNK):
+        part = slice(lo, lo + _CHUNK)
+        logits = h[part] @ p.qc.T + p.bc
+        got = logits[np.arange(len(logits)), c[part]]
+        out[part] = got - _log_sum(logits)
+    order = np.argsort(c, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) != 0, [True]]))
+    for i, j in zip(edges[:-1], edges[1:]):
+        members = units.members[c[order[i]]]
+        q, bias = p.q[members].T, p.b[members]
+        for lo in range(i, j, _CHUNK):
+            at = order[lo : min(j, lo + _CHUNK)]
+            logits = h[at] @ q + bias
+            got = logits[np.arange(len(at)), np.searchsorted(members, w[at])]
+            out[at] += got - _log_sum(logits)
+    return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,45 +274,87 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return written(texts.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
+def cut_off(counts: DataFrame, most: int) -> int:
+    """The count above which there are at most so many rows (c): from a histogram, so that no task sends its own top."""
+    rows = counts.groupBy(F.least("c", F.lit(_MOST_COUNT)).alias("c")).agg(F.count("*").alias("n")).collect()  # a row for each count
+    left, cut = most, _MOST_COUNT
+    for r in sorted(rows, key=lambda r: -r.c):
+        if r.n > left:
+            break
+        left, cut = left - r.n, r.c - 1
+    return cut
+
+
+def made_units(counts: DataFrame, ends: int, size: int) -> Units:
+    """About ``size`` units: the most frequent words, and the most frequent beginnings of all others."""
+    cut = cut_off(counts, size // 2)
+    words = sorted((bytes(r.word), r.c) for r in counts.where(F.col("c") > cut).collect())
+    tail = counts.where(F.col("c") <= cut).groupBy(F.substring("word", 1, PREFIX).alias("prefix")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
+    tail = written(tail, "beginnings")
+    edge = cut_off(tail, size // 2)
+    prefixes = sorted((bytes(r.prefix), r.c, r.v) for r in tail.where(F.col("c") > edge).collect())
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"unit": [rest_unit(bytes(x)) for x in rows.prefix], "c": rows.c, "v": rows.v})
+
+    others = tail.where(F.col("c") <= edge).mapInPandas(named, "unit int, c long, v long").groupBy("unit").agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
+    rest = {r.unit: (r.c, r.v) for r in others.collect()}  # at most _REST rows
+    discard(tail)
+    return Units.of(words, prefixes, [rest.get(k, (0, 0)) for k in range(_REST)], ends)
+
+
 # -- training -------------------------------------------------------------------
-def train(texts: DataFrame, classes: dict[bytes, int], share: np.ndarray, dims: int, noise: int, rate: float, batch: int, rounds: int, trainers: int, seed: int) -> Parameters:
-    """Parameters after the rounds; every round sees every token of texts."""
-    start = Parameters.start(share, dims, seed)
-    at = texts.select("text").coalesce(trainers)
+def train(texts: DataFrame, units: Units, dims: int, noise: int, rate: float, batch: int, rounds: int, trainers: int, seed: int) -> Parameters:
+    """Parameters after the rounds over texts (trainer, part, ids); a round sees the texts of its part."""
+    spark, start = texts.sparkSession, Parameters.start(units, dims, seed)
+    held_units = spark.sparkContext.broadcast(units)
+    dealt = texts.select("trainer", "part", F.crc32("ids").alias("order"), "ids")
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        """Each unit's vectors weighted by how often a trainer met it, all else by tokens."""
+        ps = [start.filled(np.frombuffer(p, np.float32)).arrays() for p in rows.p]
+        met = [np.frombuffer(m, np.float64) for m in rows.met]
+        tokens = rows.tokens.to_numpy(np.float64)
+        out = []
+        for k in range(len(ps[0])):
+            if k < 3:
+                weights = [m + 1e-6 for m in met]
+                weights = [w[:, None] if ps[0][k].ndim == 2 else w for w in weights]
+            else:
+                weights = list(tokens)
+            out.append(sum(p[k] * w for p, w in zip(ps, weights)) / sum(weights))
+        flat = np.concatenate([x.ravel() for x in out]).astype(np.float32)
+        return pd.DataFrame({"tokens": [int(tokens.sum())], "p": [flat.tobytes()], "met": [sum(met).tobytes()]})
+
     for k in range(rounds):
-        held = start
+        sent = spark.sparkContext.broadcast(start)
 
-        def learn(batches: Iterator[pa.RecordBatch], held: Parameters = held, k: int = k) -> Iterator[pa.RecordBatch]:
-            trainer, tokens = Trainer(held, share, noise, rate, seed + 1 + k), 0
-            get = classes.get
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, k: int = k) -> Iterator[pa.RecordBatch]:
+            held: dict[int, Trainer] = {}
+            tokens: dict[int, int] = {}
             for rows in _slices(batches):
-                texts_ids = [[get(w, OTHER) for w in words_of(t)] + [END] for t in rows.column("text").to_pylist()]
-                ids = np.fromiter((i for x in texts_ids for i in x), np.int64)
-                one, two = contexts(ids)
-                order = trainer.rng.permutation(len(ids))
-                for lo in range(0, len(ids), batch):
-                    part = order[lo : lo + batch]
-                    trainer.step(ids[part], one[part], two[part])
-                tokens += len(ids)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([trainer.p.flat().tobytes()], pa.binary())], ["tokens", "p"])
-
-        def mean(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(p, np.float32).astype(np.float64) * n for p, n in zip(rows.p, rows.tokens))
-            return pd.DataFrame({"tokens": [rows.tokens.sum()], "p": [(total / rows.tokens.sum()).astype(np.float32).tobytes()]})
-
-        learned = at.mapInArrow(learn, "tokens long, p binary").withColumn("g", F.spark_partition_id() % 16)
-        found = learned.groupBy("g").applyInPandas(mean, "tokens long, p binary").collect()  # at most 16 rows
+                for t in sorted(set(rows.column("trainer").to_pylist())):
+                    if t not in held:
+                        held[t], tokens[t] = Trainer(sent.value, held_units.value, noise, rate, seed + 1 + k + 1000 * t), 0
+                    mine = [x.as_py() for x, y in zip(rows.column("ids"), rows.column("trainer").to_pylist()) if y == t]
+                    ids = np.frombuffer(b"".join(mine), np.uint16).astype(np.int64)
+                    held[t].texts(ids, batch)
+                    tokens[t] += len(ids)
+            for t, trainer in sorted(held.items()):
+                yield pa.RecordBatch.from_arrays([pa.array([t % 16]), pa.array([tokens[t]]), pa.array([trainer.p.flat().tobytes()], pa.binary()), pa.array([trainer.met.tobytes()], pa.binary())], ["g", "tokens", "p", "met"])
+
+        placed = dealt.where(F.col("part") == k).repartition(trainers, "trainer").sortWithinPartitions("trainer", "order")
+        learned = written(placed.mapInArrow(learn, "g long, tokens long, p binary, met binary"), "learned")
+        found = learned.groupBy("g").applyInPandas(mean, "tokens long, p binary, met binary").collect()  # at most 16 rows
+        discard(learned)
         if found:
             start = start.filled(np.frombuffer(mean(pd.DataFrame([r.asDict() for r in sorted(found, key=lambda r: bytes(r.p))])).p[0], np.float32))
     return start
 
 
 # -- scoring --------------------------------------------------------------------
-_TABLES: list = []  # the parameters that a worker scored with last, and their tables
-
-
-def score(docs: DataFrame, classes: int = 2048, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 512, rounds: int = 1, trainers: int = 1024, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int = 16_384, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 2048, rounds: int = 2, tokens_a_trainer: int = 4_000_000, trainers: int = 1024, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training_row(F.col(id_col), FOLDS).alias("trains"))
@@ -214,54 +363,66 @@ def score(docs: DataFrame, classes: int = 2048, head: int = 200_000, dims: int =
     ends = training.count()
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = whole.n + ends, whole.v + (ends > 0)
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
-    known = dict(top)
-    least = top[-1][1] if len(top) == head else 0
-    model_words = [w for w, _ in top[: classes - 2]]
-    class_of = {w: k + 2 for k, w in enumerate(model_words)}
-    n_others, v_others = n - ends - sum(known[w] for w in model_words), v - (ends > 0) - len(model_words)
-    share = np.array([ends, n_others, *(known[w] for w in model_words)], np.float64) + SMOOTH
-    share /= share.sum()
-    parameters = train(training, class_of, share, dims, noise, rate, batch, rounds, trainers, seed)
+    units = made_units(counts, ends, max(fewest, min(most, whole.v // words_a_unit)))
+    least = cut_off(counts, head)
     base_of = -np.log10(n + SMOOTH * (v + 1))
-    others_of = -np.log10(n_others + SMOOTH * (v_others + 1))
     end_base = float(np.log10(ends + SMOOTH) + base_of)
-    sent = spark.sparkContext.broadcast((parameters, class_of, {w: float(np.log10(c + SMOOTH)) for w, c in top}))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over the words that the head knows; the list of the others."""
-        parameters, class_of, log_count = sent.value
-        if not _TABLES or _TABLES[0] is not parameters:
-            _TABLES[:] = [parameters, Tables(parameters)]
-        tables, get = _TABLES[1], class_of.get
+    sent = spark.sparkContext.broadcast((units, {bytes(r.word): float(np.log10(r.c + SMOOTH)) for r in counts.where(F.col("c") > least).collect()}))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units of each text; sums over the words that the head knows; the list of the others."""
+        units, log_count = sent.value
+        memo: dict[bytes, int] = dict(units.words)
         for rows in _slices(batches):
-            words = [words_of(t) for t in rows.column("text").to_pylist()]
-            lengths = np.array([len(x) + 1 for x in words])
-            ids = np.fromiter((i for x in words for i in (*(get(w, OTHER) for w in x), END)), np.int64, int(lengths.sum()))
-            one, two = contexts(ids)
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            model = np.add.reduceat(tables.log_p(ids, one, two).astype(np.float64), starts) / _LN10
-            base, in_others, rest = [], [], []
-            for x in words:
-                logs = list(map(log_count.get, x))
-                mine = [w for w, y in zip(x, logs) if y is None]
-                rest.append(mine)
-                base.append(sum(y for y in logs if y is not None))
-                in_others.append(sum(y for w, y in zip(x, logs) if y is not None and w not in class_of))
-            others = np.add.reduceat((ids == OTHER).astype(np.int64), starts)
+            texts = [words_of(t) for t in rows.column("text").to_pylist()]
+            ids, lengths, base, inside, rest = [], [], [], [], []
+            for words in texts:
+                own = []
+                for w in words:
+                    k = memo.get(w)
+                    if k is None:
+                        k = units.of_word(w)
+                        if len(memo) < _FLUSH * 2:
+                            memo[w] = k
+                    own.append(k)
+                logs = list(map(log_count.get, words))
+                numbers = np.array([*own, END], np.int64)
+                known = [y for y in logs if y is not None]
+                of_parts = sum(y for y, k in zip(logs, own) if y is not None and units.weight[k])
+                ids.append(numbers.astype(np.uint16).tobytes())
+                lengths.append(len(numbers))
+                base.append(sum(known) + (len(numbers) - 1) * base_of + end_base)
+                inside.append(of_parts - float(units.weight[numbers].sum()))
+                rest.append([w for w, y in zip(words, logs) if y is None])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), rows.column("trains"), pa.array(lengths), pa.array(np.array(base) + (lengths - 1) * base_of + end_base), pa.array(model + np.array(in_others) + others * others_of), pa.array(rest, pa.list_(pa.binary()))],
-                ["row", "doc_id", "trains", "n_tokens", "base", "model", "rest"],
+                [rows.column("row"), rows.column("doc_id"), rows.column("trains"), rows.column("share"), pa.array(lengths, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.array(ids, pa.binary()), pa.array(rest, pa.list_(pa.binary()))],
+                ["row", "doc_id", "trains", "share", "n_tokens", "base", "inside", "ids", "rest"],
             )
 
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    keyed = rows.withColumns({"row": F.monotonically_increasing_id(), "share": F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
     kind = dict(rows.dtypes)["doc_id"]
-    found = written(keyed.mapInArrow(parts, f"row long, doc_id {kind}, trains boolean, n_tokens long, base double, model double, rest array<binary>"), "parts")
-    tail = counts.where(F.col("c") <= least).select("word", "c") if least else counts.where("false").select("word", "c")
-    each = found.select("row", F.explode("rest").alias("word")).join(tail, "word", "left")
+    encoded = written(keyed.mapInArrow(encode, f"row long, doc_id {kind}, trains boolean, share long, n_tokens long, base double, inside double, ids binary, rest array<binary>"), "encoded")
+    several = max(1, min(trainers, -(-n // tokens_a_trainer)))
+    by = F.xxhash64("share")
+    dealt = encoded.where("trains").select(F.pmod(by, F.lit(several)).cast("int").alias("trainer"), F.pmod(F.shiftright(by, 32), F.lit(rounds)).alias("part"), "ids")
+    parameters = spark.sparkContext.broadcast(train(dealt, units, dims, noise, rate, batch, rounds, several, seed))
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = sent.value[0]
+        for rows in _slices(batches):
+            lengths = rows.column("n_tokens").to_numpy()
+            ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), np.uint16).astype(np.int64)
+            one, two = contexts(ids)
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            logs = np.add.reduceat(log_p(parameters.value, units, ids, one, two), starts) / _LN10
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("row", "doc_id", "trains", "n_tokens", "base")] + [pa.array(logs + rows.column("inside").to_numpy())], ["row", "doc_id", "trains", "n_tokens", "base", "model"])
+
+    scored = encoded.select("row", "doc_id", "trains", "n_tokens", "base", "inside", "ids").mapInArrow(model, f"row long, doc_id {kind}, trains boolean, n_tokens long, base double, model double")
+    tail = counts.where(F.col("c") <= least).select("word", "c")
+    each = encoded.select("row", F.explode("rest").alias("word")).join(tail, "word", "left")
     logs = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)
     sums = each.groupBy("row").agg(F.sum(logs).alias("logs"), F.count("c").alias("seen"), F.count("*").alias("n"))
-    joined = found.drop("rest").join(sums, "row", "left")
+    joined = scored.join(sums, "row", "left")
     more = F.coalesce("logs", F.lit(0.0))
     return joined.select(
         "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens",

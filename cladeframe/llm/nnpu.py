@@ -18,7 +18,9 @@ number of features bound what reaches the driver.
 
 Labels of rows whose crc32(id) mod 5 is 0 are never used; nor are labels, language,
 source or id inputs of a score.  Rows: null text counts as empty and scores by the
-bias alone; null labels are no labels; repeated rows give repeated results; without
+bias alone; very long texts are read whole; null labels are no labels; repeated rows
+give repeated results, and an id that is repeated is one example; other columns, whatever
+their names, are not looked at; without
 any positive example every score is 0; an empty table gives an empty result.
 """
 
@@ -132,6 +134,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n if k == 0 else zero), pa.array(zero if k == 0 else n)], ["feature", "p", "u"])
 
 
+def _least_hashes(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """The ids (distinct) with the smallest hashes, at most so many.  A bound on hashes from the number of ids keeps back all
+    but about twice as many before they are sorted."""
+    there = ids.agg(F.approx_count_distinct("doc_id").alias("n")).first().n
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    if there > 2 * most:
+        ids = ids.where(F.shiftrightunsigned(order, 1) < int(2 * most / there * (1 << 63)))
+        order = F.shiftrightunsigned(order, 1)
+    return ids.distinct().orderBy(order, "doc_id").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, unlabelled: int = 8000, features: int = 1024, evidence: float = 10.0, posterior: float = 0.7) -> Model:
     """Trains on at most positives + unlabelled documents (see above)."""
     train = labels.where(training_row(F.col("doc_id"), FOLDS) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -139,10 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not shares.toxic:
         return Model()
     prior = min(max(shares.toxic / shares.n, 1e-3), 0.9)
-    order = F.xxhash64(F.lit(5), "doc_id")
-    confirmed = train.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
-    ids = docs.select(F.col(id_col).alias("doc_id")).where(training_row(F.col("doc_id"), FOLDS) & F.col("doc_id").isNotNull())
-    others = ids.distinct().orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(unlabelled)
+    confirmed = _least_hashes(train.where("toxic = 1").select("doc_id"), positives, 5)
+    others = _least_hashes(docs.select(F.col(id_col).alias("doc_id")).where(training_row(F.col("doc_id"), FOLDS) & F.col("doc_id").isNotNull()), unlabelled, 6)
     picked = written(confirmed.select("doc_id", F.lit(True).alias("positive")).union(others.select("doc_id", F.lit(False).alias("positive"))), "picked")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # at most positives + unlabelled ids
     one = texts.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))  # an id is one example, however often it is repeated

@@ -26,8 +26,11 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest_cache.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-counts"))
+    """Counts the table against an empty cache, which fills it, and again against the full one: the counts returned are the stored ones."""
+    docs, cache = _table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "token-counts")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    digest_cache.token_counts(docs, path, cache)
+    return digest_cache.token_counts(docs, path, cache)
 
 
 def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:

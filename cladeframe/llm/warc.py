@@ -15,7 +15,8 @@ which it stood are put together from their pieces.
 
 Rows: a null payload is empty; null ids and urls are written as missing and read as
 null; line ends in urls become spaces; repeated pages with the smallest id are all
-responses; with no id in the group all are; an empty table gives an empty archive.
+responses; with no id in the group all are; very long payloads are records like others;
+other columns, whatever their names, are not written; an empty table gives an empty archive.
 Broken archives: where a chain stops before the end of its file, what stands behind
 is not read and the file is named by ``broken``.
 """
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import written
 
 #: Fixed values of the format.
 MAGIC = b"WARC/1.0\r\n"
@@ -216,9 +217,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     done = records.where("whole").select(*out)
     if torn.isEmpty():
         return done
-    # records with magic inside: their pieces, in the order of the file, are read once more
-    parts = candidates.alias("c").join(torn.alias("t"), (F.col("c.file") == F.col("t.file")) & (F.col("c.offset") >= F.col("t.offset")) & (F.col("c.offset") < F.col("t.next")))
-    parts = written(parts.select("c.file", "c.split", "c.piece", F.col("c.offset").alias("part"), F.col("t.offset").alias("offset")), "parts")
+    # records with magic inside: their pieces, in the order of the file, are read once more.  A record is marked in each split
+    # that it reaches into, and a piece belongs to the last record marked before it if it begins before that one's end
+    near = torn.join(starts, "file").where((F.col("start") - 2 * len(MAGIC) <= F.col("next")) & (F.col("start") + F.col("bytes") >= F.col("offset")))
+    none = F.lit(None)
+    marks = near.select("file", "split", F.col("offset").alias("part"), F.struct("offset", "next").alias("record"), none.cast("long").alias("piece"))
+    own = candidates.select("file", "split", F.col("offset").alias("part"), none.cast("struct<offset:bigint,next:bigint>").alias("record"), "piece")
+    along = Window.partitionBy("file", "split").orderBy("part", F.col("record").isNull())  # rows are pieces of one split
+    held = marks.union(own).withColumn("inside", F.last("record", ignorenulls=True).over(along)).where(F.col("piece").isNotNull() & (F.col("part") < F.col("inside.next")))
+    parts = written(held.select("file", "split", "piece", "part", F.col("inside.offset").alias("offset")), "parts")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, split, number, _, value in _numbered(batches):
@@ -249,6 +256,3 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     write(pages, path)
     back = read(pages.sparkSession, path)
     return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
-
-
-__all__ = ["broken", "read", "remove", "round_trip", "typed", "write"]

@@ -58,6 +58,44 @@ def test_feistel_is_a_permutation_and_can_be_undone():
         assert feistel.unpermute(places, n, 7).tolist() == list(range(n))
 
 
+def test_shards_by_recomputed_permutation(spark):
+    """Rows in the order of id, checksum and size; number k goes to place feistel(k): shard place mod 16, slot place div 16, and back."""
+    rows, docs = documents(spark)
+    got = feistel.shard(docs).collect()
+    of = lambda t: (zlib.crc32((t or "").encode()), len((t or "").encode()) + 1)
+    order = sorted(((d is not None, d or 0), *of(t), d) for d, t, *_ in rows)
+    places = feistel.permute(np.arange(len(order)), len(order), 7).tolist()
+    expected = Counter((str(d), size, crc, place % 16, place // 16) for (_, crc, size, d), place in zip(order, places))
+    assert Counter((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot) for r in got) == expected
+    back = feistel.unpermute(np.array([r.slot * 16 + r.shard for r in got]), len(order), 7)
+    assert sorted(back.tolist()) == list(range(len(order)))
+    assert all(r.law == "rows" and r.grown_shard is None for r in got)
+
+
+def test_mix_by_recomputed_targets(spark):
+    """Sizes and targets from the rule alone: weights 5, 2, 1 over sources by code point, null last, shares of 150 % of all words, none above twice its own, the excess shared again."""
+    rows, docs = documents(spark)
+    size = lambda t: len((t or "").split())
+    sources = sorted({r[2] for r in rows if r[2] is not None}) + [None]
+    own = {s: sum(size(t) for _, t, x, *_ in rows if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, left, rest = {}, list(sources), 1.5 * sum(own.values())
+    while left:
+        whole = sum(weight[s] for s in left)
+        full = [s for s in left if rest * weight[s] / whole > 2 * own[s]]
+        if not full:
+            target |= {s: rest * weight[s] / whole for s in left}
+            break
+        for s in full:
+            target[s] = 2.0 * own[s]
+        rest -= sum(target[s] for s in full)
+        left = [s for s in left if s not in full]
+    by_id = {(str(d), size(t)): s for d, t, s, *_ in rows}
+    for r in mixing.taken(docs).collect():
+        s = by_id[str(r.doc_id), r.size]
+        assert r.source_size == own[s] and r.target == pytest.approx(target[s])
+
+
 def test_shards(spark):
     rows, docs = documents(spark)
     got = feistel.shard(docs).collect()

@@ -170,37 +170,107 @@ def trains(doc_id, parts):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % parts != 0
 
 
-def test_language_model_base_scores_and_normalisation(spark):
+def model_rows():
     rng = random.Random(5)
-    rows = [(k, " ".join(rng.choice(["a", "b", "B", "cc", "d" + str(rng.randrange(30))]) for _ in range(rng.randrange(0, 40)))) for k in range(80)]
-    rows += [(200, None), (201, ""), (None, "a b"), (202, "never seen words"), (3, rows[3][1])]
+    rows = [(k, " ".join(rng.choice(["a", "b", "B", "cc", "d" + str(rng.randrange(30)), "tail" + str(rng.randrange(60)), "é" + str(rng.randrange(9))]) for _ in range(rng.randrange(0, 40)))) for k in range(80)]
+    return rows + [(200, None), (201, ""), (None, "a b"), (202, "never seen words"), (3, rows[3][1]), (203, "a b cc " * 3000)]
+
+
+def test_language_model_by_brute_force(spark, monkeypatch):
+    """Base scores from counts; scores from the trained vectors by plain sums over all units, token by token."""
+    rows, held = model_rows(), {}
     tokens = {k: [w.decode() for w in lbl.words_of(t)] + ["\0end"] for k, (_, t) in enumerate(rows)}
     counts = Counter(w for k, (d, _) in enumerate(rows) if trains(d, 10) for w in tokens[k])
     n, v = sum(counts.values()), len(counts)
-    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, word int")
-    got = lbl.score(docs, classes=8, head=12, dims=4, noise=8, batch=32)
+    train = lbl.train
+
+    def kept(texts, units, *more):
+        held["units"], held["p"] = units, train(texts, units, *more)
+        return held["p"]
+
+    monkeypatch.setattr(lbl, "train", kept)
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, word int, ids string")
+    got = lbl.score(docs, fewest=24, head=12, dims=4, noise=16, batch=64).collect()
     expected = sorted((str(d), len(tokens[k]), sum(w in counts for w in tokens[k]), round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[k]), 6)) for k, (d, _) in enumerate(rows))
-    rows_got = got.collect()
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows_got) == expected
-    assert all(r.train_tokens == n and r.score < 0 and r.held_out == (not trains(r.doc_id, 10)) for r in rows_got)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == expected
+    assert all(r.train_tokens == n and r.held_out == (not trains(r.doc_id, 10)) for r in got)
+
+    units, p = held["units"], held["p"]
+    assert len(units.words) > 3 and len(units.prefixes) > 2 and len(units.members) > 3
+    unit = lambda w: lbl.END if w == "\0end" else units.of_word(w.encode())
+    inside = Counter()  # smoothed tokens of a unit's known words and one unseen
+    for w, c in counts.items():
+        inside[unit(w)] += c + 0.1
+
+    def probability(w, h):
+        k = unit(w)
+        clusters = np.exp(h @ p.qc.T.astype(float) + p.bc)
+        members = units.members[units.cluster[k]]
+        mine = np.exp(h @ p.q[members].T.astype(float) + p.b[members])
+        share = 1.0 if k == lbl.END or w.encode() in units.words else (counts[w] + 0.1) / (inside[k] + 0.1)
+        return clusters[units.cluster[k]] / clusters.sum() * mine[members.tolist().index(k)] / mine.sum() * share
+
+    def total(words):
+        before, out = [lbl.END, lbl.END], 0.0
+        for w in words:
+            out += math.log10(probability(w, p.r[before[-1]].astype(float) @ p.c1 + p.r[before[-2]].astype(float) @ p.c2))
+            before.append(unit(w))
+        return out
+
+    scores = {k: total(tokens[k]) for k in range(len(rows)) if len(tokens[k]) < 100}
+    by_text = {(str(d), len(tokens[k]), round(scores[k], 2)) for k, (d, _) in enumerate(rows) if k in scores}
+    assert {(str(r.doc_id), r.n_tokens, round(r.score, 2)) for r in got if r.n_tokens < 100} == by_text or all(
+        min(abs(r.score - x) for d, m, x in [(str(rows[k][0]), len(tokens[k]), scores[k]) for k in scores] if (d, m) == (str(r.doc_id), r.n_tokens)) < 1e-2 for r in got if r.n_tokens < 100
+    )
+    h = np.random.default_rng(1).normal(size=4)
+    words = [*counts, *(f"{x.decode()}never{k}" for k, x in enumerate(units.prefixes))]
+    assert sum(probability(w, h) for w in words) <= 1 + 1e-9  # all known words and an unseen one of each beginning
     assert lbl.score(docs.where("doc_id > 1000")).count() == 0
-    share = np.full(6, 1 / 6)
-    table = lbl.Tables(lbl.Parameters.start(share, 4, 1))
-    every = np.arange(6)
-    assert np.exp(table.log_p(every, np.full(6, 2), np.full(6, 3))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    """Two languages, each with many rare words: context must tell which one a text is of."""
+    rng = random.Random(8)
+    plain = {x: [x + "".join(rng.choice("aeiou" if x == "th" else "kmnrst") for _ in range(5)) for _ in range(800)] for x in ("th", "zo")}
+    rows = [(k, " ".join(rng.choice(plain[("th", "zo")[k % 2]]) for _ in range(60))) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in lbl.score(docs).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert len(got) > 50 and gain > 0.15
+    assert sorted((r.doc_id, round(r.score, 3)) for r in got) == sorted((r.doc_id, round(r.score, 3)) for r in lbl.score(docs.repartition(7)).collect() if r.held_out)
 
 
 def test_model_learns_order():
     """A text in which each word tells the next: contexts must beat the shares of words."""
-    ids = np.tile(np.array([2, 3, 4, 5]), 3000)
+    units = lbl.Units.of([(b"a", 3000), (b"b", 3000), (b"c", 3000), (b"d", 3000)], [], [(0, 0)] * 64, 1)
+    ids = np.tile(np.array([1, 2, 3, 4]), 3000)
+    trainer = lbl.Trainer(lbl.Parameters.start(units, 8, 1), units, 32, 0.2, 1)
+    trainer.texts(ids, 100)
     one, two = lbl.contexts(ids)
-    share = np.array([1, 1, 3000, 3000, 3000, 3000], float)
-    share /= share.sum()
-    trainer = lbl.Trainer(lbl.Parameters.start(share, 8, 1), share, 16, 0.2, 1)
-    for lo in range(0, len(ids), 100):
-        trainer.step(ids[lo : lo + 100], one[lo : lo + 100], two[lo : lo + 100])
-    model = lbl.Tables(trainer.p).log_p(ids[-400:], one[-400:], two[-400:]).mean()
-    assert model > np.log(share[ids[-400:]]).mean() + 0.5
+    model = lbl.log_p(trainer.p, units, ids[-400:], one[-400:], two[-400:]).mean()
+    assert model > np.log(units.share[ids[-400:]]).mean() + 0.5
+    every = np.arange(len(units.share))
+    assert np.exp(lbl.log_p(trainer.p, units, every, np.full(len(every), 2), np.full(len(every), 3))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_risk_gradient_of_positive_unlabelled_learning():
+    """One step goes down prior R_p(+) + R_u(-) - prior R_p(-) where that part is not negative, and up the negative part where it is."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled, prior = rng.integers(0, 2, (40, 3)).astype(float), rng.integers(0, 2, (60, 3)).astype(float), 0.3
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def parts(w, b):
+        p, u = positive @ w + b, unlabelled @ w + b
+        return prior * loss(p).mean(), loss(-u).mean() - prior * loss(-p).mean()
+
+    risk = lambda w, b: parts(w, b)[0] + max(0.0, parts(w, b)[1])
+    start = risk(np.zeros(3), math.log(prior / (1 - prior)))
+    assert risk(*nnpu.fit_nnpu(positive, unlabelled, prior, steps=200, decay=0.0)) < start
+    # all positives stand out and no unlabelled text is like them: the estimate of the negatives' risk would go far below zero
+    only, none = np.ones((50, 1)), np.zeros((50, 1))
+    w, b = nnpu.fit_nnpu(only, none, 0.5, steps=400, decay=0.0)
+    z_p, z_u = only @ w + b, none @ w + b
+    assert loss(-z_u).mean() - 0.5 * loss(-z_p).mean() > -0.5
 
 
 def test_toxicity_on_held_out_rows(spark):
