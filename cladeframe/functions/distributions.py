@@ -24,6 +24,18 @@ def nbinom_log(k: Column, count: float, p: float) -> Column:
     return rising - _log_factorial(k) + count * math.log(1 - p) + k * math.log(p)
 
 
+def _upto(k: Column, log_p) -> Column:
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), F.lit(0.0), lambda a, i: a + F.exp(log_p(i)))
+
+
+def poisson_cdf(k: Column, rate: float) -> Column:
+    return _upto(k, lambda i: poisson_log(i, rate))
+
+
+def nbinom_cdf(k: Column, count: float, p: float) -> Column:
+    return _upto(k, lambda i: nbinom_log(i, count, p))
+
+
 def conditional(rows: DataFrame, *keys: str) -> DataFrame:
     """rows (keys, k, log_p) with p, which sums to one over each law's own k."""
     total = rows.groupBy(*keys).agg(F.sum(F.exp("log_p")).alias("total"))
