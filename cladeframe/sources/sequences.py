@@ -59,6 +59,8 @@ def _parse(text: str) -> list[tuple[int, str, str | None, str]]:
         elif not line.strip():
             blank += 1
             mode = "" if blank > 1 and last else mode
+        elif mode == "leaf" and not line.strip(" -"):
+            continue  # the line under the heading
         elif mode:
             blank = 0
             if mode == "leaf" and (m := _LEAF.match(line)):
