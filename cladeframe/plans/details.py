@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as di
 from ..functions import events as ev
-from ..operators import compare, fits, trees
+from ..operators import compare, fits, reshape, trees
 from ..tables import new_path
 from . import lineage, topology
 from .fixtures import Fixture
@@ -163,3 +163,49 @@ def matrix_exponentials(f: Fixture) -> DataFrame:
     rates = steps.withColumn("rate", st.hazard(lams, F.col("min_deact"), F.col("min_t"), F.col("max_t"), F.col("max_deact"), 0.3, 0.05, 0.07)).groupBy("status", "after").agg(F.sum("rate").alias("rate"))
     lengths = f.node.where("dist > 0").select(F.round("dist", 9).alias("length")).distinct()
     return fits.transition_probabilities(rates, lengths, 8)
+
+
+# -- reshaped trees -----------------------------------------------------------------
+def _u(seed: int, name: str) -> str:
+    return f"((1+('0x'||substr(md5('{seed}|'||{name}),1,8))::BIGINT)/4294967297.0E0)"
+
+
+@plan(with_views(f"r AS (SELECT node_id, parent_id, dist, is_leaf, ROW_NUMBER() OVER (PARTITION BY parent_id ORDER BY {_u(9, 'node_id')}, node_id)-1 AS k, COUNT(*) OVER (PARTITION BY parent_id) AS n FROM fx_node WHERE parent_id IS NOT NULL)",
+ """SELECT node_id, parent_id, dist FROM fx_node WHERE parent_id IS NULL UNION ALL SELECT node_id, CASE WHEN LEAST(k,GREATEST(n-2,0))=0 THEN parent_id ELSE parent_id||'#'||LEAST(k,GREATEST(n-2,0)) END, dist FROM r
+ UNION ALL SELECT parent_id||'#'||k, CASE WHEN k=1 THEN parent_id ELSE parent_id||'#'||(k-1) END, 0E0 FROM r WHERE k>0 AND k<n-1"""), "fx_node", doubles="dist")
+def resolved_tree(f: Fixture) -> DataFrame:
+    return reshape.resolved(f.node, 9).select("node_id", "parent_id", "dist")
+
+
+@plan(with_views(f"pk(node_id, key) AS (SELECT 'ROOT', '' UNION ALL SELECT n.node_id, pk.key||'/'||n.node_id||' ' FROM pk JOIN fx_node n ON n.parent_id=pk.node_id), i AS (SELECT n.node_id, ROW_NUMBER() OVER (ORDER BY key) AS r FROM pk JOIN fx_node n USING (node_id) WHERE NOT n.is_leaf AND n.parent_id IS NOT NULL), u AS (SELECT u, ROW_NUMBER() OVER (ORDER BY u, node_id) AS r FROM (SELECT node_id, {_u(4, 'node_id')} AS u FROM i) z), h AS (SELECT node_id, u AS depth FROM i JOIN u USING (r))",
+ "SELECT n.node_id, n.parent_id, CASE WHEN n.parent_id IS NULL THEN 0 WHEN n.is_leaf THEN 1 ELSE h.depth END-COALESCE(p.depth,0) AS dist FROM fx_node n LEFT JOIN h USING (node_id) LEFT JOIN h p ON p.node_id=n.parent_id"), "fx_node", doubles="dist")
+def random_lengths(f: Fixture) -> DataFrame:
+    return reshape.random_lengths(f.node, trees.traversal(f.node, f.closure), 1.0, 4).select("node_id", "parent_id", "dist")
+
+
+@plan(with_views("s AS (SELECT 'C'||c_custkey AS a, 'C'||(c_custkey+1) AS b FROM customer WHERE c_custkey%10=0 AND c_custkey+1 IN (SELECT c_custkey FROM customer)), m AS (SELECT a AS node_id, b AS other FROM s UNION ALL SELECT b, a FROM s), t AS (SELECT n.node_id, COALESCE(o.parent_id, n.parent_id) AS parent_id FROM fx_node n LEFT JOIN m USING (node_id) LEFT JOIN fx_node o ON o.node_id=m.other)",
+ "SELECT t.node_id, t.parent_id, d.depth-COALESCE(p.depth,0) AS dist FROM t JOIN depth d USING (node_id) LEFT JOIN depth p ON p.node_id=t.parent_id"), "fx_node", "closure", doubles="dist")
+def swapped_neighbours(f: Fixture) -> DataFrame:
+    key = f.customer.select("c_custkey")
+    there = key.select((F.col("c_custkey") - 1).alias("c_custkey"))
+    swaps = key.where("c_custkey % 10 = 0").join(there, "c_custkey", "left_semi").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("C"), (F.col("c_custkey") + 1).cast("string")).alias("b"))
+    return reshape.swapped(f.node, trees.depths(f.node, f.closure), swaps).select("node_id", "parent_id", "dist")
+
+
+@plan()
+def joined_neighbours(f: Fixture) -> DataFrame:
+    """A tree of organs for each order status from their event sets' distances.  No SQL: neighbour joining; tests hold it against a tree's own distances."""
+    kinds = f.event.join(f.obs.select("cell_id", "organ"), "cell_id").join(f.orders.select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderstatus").alias("tree_id")), "cell_id")
+    own = kinds.groupBy("tree_id", "organ").agg(F.collect_set(F.struct("start_pos", "min_target", "max_target")).alias("s"))
+    side = lambda n: own.select("tree_id", F.col("organ").alias(n), F.col("s").alias(f"s_{n}"))
+    pairs = side("a").join(side("b"), "tree_id").where("a <= b").select("tree_id", "a", "b", (F.size(F.array_union("s_a", "s_b")) - F.size(F.array_intersect("s_a", "s_b"))).cast("double").alias("distance"))
+    return reshape.neighbour_joining(pairs)
+
+
+@plan()
+def pruned_likelihood(f: Fixture) -> DataFrame:
+    """Log-likelihood of the leaves' masks of the first three targets, by the root's state.  No SQL: pruning over matrix exponentials; tests sum over all inner states."""
+    steps = f.at_rest("steps", lambda: trees.written(matrix_exponentials(f), "steps"))
+    cells = lineage._masks(f).select(F.concat(F.lit("O"), F.col("cell_id").cast("string")).alias("node_id"), F.col("mask").bitwiseAND(F.lit(7)).alias("state"))
+    found = fits.pruned_likelihood(f.node, trees.depths(f.node, f.closure), cells, steps)
+    return found.where("node_id = 'ROOT'").select("state", "log_p")

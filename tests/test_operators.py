@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import reads, sequences
 from cladeframe.functions import states as sa
-from cladeframe.operators import ancestors, compare, fits, observe, trees
+from cladeframe.operators import ancestors, compare, fits, observe, reshape, trees
 from cladeframe.sources import reads as read_source
 from cladeframe.sources import sequences as sequence_source
 from cladeframe.tables import bounded, new_path, numbered
@@ -272,3 +272,50 @@ def test_folds_numbers_and_bounds(spark):
     assert bounded(rows, 41, "rows").count() == 41
     with pytest.raises(ValueError, match="more than 40 rows"):
         bounded(rows, 40, "rows")
+
+
+def test_neighbour_joining_finds_an_additive_tree(spark):
+    edges = {"a": ("u", 2.0), "b": ("u", 3.0), "u": ("v", 1.5), "c": ("v", 4.0), "v": ("w", 2.5), "d": ("w", 1.0), "e": ("w", 5.0)}
+
+    def up(x):
+        out = [(x, 0.0)]
+        while out[-1][0] in edges:
+            p, length = edges[out[-1][0]]
+            out.append((p, out[-1][1] + length))
+        return dict(out)
+
+    dist = lambda x, y, e: min(v + up_y[k] for k, v in e(x).items() if k in (up_y := e(y)))
+    names = "abcde"
+    pairs = [("t", x, y, dist(x, y, up)) for k, x in enumerate(names) for y in names[k:]] + [("s", "p", "q", 3.0), ("s", "p", "p", 0.0)]
+    rows = reshape.neighbour_joining(spark.createDataFrame(pairs, "tree_id string, a string, b string, distance double")).collect()
+    made = {r.node_id: (r.parent_id, r.dist) for r in rows if r.tree_id == "t"}
+
+    def made_up(x):
+        out = [(x, 0.0)]
+        while out[-1][0] in made:
+            p, length = made[out[-1][0]]
+            out.append((p, out[-1][1] + length))
+        return dict(out)
+
+    assert all(dist(x, y, made_up) == pytest.approx(d) for t, x, y, d in pairs if t == "t")
+    assert {(r.node_id, r.dist) for r in rows if r.tree_id == "s"} == {("p", 1.5), ("q", 1.5)}
+
+
+def test_pruning_sums_over_inner_states(spark):
+    q = np.array([[-1.2, 0.7, 0.5], [0.0, -0.4, 0.4], [0.0, 0.0, 0.0]])
+    tree = [("r", None, 0.0, False), ("a", "r", 0.4, False), ("x", "a", 0.6, True), ("y", "a", 0.5, True), ("z", "r", 1.0, True)]
+    seen = {"x": 1, "y": 2, "z": 0}
+    p = {t: fits.expm(q * t) for t in (0.4, 0.5, 0.6, 1.0)}
+    expected = {s: sum(p[0.4][s, a] * p[0.6][a, 1] * p[0.5][a, 2] for a in range(3)) * p[1.0][s, 0] for s in range(3)}
+    steps = spark.createDataFrame([(t, i, j, float(m[i, j])) for t, m in p.items() for i in range(3) for j in range(3) if m[i, j] > 0], "length double, start long, after long, p double")
+    nodes = spark.createDataFrame(tree, NODES)
+    states = spark.createDataFrame(list(seen.items()), "node_id string, state long")
+    got = fits.pruned_likelihood(nodes, trees.depths(nodes, trees.closure(nodes)), states, steps)
+    assert {r.state: math.exp(r.log_p) for r in got.where("node_id = 'r'").collect()} == pytest.approx({s: v for s, v in expected.items() if v > 0})
+
+
+def test_resolved_trees_are_binary(spark):
+    rows = [("r", None, 0.0, False), *((f"l{k}", "r", 1.0, True) for k in range(5))]
+    got = reshape.resolved(spark.createDataFrame(rows, NODES), 1).collect()
+    assert sorted(r["count"] for r in spark.createDataFrame(got).groupBy("parent_id").count().where("parent_id IS NOT NULL").collect()) == [2] * 4
+    assert {r.node_id for r in got if r.is_leaf} == {f"l{k}" for k in range(5)}
