@@ -215,33 +215,38 @@ def contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, np.where(one == END, END, two)
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """log of the sum of exp of each row, which it overwrites; logits are of a few units, far from where exp overflows."""
-    np.minimum(logits, np.float32(80), out=logits)
+def _log_chances(h: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log of the share of each row's own column among all, of exp(h vectors); the largest is taken off only where exp would overflow."""
+    logits = h @ vectors
+    got = logits[np.arange(len(logits)), own]
     np.exp(logits, out=logits)
-    return np.log(logits.sum(axis=1) + np.float32(1e-30))
+    total = logits.sum(axis=1)
+    if not np.isfinite(total).all() or not total.all():
+        logits = h @ vectors
+        top = logits.max(axis=1)
+        return got - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    return got - np.log(total)
 
 
 def log_p(p: Parameters, units: Units, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of units given the two before: of the cluster, and of the unit in it."""
     out, c = np.empty(len(w), np.float64), units.cluster[w]
     a, b = p.r @ p.c1, p.r @ p.c2
-    h = a[w1] + b[w2]
-    for lo in range(0, len(w), _CHUNK):
-        part = slice(lo, lo + _CHUNK)
-        logits = h[part] @ p.qc.T + p.bc
-        got = logits[np.arange(len(logits)), c[part]]
-        out[part] = got - _log_sum(logits)
-    order = np.argsort(c, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) != 0, [True]]))
-    for i, j in zip(edges[:-1], edges[1:]):
-        members = units.members[c[order[i]]]
-        q, bias = p.q[members].T, p.b[members]
-        for lo in range(i, j, _CHUNK):
-            at = order[lo : min(j, lo + _CHUNK)]
-            logits = h[at] @ q + bias
-            got = logits[np.arange(len(at)), np.searchsorted(members, w[at])]
-            out[at] += got - _log_sum(logits)
+    h = np.ones((len(w), a.shape[1] + 1), np.float32)  # the last column meets the biases
+    np.add(a[w1], b[w2], out=h[:, :-1])
+    clusters = np.vstack([p.qc.T, p.bc])
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(w), _CHUNK):
+            part = slice(lo, lo + _CHUNK)
+            out[part] = _log_chances(h[part], clusters, c[part])
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) != 0, [True]]))
+        for i, j in zip(edges[:-1], edges[1:]):
+            members = units.members[c[order[i]]]
+            vectors = np.vstack([p.q[members].T, p.b[members]])
+            for lo in range(i, j, _CHUNK):
+                at = order[lo : min(j, lo + _CHUNK)]
+                out[at] += _log_chances(h[at], vectors, np.searchsorted(members, w[at]))
     return out
 
 
@@ -354,7 +359,7 @@ def train(texts: DataFrame, units: Units, dims: int, noise: int, rate: float, ba
 
 
 # -- scoring --------------------------------------------------------------------
-def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int = 16_384, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 2048, rounds: int = 2, tokens_a_trainer: int = 4_000_000, trainers: int = 1024, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int = 16_384, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 4096, rounds: int = 2, tokens_a_trainer: int = 2_000_000, trainers: int = 1024, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training_row(F.col(id_col), FOLDS).alias("trains"))
@@ -367,37 +372,39 @@ def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int
     least = cut_off(counts, head)
     base_of = -np.log10(n + SMOOTH * (v + 1))
     end_base = float(np.log10(ends + SMOOTH) + base_of)
-    sent = spark.sparkContext.broadcast((units, {bytes(r.word): float(np.log10(r.c + SMOOTH)) for r in counts.where(F.col("c") > least).collect()}))
+    known = sorted((bytes(r.word), r.c) for r in counts.where(F.col("c") > least).collect())
+    sent = spark.sparkContext.broadcast((units, {w: k for k, (w, _) in enumerate(known)}, np.array([units.of_word(w) for w, _ in known], np.int64), np.log10(np.array([c for _, c in known], np.float64) + SMOOTH)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units of each text; sums over the words that the head knows; the list of the others."""
-        units, log_count = sent.value
-        memo: dict[bytes, int] = dict(units.words)
+        units, place, unit_of, log_of = sent.value
+        unit_of, log_of = np.append(unit_of, END), np.append(log_of, 0.0)  # the last one stands for an end
+        inside_of = np.where(units.weight[unit_of] != 0, log_of, 0.0) - units.weight[unit_of]
+        get, end, unseen = place.get, len(unit_of) - 1, -1
         for rows in _slices(batches):
             texts = [words_of(t) for t in rows.column("text").to_pylist()]
-            ids, lengths, base, inside, rest = [], [], [], [], []
-            for words in texts:
-                own = []
-                for w in words:
-                    k = memo.get(w)
-                    if k is None:
-                        k = units.of_word(w)
-                        if len(memo) < _FLUSH * 2:
-                            memo[w] = k
-                    own.append(k)
-                logs = list(map(log_count.get, words))
-                numbers = np.array([*own, END], np.int64)
-                known = [y for y in logs if y is not None]
-                of_parts = sum(y for y, k in zip(logs, own) if y is not None and units.weight[k])
-                ids.append(numbers.astype(np.uint16).tobytes())
-                lengths.append(len(numbers))
-                base.append(sum(known) + (len(numbers) - 1) * base_of + end_base)
-                inside.append(of_parts - float(units.weight[numbers].sum()))
-                rest.append([w for w, y in zip(words, logs) if y is None])
+            lengths = np.array([len(x) + 1 for x in texts])
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            at = np.full(int(lengths.sum()), end, np.int64)
+            flat = [w for x in texts for w in x]
+            inner = np.ones(len(at), bool)
+            inner[starts + lengths - 1] = False
+            at[inner] = np.fromiter((get(w, unseen) for w in flat), np.int64, len(flat))
+            missed = np.flatnonzero(at == unseen)
+            at[missed] = end
+            ids, inside, base = unit_of[at], inside_of[at], log_of[at]
+            spots = missed - np.searchsorted(starts, missed, side="right") + 1  # places among the words alone
+            others = [flat[k] for k in spots]
+            ids[missed] = [units.of_word(w) for w in others]
+            inside[missed] = -units.weight[ids[missed]]
+            counts_of = np.bincount(np.searchsorted(starts, missed, side="right") - 1, minlength=len(texts))
+            edges = np.concatenate([[0], np.cumsum(counts_of)]).tolist()
+            data = ids.astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), rows.column("trains"), rows.column("share"), pa.array(lengths, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.array(ids, pa.binary()), pa.array(rest, pa.list_(pa.binary()))],
+                [rows.column("row"), rows.column("doc_id"), rows.column("trains"), rows.column("share"), pa.array(lengths), pa.array(np.add.reduceat(base, starts) + (lengths - 1) * base_of + end_base), pa.array(np.add.reduceat(inside, starts)),
+                 pa.array([data[i : i + n].tobytes() for i, n in zip(starts.tolist(), lengths.tolist())], pa.binary()), pa.array([others[i:j] for i, j in zip(edges[:-1], edges[1:])], pa.list_(pa.binary()))],
                 ["row", "doc_id", "trains", "share", "n_tokens", "base", "inside", "ids", "rest"],
-            )
+            )
 
     keyed = rows.withColumns({"row": F.monotonically_increasing_id(), "share": F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
     kind = dict(rows.dtypes)["doc_id"]
