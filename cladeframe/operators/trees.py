@@ -38,18 +38,28 @@ def depths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return nodes.join(paths.join(F.broadcast(root), "anc_id").select(F.col("desc_id").alias("node_id"), F.col("path_len").alias("depth"), F.col("hops").alias("level")), "node_id")
 
 
-def nearest_kept(nodes: DataFrame, paths: DataFrame, kept: DataFrame) -> DataFrame:
-    """The tree of the kept nodes (node_id): each hangs on its nearest kept ancestor at the whole length of the path."""
-    up = paths.where("hops > 0").join(kept.select(F.col("node_id").alias("anc_id")), "anc_id", "left_semi")
-    best = up.groupBy("desc_id").agg(F.min_by(F.struct("anc_id", "path_len"), "hops").alias("to"))
-    out = nodes.join(kept.select("node_id"), "node_id", "left_semi").drop("parent_id", "dist")
-    return out.join(best, out.node_id == best.desc_id, "left").drop("desc_id").select("*", F.col("to.anc_id").alias("parent_id"), F.coalesce("to.path_len", F.lit(0.0)).alias("dist")).drop("to")
-
-
-def collapse_short(nodes: DataFrame, paths: DataFrame, shortest: float = 0.0) -> DataFrame:
+def nearest_kept(nodes: DataFrame, kept: DataFrame) -> DataFrame:
+    """The tree of the kept nodes (node_id; the root among them): each hangs on its nearest kept ancestor at the whole length of the path.
+
+    Pointers to parents that go are replaced by those parents' own, so runs of such parents double each round and no closure
+    is needed: a round reads and writes a row for each node, even where the tree is one long chain."""
+    step = written(nodes.select("node_id", F.col("parent_id").alias("to"), F.col("dist").alias("length")), "pointers")
+    gone = written(nodes.select("node_id").join(kept.select("node_id"), "node_id", "left_anti"), "gone")
+    while True:
+        onward = step.join(gone, "node_id", "left_semi").select(F.col("node_id").alias("to"), F.col("to").alias("next"), F.col("length").alias("more"))
+        moved = written(step.join(onward, "to", "left").select("node_id", F.coalesce("next", "to").alias("to"), (F.col("length") + F.coalesce("more", F.lit(0.0))).alias("length"), F.col("next").isNotNull().alias("moved")), "pointers")
+        discard(step)
+        if moved.where("moved").isEmpty():
+            break
+        step = moved.drop("moved")
+        step.written_to = moved.written_to
+    out = nodes.join(gone, "node_id", "left_anti").drop("parent_id", "dist")
+    return out.join(moved.select("node_id", F.col("to").alias("parent_id"), F.when(F.col("to").isNull(), 0.0).otherwise(F.col("length")).alias("dist")), "node_id")
+
+
+def collapse_short(nodes: DataFrame, shortest: float = 0.0) -> DataFrame:
     """Internal nodes on branches of at most shortest go; their children hang on the next node that stays."""
-    kept = nodes.where((F.col("parent_id").isNull()) | F.col("is_leaf") | (F.col("dist") > shortest))
-    return nearest_kept(nodes, paths, kept)
+    return nearest_kept(nodes, nodes.where((F.col("parent_id").isNull()) | F.col("is_leaf") | (F.col("dist") > shortest)))
 
 
 def with_kept_leaves(nodes: DataFrame, paths: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -171,8 +181,7 @@ def collapse_same_alleles(nodes: DataFrame, paths: DataFrame, placed: DataFrame)
     bumped = F.first(F.when(F.col("before").isNull(), F.col("abundance")).otherwise(F.lit(1))).over(run) + F.row_number().over(run) - 1
     moved = rows.select("node_id", F.coalesce("before", "parent_id").alias("parent_id"), F.coalesce("gap", "dist").alias("dist"), "is_leaf", bumped.alias("abundance"))
     moved = written(moved, "collapsed")
-    chains = closure(moved)
-    return nearest_kept(moved, chains, branching(moved)).select("node_id", "parent_id", "dist", "is_leaf", "abundance")
+    return nearest_kept(moved, branching(moved)).select("node_id", "parent_id", "dist", "is_leaf", "abundance")
 
 
 def without_unchanged(nodes: DataFrame) -> DataFrame:
@@ -180,8 +189,8 @@ def without_unchanged(nodes: DataFrame) -> DataFrame:
     up = nodes.select(F.col("node_id").alias("parent_id"), F.col("label").alias("above"))
     counted = nodes.join(up, "parent_id", "left").select("node_id", "parent_id", F.when(F.col("parent_id").isNull() | F.col("label").eqNullSafe(F.col("above")), 0.0).otherwise(1.0).alias("dist"), "is_leaf")
     counted = written(counted, "counted")
-    short = written(collapse_short(counted, closure(counted)), "short")
-    return nearest_kept(short, closure(short), branching(short)).select("node_id", "parent_id", "dist", "is_leaf")
+    short = written(collapse_short(counted), "short")
+    return nearest_kept(short, branching(short)).select("node_id", "parent_id", "dist", "is_leaf")
 
 
 def merged_tissues(tissues: DataFrame, groups: DataFrame, without: list[str]) -> DataFrame:

@@ -380,13 +380,13 @@ _BRANCHING = "s AS (SELECT node_id FROM fx_node WHERE node_id='ROOT' OR is_leaf
 def unary_suppress(f: Fixture) -> DataFrame:
     paths = _paths(f)
     kept = trees.with_kept_leaves(f.node, paths, f.leaf.where("organ = '1-URGENT' AND abundance = 5"))
-    return trees.nearest_kept(kept, paths, trees.branching(kept)).select("node_id", "parent_id", "dist")
+    return trees.nearest_kept(kept, trees.branching(kept)).select("node_id", "parent_id", "dist")
 
 
 @plan(_duck("s AS (SELECT node_id FROM fx_node WHERE parent_id IS NULL OR is_leaf OR dist>0.12)",
  "SELECT s.node_id, b.anc_id AS parent_id, COALESCE(b.path_len,0) AS dist FROM s LEFT JOIN (SELECT desc_id, ARG_MIN(anc_id,hops) AS anc_id, MIN(path_len) AS path_len FROM closure WHERE hops>0 AND anc_id IN (SELECT node_id FROM s) GROUP BY 1) b ON b.desc_id=s.node_id"), "fx_node", "closure", doubles="dist")
 def short_collapse(f: Fixture) -> DataFrame:
-    return trees.collapse_short(f.node, _paths(f), 0.12).select("node_id", "parent_id", "dist")
+    return trees.collapse_short(f.node, 0.12).select("node_id", "parent_id", "dist")
 
 
 @plan("SELECT d.node_id, d.depth, COUNT(DISTINCT l.organ) AS n_organs, CAST(SUM(l.abundance) AS BIGINT) AS cells FROM depth d JOIN closure c ON c.anc_id=d.node_id AND c.hops>0 JOIN fx_leaf l ON l.node_id=c.desc_id GROUP BY 1,2", "fx_node", "closure", "fx_leaf", doubles="depth")

@@ -77,7 +77,7 @@ def prune_to_match(f: Fixture) -> DataFrame:
     fewer = f.other.where("is_leaf").where(F.substring("node_id", 2, 20).try_cast("long") % 9 == 0).select("node_id")
     shared = f.node.where("is_leaf").join(fewer, "node_id", "left_semi")
     kept = trees.with_kept_leaves(f.node, f.closure, shared)
-    return trees.nearest_kept(kept, f.closure, trees.branching(kept)).groupBy(F.substring("node_id", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+    return trees.nearest_kept(kept, trees.branching(kept)).groupBy(F.substring("node_id", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
 # -- one tree -----------------------------------------------------------------------------

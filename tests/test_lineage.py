@@ -68,10 +68,10 @@ def test_tree_operators(spark):
     nodes = spark.createDataFrame([("r", None, 0.0, False), ("a", "r", 0.0, False), ("b", "a", 0.5, False), ("x", "b", 0.5, True), ("y", "a", 1.0, True), ("z", "b", 0.5, True)], "node_id string, parent_id string, dist double, is_leaf boolean")
     paths = trees.closure(nodes)
     assert paths.count() == 6 + 1 + 2 + 3 + 3 + 2
-    flat = {r.node_id: (r.parent_id, r.dist) for r in trees.collapse_short(nodes, paths).collect()}
+    flat = {r.node_id: (r.parent_id, r.dist) for r in trees.collapse_short(nodes).collect()}
     assert flat == {"r": (None, 0.0), "b": ("r", 0.5), "x": ("b", 0.5), "y": ("r", 1.0), "z": ("b", 0.5)}
     kept = trees.with_kept_leaves(nodes, paths, nodes.where("node_id IN ('x', 'y')"))
-    thin = {r.node_id: (r.parent_id, r.dist) for r in trees.nearest_kept(kept, paths, trees.branching(kept)).collect()}
+    thin = {r.node_id: (r.parent_id, r.dist) for r in trees.nearest_kept(kept, trees.branching(kept)).collect()}
     assert thin == {"r": (None, 0.0), "a": ("r", 0.0), "x": ("a", 1.0), "y": ("a", 1.0)}
     pair = spark.createDataFrame([("x", "z"), ("x", "y")], "a string, b string")
     assert {(r.a, r.b, r.mrca, r.to_mrca) for r in trees.common_ancestors(paths, pair).collect()} == {("x", "z", "b", 0.5), ("x", "y", "a", 1.0)}
