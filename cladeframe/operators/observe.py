@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import numbered
+
 
 def group_observations(obs: DataFrame, *keys: str, at_least: int = 0) -> DataFrame:
     """Sum of abundance and number of rows by keys; groups below at_least go."""
@@ -18,9 +20,9 @@ def add_phantom(obs: DataFrame) -> DataFrame:
 
 
 def first_seen_ids(obs: DataFrame, value: str, order: str) -> DataFrame:
-    """Dense ids of values in the order of their first row."""
+    """Dense ids of values in the order of their first row, numbered by a range shuffle."""
     first = obs.groupBy(value).agg(F.min(order).alias("first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("first", value)) - 1).alias("id"))  # a row for each distinct value
+    return numbered(first, "first", value).select(value, F.col("row_number").cast("int").alias("id"))
 
 
 def abundance_ecdf(groups: DataFrame, most: int = 30) -> DataFrame:

@@ -251,9 +251,11 @@ def target_indel_summary(f: Fixture) -> DataFrame:
     return _unique(f).where("min_target = max_target").groupBy("min_target").agg(F.count("*").alias("n"), *stat("start_pos", "pos"), *stat("del_len", "len"))
 
 
-@plan(_duck(DEACT, "SELECT cell_id, target, COUNT(*) AS n FROM (SELECT cell_id, UNNEST(range(min_deact, max_deact+1)) AS target FROM d) x GROUP BY 1,2 HAVING COUNT(*)>1"), "fx_event")
+@plan(_duck(DEACT.replace("FROM fx_event e", "FROM fx_raw e"), "SELECT cell_id, target, COUNT(*) AS n FROM (SELECT cell_id, UNNEST(range(min_deact, max_deact+1)) AS target FROM d) x GROUP BY 1,2 HAVING COUNT(*)>1"), "fx_raw")
 def double_hits(f: Fixture) -> DataFrame:
-    spans = _dead(f).select("cell_id", F.explode(F.sequence("min_deact", "max_deact")).alias("target"))
+    """Targets that several raw events of a read leave inactive."""
+    dead = ev.deactivated(ev.with_design(f.raw, f.target))
+    spans = dead.select("cell_id", F.explode(F.sequence("min_deact", "max_deact")).alias("target"))
     return spans.groupBy("cell_id", "target").agg(F.count("*").alias("n")).where("n > 1")
 
 
