@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_cache, ego, feistel, fertility, lbl, mixing, nnpu, prefix_bpe, simhash, warc
+from . import alignment, digest_cache, ego, feistel, fertility, lbl, mixing, nnpu, prefix_bpe, simhash, warc
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +67,13 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_bitset_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path
+    return alignment.corpus_alignment(docs, path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op3_log_bilinear, op4_nnpu, op5_splitting_tree, op6_prefix_bpe, op7_epsilon_grid, op8_simhash, op9_boundary_chain, op10_feistel)}
+    return {f.__name__: f for f in (op1_fertility, op2_digest_cache, op3_log_bilinear, op4_nnpu, op5_splitting_tree, op6_prefix_bpe, op7_epsilon_grid, op8_simhash, op9_boundary_chain, op10_feistel, op11_bitset_alignment)}
 
 
 _BASE32 = " || ".join(
