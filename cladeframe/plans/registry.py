@@ -35,7 +35,7 @@ def with_views(text: str, select: str) -> str:
 
 
 def _load() -> None:
-    from . import details, lineage, reads, resampling, states, summaries, topology  # noqa: F401
+    from . import chains, details, lineage, reads, resampling, states, summaries, topology  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
