@@ -12,11 +12,17 @@ shard gets as many blocks as any other and a random share of every source.  A sh
 takes the next blocks of each source's permuted list and is shuffled locally.
 
 What the driver holds is a table of sources by BLOCKS rows, whatever the number of
-documents: a source is a named part of the mixture, not a key of the data.
-
-Rows: null text has size 0; a null source is a source, the last one; a source of
-size 0 has target 0; repeated rows fall into one block and are taken alike; an
-empty table gives an empty result.
+documents: a source is a named part of the mixture, not a key of the data, and more
+than MOST_SOURCES of them are an error.
+
+Rows: a row's block follows from its id, source and text; rows that agree in all three
+are told apart by a number among all such rows, so repeated rows, one id on many rows or
+rows without an id spread over the blocks like any others, and reruns agree.  Null text
+has size 0; a null source is a source, the last one; a source of size 0 has target 0.
+Very long texts are only counted and hashed, and a text longer than what its source's
+target leaves is not taken; equal sizes and ties need no order, blocks have one.  Further
+columns, whatever their names, come back untouched from mix; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +33,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import bounded, numbered
 from .common import WORD, written
 
 BLOCKS = 256
 WEIGHTS = (5, 2, 1)
+MOST_SOURCES = 20_000
 #: Rows of the block table up to which it is broadcast (about 60 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -100,6 +108,7 @@ class Plan:
 
     def __init__(self, spark: SparkSession, sizes: DataFrame, share: float, shards: int, seed: int):
         """sizes: source, size, block, sub of every document, at rest."""
+        bounded(sizes.select("source").distinct(), MOST_SOURCES, "sources")
         found = sizes.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()
         by_source: dict[str | None, dict[int, int]] = {}
         for r in found:
@@ -169,19 +178,34 @@ class Plan:
         return joined.withColumn("draws", keep).drop("plan_source", "plan_block", "tickets", "sub_source", "plan_sub", "chosen")
 
 
-def _places(id_col: Column, seed: int) -> tuple[Column, Column]:
-    block = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(BLOCKS)).cast("int")
-    sub = F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.lit(BLOCKS)).cast("int")
-    return block, sub
+def _placed(rows: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """rows with a column place: key (of id, source and text), block, sub, order.
+
+    Rows with a key of their own are placed by it.  Those that share one are few or copies: they alone are numbered, in the order of
+    keys, by a range shuffle that a random column splits where one key has many rows."""
+    key, times, salt, number = "_key", "_times", "_salt", "row_number"  # rows has columns of this module only
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in (id_col, source_col, text_col)), *(F.col(f"`{c}`").isNull() for c in (id_col, source_col, text_col)))
+    keyed = rows.withColumn(key, hashed)
+    shared = written(keyed.groupBy(key).agg(F.count("*").alias(times)).where(F.col(times) > 1), "shared-keys")
+    joined = keyed.join(shared, key, "left")
+    copies = numbered(joined.where(F.col(times).isNotNull()).withColumn(salt, F.xxhash64(F.monotonically_increasing_id())), key, salt).drop(salt)
+    alone = joined.where(F.col(times).isNull()).withColumn(number, F.lit(-1).cast("long"))
+    both = alone.unionByName(copies)
+    at = lambda k: F.xxhash64(F.lit(seed + k), key, number)
+    part = lambda k: F.pmod(at(k), F.lit(BLOCKS)).cast("int")
+    return both.select(*rows.columns, F.struct(part(0).alias("block"), part(1).alias("sub"), at(2).alias("order")).alias("place"))
 
 
 def _sizes(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    block, sub = _places(F.col(id_col), seed)
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), block.alias("block"), sub.alias("sub")), "sizes")
+    """doc_id, source, size, place of every row; a text is its hash before anything moves."""
+    hashed = F.xxhash64(F.col(f"`{text_col}`"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.when(F.col(f"`{text_col}`").isNotNull(), hashed).alias("text"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    placed = _placed(written(narrow, "narrow"), seed, "doc_id", "text", "source")
+    return written(placed.select("doc_id", "source", "size", "place.block", "place.sub"), "sizes")
 
 
 def taken(docs: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each document: doc_id, size, source_size, target, taken (words in the mix), shards (of its copies)."""
+    """A row for each document: doc_id, size, source_size, target, taken (words in the mix), shards (that the tree drew for its copies)."""
     sizes = _sizes(docs, seed, id_col, text_col, source_col)
     plan = Plan(docs.sparkSession, sizes, share, shards, seed)
     rows = plan.drawn(sizes).join(F.broadcast(plan.source_table()), F.col("source").eqNullSafe(F.col("plan_source")))  # a row for each source
@@ -191,9 +215,8 @@ def taken(docs: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 11,
 def mix(docs: DataFrame, share: float = 1.5, shards: int = 16, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: docs' columns, a row for each copy taken, ordered by shard and shuffled within it."""
     plan = Plan(docs.sparkSession, _sizes(docs, seed, id_col, text_col, source_col), share, shards, seed)
-    block, sub = _places(F.col(id_col), seed)
-    placed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), block.alias("block"), sub.alias("sub"))
-    copies = plan.drawn(placed).select("row", F.explode("draws").alias("draw"))
-    order = F.xxhash64(F.lit(seed + 2), F.col(f"row.{id_col}"), F.col("draw.pass"))
-    copies = copies.select("row", F.col("draw.shard").alias("shard"), order.alias("order"))
+    hashed = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.when(F.col(f"`{text_col}`").isNotNull(), F.xxhash64(F.col(f"`{text_col}`"))).alias("text"))
+    placed = _placed(hashed, seed, "doc_id", "text", "source").select("row", "source", "place.*")
+    copies = plan.drawn(placed).select("row", "order", F.explode("draws").alias("draw"))
+    copies = copies.select("row", F.col("draw.shard").alias("shard"), F.xxhash64("order", "draw.pass").alias("order"))
     return copies.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select("row.*")

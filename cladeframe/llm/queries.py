@@ -43,7 +43,7 @@ def op4_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards"))
 
 
 def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

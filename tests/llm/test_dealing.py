@@ -45,6 +45,59 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.taken(docs.where("false")).count() == 0 and mixing.mix(docs.where("false")).count() == 0
 
 
+def test_one_id_or_one_row_many_times(spark):
+    """Half of the rows under one id, a third of them the same row, many without an id: targets are met as with ids of their own."""
+    rows = [(7 if k % 2 else k, "w " * (k % 40) if k % 3 else "one two three", "ab"[k % 5 == 0], 1, "x") for k in range(3000)] + [(None, "u v " * (k % 9), "a", 1, "x") for k in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.taken(docs.withColumn("source", docs.source)).join(docs.select("source").distinct(), how="left_semi").collect()
+    own = Counter()
+    for _, t, s, *_ in rows:
+        own[s] += len(t.split())
+    size_of = {v: k for k, v in own.items()}
+    taken, target = Counter(), {}
+    for r in got:
+        taken[size_of[r.source_size]] += r.taken
+        target[size_of[r.source_size]] = r.target
+    assert all(abs(taken[s] - target[s]) <= 60 for s in own)
+    key = lambda r: (str(r.doc_id), r.size, r.taken, tuple(r.shards))
+    assert Counter(map(key, got)) == Counter(map(key, mixing.taken(docs.repartition(5, "shard", "text").sortWithinPartitions("doc_id")).collect()))
+    assert sum(len((r.text or "").split()) for r in mixing.mix(docs).collect()) == sum(taken.values())
+
+
+def test_tree_decides_shards(spark, monkeypatch):
+    """A plain rebuild: blocks in the plan's drawing order, dealt to shards as the tree's draw says; another tree gives other rows."""
+    _, docs = documents(spark)
+    rows = mixing.taken(docs).collect()
+    counts = Counter(s for r in rows for s in r.shards)
+    assert set(counts) == set(range(16))
+    plan = mixing.Plan(spark, mixing._sizes(docs, 11, "doc_id", "text", "source"), 1.5, 16, 11)
+    of_shard = Counter(r[3] for r in plan.rows)
+    assert max(of_shard.values()) - min(of_shard.values()) <= 1
+    for s in plan.sources:
+        tickets = [r for r in plan.rows if r[0] == s]
+        quotas = Counter(r[3] for r in tickets)
+        assert [r[3] for r in tickets] == [k for k in range(16) for _ in range(quotas[k])]
+        assert len({(b, p) for _, b, p, *_ in tickets}) == len(tickets)
+    def in_one(quotas, shards, seed):
+        out = np.zeros((shards, len(quotas)), np.int64)
+        out[0] = quotas
+        return out
+
+    monkeypatch.setattr(mixing, "split_quotas", in_one)
+    assert {s for r in mixing.taken(docs).collect() for s in r.shards} == {0}
+
+
+def test_splitting_tree_follows_its_law():
+    """Means of the draws of a shard are quota / shards, and variances those of the multivariate hypergeometric law."""
+    quotas, shards = np.array([60, 30, 6]), 4
+    draws = np.array([mixing.split_quotas(quotas, shards, seed)[1] for seed in range(1500)])
+    n, total = 24, 96
+    share = quotas / total
+    variance = n * share * (1 - share) * (total - n) / (total - 1)
+    assert np.abs(draws.mean(axis=0) - n * share).max() < 4 * np.sqrt(variance.max() / len(draws))
+    assert np.abs(draws.var(axis=0) / variance - 1).max() < 0.2
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([40, 7, 0, 1])
     out = mixing.split_quotas(quotas, 6, 1)
