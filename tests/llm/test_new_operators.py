@@ -188,7 +188,7 @@ def test_fill_in_middle(spark):
 
 def test_units():
     text = "ab  c\nd\n\ne"
-    cut = lambda unit: [text[i:j] for i, j in zip((c := fim.boundaries(fim.code_points(text), unit).tolist())[:-1], c[1:])]
+    cut = lambda unit: [fim.as_text(x) for x in np.split(fim.code_points(text), fim.boundaries(fim.code_points(text), unit)[1:-1])]
     assert cut("code point") == list(text)
     assert cut("word") == ["ab", "  ", "c", "\n", "d", "\n\n", "e"]
     assert cut("line") == ["ab  c\n", "d\n", "\n", "e"]
