@@ -69,16 +69,63 @@ def _within(links: list[DataFrame], starts: DataFrame, limits: DataFrame) -> Dat
     kept, out = None, []
     for d in range(len(links), -1, -1):
         at = starts if d == 0 else links[d - 1].select("chain", F.col("next").alias("tracts"), F.col("next_passed").alias("passed"))
-        here = at.where("passed").join(limits.where(F.col("steps") >= d), "chain", "left_semi")
+        here = at.where("passed").join(limits.where(F.col("steps") >= d), "chain", "left_semi").select("chain", "tracts", "passed")
         if kept is not None:
             to = kept.select("chain", F.col("tracts").alias("next"), F.col("passed").alias("next_passed"))
             here = here.unionByName(links[d].join(to, ["chain", "next", "next_passed"], "left_semi").select("chain", "tracts", "passed"))
         kept = written(here.distinct(), "kept")
         out.append(kept)
-    found = written(reduce(DataFrame.unionByName, out).select("chain", "tracts").distinct(), "close")
-    for used in out:
-        discard(used)
-    return found
+    return reduce(DataFrame.unionByName, out).select("chain", "tracts").distinct()
+
+
+class Search:
+    """The search's expressions over n targets, built once for all its rounds."""
+
+    def __init__(self, n: int):
+        self.allowed = allowed_tracts(F.col("state"), n)
+        self.own = own_tracts(F.col("state"))
+        self.reach = sa.max_status(F.col("state"))
+        self.status = sa.status_of(F.col("tracts"))
+        left = F.col("reach").bitwiseAND(F.bitwise_not(F.col("status")))
+        self.usable = F.explode(F.filter("allowed", lambda t: _bit(left, t["min_t"]) & _bit(left, t["max_t"])))
+        self.next = sa.merged(F.concat("tracts", F.array("t").cast(sa.TRACTS)))
+        self.possible = sa.is_possible(F.col("state"), F.col("next"))
+        self.next_status = sa.status_of(F.col("next"))
+
+    def close(self, chains: DataFrame, starts: DataFrame, extra: int = 1, most: int = 3000) -> tuple[DataFrame, DataFrame]:
+        """See close_states."""
+        most_extra = F.when(F.pow(F.lit(2.0), F.col("required")) <= most, extra).otherwise(max(extra - 1, 0)).cast("int")
+        table = written(chains.select("chain", "state", "required", "asked", self.reach.alias("reach"), self.allowed.alias("allowed"), most_extra.alias("extra")), "chains")
+        missing = lambda status: F.col("asked").bitwiseAND(F.bitwise_not(status))
+        first = starts.join(table.select("chain", "asked"), "chain").withColumn("status", self.status)
+        first = written(first.select("chain", "tracts", "status", (missing(F.col("status")) == 0).alias("passed")).distinct(), "starts")
+        links: list[DataFrame] = []
+        frontier, steps = first, F.col("required") + F.col("extra")
+        for d in range(1, 1 + (table.agg(F.max(steps)).first()[0] or 0)):
+            here = frontier.join(table.where(steps >= d), "chain").withColumn("t", self.usable).withColumn("next", self.next).where(self.possible).withColumn("next_status", self.next_status)
+            passes = (F.col("passed") | (missing(F.col("next_status")) == 0)).alias("next_passed")
+            links.append(written(here.select("chain", "tracts", "passed", "next", "next_status", passes).distinct(), "moves"))
+            frontier = links[-1].select("chain", F.col("next").alias("tracts"), F.col("next_status").alias("status"), F.col("next_passed").alias("passed")).distinct()
+        exact = table.where(steps == 0).select("chain", self.own.alias("tracts"))
+        todo, done, reports = table, [], []
+        for back in range(extra + 1):
+            found = _within(links, first, todo.where(steps > 0).select("chain", steps.alias("steps")))
+            found = written((found if back else found.unionByName(exact)).withColumn("status", self.status), "close")
+            own = todo.select("chain", "extra", "required").join(found.groupBy("chain").agg(F.count_distinct("status").alias("statuses")), "chain", "left")
+            own = written(own.withColumn("statuses", F.coalesce("statuses", F.lit(0).cast("long"))), "sizes")
+            again = own.where((F.col("statuses") > most) & (F.col("extra") > 0) & (steps > 1)).select("chain")
+            over = (F.col("statuses") > most).alias("over")
+            if again.isEmpty():
+                reports.append(own.select("chain", "extra", "statuses", over))
+                done.append(found)
+                break
+            settled = own.join(again, "chain", "left_anti")
+            reports.append(settled.select("chain", "extra", "statuses", over))
+            done.append(found.join(settled.select("chain"), "chain", "left_semi"))
+            todo = todo.join(again, "chain", "left_semi").withColumn("extra", F.col("extra") - 1)
+        for used in links:
+            discard(used)
+        return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, reports)
 
 
 def close_states(chains: DataFrame, starts: DataFrame, n: int, extra: int = 1, most: int = 3000) -> tuple[DataFrame, DataFrame]:
@@ -90,44 +137,7 @@ def close_states(chains: DataFrame, starts: DataFrame, n: int, extra: int = 1, m
     Without any step the state is that of the singletons.
 
     Returns (chain, tracts, status) and a report of every chain: chain, extra (as used), statuses, over (still more than most)."""
-    reach = sa.max_status(F.col("state"))
-    table = chains.select("chain", "state", "required", "asked", reach.alias("reach"), allowed_tracts(F.col("state"), n).alias("allowed"))
-    most_extra = F.when(F.pow(F.lit(2.0), F.col("required")) <= most, extra).otherwise(max(extra - 1, 0))
-    table = written(table.withColumn("extra", most_extra.cast("int")), "chains")
-    passed = lambda tracts: F.col("asked").bitwiseAND(F.bitwise_not(sa.status_of(tracts))) == 0
-    first = written(starts.join(table.select("chain", "asked"), "chain").select("chain", "tracts", passed(F.col("tracts")).alias("passed")).distinct(), "starts")
-    links: list[DataFrame] = []
-    frontier = first
-    for d in range(1, 1 + (table.agg(F.max(F.col("required") + F.col("extra"))).first()[0] or 0)):
-        here = frontier.join(table.where(F.col("required") + F.col("extra") >= d), "chain")
-        left = F.col("reach").bitwiseAND(F.bitwise_not(sa.status_of(F.col("tracts"))))
-        moves = here.withColumn("left", left).withColumn("t", F.explode(F.filter("allowed", lambda t: _bit(F.col("left"), t["min_t"]) & _bit(F.col("left"), t["max_t"]))))
-        moves = moves.withColumn("next", sa.merged(F.concat("tracts", F.array("t").cast(sa.TRACTS)))).where(sa.is_possible(F.col("state"), F.col("next")))
-        links.append(written(moves.select("chain", "tracts", "passed", "next", (F.col("passed") | passed(F.col("next"))).alias("next_passed")).distinct(), "moves"))
-        frontier = links[-1].select("chain", F.col("next").alias("tracts"), F.col("next_passed").alias("passed")).distinct()
-    still = lambda c: F.col("required") + F.col("extra") == 0 if c else F.col("required") + F.col("extra") > 0
-    todo, done, reports = table.where(still(False)), [], []
-    exact = table.where(still(True)).select("chain", own_tracts(F.col("state")).alias("tracts"))
-    for back in range(extra + 1):
-        limits = todo.select("chain", (F.col("required") + F.col("extra")).alias("steps"))
-        found = _within(links, first, limits)
-        if back == 0:
-            found = written(found.unionByName(exact), "close")
-            todo = table
-        own = todo.select("chain", "extra", "required").join(found.groupBy("chain").agg(F.count_distinct(sa.status_of(F.col("tracts"))).alias("statuses")), "chain", "left")
-        own = written(own.select("chain", "extra", "required", F.coalesce("statuses", F.lit(0).cast("long")).alias("statuses")), "sizes")
-        again = own.where((F.col("statuses") > most) & (F.col("extra") > 0) & (F.col("required") + F.col("extra") > 1))
-        settled = own.join(again.select("chain"), "chain", "left_anti")
-        reports.append(settled.select("chain", "extra", "statuses", (F.col("statuses") > most).alias("over")))
-        done.append(found.join(settled.select("chain"), "chain", "left_semi"))
-        if again.isEmpty():
-            break
-        todo = table.join(again.select("chain"), "chain", "left_semi").withColumn("extra", F.col("extra") - (back + 1))
-    out = reduce(DataFrame.unionByName, done)
-    out = written(out.select("chain", "tracts", sa.status_of(F.col("tracts")).alias("status")), "close-states")
-    for used in links:
-        discard(used)
-    return out, reduce(DataFrame.unionByName, reports)
+    return Search(n).close(chains, starts, extra, most)
 
 
 def _shared_chains(rows: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -153,17 +163,20 @@ def tree_states(annotated: DataFrame, levels: DataFrame, n: int, extra: int = 1,
     spark = annotated.sparkSession
     all_states = [spark.range(1).select(F.lit("root").alias("chain"), none.alias("tracts"), F.lit(0).cast("long").alias("status"))]
     all_nodes = [root.select(*NODE, F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("chain"))]
-    all_chains = []
+    all_chains, search = [], Search(n)
     for level in range(1, 1 + (placed.agg(F.max("level")).first()[0] or 0)):
         rows = placed.where(F.col("level") == level)
         up = lambda t: rows.select(*NODE, "parent_id").join(t.withColumnRenamed("node_id", "parent_id"), ["barcode", "parent_id"]).select(*NODE, "tracts")
         chains, starts, nodes = _shared_chains(rows, up(have))
-        found, _ = close_states(chains, starts, n, extra, most)
+        states, report = search.close(chains, starts, extra, most)
         children = rows.groupBy("barcode", "parent_id").agg(F.count("*").alias("children"))
-        kept = nodes.join(found.select("chain", "tracts"), "chain").groupBy("barcode", "parent_id", "tracts").agg(F.count("*").alias("k"))
+        kept = nodes.join(states.select("chain", "tracts"), "chain").groupBy("barcode", "parent_id", "tracts").agg(F.count("*").alias("k"))
         shared = kept.join(children, ["barcode", "parent_id"]).where("k = children").select("barcode", F.col("parent_id").alias("node_id"), "tracts").join(have, [*NODE, "tracts"], "left_semi")
-        chains, starts, nodes = _shared_chains(rows, up(written(shared, "shared")))
-        states, report = close_states(chains, starts, n, extra, most)
+        shared = written(shared, "shared")
+        parents = rows.select("barcode", F.col("parent_id").alias("node_id")).distinct()
+        if not have.join(parents, NODE, "left_semi").join(shared, [*NODE, "tracts"], "left_anti").isEmpty():  # else nothing changes
+            chains, starts, nodes = _shared_chains(rows, up(shared))
+            states, report = search.close(chains, starts, extra, most)
         all_states.append(states)
         all_nodes.append(nodes)
         all_chains.append(chains.select("chain", "state", "required", "asked").join(report, "chain"))
