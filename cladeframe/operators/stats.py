@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,20 +87,21 @@ def cross_spearman(one: DataFrame, two: DataFrame, subject_one: str, subject_two
     return side(one, subject_one, "a").join(side(two, subject_two, "b"), item).groupBy("a", "b").agg(correlation("rank_a", "rank_b").alias("rho"))
 
 
-def shuffled_labels(labels: DataFrame, shuffles: list[tuple[int, int, int]]) -> DataFrame:
-    """replicate, node_id, organ, abundance: for each replicate (its number, a factor prime to the number of leaves, a shift) leaf i
-    takes the labels of leaf (i * factor + shift) mod n; their abundances are dealt anew among as many distinct organs drawn
-    from all, both in the order of digests.  labels: node_id, organ, abundance."""
+def shuffled_labels(labels: DataFrame, replicates: int) -> DataFrame:
+    """replicate, node_id, organ, abundance: for each replicate from 0 on a random permutation of the leaves, whatever their number: the
+    leaf with number i, in the order of names, takes the labels of the i-th in the order of digests of replicate and name.  Their
+    abundances are dealt anew among as many distinct organs drawn from all, both in the order of digests.
+
+    labels: node_id, organ, abundance.  Leaves and digests are numbered by range shuffles, so no task holds a whole replicate."""
     groups = labels.groupBy("node_id").agg(F.collect_list(F.struct("organ", "abundance")).alias("own"))
     leaves = written(numbered(groups, "node_id"), "leaves")
     n = leaves.count()
-    if bad := [s for s in shuffles if math.gcd(n, s[1]) != 1]:
-        raise ValueError(f"factors that {n} leaves share a divisor with: {bad}")
     organs = bounded(labels.select("organ").distinct(), 10_000, "organs").agg(F.array_sort(F.collect_list("organ")).alias("organs"))
-    table = labels.sparkSession.createDataFrame(shuffles, "replicate int, factor long, shift long")
-    to = leaves.select("node_id", "row_number").join(F.broadcast(table)).select("replicate", "node_id", ((F.col("row_number") * F.col("factor") + F.col("shift")) % n).alias("row_number"))
-    moved = to.join(leaves.select("row_number", "own"), "row_number").join(F.broadcast(organs))
     digest = lambda kind, x: F.md5(F.concat_ws("|", F.lit(kind), F.col("replicate").cast("string"), "node_id", x))
+    each = leaves.select("node_id", "own", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    ranked = numbered(each.withColumn("d", digest("leaf", F.lit(""))), "replicate", "d", "node_id")
+    givers = ranked.select("replicate", "own", (F.col("row_number") - F.col("replicate") * F.lit(n)).alias("row_number"))
+    moved = givers.join(leaves.select("row_number", "node_id"), "row_number").join(F.broadcast(organs))  # one row
     dealt = F.array_sort(F.transform("own", lambda x: F.struct(digest("abundance", x["organ"]).alias("d"), x["abundance"].alias("abundance"))))
     drawn = F.array_sort(F.transform("organs", lambda x: F.struct(digest("organ", x).alias("d"), x.alias("organ"))))
     pairs = F.explode(F.zip_with(dealt, F.slice(drawn, 1, F.size("own")), lambda a, o: F.struct(o["organ"].alias("organ"), a["abundance"].alias("abundance"))))

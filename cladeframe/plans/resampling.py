@@ -60,10 +60,10 @@ def two_sample_bootstrap(f: Fixture) -> DataFrame:
     return stats.bootstrap_pairs(matrix, _draws(f, ORGANS), _draws(f, ["F", "O", "P"]))
 
 
-#: Replicates of shuffled labels: leaf number i takes the labels of number (i * factor + shift) mod n.
-SHUFFLES = [(0, 7, 3), (1, 11, 5), (2, 13, 8), (3, 17, 21), (4, 19, 34)]
-_SHUFFLED = """ix AS (SELECT node_id, CAST(ROW_NUMBER() OVER (ORDER BY node_id)-1 AS BIGINT) AS i FROM (SELECT DISTINCT node_id FROM fx_tissue) z), nn AS (SELECT COUNT(*) AS n FROM ix), rp(replicate, factor, shift) AS (VALUES (0,7,3),(1,11,5),(2,13,8),(3,17,21),(4,19,34)),
- og AS (SELECT DISTINCT organ FROM fx_tissue), gv AS (SELECT rp.replicate, a.node_id, b.node_id AS giver FROM rp, nn, ix a JOIN ix b ON b.i=(a.i*rp.factor+rp.shift)%nn.n),
+#: Replicates of shuffled labels: in each, leaves take labels in the order of digests.
+SHUFFLES = 8
+_SHUFFLED = f"""ix AS (SELECT node_id, CAST(ROW_NUMBER() OVER (ORDER BY node_id)-1 AS BIGINT) AS i FROM (SELECT DISTINCT node_id FROM fx_tissue) z), rp AS (SELECT CAST(UNNEST(range({SHUFFLES})) AS INT) AS replicate),
+ og AS (SELECT DISTINCT organ FROM fx_tissue), rk AS (SELECT replicate, node_id, ROW_NUMBER() OVER (PARTITION BY replicate ORDER BY md5(concat_ws('|','leaf',replicate,node_id,'')), node_id)-1 AS i FROM rp, ix), gv AS (SELECT rk.replicate, ix.node_id, rk.node_id AS giver FROM rk JOIN ix USING (i)),
  ab AS (SELECT g.replicate, g.node_id, t.abundance, ROW_NUMBER() OVER (PARTITION BY g.replicate, g.node_id ORDER BY md5(concat_ws('|','abundance',g.replicate,g.node_id,t.organ))) AS k FROM gv g JOIN fx_tissue t ON t.node_id=g.giver),
  oo AS (SELECT g.replicate, g.node_id, og.organ, ROW_NUMBER() OVER (PARTITION BY g.replicate, g.node_id ORDER BY md5(concat_ws('|','organ',g.replicate,g.node_id,og.organ))) AS k FROM gv g, og),
  sh AS (SELECT ab.replicate, ab.node_id, oo.organ, ab.abundance FROM ab JOIN oo USING (replicate, node_id, k))"""
