@@ -4,8 +4,9 @@ The vector predicted for a token is C1 r(w1) + C2 r(w2) of the two tokens before
 word has vectors: a frequent one its own, any other those of the words that begin with the same
 three bytes (so that contexts tell what language or field they are of).  These units, the end of
 a text among them (which also stands before its start), grow with the vocabulary: one for every
-``words_a_unit`` distinct words, at least ``fewest`` and at most ``most``, half of them words and half
-beginnings; rarer beginnings fall by hash into ``_REST`` units.
+``words_a_unit`` distinct words up to ``many`` units, at least ``fewest``, and beyond that one more for every
+``more_words_a_unit``; half of them words and half beginnings; rarer beginnings fall by hash into
+``_REST`` units.
 
 Units stand in clusters, about the square root of their number, in the order of their bytes.
 A token's probability is that of its cluster given the predicted vector, times that of its
@@ -13,11 +14,11 @@ unit among its cluster's, times its smoothed share among its unit's training tok
 factor is normalised, over all words and one unseen one of each unit, by products of matrices.
 
 Spark counts every word of the training texts and turns texts into numbers of units once.
-Training deals training texts by their ids to one trainer for each ``tokens_a_trainer`` tokens
-(at most ``trainers``), so the model depends on the data and not on the cluster.  A trainer goes
+Training deals training texts by their ids to one trainer for each ``tokens_a_trainer`` tokens,
+so the model depends on the data and not on the cluster.  A trainer goes
 over its tokens in mini-batches (AdaGrad in numpy; a cluster's noise is shared by a batch, a
-unit's drawn for each token); the vectors of all are averaged, each unit's by how often a
-trainer met it, in ``rounds`` rounds, each over its part of the texts and from the last
+unit's drawn for each token); the vectors of all are averaged, _FAN trainers at a time, each unit's by
+how often a trainer met it, in ``rounds`` rounds, each over its part of the texts and from the last
 one's mean, so that every training token is gone over once.
 
 The ``head`` most frequent words go to the tasks with their counts (a fixed number of
@@ -51,8 +52,10 @@ PREFIX = 3
 _REST = 64
 #: Distinct words that a task counts before it passes them on; texts whose words it holds at a time; tokens scored at once.
 _FLUSH, _SLICE, _CHUNK = 200_000, 256, 4096
-#: Counts up to which the most frequent words are told apart when a bound for them is looked for.
-_MOST_COUNT = 100_000
+#: Buckets of counts for each doubling when a bound for the most frequent words is looked for.
+_STEPS = 64
+#: Trainers whose vectors are averaged in one group.
+_FAN = 16
 _LN10 = float(np.log(10))
 
 
@@ -135,6 +138,18 @@ class Parameters:
         return Parameters(*out)
 
 
+def _short(ids: np.ndarray, n: int) -> np.ndarray:
+    """ids below n in the form that sorts fastest."""
+    return ids.astype(np.uint16) if n <= 1 << 16 else ids
+
+
+def packed(ids: np.ndarray) -> np.ndarray:
+    """ids as 32-bit numbers; one that does not fit is an error."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < 1 << 32:
+        raise ValueError("a unit's number beyond 32 bits")
+    return ids.astype(np.uint32)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -158,7 +173,7 @@ class Trainer:
 
     def _move(self, ids: np.ndarray, *moved: tuple[int, np.ndarray]) -> None:
         """AdaGrad steps on rows of parameters (number, gradients of the ids); rows of equal ids are summed first."""
-        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        order = np.argsort(_short(ids, len(self.met)), kind="stable")
         ranked = ids[order]
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         own = ranked[starts]
@@ -239,7 +254,7 @@ def log_p(p: Parameters, units: Units, w: np.ndarray, w1: np.ndarray, w2: np.nda
         for lo in range(0, len(w), _CHUNK):
             part = slice(lo, lo + _CHUNK)
             out[part] = _log_chances(h[part], clusters, c[part])
-        order = np.argsort(c.astype(np.uint16), kind="stable")
+        order = np.argsort(_short(c, len(units.members)), kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) != 0, [True]]))
         for i, j in zip(edges[:-1], edges[1:]):
             members = units.members[c[order[i]]]
@@ -280,14 +295,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def cut_off(counts: DataFrame, most: int) -> int:
-    """The count above which there are at most so many rows (c): from a histogram, so that no task sends its own top."""
-    rows = counts.groupBy(F.least("c", F.lit(_MOST_COUNT)).alias("c")).agg(F.count("*").alias("n")).collect()  # a row for each count
-    left, cut = most, _MOST_COUNT
-    for r in sorted(rows, key=lambda r: -r.c):
-        if r.n > left:
-            break
-        left, cut = left - r.n, r.c - 1
-    return cut
+    """The least count above which there are at most so many rows (c), whatever the counts: by histograms, so that no task sends its own
+    top, first over _STEPS buckets for each doubling, then over the counts within the bucket that the bound falls into."""
+    bucket = F.floor(F.log2("c") * _STEPS)
+    rows = counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()  # at most 63 * _STEPS rows
+    left = most
+    for r in sorted(rows, key=lambda r: -r.b):
+        if r.n > left:  # as many counts as its width or its rows, of which a corpus of N words has N / c
+            for x in sorted(counts.where(bucket == r.b).groupBy("c").agg(F.count("*").alias("n")).collect(), key=lambda x: -x.c):
+                if x.n > left:
+                    return x.c
+                left -= x.n
+        left -= r.n
+    return 0
 
 
 def made_units(counts: DataFrame, ends: int, size: int) -> Units:
@@ -314,10 +334,11 @@ def train(texts: DataFrame, units: Units, dims: int, noise: int, rate: float, ba
     """Parameters after the rounds over texts (trainer, part, ids); a round sees the texts of its part."""
     spark, start = texts.sparkSession, Parameters.start(units, dims, seed)
     held_units = spark.sparkContext.broadcast(units)
-    dealt = texts.select("trainer", "part", F.crc32("ids").alias("order"), "ids")
+    dealt = texts.select("trainer", "part", F.xxhash64("ids").alias("order"), "ids")
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         """Each unit's vectors weighted by how often a trainer met it, all else by tokens."""
+        rows = rows.sort_values("p", ignore_index=True)  # sums in one order, so reruns agree
         ps = [start.filled(np.frombuffer(p, np.float32)).arrays() for p in rows.p]
         met = [np.frombuffer(m, np.float64) for m in rows.met]
         tokens = rows.tokens.to_numpy(np.float64)
@@ -330,7 +351,7 @@ def train(texts: DataFrame, units: Units, dims: int, noise: int, rate: float, ba
                 weights = list(tokens)
             out.append(sum(p[k] * w for p, w in zip(ps, weights)) / sum(weights))
         flat = np.concatenate([x.ravel() for x in out]).astype(np.float32)
-        return pd.DataFrame({"tokens": [int(tokens.sum())], "p": [flat.tobytes()], "met": [sum(met).tobytes()]})
+        return pd.DataFrame({"g": rows.g[:1].to_numpy(), "tokens": [int(tokens.sum())], "p": [flat.tobytes()], "met": [sum(met).tobytes()]})
 
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(start)
@@ -343,23 +364,29 @@ def train(texts: DataFrame, units: Units, dims: int, noise: int, rate: float, ba
                     if t not in held:
                         held[t], tokens[t] = Trainer(sent.value, held_units.value, noise, rate, seed + 1 + k + 1000 * t), 0
                     mine = [x.as_py() for x, y in zip(rows.column("ids"), rows.column("trainer").to_pylist()) if y == t]
-                    ids = np.frombuffer(b"".join(mine), np.uint16).astype(np.int64)
+                    ids = np.frombuffer(b"".join(mine), np.uint32).astype(np.int64)
                     held[t].texts(ids, batch)
                     tokens[t] += len(ids)
             for t, trainer in sorted(held.items()):
-                yield pa.RecordBatch.from_arrays([pa.array([t % 16]), pa.array([tokens[t]]), pa.array([trainer.p.flat().tobytes()], pa.binary()), pa.array([trainer.met.tobytes()], pa.binary())], ["g", "tokens", "p", "met"])
+                yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([tokens[t]]), pa.array([trainer.p.flat().tobytes()], pa.binary()), pa.array([trainer.met.tobytes()], pa.binary())], ["g", "tokens", "p", "met"])
 
         placed = dealt.where(F.col("part") == k).repartition(trainers, "trainer").sortWithinPartitions("trainer", "order")
         learned = written(placed.mapInArrow(learn, "g long, tokens long, p binary, met binary"), "learned")
-        found = learned.groupBy("g").applyInPandas(mean, "tokens long, p binary, met binary").collect()  # at most 16 rows
+        left = trainers
+        while left > 1:
+            left = -(-left // _FAN)
+            up = written(learned.withColumn("g", F.expr(f"g div {_FAN}")).groupBy("g").applyInPandas(mean, "g long, tokens long, p binary, met binary"), "learned")
+            discard(learned)
+            learned = up
+        found = learned.first()  # the only row
         discard(learned)
         if found:
-            start = start.filled(np.frombuffer(mean(pd.DataFrame([r.asDict() for r in sorted(found, key=lambda r: bytes(r.p))])).p[0], np.float32))
+            start = start.filled(np.frombuffer(found.p, np.float32))
     return start
 
 
 # -- scoring --------------------------------------------------------------------
-def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int = 16_384, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 4096, rounds: int = 2, tokens_a_trainer: int = 2_000_000, trainers: int = 1024, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, many: int = 16_384, more_words_a_unit: int = 1024, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 4096, rounds: int = 2, tokens_a_trainer: int = 2_000_000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training_row(F.col(id_col), FOLDS).alias("trains"))
@@ -368,7 +395,7 @@ def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int
     ends = training.count()
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = whole.n + ends, whole.v + (ends > 0)
-    units = made_units(counts, ends, max(fewest, min(most, whole.v // words_a_unit)))
+    units = made_units(counts, ends, max(fewest, min(many, whole.v // words_a_unit) + max(0, whole.v - many * words_a_unit) // more_words_a_unit))
     least = cut_off(counts, head)
     base_of = -np.log10(n + SMOOTH * (v + 1))
     end_base = float(np.log10(ends + SMOOTH) + base_of)
@@ -399,7 +426,7 @@ def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int
             inside[missed] = -units.weight[ids[missed]]
             counts_of = np.bincount(np.searchsorted(starts, missed, side="right") - 1, minlength=len(texts))
             edges = np.concatenate([[0], np.cumsum(counts_of)]).tolist()
-            data = ids.astype(np.uint16)
+            data = packed(ids)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("row"), rows.column("doc_id"), rows.column("trains"), rows.column("share"), pa.array(lengths), pa.array(np.add.reduceat(base, starts) + (lengths - 1) * base_of + end_base), pa.array(np.add.reduceat(inside, starts)),
                  pa.array([data[i : i + n].tobytes() for i, n in zip(starts.tolist(), lengths.tolist())], pa.binary()), pa.array([others[i:j] for i, j in zip(edges[:-1], edges[1:])], pa.list_(pa.binary()))],
@@ -409,7 +436,7 @@ def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int
     keyed = rows.withColumns({"row": F.monotonically_increasing_id(), "share": F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
     kind = dict(rows.dtypes)["doc_id"]
     encoded = written(keyed.mapInArrow(encode, f"row long, doc_id {kind}, trains boolean, share long, n_tokens long, base double, inside double, ids binary, rest array<binary>"), "encoded")
-    several = max(1, min(trainers, -(-n // tokens_a_trainer)))
+    several = max(1, -(-n // tokens_a_trainer))
     by = F.xxhash64("share")
     dealt = encoded.where("trains").select(F.pmod(by, F.lit(several)).cast("int").alias("trainer"), F.pmod(F.shiftright(by, 32), F.lit(rounds)).alias("part"), "ids")
     parameters = spark.sparkContext.broadcast(train(dealt, units, dims, noise, rate, batch, rounds, several, seed))
@@ -418,7 +445,7 @@ def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, most: int
         units = sent.value[0]
         for rows in _slices(batches):
             lengths = rows.column("n_tokens").to_numpy()
-            ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), np.uint16).astype(np.int64)
+            ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), np.uint32).astype(np.int64)
             one, two = contexts(ids)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             logs = np.add.reduceat(log_p(parameters.value, units, ids, one, two), starts) / _LN10

@@ -7,26 +7,32 @@ negatives, and whenever the data push it below zero its gradient is turned round
 
 Features are the words of the whole text (lower-cased, without marks at their ends)
 and their beginnings of five and six letters, present or not, under 64-bit names.
-Spark counts the features of the samples; the ``features`` of them that speak most
-for the positives are the model's inputs.  Fitting takes at most ``positives``
-confirmed and ``unlabelled`` other training documents, those with the smallest
-hashes of their ids, one text of each id (the least); the prior comes from all training labels.  A feature needs
-``evidence`` (texts with it times the log of its over-representation) well above what
-chance gives the luckiest of a million words, and by itself a ``posterior`` (prior
-times over-representation) well above one half, which common words never have.  Both bounds and the
-number of features bound what reaches the driver.
+Spark counts the features of the confirmed texts and of all training texts.  A feature's
+evidence is twice the log-likelihood ratio of its share among the confirmed against its
+share among all; of either sign, over- and under-represented, the ``features`` with most
+evidence enter, of those with ``least`` or more.  One that speaks for the positives must by
+itself make them likelier than not (prior times over-representation ``posterior`` or more),
+which common words never do.
+
+Fitting takes at most ``positives`` confirmed documents, those with the smallest hashes of
+their ids, one text of each id (the least), and every training document as unlabelled.
+Training documents are dealt by hash to one trainer for each ``texts_a_trainer``; all
+trainers hold the confirmed ones.  Each lowers the whole risk over its texts by Adam,
+and the trainers' weights are averaged, in ``rounds`` rounds; one trainer is the plain
+estimator.  The prior comes from all training labels.
 
 Labels of rows whose crc32(id) mod 5 is 0 are never used; nor are labels, language,
 source or id inputs of a score.  Rows: null text counts as empty and scores by the
 bias alone; very long texts are read whole; null labels are no labels; repeated rows
-give repeated results, and an id that is repeated is one example; other columns, whatever
-their names, are not looked at; without
+give repeated results and count as often among the unlabelled, an id that is repeated is
+one confirmed example; other columns, whatever their names, are not looked at; without
 any positive example every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,11 +42,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_row, written
+from .common import discard, training_row, written
 
 FOLDS = 5
 _MARKS = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
-_MEMO_ENTRIES = 300_000
+_MEMO_ENTRIES = 200_000
+#: Texts whose features a task holds at a time.
+_SLICE = 256
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -62,16 +70,34 @@ def text_features(text: str | None) -> set[int]:
 
 
 # -- learning -----------------------------------------------------------------
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, gamma: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that lower prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)) under the logistic loss, by Adam."""
-    n = positive.shape[1]
-    w = np.zeros(n + 1)
-    w[n] = np.log(prior / (1 - prior))
+@dataclass
+class Texts:
+    """The chosen features of texts: on holds them in a row, ends up to which each text's go."""
+
+    on: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Texts:
+        return cls(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.cumsum([len(r) for r in rows]))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Of each text its features' weights."""
+        upto = np.concatenate([[0.0], np.cumsum(weights[self.on])])
+        return upto[self.ends] - upto[np.concatenate([[0], self.ends[:-1]])]
+
+    def spread(self, values: np.ndarray, n: int) -> np.ndarray:
+        """Of each feature its texts' values."""
+        return np.bincount(self.on, np.repeat(values, np.diff(self.ends, prepend=0)), minlength=n)
+
+
+def fit_nnpu(positive: Texts, unlabelled: Texts, prior: float, start: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 3e-4, gamma: float = 1.0) -> np.ndarray:
+    """Weights, the last one the bias, that lower prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)) under the logistic loss, by Adam."""
+    n, w = len(start) - 1, start.copy()
     first, second = np.zeros(n + 1), np.zeros(n + 1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for step in range(1, steps + 1):
-        single = w[:n].astype(positive.dtype)
-        at_p = 1 / (1 + np.exp(-(positive @ single + w[n])))
-        at_u = 1 / (1 + np.exp(-(unlabelled @ single + w[n])))
+        at_p, at_u = sigmoid(positive.sums(w[:n]) + w[n]), sigmoid(unlabelled.sums(w[:n]) + w[n])
         # d/dz log(1 + exp(-z)) = s - 1 and d/dz log(1 + exp(z)) = s
         plus = (at_p - 1) / len(at_p)
         minus_p, minus_u = at_p / len(at_p), at_u / len(at_u)
@@ -79,12 +105,11 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         turn = 1.0 if negative >= 0 else -gamma
         on_p = prior * plus * (negative >= 0) - turn * prior * minus_p
         on_u = turn * minus_u
-        slope = on_p.astype(positive.dtype) @ positive + on_u.astype(positive.dtype) @ unlabelled
-        grad = np.concatenate([slope, [on_p.sum() + on_u.sum()]])
+        grad = np.concatenate([positive.spread(on_p, n) + unlabelled.spread(on_u, n), [on_p.sum() + on_u.sum()]])
         grad[:n] += decay * w[:n]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return w[:n], float(w[n])
+    return w
 
 
 @dataclass
@@ -121,17 +146,59 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
+class Features:
+    """Features of texts in a task; those of its words are kept."""
+
+    def __init__(self) -> None:
+        self.memo: dict[bytes, tuple[int, ...]] = {}
+
+    def of(self, text: str | None) -> set[int]:
+        memo, out = self.memo, set()
+        for w in words_of(text):
+            if (found := memo.get(w)) is None:
+                found = word_features(w)
+                if len(memo) < _MEMO_ENTRIES:
+                    memo[w] = found
+            out.update(found)
+        return out
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feature, confirmed and unlabelled texts that have it; a task's texts are counted before they are shuffled."""
+    """Features and in how many texts they are; a task's texts are counted before they are shuffled."""
+    features = Features()
     for batch in batches:
-        sides: tuple[list[int], list[int]] = ([], [])
-        for text, positive in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist()):
-            sides[0 if positive else 1].extend(text_features(text))
-        for k, names in enumerate(sides):
+        for lo in range(0, batch.num_rows, _SLICE):
+            names = array("q")
+            for text in batch.column(0).slice(lo, _SLICE).to_pylist():
+                names.extend(features.of(text))
             if names:
-                found, n = np.unique(np.array(names, np.int64), return_counts=True)
-                zero = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n if k == 0 else zero), pa.array(zero if k == 0 else n)], ["feature", "p", "u"])
+                found, n = np.unique(np.frombuffer(names, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["feature", "n"])
+
+
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """feature, n: the texts that have it."""
+    return texts.select("text").mapInArrow(_count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def evidence(p: Column, u: Column, n_p: int, n_u: int) -> Column:
+    """Twice the log-likelihood ratio of a share of p in n_p against u in n_u, with the sign of the difference."""
+    a, b = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
+    g = 2 * n_p * (a * F.log(a / b) + (1 - a) * F.log((1 - a) / (1 - b)))
+    return F.when(a > b, g).otherwise(-g)
+
+
+def chosen_features(confirmed: DataFrame, training: DataFrame, n_p: int, n_u: int, prior: float, features: int, least: float, posterior: float) -> list[int]:
+    """Those with most evidence of either sign, at most ``features`` of each, in order of their names (see above)."""
+    counts = feature_counts(training).withColumnRenamed("n", "u").join(feature_counts(confirmed).withColumnRenamed("n", "p"), "feature", "full")
+    counts = counts.select("feature", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("p", "u")))
+    ratio = ((F.col("p") + 0.5) / (n_p + 1)) / ((F.col("u") + 0.5) / (n_u + 1))
+    counts = written(counts.withColumn("g", evidence(F.col("p"), F.col("u"), n_p, n_u)).select("feature", "g", (prior * ratio).alias("posterior")), "evidence")
+    speaks = (F.col("g") < 0) | (F.col("posterior") >= posterior)
+    best = [counts.where(speaks & (sign * F.col("g") >= least)).orderBy(F.desc(F.abs("g")), "feature").limit(features) for sign in (1, -1)]
+    out = sorted(r.feature for side in best for r in side.collect())  # at most features of each sign
+    discard(counts)
+    return out
 
 
 def _least_hashes(ids: DataFrame, most: int, seed: int) -> DataFrame:
@@ -145,40 +212,55 @@ def _least_hashes(ids: DataFrame, most: int, seed: int) -> DataFrame:
     return ids.distinct().orderBy(order, "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, unlabelled: int = 8000, features: int = 1024, evidence: float = 10.0, posterior: float = 0.7) -> Model:
-    """Trains on at most positives + unlabelled documents (see above)."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, features: int = 1024, least: float = 12.0, posterior: float = 0.7, texts_a_trainer: int = 50_000, rounds: int = 2, steps: int = 300,
+) -> Model:
+    """Trains on at most positives confirmed documents and on all others (see above)."""
     train = labels.where(training_row(F.col("doc_id"), FOLDS) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     shares = train.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
     if not shares.toxic:
         return Model()
     prior = min(max(shares.toxic / shares.n, 1e-3), 0.9)
-    confirmed = _least_hashes(train.where("toxic = 1").select("doc_id"), positives, 5)
-    others = _least_hashes(docs.select(F.col(id_col).alias("doc_id")).where(training_row(F.col("doc_id"), FOLDS) & F.col("doc_id").isNotNull()), unlabelled, 6)
-    picked = written(confirmed.select("doc_id", F.lit(True).alias("positive")).union(others.select("doc_id", F.lit(False).alias("positive"))), "picked")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # at most positives + unlabelled ids
-    one = texts.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))  # an id is one example, however often it is repeated
-    sample = written(one.select("text", "positive"), "sample")
-    n_p, n_u = sample.where("positive").count(), sample.where("NOT positive").count()
-    if not n_p or not n_u:
+    training = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(training_row(F.col(id_col), FOLDS))
+    picked = written(_least_hashes(train.where("toxic = 1").select("doc_id"), positives, 5), "picked")
+    texts = training.join(F.broadcast(picked), "doc_id")  # at most positives ids
+    confirmed = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "confirmed")
+    n_p, n_u = confirmed.count(), training.count()
+    if not n_p:
         return Model()
-    counted = sample.mapInArrow(_count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    ratio = ((F.col("p") + 0.5) / (n_p + 1)) / ((F.col("u") + 0.5) / (n_u + 1))
-    weight = F.col("p") * F.log(ratio)
-    best = [r.feature for r in counted.where((F.col("p") >= 3) & (prior * ratio >= posterior)).select("feature", weight.alias("weight")).where(F.col("weight") >= evidence).orderBy(F.desc("weight"), "feature").limit(features).collect()]
-    place = {f: k for k, f in enumerate(best)}
+    names = chosen_features(confirmed, training, n_p, n_u, prior, features, least, posterior)
+    place = {f: k for k, f in enumerate(names)}
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Features()
         for batch in batches:
-            rows = [sorted(place[f] for f in text_features(t) if f in place) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.list_(pa.int32()))], ["positive", "on"])
-
-    rows = sorted((r.positive, list(r.on)) for r in sample.mapInArrow(chosen, "positive boolean, on array<int>").collect())
-    matrix = np.zeros((len(rows), len(best)), np.float32)
-    for k, (_, on) in enumerate(rows):
-        matrix[k, on] = 1
-    split = sum(not p for p, _ in rows)
-    weights, bias = fit_nnpu(matrix[split:], matrix[:split], prior)
-    return Model({f: float(w) for f, w in zip(best, weights)}, bias)
+            for lo in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(lo, _SLICE)
+                rows = [sorted(place[f] for f in found.of(t) if f in place) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], ["trainer", "on"])
+
+    several = -(-n_u // texts_a_trainer)
+    deal = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(several)).cast("int")
+    on = training.select(deal.alias("trainer"), "text").mapInArrow(chosen, "trainer int, on array<int>")
+    on = written(on.repartition(several, "trainer").sortWithinPartitions("trainer", "on"), "chosen")
+    sure = sorted(list(r.on) for r in confirmed.select(F.lit(0).alias("trainer"), "text").mapInArrow(chosen, "trainer int, on array<int>").collect())  # at most positives rows
+    known = Texts.of([np.array(x, np.int64) for x in sure])
+    weights = np.zeros(len(names) + 1)
+    weights[-1] = np.log(prior / (1 - prior))
+
+    def trainer(start: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def learn(rows: pd.DataFrame) -> pd.DataFrame:
+            w = fit_nnpu(known, Texts.of(list(rows.on)), prior, start, steps)
+            return pd.DataFrame({"place": np.arange(len(w)), "w": w * len(rows), "n": len(rows)})
+
+        return learn
+
+    for _ in range(rounds if several > 1 else 1):
+        mean = on.groupBy("trainer").applyInPandas(trainer(weights), "place int, w double, n long").groupBy("place").agg((F.sum("w") / F.sum("n")).alias("w"))
+        found = mean.collect()  # a row a feature
+        weights = np.array([r.w for r in sorted(found, key=lambda r: r.place)])
+    discard(on)
+    return Model({f: float(w) for f, w in zip(names, weights)}, float(weights[-1]))
 
 
 def score_column(text: Column, model: Model) -> Column:
