@@ -386,7 +386,7 @@ def train(texts: DataFrame, units: Units, dims: int, noise: int, rate: float, ba
 
 
 # -- scoring --------------------------------------------------------------------
-def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, many: int = 16_384, more_words_a_unit: int = 1024, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 4096, rounds: int = 2, tokens_a_trainer: int = 2_000_000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, many: int = 16_384, more_words_a_unit: int = 1024, head: int = 200_000, dims: int = 16, noise: int = 32, rate: float = 0.2, batch: int = 1024, rounds: int = 2, tokens_a_trainer: int = 2_000_000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training_row(F.col(id_col), FOLDS).alias("trains"))
