@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +11,15 @@ def _log_factorial(k: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
 
 
-def poisson_log(k: Column, rate: float) -> Column:
+def poisson_log(k: Column, rate: Column | float) -> Column:
     """log of the Poisson law at k >= 0."""
-    return k * math.log(rate) - rate - _log_factorial(k)
+    return k * F.log(F.lit(rate)) - rate - _log_factorial(k)
 
 
-def nbinom_log(k: Column, count: float, p: float) -> Column:
+def nbinom_log(k: Column, count: Column | float, p: Column | float) -> Column:
     """log of the negative binomial law at k >= 0: failures have chance p, count need not be whole."""
     rising = F.when(k > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double") - 1 + count))).otherwise(0.0)
-    return rising - _log_factorial(k) + count * math.log(1 - p) + k * math.log(p)
+    return rising - _log_factorial(k) + count * F.log(F.lit(1 - p)) + k * F.log(F.lit(p))
 
 
 def _upto(k: Column, log_p) -> Column:

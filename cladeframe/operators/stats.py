@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import bounded, numbered, written
-
-
-#: Distinct pairs of values up to which Kendall's tau compares all pairs of them.
-MOST_CELLS = 20_000
+from ..tables import bounded, numbered, sums_before, written
 
 
 def correlation(x: str, y: str) -> Column:
@@ -68,17 +64,33 @@ def bootstrap_pairs(matrix: DataFrame, draws: DataFrame, other_draws: DataFrame
     return means.agg(F.count("*").alias("replicates"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
+def _ranked(cells: DataFrame, value: str, rank: str) -> DataFrame:
+    """cells with the place of their value among the distinct ones, from 0."""
+    places = numbered(cells.select(value).distinct(), value).withColumnRenamed("row_number", rank)
+    return cells.join(places, value)
+
+
 def kendall_tau(rows: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
-    """Tau-b of all pairs of rows (each standing for weight rows), from counts of distinct (x, y): those are compared pair by pair, so more than MOST_CELLS of them are an error."""
+    """Tau-b of all pairs of rows (each standing for weight rows), exact for any number of distinct (x, y).
+
+    Inversions are counted by the bits of y's rank: of two cells the highest bit in which they differ says which is larger, so at each
+    bit the cells with equal higher bits are gone through in the order of x, and every cell meets the weights with the other bit before
+    it.  All bits are one table of cells times bits; the weights before come from a range shuffle and sums of partitions."""
     c = F.sum(weight).cast("double") if weight else F.count("*").cast("double")
-    cells = bounded(rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(c.alias("c")), MOST_CELLS, "distinct pairs of values")
-    a, b = cells.alias("a"), F.broadcast(cells).alias("b")
-    sign = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
-    score = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.sum(sign * F.col("a.c") * F.col("b.c")).alias("s"))
-    ties = lambda k: cells.groupBy(k).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t_{k}"), F.sum("t").alias(f"n_{k}"))
-    out = score.join(ties("x")).join(ties("y"))  # one row each
-    whole = F.col("n_x") * (F.col("n_x") - 1) / 2
-    return out.select(F.try_divide(F.coalesce("s", F.lit(0.0)), F.nullif(F.sqrt((whole - F.col("t_x")) * (whole - F.col("t_y"))), F.lit(0.0))).alias("tau"))
+    cells = written(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(c.alias("c")), "cells")
+    ranked = written(_ranked(_ranked(cells, "x", "rx"), "y", "ry").select("rx", "ry", "c"), "cells")
+    bits = int(ranked.agg(F.max("ry")).first()[0] or 0).bit_length()
+    ties = lambda k: ranked.groupBy(k).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t_{k}"), F.sum("t").alias("n")).first()
+    one, two, score = ties("rx"), ties("ry"), 0.0
+    if bits:
+        each = ranked.select("rx", "ry", "c", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+        high = F.call_function("getbit", "ry", F.col("bit")) == 1
+        prefix = F.call_function("shiftright", F.col("ry"), F.col("bit") + 1)
+        split = each.groupBy("bit", prefix.alias("prefix"), "rx").agg(F.sum(F.when(high, 0.0).otherwise(F.col("c"))).alias("low"), F.sum(F.when(high, F.col("c")).otherwise(0.0)).alias("high"))
+        score = sums_before(split, ["bit", "prefix"], ["rx"], "low", "high").agg(F.sum(F.col("high") * F.col("before_low") - F.col("low") * F.col("before_high"))).first()[0] or 0.0
+    whole = (one.n or 0.0) * ((one.n or 0.0) - 1) / 2
+    under = ((whole - (one.t_rx or 0.0)) * (whole - (two.t_ry or 0.0))) ** 0.5
+    return rows.sparkSession.createDataFrame([(score / under if under else None,)], "tau double")
 
 
 def cross_spearman(one: DataFrame, two: DataFrame, subject_one: str, subject_two: str, item: str, value: str) -> DataFrame:

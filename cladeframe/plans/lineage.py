@@ -306,39 +306,58 @@ def bias_variance(f: Fixture) -> DataFrame:
 
 
 # -- statuses -----------------------------------------------------------------
-@plan(_duck("s AS (SELECT UNNEST(range(16)) AS a), p AS (SELECT x.a, y.a AS b FROM s x, s y)", "SELECT a, b, a|b AS merged, CASE WHEN (a&b)=b THEN a-b ELSE 0 END AS minus, CAST(bit_count(a) AS INT) AS inactive FROM p"))
+_NEXT = "z AS (SELECT o_orderkey AS k, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), p AS (SELECT x.cell_id, x.mask AS a, y.mask AS b FROM z JOIN m x ON x.cell_id=z.k JOIN m y ON y.cell_id=z.n)"
+
+
+@plan(_duck(f"{MASK}, {_NEXT}", "SELECT cell_id, a, b, a|b AS merged, CASE WHEN (a&b)=b THEN a-b ELSE 0 END AS minus, CAST(bit_count(a) AS INT) AS inactive FROM p"), "fx_obs")
 def status_algebra(f: Fixture) -> DataFrame:
-    s = st.statuses(f.spark, 4)
-    pairs = s.withColumnRenamed("status", "a").join(F.broadcast(s.withColumnRenamed("status", "b")))
+    """Of each cell and the next of its customer the statuses, merged, the first less the second, and how many targets are inactive."""
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    own = _masks(f).select("cell_id", F.col("mask").alias("a"))
+    pairs = f.orders.select(F.col("o_orderkey").alias("cell_id"), after.alias("other")).where("other IS NOT NULL").join(own, "cell_id").join(own.withColumnsRenamed({"cell_id": "other", "a": "b"}), "other")
     a, b = F.col("a"), F.col("b")
-    return pairs.select("a", "b", a.bitwiseOR(b).alias("merged"), st.minus(a, b).alias("minus"), F.bit_count("a").alias("inactive"))
+    return pairs.select("cell_id", "a", "b", a.bitwiseOR(b).alias("merged"), st.minus(a, b).alias("minus"), F.bit_count("a").alias("inactive"))
+
 
+_RUNS = "b AS (SELECT cell_id, t, t-ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY t) AS g FROM m, (SELECT UNNEST(range(10)) AS t) x WHERE (mask>>t)&1=1), rn AS (SELECT cell_id, CAST(MIN(t) AS INT) AS lo, CAST(MAX(t) AS INT) AS hi FROM b GROUP BY cell_id, g)"
 
-@plan(_duck("s AS (SELECT UNNEST(range(1024)) AS status), b AS (SELECT status, t, t-ROW_NUMBER() OVER (PARTITION BY status ORDER BY t) AS g FROM s, (SELECT UNNEST(range(10)) AS t) x WHERE (status>>t)&1=1)", "SELECT status, CAST(MIN(t) AS INT) AS lo, CAST(MAX(t) AS INT) AS hi FROM b GROUP BY status, g"))
+
+@plan(_duck(f"{MASK}, {_RUNS}", "SELECT cell_id, lo, hi FROM rn"), "fx_obs")
 def mask_runs(f: Fixture) -> DataFrame:
-    return st.runs(st.statuses(f.spark, TARGETS), "status", TARGETS).select("status", "lo", "hi")
+    """Runs of inactive targets of every cell."""
+    return st.runs(_masks(f), "mask", TARGETS).select("cell_id", "lo", "hi")
 
 
 def _tract_sql(n: int) -> str:
-    return f"""s AS (SELECT UNNEST(range({1 << n})) AS status), a AS (SELECT status, t FROM s, (SELECT UNNEST(range({n})) AS t) x WHERE (status>>t)&1=0),
+    """Tracts that can cut the cells' statuses of the first n targets; s: the statuses and their cells."""
+    return f"""{MASK}, s AS (SELECT mask&{(1 << n) - 1} AS status, COUNT(*) AS cells FROM m GROUP BY 1), a AS (SELECT status, t FROM s, (SELECT UNNEST(range({n})) AS t) x WHERE (status>>t)&1=0),
  e AS (SELECT UNNEST([0,1]) AS k), q AS (SELECT DISTINCT l.status, GREATEST(l.t-i.k,0) AS min_deact, l.t AS min_t, r.t AS max_t, LEAST(r.t+j.k,{n - 1}) AS max_deact FROM a l JOIN a r ON l.status=r.status AND l.t<=r.t, e i, e j)"""
 
 
-@plan(_duck(_tract_sql(3), "SELECT status, CAST(min_deact AS INT) AS min_deact, CAST(min_t AS INT) AS min_t, CAST(max_t AS INT) AS max_t, CAST(max_deact AS INT) AS max_deact, status|((1<<(max_deact+1))-(1<<min_deact)) AS after FROM q"))
+def cell_statuses(f: Fixture, n: int) -> DataFrame:
+    """status, cells: the statuses of the first n targets and how many cells have each."""
+    return _masks(f).groupBy(F.col("mask").bitwiseAND(F.lit((1 << n) - 1)).alias("status")).agg(F.count("*").alias("cells"))
+
+
+@plan(_duck(_tract_sql(3), "SELECT status, cells, CAST(min_deact AS INT) AS min_deact, CAST(min_t AS INT) AS min_t, CAST(max_t AS INT) AS max_t, CAST(max_deact AS INT) AS max_deact, status|((1<<(max_deact+1))-(1<<min_deact)) AS after FROM q JOIN s USING (status)"), "fx_obs")
 def transitions_n3(f: Fixture) -> DataFrame:
-    return st.transitions(st.statuses(f.spark, 3), 3)
+    """Every tract that can cut a status of the first three targets that cells have."""
+    have = cell_statuses(f, 3)
+    return st.transitions(have, 3).join(have, "status")
 
 
-@plan(_duck(_tract_sql(10), "SELECT status, COUNT(*) AS n_tracts, COUNT(DISTINCT status|((1<<(max_deact+1))-(1<<min_deact))) AS n_after FROM q GROUP BY 1"))
+@plan(_duck(_tract_sql(10), "SELECT status, MIN(cells) AS cells, COUNT(*) AS n_tracts, COUNT(DISTINCT status|((1<<(max_deact+1))-(1<<min_deact))) AS n_after FROM q JOIN s USING (status) GROUP BY 1"), "fx_obs")
 def transitions_n10(f: Fixture) -> DataFrame:
-    return st.transitions(st.statuses(f.spark, TARGETS), TARGETS).groupBy("status").agg(F.count("*").alias("n_tracts"), F.count_distinct("after").alias("n_after"))
+    """How many tracts can cut each status that cells have, and how many statuses they lead to."""
+    have = cell_statuses(f, TARGETS)
+    return st.transitions(have, TARGETS).groupBy("status").agg(F.count("*").alias("n_tracts"), F.count_distinct("after").alias("n_after")).join(have, "status")
 
 
-@plan(_duck(_tract_sql(10), """SELECT status, SUM(CASE WHEN min_t=max_t THEN 1E-1+min_t ELSE (2E-1+min_t+max_t)*3E-1 END * CASE WHEN min_deact!=min_t THEN 5E-2 ELSE 1E0 END * CASE WHEN max_deact!=max_t THEN 7E-2 ELSE 1E0 END) AS away FROM q GROUP BY 1 UNION ALL SELECT 1023, 0E0"""), doubles="away")
+@plan(_duck(_tract_sql(10) + """, w AS (SELECT status, SUM(CASE WHEN min_t=max_t THEN 1E-1+min_t ELSE (2E-1+min_t+max_t)*3E-1 END * CASE WHEN min_deact!=min_t THEN 5E-2 ELSE 1E0 END * CASE WHEN max_deact!=max_t THEN 7E-2 ELSE 1E0 END) AS away FROM q GROUP BY 1)""", "SELECT cell_id, mask AS status, COALESCE(away, 0E0) AS away FROM m LEFT JOIN w ON status=mask"), "fx_obs", doubles="away")
 def hazard_away(f: Fixture) -> DataFrame:
-    """The closed form; the SQL sums over all tracts."""
+    """The rate of leaving each cell's status in closed form; the SQL sums over all tracts."""
     lams = F.array(*(F.lit(0.1 + t) for t in range(TARGETS)))
-    return st.statuses(f.spark, TARGETS).select("status", st.hazard_away(lams, F.col("status"), TARGETS, 0.3, 0.05, 0.07).alias("away"))
+    return _masks(f).select("cell_id", F.col("mask").alias("status"), st.hazard_away(lams, F.col("mask"), TARGETS, 0.3, 0.05, 0.07).alias("away"))
 
 
 @plan(_duck("k AS (SELECT DISTINCT organ, CONCAT(min_target,'-',max_target) AS e FROM fx_obs o JOIN fx_event v ON v.cell_id=o.cell_id)",

@@ -67,34 +67,46 @@ def state_intersect(f: Fixture) -> DataFrame:
     return met.select("a", "b", sa.text(F.col("s")).alias("state"), sa.max_status(F.col("s")).alias("all_dead"), sa.max_status(sa.singletons(F.col("s"))).alias("own_dead"))
 
 
-@plan(with_views(_SETS + ", m AS (SELECT UNNEST(range(1024)) AS m), c AS (SELECT *, (1<<(max_deact+1))-(1<<min_deact) AS own, CASE WHEN min_t+1<=max_t-1 THEN (1<<max_t)-(1<<(min_t+1)) ELSE 0 END AS inside FROM s), g AS (SELECT cell_id, BIT_OR(own) AS every FROM c GROUP BY 1), u AS (SELECT MIN(cell_id) AS cell_id, pairs FROM fx_obs WHERE pairs<>'no_evts' GROUP BY 2)",
- "SELECT u.pairs, COUNT(*) AS n, CAST(SUM(m) AS BIGINT) AS total FROM u JOIN g ON g.cell_id=u.cell_id JOIN m ON m.m & ~g.every = 0 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.cell_id=u.cell_id AND (m.m & c.own)<>c.own AND (m.m & c.own & ~c.inside)<>0) GROUP BY 1"), "fx_obs")
-def possible_statuses(f: Fixture) -> DataFrame:
-    """Of every kind of allele (its first cell) how many masks its state allows, and their sum."""
-    first = f.obs.where("pairs != 'no_evts'").groupBy("pairs").agg(F.min("cell_id").alias("cell_id"))
-    masks = first.join(states(f), "cell_id").select("pairs", F.explode(sa.possible_statuses(F.col("state"))).alias("m"))
-    return masks.groupBy("pairs").agg(F.count("*").alias("n"), F.sum("m").alias("total"))
+_ONE = "STRUCT_PACK(nd := min_deact, lo := min_t, hi := max_t, xd := max_deact)"
+#: Each tuple of tracts that cells have, and how many have it.
+_KINDS = f"""{_SETS}, c AS (SELECT cell_id, LIST({_ONE} ORDER BY k) AS own FROM s GROUP BY 1), kd AS (SELECT own, ARRAY_TO_STRING(LIST_TRANSFORM(own, lambda t: CONCAT_WS('-', t.nd, t.lo, t.hi, t.xd)), ' ') AS kind, COUNT(*) AS cells FROM c GROUP BY own),
+ x AS (SELECT kind, cells, t.nd AS nd, t.lo AS lo, t.hi AS hi, t.xd AS xd FROM (SELECT kind, cells, UNNEST(own) AS t FROM kd) z)"""
+
 
+def kinds(f: Fixture) -> DataFrame:
+    """kind, cells, tracts, state: each tuple of tracts that cells have, how many have it, and a state with it."""
+    tracts = F.transform(sa.singletons(F.col("state")), sa.tract_of).cast(sa.TRACTS)
+    own = states(f).groupBy(tracts.alias("tracts")).agg(F.count("*").alias("cells"))
+    fields = ("min_deact", "min_t", "max_t", "max_deact")
+    name = F.array_join(F.transform("tracts", lambda t: F.concat_ws("-", *(t[c].cast("string") for c in fields))), " ")
+    as_set = lambda t: F.struct(F.lit(0).alias("start_pos"), F.lit(0).alias("del_len"), *(t[c].alias(c) for c in fields), F.lit("").alias("insert_str"))
+    return own.select(name.alias("kind"), "cells", "tracts", F.transform("tracts", as_set).cast(sa.STATE).alias("state"))
 
-_TRACTS = "t AS (SELECT DISTINCT min_deact, min_t, max_t, max_deact FROM s)"
+
+@plan(with_views(_KINDS + ", m AS (SELECT UNNEST(range(1024)) AS m), y AS (SELECT *, (1<<(xd+1))-(1<<nd) AS own, CASE WHEN lo+1<=hi-1 THEN (1<<hi)-(1<<(lo+1)) ELSE 0 END AS inside FROM x), g AS (SELECT kind, MIN(cells) AS cells, BIT_OR(own) AS every FROM y GROUP BY 1)",
+ "SELECT g.kind, MIN(g.cells) AS cells, COUNT(*) AS n, CAST(SUM(m) AS BIGINT) AS total FROM g JOIN m ON m.m & ~g.every = 0 WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.kind=g.kind AND (m.m & y.own)<>y.own AND (m.m & y.own & ~y.inside)<>0) GROUP BY 1"), "fx_event")
+def possible_statuses(f: Fixture) -> DataFrame:
+    """Of every tuple of tracts that cells have how many masks its state allows, and their sum."""
+    masks = kinds(f).select("kind", "cells", F.explode(sa.possible_statuses(F.col("state"))).alias("m"))
+    return masks.groupBy("kind", "cells").agg(F.count("*").alias("n"), F.sum("m").alias("total"))
 
 
-@plan(with_views(_SETS + ", " + _TRACTS + ", u AS (SELECT MIN(cell_id) AS cell_id FROM fx_obs WHERE pairs<>'no_evts' GROUP BY pairs)", """SELECT u.cell_id, CAST(SUM(CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.cell_id=u.cell_id AND s.min_deact=t.min_deact AND s.min_t=t.min_t AND s.max_t=t.max_t AND s.max_deact=t.max_deact
-  AND NOT (s.min_t<>s.min_deact AND EXISTS (SELECT 1 FROM s z WHERE z.cell_id=u.cell_id AND z.max_t=z.max_deact AND z.max_deact=s.min_deact)) AND NOT (s.max_t<>s.max_deact AND EXISTS (SELECT 1 FROM s z WHERE z.cell_id=u.cell_id AND z.min_t=z.min_deact AND z.min_deact=s.max_deact)))
-  OR (NOT EXISTS (SELECT 1 FROM s WHERE s.cell_id=u.cell_id AND s.min_deact=t.min_deact AND s.min_t=t.min_t AND s.max_t=t.max_t AND s.max_deact=t.max_deact) AND EXISTS (SELECT 1 FROM s WHERE s.cell_id=u.cell_id AND s.min_t+1<=t.min_deact AND t.max_deact<=s.max_t-1)) THEN 1 ELSE 0 END) AS BIGINT) AS n_possible FROM u, t GROUP BY 1"""), "fx_obs")
+@plan(with_views(_KINDS + ", t AS (SELECT DISTINCT nd, lo, hi, xd FROM x), u AS (SELECT kind, cells FROM kd)", """SELECT u.kind, MIN(u.cells) AS cells, CAST(SUM(CASE WHEN EXISTS (SELECT 1 FROM x s WHERE s.kind=u.kind AND s.nd=t.nd AND s.lo=t.lo AND s.hi=t.hi AND s.xd=t.xd
+  AND NOT (s.lo<>s.nd AND EXISTS (SELECT 1 FROM x z WHERE z.kind=u.kind AND z.hi=z.xd AND z.xd=s.nd)) AND NOT (s.hi<>s.xd AND EXISTS (SELECT 1 FROM x z WHERE z.kind=u.kind AND z.lo=z.nd AND z.nd=s.xd)))
+  OR (NOT EXISTS (SELECT 1 FROM x s WHERE s.kind=u.kind AND s.nd=t.nd AND s.lo=t.lo AND s.hi=t.hi AND s.xd=t.xd) AND EXISTS (SELECT 1 FROM x s WHERE s.kind=u.kind AND s.lo+1<=t.nd AND t.xd<=s.hi-1)) THEN 1 ELSE 0 END) AS BIGINT) AS n_possible FROM u, t GROUP BY 1"""), "fx_event")
 def possible_tracts(f: Fixture) -> DataFrame:
-    """Of every kind of allele how many of all observed tracts (at most one for each four targets) its state allows alone."""
-    first = f.obs.where("pairs != 'no_evts'").groupBy("pairs").agg(F.min("cell_id").alias("cell_id"))
-    tracts = states(f).select(F.explode("state").alias("x")).select(sa.tract_of(F.col("x")).alias("t")).distinct().agg(F.collect_list("t").alias("tracts"))
-    own = first.join(states(f), "cell_id").join(F.broadcast(tracts))
-    ok = F.filter("tracts", lambda t: sa.is_possible(F.col("state"), F.array(t).cast(sa.TRACTS)))
-    return own.select("cell_id", F.size(ok).cast("long").alias("n_possible"))
+    """Of every tuple of tracts that cells have how many of all observed tracts (at most one for each four targets) its state allows alone."""
+    own = kinds(f)
+    tracts = own.select(F.explode("tracts").alias("t")).distinct().agg(F.collect_list("t").alias("all"))
+    ok = F.filter("all", lambda t: sa.is_possible(F.col("state"), F.array(t).cast(sa.TRACTS)))
+    return own.join(F.broadcast(tracts)).select("kind", "cells", F.size(ok).cast("long").alias("n_possible"))
 
 
-@plan("SELECT lo, hi, m, CAST(ROW_NUMBER() OVER (PARTITION BY lo, hi ORDER BY bit_count(m), m) - 1 AS INT) AS k FROM (SELECT l.lo, h.hi, m.m << l.lo AS m FROM (SELECT UNNEST(range(10)) AS lo) l, (SELECT UNNEST(range(10)) AS hi) h, (SELECT UNNEST(range(1024)) AS m) m WHERE l.lo<=h.hi AND m.m < (1 << (h.hi-l.lo+1))) x")
+@plan(with_views(f"{lineage.MASK}, {lineage._RUNS}, r AS (SELECT lo, hi, COUNT(*) AS runs FROM rn GROUP BY 1,2)", "SELECT lo, hi, runs, m, CAST(ROW_NUMBER() OVER (PARTITION BY lo, hi ORDER BY bit_count(m), m) - 1 AS INT) AS k FROM (SELECT lo, hi, runs, m.m << lo AS m FROM r, (SELECT UNNEST(range(1024)) AS m) m WHERE m.m < (1 << (hi-lo+1))) x"), "fx_obs")
 def contained_statuses(f: Fixture) -> DataFrame:
-    ends = f.spark.range(TARGETS).select(F.col("id").alias("lo")).join(f.spark.range(TARGETS).select(F.col("id").alias("hi")), F.col("lo") <= F.col("hi"))
-    return ends.select("lo", "hi", F.posexplode(sa.sub_masks(F.col("lo"), F.col("hi"))).alias("k", "m"))
+    """All masks within each run of inactive targets that cells have, and how often it comes up."""
+    runs = st.runs(lineage._masks(f), "mask", TARGETS).groupBy("lo", "hi").agg(F.count("*").alias("runs"))
+    return runs.select("lo", "hi", "runs", F.posexplode(sa.sub_masks(F.col("lo"), F.col("hi"))).alias("k", "m"))
 
 
 _ORDER = f"""{_PAIRS}, n AS (SELECT cell_id, MAX(k) AS n, CAST({_BITS} AS BIGINT) AS mask FROM s GROUP BY 1), w(a, b, i, j, ok) AS (SELECT p.a, p.b, CAST(1 AS BIGINT), CAST(1 AS BIGINT), TRUE FROM p JOIN n x ON x.cell_id=p.a JOIN n y ON y.cell_id=p.b
@@ -111,11 +123,12 @@ def tract_order(f: Fixture) -> DataFrame:
     return both.select("a", "b", sa.less_or_equal(F.col("ta"), F.col("tb")).alias("fits"), F.size(sa.difference(F.col("ta"), F.col("tb"))).cast("long").alias("n_new"), sa.status_of(F.col("tb")).alias("mask"))
 
 
-@plan(with_views(lineage._tract_sql(10), "SELECT status, CAST(min_deact AS INT) AS min_deact, CAST(min_t AS INT) AS min_t, CAST(max_t AS INT) AS max_t, CAST(max_deact AS INT) AS max_deact, (CASE WHEN min_t=max_t THEN 1E-1+min_t ELSE (2E-1+min_t+max_t)*3E-1 END)*(CASE WHEN min_deact!=min_t THEN 5E-2 ELSE 1E0 END)*(CASE WHEN max_deact!=max_t THEN 7E-2 ELSE 1E0 END) AS rate FROM q"), doubles="rate")
+@plan(with_views(lineage._tract_sql(10), "SELECT status, CAST(min_deact AS INT) AS min_deact, CAST(min_t AS INT) AS min_t, CAST(max_t AS INT) AS max_t, CAST(max_deact AS INT) AS max_deact, (CASE WHEN min_t=max_t THEN 1E-1+min_t ELSE (2E-1+min_t+max_t)*3E-1 END)*(CASE WHEN min_deact!=min_t THEN 5E-2 ELSE 1E0 END)*(CASE WHEN max_deact!=max_t THEN 7E-2 ELSE 1E0 END) AS rate FROM q"), "fx_obs", doubles="rate")
 def tract_hazards(f: Fixture) -> DataFrame:
+    """The rate of every tract that can cut a status that cells have."""
     lams = F.array(*(F.lit(0.1 + t) for t in range(TARGETS)))
     column = [F.col(c) for c in ("min_deact", "min_t", "max_t", "max_deact")]
-    return st.tracts(st.statuses(f.spark, TARGETS), TARGETS).select("status", *column, st.hazard(lams, *column, 0.3, 0.05, 0.07).alias("rate"))
+    return st.tracts(lineage.cell_statuses(f, TARGETS), TARGETS).select("status", *column, st.hazard(lams, *column, 0.3, 0.05, 0.07).alias("rate"))
 
 
 def annotated(f: Fixture) -> DataFrame:

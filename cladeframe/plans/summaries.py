@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as di
+from ..functions import events as ev
 from ..functions import sequences as sq
 from ..operators import observe, stats, trees
 from ..sources import sequences as source
@@ -100,11 +101,11 @@ def against_most_parsimonious(f: Fixture) -> DataFrame:
     return r.join(best, "idx").select("run", "idx", (F.col("log_lik") - F.col("ll")).alias("log_lik_delta"), (F.col("parsimony") - F.col("p")).alias("parsimony_delta"))
 
 
-@plan("SELECT l.node_id, o.organ, CAST(SUM(o.abundance) AS BIGINT) AS abundance FROM fx_leaf l JOIN fx_obs o ON o.pairs=l.pairs WHERE l.node_id LIKE '%7' GROUP BY 1,2", "fx_leaf")
+@plan("SELECT l.node_id, o.organ, o.abundance FROM fx_leaf l JOIN (SELECT pairs, organ, CAST(SUM(abundance) AS BIGINT) AS abundance FROM fx_obs GROUP BY 1,2) o ON o.pairs=l.pairs", "fx_leaf")
 def leaf_organs(f: Fixture) -> DataFrame:
-    """Abundances by organ of the allele of each leaf whose number ends in 7: alleles are summed before they are joined."""
+    """Abundances by organ of the allele of each leaf: alleles are summed before they are joined."""
     own = f.obs.groupBy("pairs", "organ").agg(F.sum("abundance").alias("abundance"))
-    return f.leaf.where(F.col("node_id").endswith("7")).select("node_id", "pairs").join(own, "pairs").select("node_id", "organ", "abundance")
+    return f.leaf.select("node_id", "pairs").join(own, "pairs").select("node_id", "organ", "abundance")
 
 
 _NAMES = [("1-URGENT", 0, "early", "Brain"), ("2-HIGH", 1, "early", "Left eye"), ("3-MEDIUM", 2, "late", "Heart"), ("4-NOT SPECIFIED", 3, "late", "Gills"), ("5-LOW", 4, "late", "Blood")]
@@ -206,22 +207,25 @@ def folds(f: Fixture) -> DataFrame:
 
 
 # -- distributions ---------------------------------------------------------------------
-_POISSON = "k AS (SELECT UNNEST(range(1,22)) AS k), p AS (SELECT k, EXP(-6.5E0+(k-1)*LN(6.5E0)-lgamma(k)) AS p FROM k), w AS (SELECT k, p/(SELECT SUM(p) FROM p) AS p FROM p)"
-_NBINOM = "k AS (SELECT UNNEST(range(1,22)) AS k), p AS (SELECT k, EXP(lgamma(k-1+2.5E0)-lgamma(k)-lgamma(2.5E0)+2.5E0*LN(1-0.6E0)+(k-1)*LN(0.6E0)) AS p FROM k), w AS (SELECT k, p/(SELECT SUM(p) FROM p) AS p FROM p)"
+#: Laws of the left trims of each target's events: rates are their means (and a half), the binomial's chance has the same mean.
+_TRIMS = "r AS (SELECT min_target AS target, COUNT(*) AS n, AVG(19+27*min_target-start_pos)+0.5E0 AS rate FROM fx_event GROUP BY 1), k AS (SELECT UNNEST(range(1,22)) AS k)"
+_LAWS = f"""{_TRIMS}, p AS (SELECT 'poisson' AS law, target, n, k, EXP(-rate+(k-1)*LN(rate)-lgamma(k)) AS p FROM r, k
+ UNION ALL SELECT 'nbinom', target, n, k, EXP(lgamma(k-1+2.5E0)-lgamma(k)-lgamma(2.5E0)+2.5E0*LN(1-rate/(rate+2.5E0))+(k-1)*LN(rate/(rate+2.5E0))) FROM r, k), w AS (SELECT law, target, n, k, p/SUM(p) OVER (PARTITION BY law, target) AS p FROM p)"""
 
 
-@plan(f"SELECT * FROM (WITH {_POISSON} SELECT 'poisson' AS law, k, p FROM w) UNION ALL SELECT * FROM (WITH {_NBINOM} SELECT 'nbinom' AS law, k, p FROM w)", doubles="p")
+@plan(with_views(_LAWS, "SELECT law, target, n, k, p FROM w"), "fx_event", doubles="p")
 def bounded_distributions(f: Fixture) -> DataFrame:
-    """Poisson and negative binomial laws from 1, conditional on at most 21."""
-    grid = f.spark.range(1, 22).select(F.col("id").alias("k"))
-    one = lambda name, log_p: di.conditional(grid.select(F.lit(name).alias("law"), "k", log_p.alias("log_p")), "law")
-    k = F.col("k")
-    return one("poisson", di.poisson_log(k - 1, 6.5)).union(one("nbinom", di.nbinom_log(k - 1, 2.5, 0.6))).select("law", "k", "p")
+    """For each target Poisson and negative binomial laws from 1, conditional on at most 21, with the mean of its left trims."""
+    trims = ev.trims(ev.with_design(f.event, f.target)).groupBy(F.col("min_target").alias("target")).agg(F.count("*").alias("n"), (F.avg("left_trim") + 0.5).alias("rate"))
+    grid = trims.select("target", "n", "rate", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(21).cast("long"))).alias("k"))
+    one = lambda name, log_p: di.conditional(grid.select(F.lit(name).alias("law"), "target", "n", "k", log_p.alias("log_p")), "law", "target")
+    k, rate = F.col("k"), F.col("rate")
+    return one("poisson", di.poisson_log(k - 1, rate)).union(one("nbinom", di.nbinom_log(k - 1, 2.5, rate / (rate + 2.5)))).select("law", "target", "n", "k", "p")
 
 
-@plan(f"SELECT law, SUM(k*p) AS mean, SQRT(SUM(k*k*p)-SUM(k*p)*SUM(k*p)) AS sd FROM (SELECT * FROM (WITH {_POISSON} SELECT 'poisson' AS law, k, p FROM w) UNION ALL SELECT * FROM (WITH {_NBINOM} SELECT 'nbinom' AS law, k, p FROM w)) x GROUP BY 1", doubles="mean sd")
+@plan(with_views(_LAWS, "SELECT law, target, SUM(k*p) AS mean, SQRT(SUM(k*k*p)-SUM(k*p)*SUM(k*p)) AS sd FROM w GROUP BY 1,2"), "fx_event", doubles="mean sd")
 def distribution_moments(f: Fixture) -> DataFrame:
-    return di.moments(bounded_distributions(f), "law")
+    return di.moments(bounded_distributions(f), "law", "target")
 
 
 @plan("SELECT o_orderkey AS fit, t0, t1, (t1-t0) - 0.5E0*0.3E0*(t1*t1-t0*t0)/1E0 AS decayed, 1/(1+EXP(-x)) AS sigmoid FROM (SELECT o_orderkey, (o_orderkey%10)/20.0E0 AS t0, (10+o_orderkey%10)/20.0E0 AS t1, (o_custkey%21-10)/4.0E0 AS x FROM orders) z", doubles="t0 t1 decayed sigmoid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,29 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     table = spark.createDataFrame(starts, "_part long, _start long")  # a row for each partition
     number = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn("row_number", number).drop("_part", "_start", "_place")
+
+
+def sums_before(rows: DataFrame, keys: list[str], order: list[str], *columns: str) -> DataFrame:
+    """rows with before_<column>: the sums of the columns (doubles) over the rows of the same keys that come earlier in the order, which
+    tells all rows of a key apart.
+
+    A range shuffle by keys and order places the rows; each partition adds up its own, and what a key has in earlier partitions comes
+    from a row for each partition on the driver: its last key, and that key's sums.  So no task holds more than a partition of any key."""
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place"))
+    placed = written(placed, "placed")
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    edge = placed.groupBy("_part").agg(F.min_by(key, "_place").alias("first"), F.max_by(key, "_place").alias("last"))
+    tails = placed.join(F.broadcast(edge), "_part").where(key == F.col("last")).groupBy("_part", "first", "last").agg(*(F.sum(c).alias(c) for c in columns))  # a row for each partition
+    found, carried, at, offsets = sorted(tails.collect(), key=lambda r: r["_part"]), [0.0] * len(columns), None, []
+    for r in found:
+        before = carried if r.first == at else [0.0] * len(columns)
+        offsets.append((r["_part"], r.first, *map(float, before)))
+        own = [float(r[c]) for c in columns]
+        carried = [a + b for a, b in zip(before, own)] if r.first == r.last else own
+        at = r.last
+    table = spark.createDataFrame(offsets, "_part int, _first string, " + ", ".join(f"_more_{c} double" for c in columns))
+    earlier = Window.partitionBy("_part", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) for c in columns}).join(F.broadcast(table), "_part")
+    more = {f"before_{c}": F.col(f"before_{c}") + F.when(key == F.col("_first"), F.col(f"_more_{c}")).otherwise(0.0) for c in columns}
+    return own.withColumns(more).drop("_part", "_place", "_first", *(f"_more_{c}" for c in columns))
