@@ -117,6 +117,34 @@ def rf_distance(a: DataFrame, b: DataFrame) -> tuple[Column, DataFrame]:
     return F.col("unshared") / (F.col("clades_a") + F.col("clades_b")), counts
 
 
+def splits(paths: DataFrame, leaves: DataFrame) -> DataFrame:
+    """A signature (n, s, x) of the split of leaves at each node but for those with fewer than two leaves on a side: of both sides' signatures
+    the smaller one, the other side's following from the whole tree's sums.  Equal splits have one row."""
+    own = clades(paths, leaves)
+    h = F.xxhash64("node_id")
+    whole = leaves.agg(F.count("*").alias("all_n"), F.sum(h.cast("decimal(38,0)")).alias("all_s"), F.bit_xor(h).alias("all_x"))
+    side = F.struct("n", "s", "x")
+    other = F.struct((F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).cast("decimal(38,0)").alias("s"), F.col("all_x").bitwiseXOR(F.col("x")).alias("x"))
+    both = own.join(F.broadcast(whole)).select(side.cast("struct<n:long,s:decimal(38,0),x:long>").alias("a"), other.cast("struct<n:long,s:decimal(38,0),x:long>").alias("b"))  # one row
+    return both.where("a.n > 1 AND b.n > 1").select(F.least("a", "b").alias("side")).select("side.*").distinct()
+
+
+def equal_trees(nodes: DataFrame) -> DataFrame:
+    """tree_id, first, trees: of many trees in one table (tree_id, node_id, parent_id, label of leaves; node ids tell trees apart) those with
+    equal clades of labels, named by their first tree, and how many they are.
+
+    A digest goes up from the leaves: pointers to ancestors double each round and carry each leaf's label to all nodes above it, where
+    numbers, sums and xors of hashes name a clade; a tree's distinct clades are added up in the same way."""
+    paths = closure(nodes.select("node_id", "parent_id", F.lit(0.0).alias("dist")))
+    labels = nodes.where("label IS NOT NULL").select(F.col("node_id").alias("desc_id"), F.xxhash64("label").alias("h"))
+    sums = lambda h: (F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
+    clade = paths.join(labels, "desc_id").groupBy("anc_id").agg(*sums(F.col("h")))
+    own = clade.join(nodes.select(F.col("node_id").alias("anc_id"), "tree_id"), "anc_id").select("tree_id", "n", "s", "x").distinct()
+    trees = own.withColumn("h", F.xxhash64("n", "s", "x")).groupBy("tree_id").agg(*sums(F.col("h")))
+    classes = trees.groupBy("n", "s", "x").agg(F.min("tree_id").alias("first"), F.count("*").alias("trees"))
+    return trees.join(classes, ["n", "s", "x"]).select("tree_id", "first", "trees")
+
+
 def spines(children: DataFrame, most: int = 2) -> DataFrame:
     """Children (node_id, parent_id, offset) of nodes with more than most, in the order in which they leave a spine that resolves the node."""
     own = Window.partitionBy("parent_id")

@@ -28,9 +28,7 @@ def _name(tracts: Column) -> Column:
 
 def kinds(f: Fixture) -> DataFrame:
     """chain, state, required, asked: each tuple of tracts that a cell has, hung on an unmodified root."""
-    tracts = states.states(f).select(chains.own_tracts(F.col("state")).alias("tracts")).distinct()
-    as_set = lambda t: F.struct(F.lit(0).alias("start_pos"), F.lit(0).alias("del_len"), *(t[c].alias(c) for c in ("min_deact", "min_t", "max_t", "max_deact")), F.lit("").alias("insert_str"))
-    return tracts.select(_name(F.col("tracts")).alias("chain"), F.transform("tracts", as_set).cast(sa.STATE).alias("state"), F.size("tracts").alias("required"), sa.status_of(F.col("tracts")).alias("asked"))
+    return states.kinds(f).select(F.col("kind").alias("chain"), "state", F.size("tracts").alias("required"), sa.status_of(F.col("tracts")).alias("asked"))
 
 
 def close(f: Fixture) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, trees
+from ..operators import compare, moves, trees
 from ..tables import new_path
 from .fixtures import Fixture
 from .registry import plan, with_views
@@ -235,3 +235,43 @@ def parsimony(f: Fixture) -> DataFrame:
     """Events new against the parent, over all edges of the tree whose inner nodes have the events that all their leaves share."""
     events = f.event.select(F.concat(F.lit("O"), F.col("cell_id").cast("string")).alias("node_id"), (F.col("min_target") * 10 + F.col("max_target")).alias("k")).distinct()
     return trees.new_events(f.node, trees.shared_events(f.node, f.closure, events)).agg(F.count("*").alias("score"))
+
+
+def _events(f: Fixture) -> DataFrame:
+    return f.event.select(F.concat(F.lit("O"), F.col("cell_id").cast("string")).alias("node_id"), (F.col("min_target") * 10 + F.col("max_target")).alias("k")).distinct()
+
+
+@plan()
+def rehung_subtrees(f: Fixture) -> DataFrame:
+    """The first customer of each nation hung on every inner node and on every edge of the tree: how many places change the parsimony score
+    by how much.  No SQL: a sum for each place; tests fold every place's tree again."""
+    chads = f.customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c")).select(F.concat(F.lit("C"), F.col("c").cast("string")).alias("chad"))
+    found = moves.rehung(f.node, f.closure, _events(f), chads)
+    return found.groupBy("chad", "place", "change").agg(F.count("*").alias("places"), F.min("target").alias("first"))
+
+
+_SPLIT = """b{0} AS (SELECT anc_id, desc_id FROM closure{0} JOIN {1} l ON l.node_id=desc_id AND l.is_leaf), o{0} AS (SELECT anc_id FROM b{0} WHERE desc_id=(SELECT MIN(desc_id) FROM b{0}) GROUP BY 1),
+ v{0} AS (SELECT anc_id, desc_id FROM b{0} WHERE anc_id NOT IN (SELECT anc_id FROM o{0}) UNION ALL SELECT o{0}.anc_id, a.desc_id FROM o{0} JOIN (SELECT DISTINCT desc_id FROM b{0}) a ON NOT EXISTS (SELECT 1 FROM b{0} z WHERE z.anc_id=o{0}.anc_id AND z.desc_id=a.desc_id)),
+ t{0} AS (SELECT DISTINCT s FROM (SELECT anc_id, STRING_AGG(desc_id, ',' ORDER BY desc_id) AS s, COUNT(*) AS n FROM v{0} GROUP BY 1) x WHERE n>1 AND n<(SELECT COUNT(DISTINCT desc_id)-1 FROM b{0}))"""
+
+
+@plan(with_views(f"{_SPLIT.format('', 'fx_node')}, {_SPLIT.format('2', 'fx_other')}", "SELECT COUNT(x.s) AS splits_a, COUNT(y.s) AS splits_b, COUNT(CASE WHEN x.s IS NULL OR y.s IS NULL THEN 1 END) AS unshared, COUNT(CASE WHEN x.s IS NULL OR y.s IS NULL THEN 1 END)/(COUNT(x.s)+COUNT(y.s)) AS rf FROM t x FULL JOIN t2 y ON x.s=y.s"), "closure", "closure2", doubles="rf")
+def split_rf(f: Fixture) -> DataFrame:
+    """Distance of both trees as unrooted ones: splits with more than one leaf on either side."""
+    leaves = f.node.where("is_leaf").select("node_id")
+    rf, counts = trees.rf_distance(trees.splits(f.closure, leaves), trees.splits(f.other_closure, leaves))
+    return counts.select("*", rf.alias("rf")).withColumnsRenamed({"clades_a": "splits_a", "clades_b": "splits_b"})
+
+
+@plan(with_views("lf AS (SELECT DISTINCT o_custkey AS tree_id, o_orderstatus AS st, o_orderstatus||SUBSTRING(o_orderpriority,1,1) AS label FROM orders), cl AS (SELECT tree_id, STRING_AGG(label, ',' ORDER BY label) AS s FROM lf GROUP BY tree_id UNION SELECT tree_id, STRING_AGG(label, ',' ORDER BY label) FROM lf GROUP BY tree_id, st UNION SELECT tree_id, label FROM lf), tr AS (SELECT tree_id, STRING_AGG(s, ';' ORDER BY s) AS t FROM cl GROUP BY 1)",
+ "SELECT tree_id, MIN(tree_id) OVER (PARTITION BY t) AS first, COUNT(*) OVER (PARTITION BY t) AS trees FROM tr"))
+def tree_classes(f: Fixture) -> DataFrame:
+    """Trees of all customers (organs by status) in one table, grouped by equal clades: each tree's class is its first member's number."""
+    key = lambda *parts: F.concat_ws("|", F.col("o_custkey").cast("string"), *parts)
+    organ = F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1))
+    rows = f.orders.select("o_custkey", "o_orderstatus", organ.alias("label")).distinct()
+    leaves = rows.select(key("label", F.lit("leaf")).alias("node_id"), key("o_orderstatus").alias("parent_id"), F.col("o_custkey").alias("tree_id"), "label")
+    inner = rows.select(key("o_orderstatus").alias("node_id"), key().alias("parent_id"), F.col("o_custkey").alias("tree_id")).distinct()
+    roots = rows.select(key().alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("o_custkey").alias("tree_id")).distinct()
+    nodes = leaves.select("node_id", "parent_id", "tree_id", "label").unionByName(inner.unionByName(roots), allowMissingColumns=True)
+    return trees.equal_trees(nodes)
