@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, moves, trees
+from ..operators import compare, moves, offsets, trees
 from ..tables import new_path
 from .fixtures import Fixture
 from .registry import plan, with_views
@@ -275,3 +275,26 @@ def tree_classes(f: Fixture) -> DataFrame:
     roots = rows.select(key().alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("o_custkey").alias("tree_id")).distinct()
     nodes = leaves.select("node_id", "parent_id", "tree_id", "label").unionByName(inner.unionByName(roots), allowMissingColumns=True)
     return trees.equal_trees(nodes)
+
+
+_LENGTHS = """ch AS (SELECT parent_id AS p, COUNT(*) AS n FROM fx_node GROUP BY 1), ln AS (SELECT x.node_id, x.parent_id, x.is_leaf, d.depth, CASE WHEN ch.n>2 THEN COALESCE(TRY_CAST(substr(x.node_id,2) AS BIGINT)%8,0)/16.0E0*(d.depth-u.depth) ELSE 0E0 END AS off, d.depth-u.depth AS whole
+ FROM fx_node x JOIN depth d ON d.node_id=x.node_id LEFT JOIN depth u ON u.node_id=x.parent_id LEFT JOIN ch ON ch.p=x.parent_id), bl AS (SELECT node_id, parent_id, is_leaf, depth, off, COALESCE(whole-off,0E0) AS len FROM ln)"""
+
+
+def _lengths(f: Fixture) -> DataFrame:
+    part = F.coalesce(F.substring("node_id", 2, 20).try_cast("long") % 8, F.lit(0)) / 16.0
+    return offsets.branch_lengths(f.node.withColumnRenamed("dist", "inner").withColumn("proportion", part), f.closure, 1.0)
+
+
+@plan(with_views(_LENGTHS, "SELECT node_id, parent_id, depth, off AS offset_, len AS length FROM bl"), "fx_node", "closure", doubles="depth offset_ length")
+def branch_lengths(f: Fixture) -> DataFrame:
+    """Depths, offsets on spines and branch lengths from inner distances and proportions."""
+    return _lengths(f).select("node_id", "parent_id", "depth", F.col("offset").alias("offset_"), "length")
+
+
+@plan(with_views(_LENGTHS + ", rk AS (SELECT bl.*, ROW_NUMBER() OVER w AS k, LAG(off) OVER w AS prev, COUNT(*) OVER (PARTITION BY bl.parent_id) AS n FROM bl JOIN ch ON ch.p=bl.parent_id AND ch.n>2 WINDOW w AS (PARTITION BY bl.parent_id ORDER BY off, node_id)), nm AS (SELECT *, off-COALESCE(prev,0) AS step, CASE WHEN k=1 AND parent_id<>'ROOT' THEN parent_id ELSE parent_id||'/'||k END AS here, CASE WHEN k=1 OR (k=2 AND parent_id<>'ROOT') THEN parent_id ELSE parent_id||'/'||(k-1) END AS prior FROM rk)",
+ """SELECT b.node_id, COALESCE(CASE WHEN c.k=c.n THEN c.prior ELSE c.here END, b.parent_id) AS parent_id, b.len+CASE WHEN c.k=c.n THEN c.step ELSE 0 END+COALESCE(l.step,0) AS dist, CASE WHEN l.step IS NOT NULL THEN b.node_id END AS spine_of, CASE WHEN l.step IS NOT NULL THEN 1 END AS member
+ FROM bl b LEFT JOIN nm c ON c.node_id=b.node_id LEFT JOIN nm l ON l.parent_id=b.node_id AND l.k=1 AND l.parent_id<>'ROOT' UNION ALL SELECT here, prior, step, parent_id, k FROM nm WHERE k<n AND (k>1 OR parent_id='ROOT')"""), "fx_node", "closure", doubles="dist")
+def fitted_tree(f: Fixture) -> DataFrame:
+    """The resolved tree: children of nodes with more than two hang on chained spine nodes in the order of offsets."""
+    return offsets.fitted_tree(_lengths(f))

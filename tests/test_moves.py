@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cladeframe.operators import moves, stats, trees
+from cladeframe.operators import moves, offsets, stats, trees
 from cladeframe.tables import sums_before
 
 NODES = "node_id string, parent_id string, dist double, is_leaf boolean"
@@ -171,3 +171,37 @@ def test_sums_before_across_partitions(spark):
         expected[g, at] = run[g]
         run[g] += v
     assert {(r.g, r.at): r.before_v for r in got} == expected
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fitted_tree_keeps_depths_and_has_two_children(spark, seed):
+    """Every leaf at the total, every child where its offset says, no node but the root with one or more than two children (unary ones of the input aside)."""
+    rng = random.Random(seed)
+    parent = random_tree(rng, 16)
+    below = children_of(parent)
+    rows = [(n, p, n.startswith("l"), 0.0 if p is None else 0.02 + rng.random() / 50, rng.choice([0.1, 0.3, 0.3, 0.8])) for n, p in parent.items()]
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, is_leaf boolean, inner double, proportion double")
+    lengths = offsets.branch_lengths(nodes, trees.closure(nodes.withColumnRenamed("inner", "dist")), 1.0)
+    inner, part = {r[0]: r[3] for r in rows}, {r[0]: r[4] for r in rows}
+    depth = lambda n: 1.0 if n.startswith("l") else 0.0 if parent[n] is None else depth(parent[n]) + inner[n]
+    start = {}
+    for r in lengths.collect():
+        up = 0.0 if r.parent_id is None else depth(r.parent_id)
+        off = part[r.node_id] * (depth(r.node_id) - up) if r.parent_id is not None and len(below[r.parent_id]) > 2 else 0.0
+        assert (r.depth, r.offset, r.length) == (pytest.approx(depth(r.node_id)), pytest.approx(off), pytest.approx(depth(r.node_id) - up - off))
+        start[r.node_id] = up + off
+    made = offsets.fitted_tree(lengths).collect()
+    at = {r.node_id: r for r in made}
+    assert len(at) == len(made)
+    height = lambda n: 0.0 if at[n].parent_id is None else at[n].dist + height(at[n].parent_id)
+    kids = Counter(r.parent_id for r in made)
+    for n in parent:
+        lead = min((start[c] - depth(n) for c in below[n]), default=0.0) if len(below[n]) > 2 and parent[n] is not None else 0.0
+        assert height(n) == pytest.approx(depth(n) + lead)
+        if parent[n] is not None and len(below[parent[n]]) > 2:
+            ranked = sorted(below[parent[n]], key=lambda c: (start[c] - depth(parent[n]), c))
+            if n != ranked[-1]:
+                assert height(at[n].parent_id) == pytest.approx(start[n])
+    for r in made:
+        if r.node_id in parent and len(below[r.node_id]) > 2 or r.node_id not in parent:
+            assert kids[r.node_id] == 2 or (r.parent_id is None and kids[r.node_id] == 1)
