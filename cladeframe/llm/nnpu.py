@@ -212,55 +212,89 @@ def _least_hashes(ids: DataFrame, most: int, seed: int) -> DataFrame:
     return ids.distinct().orderBy(order, "doc_id").limit(most)
 
 
+class Learner:
+    """What comes before the weights: the prior, the confirmed texts, the chosen features (empty where nothing is confirmed)."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, positives: int, features: int, least: float, posterior: float):
+        train = labels.where(training_row(F.col("doc_id"), FOLDS) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+        shares = train.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
+        self.rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), training_row(F.col(id_col), FOLDS).alias("trains"))
+        self.names, self.prior = None, 0.0
+        if not shares.toxic:
+            return
+        self.prior = min(max(shares.toxic / shares.n, 1e-3), 0.9)
+        training = self.rows.where("trains").select("doc_id", "text")
+        picked = written(_least_hashes(train.where("toxic = 1").select("doc_id"), positives, 5), "picked")
+        texts = training.join(F.broadcast(picked), "doc_id")  # at most positives ids
+        confirmed = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "confirmed")
+        n_p, self.n_u = confirmed.count(), training.count()
+        if not n_p:
+            return
+        self.names = chosen_features(confirmed, training, n_p, self.n_u, self.prior, features, least, posterior)
+        sure = sorted(list(r.on) for r in self.encoded(confirmed.select(F.lit(0).alias("trainer"), "text"), "trainer int").collect())  # at most positives rows
+        self.known = Texts.of([np.array(x, np.int64) for x in sure])
+
+    def encoded(self, rows: DataFrame, schema: str) -> DataFrame:
+        """rows (text last) with on, the places of its text's chosen features, in the text's place."""
+        place = {f: k for k, f in enumerate(self.names)}
+        kept = rows.columns[:-1]
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo: dict[bytes, tuple[int, ...]] = {}
+            for batch in batches:
+                for lo in range(0, batch.num_rows, _SLICE):
+                    part, out = batch.slice(lo, _SLICE), []
+                    for text in part.column(len(kept)).to_pylist():
+                        on: set[int] = set()
+                        for w in words_of(text):
+                            if (found := memo.get(w)) is None:
+                                found = tuple(place[f] for f in word_features(w) if f in place)
+                                if len(memo) < _MEMO_ENTRIES:
+                                    memo[w] = found
+                            if found:
+                                on.update(found)
+                        out.append(sorted(on))
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), pa.array(out, pa.list_(pa.int32()))], [*kept, "on"])
+
+        return rows.mapInArrow(chosen, f"{schema}, on array<int>")
+
+    def deal(self, texts_a_trainer: int) -> tuple[Column, int]:
+        several = max(1, -(-self.n_u // texts_a_trainer))
+        return F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(several)).cast("int"), several
+
+    def weights(self, on: DataFrame, several: int, rounds: int, steps: int) -> np.ndarray:
+        """Weights of the features, the last one the bias, from all rows of on (trainer, on)."""
+        on = written(on.repartition(several, "trainer").sortWithinPartitions("trainer", "on"), "chosen")
+        weights = np.zeros(len(self.names) + 1)
+        weights[-1] = np.log(self.prior / (1 - self.prior))
+        known, prior = self.known, self.prior
+
+        def trainer(start: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
+            def learn(rows: pd.DataFrame) -> pd.DataFrame:
+                w = fit_nnpu(known, Texts.of(list(rows.on)), prior, start, steps)
+                return pd.DataFrame({"place": np.arange(len(w)), "w": w * len(rows), "n": len(rows)})
+
+            return learn
+
+        for _ in range(rounds if several > 1 else 1):
+            mean = on.groupBy("trainer").applyInPandas(trainer(weights), "place int, w double, n long").groupBy("place").agg((F.sum("w") / F.sum("n")).alias("w"))
+            found = mean.collect()  # a row a feature
+            weights = np.array([r.w for r in sorted(found, key=lambda r: r.place)])
+        discard(on)
+        return weights
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, features: int = 1024, least: float = 12.0, posterior: float = 0.7, texts_a_trainer: int = 50_000, rounds: int = 2, steps: int = 300,
 ) -> Model:
     """Trains on at most positives confirmed documents and on all others (see above)."""
-    train = labels.where(training_row(F.col("doc_id"), FOLDS) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    shares = train.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
-    if not shares.toxic:
+    learner = Learner(docs, labels, id_col, text_col, positives, features, least, posterior)
+    if learner.names is None:
         return Model()
-    prior = min(max(shares.toxic / shares.n, 1e-3), 0.9)
-    training = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(training_row(F.col(id_col), FOLDS))
-    picked = written(_least_hashes(train.where("toxic = 1").select("doc_id"), positives, 5), "picked")
-    texts = training.join(F.broadcast(picked), "doc_id")  # at most positives ids
-    confirmed = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "confirmed")
-    n_p, n_u = confirmed.count(), training.count()
-    if not n_p:
-        return Model()
-    names = chosen_features(confirmed, training, n_p, n_u, prior, features, least, posterior)
-    place = {f: k for k, f in enumerate(names)}
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Features()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
-                rows = [sorted(place[f] for f in found.of(t) if f in place) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], ["trainer", "on"])
-
-    several = -(-n_u // texts_a_trainer)
-    deal = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(several)).cast("int")
-    on = training.select(deal.alias("trainer"), "text").mapInArrow(chosen, "trainer int, on array<int>")
-    on = written(on.repartition(several, "trainer").sortWithinPartitions("trainer", "on"), "chosen")
-    sure = sorted(list(r.on) for r in confirmed.select(F.lit(0).alias("trainer"), "text").mapInArrow(chosen, "trainer int, on array<int>").collect())  # at most positives rows
-    known = Texts.of([np.array(x, np.int64) for x in sure])
-    weights = np.zeros(len(names) + 1)
-    weights[-1] = np.log(prior / (1 - prior))
-
-    def trainer(start: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def learn(rows: pd.DataFrame) -> pd.DataFrame:
-            w = fit_nnpu(known, Texts.of(list(rows.on)), prior, start, steps)
-            return pd.DataFrame({"place": np.arange(len(w)), "w": w * len(rows), "n": len(rows)})
-
-        return learn
-
-    for _ in range(rounds if several > 1 else 1):
-        mean = on.groupBy("trainer").applyInPandas(trainer(weights), "place int, w double, n long").groupBy("place").agg((F.sum("w") / F.sum("n")).alias("w"))
-        found = mean.collect()  # a row a feature
-        weights = np.array([r.w for r in sorted(found, key=lambda r: r.place)])
-    discard(on)
-    return Model({f: float(w) for f, w in zip(names, weights)}, float(weights[-1]))
+    deal, several = learner.deal(texts_a_trainer)
+    on = learner.encoded(learner.rows.where("trains").select(deal.alias("trainer"), "text"), "trainer int")
+    weights = learner.weights(on, several, rounds, steps)
+    return Model({f: float(w) for f, w in zip(learner.names, weights)}, float(weights[-1]))
 
 
 def score_column(text: Column, model: Model) -> Column:
@@ -273,8 +307,24 @@ def score_column(text: Column, model: Model) -> Column:
     return score(text)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
-    model = fit(docs, labels, id_col, text_col)
-    scored = docs.select(F.col(id_col).alias("doc_id"), score_column(F.col(text_col), model).alias("score"))
-    return scored.select("doc_id", (~training_row(F.col("doc_id"), FOLDS)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = 4000, features: int = 1024, least: float = 12.0, posterior: float = 0.7, texts_a_trainer: int = 50_000, rounds: int = 2, steps: int = 300,
+) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs, by the model that fit makes; texts are read for it and for their scores at once."""
+    learner = Learner(docs, labels, id_col, text_col, positives, features, least, posterior)
+    held = (~F.col("trains")).alias("held_out")
+    if learner.names is None:
+        score = F.lit(float(1 / (1 + np.exp(-Model().bias))))
+        return learner.rows.select("doc_id", held, score.alias("score"), F.lit(0).alias("predicted"))
+    deal, several = learner.deal(texts_a_trainer)
+    kind = dict(learner.rows.dtypes)["doc_id"]
+    on = written(learner.encoded(learner.rows.select("doc_id", "trains", deal.alias("trainer"), "text"), f"doc_id {kind}, trains boolean, trainer int"), "encoded")
+    weights = learner.weights(on.where("trains").select("trainer", "on"), several, rounds, steps)
+
+    @F.pandas_udf("double")
+    def score(rows: pd.Series) -> pd.Series:
+        total = Texts.of(list(rows)).sums(weights[:-1]) + weights[-1] if len(rows) else np.zeros(0)
+        return pd.Series(1 / (1 + np.exp(-np.clip(total, -500, 500))))
+
+    scored = on.select("doc_id", held, score("on").alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
