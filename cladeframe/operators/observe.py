@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import numbered
+from ..tables import numbered, written
 
 
 def group_observations(obs: DataFrame, *keys: str, at_least: int = 0) -> DataFrame:
@@ -81,3 +81,23 @@ def folds(obs: DataFrame, k: int, seed: int, name: str, *groups: str) -> DataFra
     """obs with fold, 0 to k - 1, of equal sizes within groups, dealt in the order of digests."""
     order = Window.partitionBy(*groups).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(name).cast("string"))), name)
     return obs.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+
+
+def held_out_leaves(nodes: DataFrame, leaves: DataFrame, times: int, proportion: float = 0.33, least: int = 2, seed: int = 0) -> DataFrame:
+    """fold, parent_id, signature, node_id, validation: for each fold the leaves that leave the training tree, and which of them validate.
+
+    Of every node with more than least + 1 children the leaves below it are grouped by signature; a share of the groups (at least one)
+    is drawn without replacement in proportion to abundance, each by an exponential time from its digest; of a drawn group all leaves go
+    and one, by digest, validates, unless no more than least children would stay.  leaves: node_id, signature, abundance.  Groups are
+    ranked within nodes by a range shuffle, so a node may have any number of them."""
+    own = nodes.where("is_leaf").select("node_id", "parent_id").join(leaves.select("node_id", "signature", "abundance"), "node_id")
+    children = nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count("*").alias("children")).where(F.col("children") - 1 > least)
+    groups = own.groupBy("parent_id", "signature").agg(F.sum("abundance").alias("weight"), F.count("*").alias("n")).where("weight > 0").join(children, "parent_id")
+    each = groups.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("name", F.concat_ws("|", F.col("fold").cast("string"), "parent_id", "signature"))
+    timed = each.withColumn("time", -F.log(chance(seed, "name")) / F.col("weight")).select("fold", "parent_id", "signature", "n", "children", "time")
+    ranked = written(numbered(timed, "fold", "parent_id", "time", "signature"), "ranked")
+    first = ranked.groupBy("fold", "parent_id").agg(F.min("row_number").alias("first"), F.greatest(F.lit(1), F.floor(F.lit(proportion) * F.count("*"))).alias("take"))
+    drawn = ranked.join(first, ["fold", "parent_id"]).where("row_number - first < take").where(F.col("children") - F.col("n") > least).select("fold", "parent_id", "signature")
+    gone = own.join(drawn, ["parent_id", "signature"]).withColumn("name", F.concat_ws("|", F.col("fold").cast("string"), "node_id")).withColumn("u", chance(seed, "name"))
+    picked = gone.groupBy("fold", "parent_id", "signature").agg(F.min_by("node_id", F.struct("u", "node_id")).alias("picked"))
+    return gone.join(picked, ["fold", "parent_id", "signature"]).select("fold", "parent_id", "signature", "node_id", (F.col("node_id") == F.col("picked")).alias("validation"))

@@ -206,6 +206,19 @@ def folds(f: Fixture) -> DataFrame:
     return observe.folds(f.obs, 4, 5, "cell_id", "organ").groupBy("fold").agg(F.count("*").alias("n"), F.sum("abundance").alias("cells"))
 
 
+_CHANCE = "((1+('0x'||substr(md5('4|'||{}),1,8))::BIGINT)/4294967297.0E0)"
+_HELD = f"""ow AS (SELECT l.node_id, n.parent_id, l.pairs AS signature, l.abundance FROM fx_leaf l JOIN fx_node n ON n.node_id=l.node_id), ch AS (SELECT parent_id, COUNT(*) AS children FROM fx_node WHERE parent_id IS NOT NULL GROUP BY 1 HAVING COUNT(*)-1>2),
+ gr AS (SELECT fold, ow.parent_id, signature, COUNT(*) AS n, SUM(abundance) AS w, MIN(children) AS children FROM ow JOIN ch ON ch.parent_id=ow.parent_id, (SELECT UNNEST(range(3)) AS fold) f GROUP BY 1,2,3),
+ rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY fold, parent_id ORDER BY -LN({_CHANCE.format("fold||'|'||parent_id||'|'||signature")})/w, signature) AS r, GREATEST(1, FLOOR(0.33E0*COUNT(*) OVER (PARTITION BY fold, parent_id))) AS take FROM gr),
+ gn AS (SELECT fold, ow.*, {_CHANCE.format("fold||'|'||node_id")} AS u FROM rk JOIN ow ON ow.parent_id=rk.parent_id AND ow.signature=rk.signature WHERE r<=take AND children-n>2)"""
+
+
+@plan(with_views(_HELD, "SELECT CAST(fold AS INT) AS fold, parent_id, signature, node_id, ROW_NUMBER() OVER (PARTITION BY fold, parent_id, signature ORDER BY u, node_id)=1 AS validation FROM gn"), "fx_leaf", "fx_node")
+def multifurcation_folds(f: Fixture) -> DataFrame:
+    """Three folds: below every node with enough children a third of the kinds of leaves goes, one leaf of each validates."""
+    return observe.held_out_leaves(f.node, f.leaf.select("node_id", F.col("pairs").alias("signature"), "abundance"), 3, seed=4)
+
+
 # -- distributions ---------------------------------------------------------------------
 #: Laws of the left trims of each target's events: rates are their means (and a half), the binomial's chance has the same mean.
 _TRIMS = "r AS (SELECT min_target AS target, COUNT(*) AS n, AVG(19+27*min_target-start_pos)+0.5E0 AS rate FROM fx_event GROUP BY 1), k AS (SELECT UNNEST(range(1,22)) AS k)"

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cladeframe.operators import moves, offsets, stats, trees
+from cladeframe.operators import moves, observe, offsets, stats, trees
 from cladeframe.tables import sums_before
 
 NODES = "node_id string, parent_id string, dist double, is_leaf boolean"
@@ -205,3 +205,32 @@ def test_fitted_tree_keeps_depths_and_has_two_children(spark, seed):
     for r in made:
         if r.node_id in parent and len(below[r.node_id]) > 2 or r.node_id not in parent:
             assert kids[r.node_id] == 2 or (r.parent_id is None and kids[r.node_id] == 1)
+
+
+def test_held_out_leaves_by_their_rules(spark):
+    """Of each node with enough children a third of the groups, or one; whole groups go, one leaf of each validates; heavy groups go more often."""
+    rng = random.Random(3)
+    leaves = [(f"l{k}", f"s{rng.randrange(9)}" if k % 40 else "heavy", 200 if k % 40 == 0 else rng.randint(0, 2)) for k in range(400)]
+    nodes = [("r", None, False)] + [(f"p{j}", "r", False) for j in range(12)] + [(n, f"p{k % 11}" if k < 390 else "p11", True) for k, (n, *_) in enumerate(leaves)]
+    nodes += [("q", "r", False), ("only1", "q", True), ("only2", "q", True)]
+    leaves += [("only1", "s1", 5), ("only2", "s2", 5)]
+    frame = spark.createDataFrame(nodes, "node_id string, parent_id string, is_leaf boolean")
+    got = observe.held_out_leaves(frame, spark.createDataFrame(leaves, "node_id string, signature string, abundance int"), 4, seed=2).collect()
+    parent, kind, weight = {n: p for n, p, _ in nodes}, {n: s for n, s, _ in leaves}, {n: w for n, _, w in leaves}
+    groups, children = defaultdict(set), Counter(p for _, p, _ in nodes)
+    for n, s in kind.items():
+        groups[parent[n], s].add(n)
+    heavy, found = 0, defaultdict(set)
+    for r in got:
+        assert kind[r.node_id] == r.signature and parent[r.node_id] == r.parent_id != "q"
+        found[r.fold, r.parent_id, r.signature].add(r.node_id)
+    for (fold, p, s), out in found.items():
+        assert out == groups[p, s] and sum(weight[n] for n in out) > 0 and children[p] - len(out) > 2
+        assert sum(r.validation for r in got if (r.fold, r.parent_id, r.signature) == (fold, p, s)) == 1
+        heavy += s == "heavy"
+    for fold in range(4):
+        for p in {p for p in children if p and p.startswith("p")}:
+            n = sum(1 for (q, s), g in groups.items() if q == p and sum(weight[x] for x in g) > 0)
+            mine = [s for f, q, s in found if (f, q) == (fold, p)]
+            assert len(mine) <= max(1, int(0.33 * n))
+    assert heavy > 0.8 * sum(1 for f in range(4) for (p, s) in groups if s == "heavy")
