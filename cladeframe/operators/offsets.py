@@ -13,9 +13,12 @@ def branch_lengths(nodes: DataFrame, paths: DataFrame, total: float, most: int =
     most children leaves it, else 0) and length (of the branch from there).
 
     nodes: node_id, parent_id, is_leaf, inner (an inner node's distance from its parent), proportion (of the distance that is spine).
-    Leaves stand at the total."""
-    down = paths.join(nodes.where("parent_id IS NOT NULL AND NOT is_leaf").select(F.col("node_id").alias("anc_id"), "inner"), "anc_id")
-    sums = down.groupBy(F.col("desc_id").alias("node_id")).agg(F.sum("inner").alias("depth"))
+    Leaves stand at the total.  An inner node's depth is added up from its own distance to the root's, one after the other, so that offsets
+    which differ in the last digits alone are in one order whatever the partitions; only inner nodes need it."""
+    inside = nodes.where("parent_id IS NOT NULL AND NOT is_leaf")
+    down = paths.join(inside.select(F.col("node_id").alias("anc_id"), "inner"), "anc_id").join(inside.select(F.col("node_id").alias("desc_id")), "desc_id", "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct("hops", "inner")))  # a node's ancestors
+    sums = down.groupBy(F.col("desc_id").alias("node_id")).agg(F.aggregate(ordered, F.lit(0.0), lambda total, x: total + x["inner"]).alias("depth"))
     deep = nodes.join(sums, "node_id", "left").withColumn("depth", F.when(F.col("is_leaf"), total).otherwise(F.coalesce("depth", F.lit(0.0))))
     up = deep.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("above"))
     many = nodes.groupBy("parent_id").agg((F.count("*") > most).alias("unresolved"))

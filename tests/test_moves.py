@@ -234,3 +234,19 @@ def test_held_out_leaves_by_their_rules(spark):
             mine = [s for f, q, s in found if (f, q) == (fold, p)]
             assert len(mine) <= max(1, int(0.33 * n))
     assert heavy > 0.8 * sum(1 for f in range(4) for (p, s) in groups if s == "heavy")
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_depths_do_not_depend_on_the_order_of_paths(spark, up):
+    """Added up from the node to the root, whatever the order of rows: offsets that tie but for the last digit stay in one order."""
+    inner = {"a": ("r", 0.1), "b": ("a", 0.2), "c": ("b", 0.3), "d": ("c", 0.7), "e": ("d", 0.05), "r": (None, 0.0)}
+    nodes = spark.createDataFrame([(n, p, False, v, 0.5) for n, (p, v) in inner.items()], "node_id string, parent_id string, is_leaf boolean, inner double, proportion double")
+    rows, expected = [], {}
+    for n in inner:
+        at, hops, total = n, 0, 0.0
+        while at is not None:
+            rows.append((at, n, hops))
+            total, at, hops = total + inner[at][1], inner[at][0], hops + 1
+        expected[n] = total
+    paths = spark.createDataFrame(sorted(rows, key=lambda r: r[2] if up else -r[2]), "anc_id string, desc_id string, hops int").coalesce(1)
+    assert {r.node_id: r.depth for r in offsets.branch_lengths(nodes, paths, 1.0).collect()} == expected
