@@ -10,13 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
 from . import stats
 
 
 def joint_counts(paths_a: DataFrame, paths_b: DataFrame, leaves: DataFrame) -> DataFrame:
-    """a, b, n: leaves (node_id) below both; a row for each two nodes that share one."""
-    above = lambda paths, n: paths.join(leaves.select(F.col("node_id").alias("desc_id")), "desc_id", "left_semi").select("desc_id", F.col("anc_id").alias(n))
-    return above(paths_a, "a").join(above(paths_b, "b"), "desc_id").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """a, b, n, one: how many leaves (node_id) are below both, and the first of them; a row for each two inner nodes that share one."""
+    hung = lambda paths: paths.where("hops = 1").select(F.col("desc_id").alias("node_id"), F.col("anc_id").alias("parent_id")).join(leaves, "node_id", "left_semi")
+    return joint_inner(hung(paths_a), hung(paths_b), paths_a, paths_b)
+
+
+def joint_inner(leaves_a: DataFrame, leaves_b: DataFrame, paths_a: DataFrame, paths_b: DataFrame) -> DataFrame:
+    """joint_counts of leaves (node_id, parent_id) in both trees, whose paths may lack the leaves.  Leaves with equal parents in both are
+    counted first, so only such pairs of parents meet the nodes above them."""
+    parent = lambda leaves, n: leaves.select("node_id", F.col("parent_id").alias(n))
+    above = lambda paths, low, n: paths.select(F.col("desc_id").alias(low), F.col("anc_id").alias(n))
+    pairs = parent(leaves_a, "low_a").join(parent(leaves_b, "low_b"), "node_id").groupBy("low_a", "low_b").agg(F.count("*").alias("n"), F.min("node_id").alias("one"))
+    half = pairs.join(above(paths_a, "low_a", "a"), "low_a").groupBy("a", "low_b").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    return half.join(above(paths_b, "low_b", "b"), "low_b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
 
 
 def mrca_pairs(joint: DataFrame, nodes_a: DataFrame, nodes_b: DataFrame) -> DataFrame:
@@ -44,13 +55,16 @@ def mrca_difference(heights: DataFrame) -> DataFrame:
 
 
 def internal_depths(joint: DataFrame, depths_a: DataFrame, depths_b: DataFrame, own: str = "a", least: float = 1e-10) -> DataFrame:
-    """For each inner node of the one tree but its root: its depth, and that of the last common ancestor of the same leaves in the other."""
+    """For each inner node of the one tree but its root: its depth, and that of the last common ancestor of the same leaves in the other:
+    the lowest that has all of them below it, or the leaf itself where there is one."""
     other = "b" if own == "a" else "a"
     mine, theirs = (depths_a, depths_b) if own == "a" else (depths_b, depths_a)
     inner = mine.where(f"parent_id IS NOT NULL AND NOT is_leaf AND depth >= {least}").select(F.col("node_id").alias(own), F.col("depth").alias("depth"))
     there = joint.join(inner, own).join(theirs.select(F.col("node_id").alias(other), F.col("depth").alias("other_depth"), F.col("level").alias("other_level")), other)
-    whole = there.groupBy(own).agg(F.max("n").alias("whole"))  # the other root has all of a node's leaves below it
-    return there.join(whole, own).where("n = whole").groupBy(own, "depth").agg(F.max_by("other_depth", "other_level").alias("other_depth"))
+    lowest = F.max_by("other_depth", F.struct("n", "other_level"))  # the other root has all of a node's leaves below it
+    found = written(there.groupBy(own, "depth").agg(lowest.alias("other_depth"), F.max("n").alias("n"), F.min("one").alias("one")), "lowest")
+    lone = found.where("n = 1").drop("other_depth").join(theirs.where("is_leaf").select(F.col("node_id").alias("one"), F.col("depth").alias("other_depth")), "one")
+    return found.where("n > 1").select(own, "depth", "other_depth").unionByName(lone.select(own, "depth", "other_depth"))
 
 
 def internal_correlation(joint: DataFrame, depths_a: DataFrame, depths_b: DataFrame) -> DataFrame:

@@ -22,16 +22,22 @@ _ENTRIES = f"{_BOTH}, en AS (SELECT x, y, SUM(n) AS n FROM (SELECT ROUND({_HEIGH
 
 
 def joint(f: Fixture) -> DataFrame:
-    return f.at_rest("joint", lambda: trees.written(compare.joint_counts(f.closure, f.other_closure, f.node.where("is_leaf")), "joint"))
+    return f.at_rest("joint", lambda: trees.written(compare.joint_inner(f.node.where("is_leaf"), f.other.where("is_leaf"), f.upper, f.other_upper), "joint"))
 
 
 def _depths(f: Fixture) -> tuple[DataFrame, DataFrame]:
-    return trees.depths(f.node, f.closure), trees.depths(f.other, f.other_closure)
+    return all_depths(f.node, f.upper), all_depths(f.other, f.other_upper)
+
+
+def all_depths(nodes: DataFrame, upper: DataFrame) -> DataFrame:
+    """trees.depths by the closure of inner nodes; leaves take theirs from their parents."""
+    inner = trees.depths(nodes.where("NOT is_leaf"), upper)
+    return inner.unionByName(trees.hung_depths(inner, nodes.where("is_leaf")))
 
 
 def heights(f: Fixture) -> DataFrame:
     leaves = lambda nodes: nodes.where("is_leaf").select("node_id", "dist")
-    return compare.mrca_heights(compare.mrca_pairs(joint(f), f.node, f.other), *_depths(f), leaves(f.node), leaves(f.other))
+    return compare.mrca_heights(compare.mrca_pairs(joint(f), f.node.where("NOT is_leaf"), f.other.where("NOT is_leaf")), *(d.where("NOT is_leaf") for d in _depths(f)), leaves(f.node), leaves(f.other))
 
 
 def labels(f: Fixture) -> DataFrame:
@@ -172,7 +178,7 @@ def node_json(f: Fixture) -> DataFrame:
 def branch_length_time(f: Fixture) -> DataFrame:
     from ..operators import stats
 
-    fit = stats.regression(trees.depths(f.node, f.closure).where("NOT is_leaf AND parent_id IS NOT NULL"), "dist", "depth")
+    fit = stats.regression(trees.depths(f.node.where("NOT is_leaf"), f.upper).where("parent_id IS NOT NULL"), "dist", "depth")
     own = f.node.where("is_leaf").agg(F.avg("dist").alias("leaf_mean"), F.min("dist").alias("leaf_min"), F.max("dist").alias("leaf_max"))
     return fit.select(F.col("n").alias("inner_nodes"), "slope", "intercept", "r").join(own)  # one row each
 

@@ -319,3 +319,20 @@ def test_resolved_trees_are_binary(spark):
     got = reshape.resolved(spark.createDataFrame(rows, NODES), 1).collect()
     assert sorted(r["count"] for r in spark.createDataFrame(got).groupBy("parent_id").count().where("parent_id IS NOT NULL").collect()) == [2] * 4
     assert {r.node_id for r in got if r.is_leaf} == {f"l{k}" for k in range(5)}
+
+
+def test_joint_counts_have_no_rows_for_leaves(spark):
+    """The table of pairs grows with inner nodes, whatever the leaves; a node's only leaf is named."""
+    up_a = {"a": "r", "b": "r", **{f"l{k}": "a" if k else "b" for k in range(50)}}
+    up_b = {"c": "s", **{f"l{k}": "c" for k in range(50)}}
+    frame = lambda up, root: spark.createDataFrame([(root, None, 0.0, False), *((n, p, 0.5, n.startswith("l")) for n, p in up.items())], NODES)
+    a, b = frame(up_a, "r"), frame(up_b, "s")
+    leaves = a.where("is_leaf").select("node_id")
+    joint = compare.joint_counts(trees.closure(a), trees.closure(b), leaves).collect()
+    assert {(r.a, r.b): r.n for r in joint} == {(x, y): n for x, n in (("r", 50), ("a", 49), ("b", 1)) for y in "cs"}
+    assert {r.one for r in joint if r.n == 1} == {"l0"}
+    inner = lambda nodes: trees.closure(nodes.where("NOT is_leaf"))
+    again = compare.joint_inner(a.where("is_leaf"), b.where("is_leaf"), inner(a), inner(b))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, joint))
+    hung = trees.with_ends(inner(a), a.where("is_leaf"))
+    assert sorted(map(tuple, hung.collect())) == sorted(map(tuple, trees.closure(a).collect()))
