@@ -92,7 +92,7 @@ def perm_test(f: Fixture) -> DataFrame:
     """Correlation of two trees' tissue matrices against that of shuffled labels."""
     labelled = f.at_rest("labelled", lambda: trees.written(f.tissue.select(F.lit(-1).alias("replicate"), "node_id", "organ", "abundance").unionByName(shuffled(f)), "labelled"))
     one = lambda nodes, paths, name: trees.tissue_distances(nodes, paths, labelled, "replicate").where("organ < other").select("replicate", "organ", "other", F.col("distance").alias(name))
-    both = f.at_rest("matrices", lambda: trees.written(one(f.node, f.closure, "x").join(one(f.other, f.other_closure, "y"), ["replicate", "organ", "other"]), "matrices"))
+    both = f.at_rest("matrices", lambda: trees.written(one(f.node, f.upper, "x").join(one(f.other, f.other_upper, "y"), ["replicate", "organ", "other"]), "matrices"))
     return stats.permutation_test(both.where("replicate < 0"), both.where("replicate >= 0"), "x", "y")
 
 

@@ -124,7 +124,7 @@ def merged_tissue_labels(f: Fixture) -> DataFrame:
  x AS (SELECT organ, other, SUM(len*abundance)/SUM(abundance) AS one_way, COUNT(*) AS n FROM u GROUP BY 1,2)""",
  "SELECT a.organ, a.other, a.one_way, (a.one_way+b.one_way)/2 AS distance, a.n FROM x a LEFT JOIN x b ON b.organ=a.other AND b.other=a.organ"), "fx_tissue", "closure", doubles="one_way distance")
 def tissue_distance(f: Fixture) -> DataFrame:
-    return trees.tissue_distances(f.node, f.closure, f.tissue)
+    return trees.tissue_distances(f.node, f.upper, f.tissue)
 
 
 _FLOW = _MERGED + """, sg AS (SELECT node_id, MIN(abundance) AS abundance FROM fx_tissue GROUP BY 1 HAVING COUNT(*)=1), tot AS (SELECT SUM(abundance) AS s FROM sg),
@@ -189,8 +189,9 @@ _CLADES = "cl AS (SELECT d.node_id, d.depth, SUM(l.abundance) AS cells FROM dept
 def clade_cells(f: Fixture) -> DataFrame:
     """node_id, depth, cells of inner nodes with more than two children, away from the root."""
     spined = f.node.groupBy(F.col("parent_id").alias("node_id")).count().where("count > 2").select("node_id")
-    inner = trees.depths(f.node, f.closure).where("depth >= 0.05").join(spined, "node_id", "left_semi").select("node_id", "depth")
-    cells = trees.leaf_values(f.closure.where("hops > 0"), f.leaf, "abundance").groupBy(F.col("anc_id").alias("node_id")).agg(F.sum("abundance").alias("cells"))
+    inner = trees.depths(f.node.where("NOT is_leaf"), f.upper).where("depth >= 0.05").join(spined, "node_id", "left_semi").select("node_id", "depth")
+    own = f.leaf.select("node_id", "abundance").join(f.node.where("is_leaf").select("node_id", "parent_id"), "node_id").groupBy(F.col("parent_id").alias("node_id")).agg(F.sum("abundance").alias("abundance"))
+    cells = trees.leaf_values(f.upper, own, "abundance").groupBy(F.col("anc_id").alias("node_id")).agg(F.sum("abundance").alias("cells"))  # by parents first
     return inner.join(cells, "node_id")
 
 

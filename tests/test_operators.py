@@ -336,3 +336,30 @@ def test_joint_counts_have_no_rows_for_leaves(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, joint))
     hung = trees.with_ends(inner(a), a.where("is_leaf"))
     assert sorted(map(tuple, hung.collect())) == sorted(map(tuple, trees.closure(a).collect()))
+
+
+def test_tissue_distances_by_every_leaf(spark):
+    """Against each leaf's way up, with leaves of several tissues and below the root; the closure of inner nodes is enough."""
+    up = {"a": "r", "b": "a", "c": "r", **{f"l{k}": "abc"[k % 3] for k in range(12)}, "l12": "r", "l13": "r", "l14": "c"}
+    dist = {n: 0.1 + 0.01 * k for k, n in enumerate(up)}
+    organs = {f"l{k}": [("xyz"[k % 3], 1 + k)] for k in range(15)} | {"l3": [("x", 2), ("y", 5)], "l12": [("x", 1), ("z", 4)], "l14": [("w", 3), ("x", 1)]}
+    nodes = spark.createDataFrame([("r", None, 0.0, False), *((n, p, dist[n], n.startswith("l")) for n, p in up.items())], NODES)
+    tissues = spark.createDataFrame([(n, o, w) for n, own in organs.items() for o, w in own], "node_id string, organ string, abundance long")
+    way = lambda n: [n] + (way(up[n]) if n in up else [])
+    depth = lambda n: sum(dist.get(m, 0.0) for m in way(n))
+    has = {}
+    for n, own in organs.items():
+        for m in way(n):
+            has.setdefault(m, set()).update(o for o, _ in own)
+    sums = {}
+    for n, own in organs.items():
+        for o, w in own:
+            for other in {"x", "y", "z", "w"} - {o}:
+                at = next((m for m in way(n) if m != "r" and other in has[m]), None)
+                if at is not None:
+                    total, weight, k = sums.get((o, other), (0.0, 0, 0))
+                    sums[o, other] = total + w * (dist[n] / 2 if at == n else 1 - depth(at)), weight + w, k + 1
+    for paths in (trees.closure(nodes), trees.closure(nodes.where("NOT is_leaf"))):
+        got = {(r.organ, r.other): (r.one_way, r.n) for r in trees.tissue_distances(nodes, paths, tissues).collect()}
+        assert set(got) == set(sums)
+        assert all(got[k] == (pytest.approx(t / w), n) for k, (t, w, n) in sums.items())
