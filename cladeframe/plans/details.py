@@ -92,9 +92,8 @@ def assigned_lengths(f: Fixture) -> DataFrame:
 @plan(with_views("s AS (SELECT node_id FROM fx_node WHERE parent_id IS NULL OR is_leaf OR dist>0.12)", "SELECT c.desc_id AS full_id, ARG_MIN(c.anc_id, c.hops) AS kept_id, MIN(c.hops)=0 AS same FROM closure c JOIN s ON s.node_id=c.anc_id GROUP BY 1"), "closure")
 def node_mapping(f: Fixture) -> DataFrame:
     """Every node of the full tree with the one of the collapsed tree that stands for it."""
-    kept = f.node.where("parent_id IS NULL OR is_leaf OR dist > 0.12").select(F.col("node_id").alias("anc_id"))
-    near = f.closure.join(kept, "anc_id", "left_semi").groupBy(F.col("desc_id").alias("full_id")).agg(F.min_by("anc_id", "hops").alias("kept_id"), F.min("hops").alias("h"))
-    return near.select("full_id", "kept_id", (F.col("h") == 0).alias("same"))
+    kept = f.node.where("parent_id IS NULL OR is_leaf OR dist > 0.12").select("node_id")
+    return trees.nearest_above(f.node, f.upper, kept).withColumnRenamed("node_id", "full_id")
 
 
 @plan(with_views(f"{topology._BOTH}, i1 AS ({topology._inner_sql(1, 2)})", "SELECT node, depth, CASE WHEN k=1 THEN 1E0 ELSE there END AS other_depth FROM i1"), "fx_node", "fx_other", doubles="depth other_depth")
