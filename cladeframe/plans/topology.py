@@ -26,13 +26,7 @@ def joint(f: Fixture) -> DataFrame:
 
 
 def _depths(f: Fixture) -> tuple[DataFrame, DataFrame]:
-    return all_depths(f.node, f.upper), all_depths(f.other, f.other_upper)
-
-
-def all_depths(nodes: DataFrame, upper: DataFrame) -> DataFrame:
-    """trees.depths by the closure of inner nodes; leaves take theirs from their parents."""
-    inner = trees.depths(nodes.where("NOT is_leaf"), upper)
-    return inner.unionByName(trees.hung_depths(inner, nodes.where("is_leaf")))
+    return trees.all_depths(f.node, f.upper), trees.all_depths(f.other, f.other_upper)
 
 
 def heights(f: Fixture) -> DataFrame:
@@ -42,7 +36,7 @@ def heights(f: Fixture) -> DataFrame:
 
 def labels(f: Fixture) -> DataFrame:
     groups = f.spark.createDataFrame(GROUPS, "organ string, name string")
-    return trees.tissue_labels(f.node, f.closure, trees.merged_tissues(f.tissue.select("node_id", "organ"), groups, WITHOUT))
+    return trees.tissue_labels(f.node, f.upper, trees.merged_tissues(f.tissue.select("node_id", "organ"), groups, WITHOUT))
 
 
 # -- two trees ------------------------------------------------------------------------
@@ -155,14 +149,14 @@ _LINKS = _MERGED + """, kt AS (SELECT node_id, CAST(FLOOR(depth*10+1e-9) AS INT)
 
 @plan(with_views(_LINKS, "SELECT a.label AS source, b.label AS target, CAST(k AS INT) AS bucket, COUNT(DISTINCT one) AS n FROM ln JOIN lb a ON a.node_id=one JOIN lb b ON b.node_id=two GROUP BY 1,2,3"), "fx_tissue", "closure")
 def tree_graph(f: Fixture) -> DataFrame:
-    return trees.time_links(f.node, f.closure, labels(f))
+    return trees.time_links(f.node, f.upper, labels(f))
 
 
 @plan(with_views(_LINKS, "SELECT to_json({'source': source, 'target': target, 'bucket': bucket, 'value': n}) AS line FROM (SELECT a.label AS source, b.label AS target, CAST(k AS INT) AS bucket, COUNT(DISTINCT one) AS n FROM ln JOIN lb a ON a.node_id=one JOIN lb b ON b.node_id=two GROUP BY 1,2,3) z"), "fx_tissue", "closure")
 def graph_json(f: Fixture) -> DataFrame:
     """The graph's links as JSON lines, written and read back."""
     path = new_path(f.spark, "graph")
-    links = trees.time_links(f.node, f.closure, labels(f)).withColumnRenamed("n", "value")
+    links = trees.time_links(f.node, f.upper, labels(f)).withColumnRenamed("n", "value")
     links.select(F.to_json(F.struct("source", "target", "bucket", "value")).alias("value")).write.text(path)
     return f.spark.read.text(path).withColumnRenamed("value", "line")
 
