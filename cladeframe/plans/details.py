@@ -179,7 +179,7 @@ def resolved_tree(f: Fixture) -> DataFrame:
 @plan(with_views(f"pk(node_id, key) AS (SELECT 'ROOT', '' UNION ALL SELECT n.node_id, pk.key||'/'||n.node_id||' ' FROM pk JOIN fx_node n ON n.parent_id=pk.node_id), i AS (SELECT n.node_id, ROW_NUMBER() OVER (ORDER BY key) AS r FROM pk JOIN fx_node n USING (node_id) WHERE NOT n.is_leaf AND n.parent_id IS NOT NULL), u AS (SELECT u, ROW_NUMBER() OVER (ORDER BY u, node_id) AS r FROM (SELECT node_id, {_u(4, 'node_id')} AS u FROM i) z), h AS (SELECT node_id, u AS depth FROM i JOIN u USING (r))",
  "SELECT n.node_id, n.parent_id, CASE WHEN n.parent_id IS NULL THEN 0 WHEN n.is_leaf THEN 1 ELSE h.depth END-COALESCE(p.depth,0) AS dist FROM fx_node n LEFT JOIN h USING (node_id) LEFT JOIN h p ON p.node_id=n.parent_id"), "fx_node", doubles="dist")
 def random_lengths(f: Fixture) -> DataFrame:
-    return reshape.random_lengths(f.node, trees.traversal(f.node, f.closure), 1.0, 4).select("node_id", "parent_id", "dist")
+    return reshape.random_lengths(f.node, trees.traversal(f.node.where("NOT is_leaf"), f.upper), 1.0, 4).select("node_id", "parent_id", "dist")
 
 
 @plan(with_views("s AS (SELECT 'C'||c_custkey AS a, 'C'||(c_custkey+1) AS b FROM customer WHERE c_custkey%10=0 AND c_custkey+1 IN (SELECT c_custkey FROM customer)), m AS (SELECT a AS node_id, b AS other FROM s UNION ALL SELECT b, a FROM s), t AS (SELECT n.node_id, COALESCE(o.parent_id, n.parent_id) AS parent_id FROM fx_node n LEFT JOIN m USING (node_id) LEFT JOIN fx_node o ON o.node_id=m.other)",

@@ -84,7 +84,7 @@ def prune_to_match(f: Fixture) -> DataFrame:
 @plan(with_views("pk(node_id, key, level) AS (SELECT 'ROOT', '', 0 UNION ALL SELECT n.node_id, pk.key||'/'||n.node_id||' ', pk.level+1 FROM pk JOIN fx_node n ON n.parent_id=pk.node_id), sz AS (SELECT anc_id AS node_id, COUNT(*) AS size FROM closure GROUP BY 1)",
  "SELECT node_id, level, ROW_NUMBER() OVER (ORDER BY key)-1 AS preorder, ROW_NUMBER() OVER (ORDER BY key)-1-level+size-1 AS postorder, ROW_NUMBER() OVER (ORDER BY level, key)-1 AS level_order FROM pk JOIN sz USING (node_id)"), "fx_node", "closure")
 def traversals(f: Fixture) -> DataFrame:
-    return trees.traversal(f.node, f.closure).withColumn("postorder", F.col("postorder").cast("long"))
+    return trees.traversal(f.node, f.upper).withColumn("postorder", F.col("postorder").cast("long"))
 
 
 @plan(with_views("""ch AS (SELECT n.node_id, n.parent_id IS NULL OR a.label<>b.label AS changed FROM fx_node n JOIN fx_label a ON a.node_id=n.node_id LEFT JOIN fx_label b ON b.node_id=n.parent_id),
