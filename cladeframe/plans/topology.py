@@ -235,7 +235,7 @@ def newick_trees(f: Fixture) -> DataFrame:
 def parsimony(f: Fixture) -> DataFrame:
     """Events new against the parent, over all edges of the tree whose inner nodes have the events that all their leaves share."""
     events = f.event.select(F.concat(F.lit("O"), F.col("cell_id").cast("string")).alias("node_id"), (F.col("min_target") * 10 + F.col("max_target")).alias("k")).distinct()
-    return trees.new_events(f.node, trees.shared_events(f.node, f.closure, events)).agg(F.count("*").alias("score"))
+    return trees.new_events(f.node, trees.shared_events(f.node, f.upper, events)).agg(F.count("*").alias("score"))
 
 
 def _events(f: Fixture) -> DataFrame:
