@@ -100,21 +100,31 @@ def cross_spearman(one: DataFrame, two: DataFrame, subject_one: str, subject_two
 
 
 def shuffled_labels(labels: DataFrame, replicates: int) -> DataFrame:
-    """replicate, node_id, organ, abundance: for each replicate from 0 on a random permutation of the leaves, whatever their number: the
-    leaf with number i, in the order of names, takes the labels of the i-th in the order of digests of replicate and name.  Their
-    abundances are dealt anew among as many distinct organs drawn from all, both in the order of digests.
+    """replicate, node_id, organ, abundance of shuffled_sets: a row for each label."""
+    sets = shuffled_sets(labels, replicates)
+    return sets.select("replicate", "node_id", F.explode_outer("own").alias("x")).select("replicate", "node_id", "x.*")  # no set is empty; outer, as explode would work the sets out again to filter them
 
-    labels: node_id, organ, abundance.  Leaves and digests are numbered by range shuffles, so no task holds a whole replicate."""
+
+def shuffled_sets(labels: DataFrame, replicates: int, places: DataFrame | None = None) -> DataFrame:
+    """replicate, node_id, own (array of organ and abundance): for each replicate from 0 on a random permutation of the leaves, whatever
+    their number: the leaf with number i, in the order of names, takes the labels of the i-th in the order of digests of replicate and
+    name.  Their abundances are dealt anew among as many distinct organs drawn from all, both in the order of digests.
+
+    labels: node_id, organ, abundance; places: node_id with columns of a leaf that go with it, null where it has none.  Leaves and digests
+    are numbered by range shuffles, so no task holds a whole replicate; digests go through theirs as bytes and are not written."""
     groups = labels.groupBy("node_id").agg(F.collect_list(F.struct("organ", "abundance")).alias("own"))
-    leaves = written(numbered(groups, "node_id"), "leaves")
+    leaves = numbered(groups, "node_id")
+    leaves = written(leaves if places is None else leaves.join(places, "node_id", "left"), "leaves")
     n = leaves.count()
     organs = bounded(labels.select("organ").distinct(), 10_000, "organs").agg(F.array_sort(F.collect_list("organ")).alias("organs"))
     digest = lambda kind, x: F.md5(F.concat_ws("|", F.lit(kind), F.col("replicate").cast("string"), "node_id", x))
-    each = leaves.select("node_id", "own", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    ranked = numbered(each.withColumn("d", digest("leaf", F.lit(""))), "replicate", "d", "node_id")
+    each = leaves.select("node_id", F.col("row_number").alias("giver"), "own", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    each = each.select("replicate", F.unhex(digest("leaf", F.lit(""))).alias("d"), "giver", "own")  # numbers are in the order of names
+    ranked = numbered(each, "replicate", "d", "giver", without=("d", "giver"))
     givers = ranked.select("replicate", "own", (F.col("row_number") - F.col("replicate") * F.lit(n)).alias("row_number"))
-    moved = givers.join(leaves.select("row_number", "node_id"), "row_number").join(F.broadcast(organs))  # one row
-    dealt = F.array_sort(F.transform("own", lambda x: F.struct(digest("abundance", x["organ"]).alias("d"), x["abundance"].alias("abundance"))))
-    drawn = F.array_sort(F.transform("organs", lambda x: F.struct(digest("organ", x).alias("d"), x.alias("organ"))))
-    pairs = F.explode(F.zip_with(dealt, F.slice(drawn, 1, F.size("own")), lambda a, o: F.struct(o["organ"].alias("organ"), a["abundance"].alias("abundance"))))
-    return moved.select("replicate", "node_id", pairs.alias("x")).select("replicate", "node_id", "x.*")
+    moved = givers.join(leaves.drop("own"), "row_number").join(F.broadcast(organs))  # one row
+    alone = F.size("own") == 1
+    dealt = F.when(alone, F.transform("own", lambda x: x["abundance"])).otherwise(F.transform(F.sort_array(F.transform("own", lambda x: F.struct(digest("abundance", x["organ"]).alias("d"), x["abundance"].alias("abundance")))), lambda x: x["abundance"]))
+    drawn = F.slice(F.sort_array(F.transform("organs", lambda x: F.struct(digest("organ", x).alias("d"), x.alias("organ")))), 1, F.size("own"))
+    own = F.zip_with(dealt, drawn, lambda a, o: F.struct(o["organ"].alias("organ"), a.alias("abundance")))
+    return moved.select("replicate", "node_id", *([] if places is None else [c for c in places.columns if c != "node_id"]), own.alias("own"))
