@@ -96,7 +96,7 @@ def traversals(f: Fixture) -> DataFrame:
 def collapse_ultrametric(f: Fixture) -> DataFrame:
     """Nodes that stay by kind and abundance."""
     nodes = f.node.join(f.label, "node_id").withColumn("abundance", F.lit(1))
-    return trees.collapse_same_alleles(nodes, f.closure, trees.depths(f.node, f.closure)).groupBy(F.substring("node_id", 1, 1).alias("kind"), F.col("abundance").cast("long").alias("abundance")).agg(F.count("*").alias("n"))
+    return trees.collapse_same_alleles(nodes, f.upper, trees.all_depths(f.node, f.upper)).groupBy(F.substring("node_id", 1, 1).alias("kind"), F.col("abundance").cast("long").alias("abundance")).agg(F.count("*").alias("n"))
 
 
 @plan(with_views("""ch AS (SELECT n.node_id, n.is_leaf, n.parent_id IS NULL AS root, n.parent_id IS NULL OR a.label<>b.label AS changed FROM fx_node n JOIN fx_label a ON a.node_id=n.node_id LEFT JOIN fx_label b ON b.node_id=n.parent_id),
