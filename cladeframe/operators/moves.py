@@ -13,36 +13,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def event_counts(nodes: DataFrame, paths: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of every node but the root: node_id, n (leaves below it or itself), and node_id, k, c (those with event k).  events: distinct node_id, k of leaves."""
-    leaves = nodes.where("is_leaf").select(F.col("node_id").alias("desc_id"))
-    below = paths.join(nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("anc_id")), "anc_id", "left_semi").join(leaves, "desc_id", "left_semi")
-    size = below.groupBy(F.col("anc_id").alias("node_id")).agg(F.count("*").alias("n"))
-    held = below.join(events.select(F.col("node_id").alias("desc_id"), "k"), "desc_id").groupBy(F.col("anc_id").alias("node_id"), "k").agg(F.count("*").alias("c"))
-    return size, held
+from ..tables import written
+from . import trees
 
 
 def rehung(nodes: DataFrame, paths: DataFrame, events: DataFrame, chads: DataFrame) -> DataFrame:
     """chad, target, place ('node' or 'edge'), change: for each chad (a node below which all moves) the change of the parsimony score if it
     hangs on an inner node, or in the middle of the edge above a node, anywhere outside itself; staying is a 'node' with change 0.
 
-    Nodes that have no other leaf than the chad's vanish with it and are no targets; a parent left with one child stays."""
-    size, held = event_counts(nodes, paths, events)
-    full = held.join(size, "node_id").where("c = n").select("node_id", "k")
+    Nodes that have no other leaf than the chad's vanish with it and are no targets; a parent left with one child stays.  All but the
+    last step is about inner nodes: the edge above a leaf has its parent's loss less the leaf's own events.  paths may lack the leaves."""
+    size, upper = trees.event_counts(nodes, paths, events)
+    ends = nodes.where("is_leaf AND parent_id IS NOT NULL").select("node_id", "parent_id")
+    full = upper.join(size.where("NOT is_leaf"), "node_id").where("c = n").select("node_id", "k")
     chad = chads.select(F.col("chad")).distinct()
+    alone = events.select("node_id", "k").join(ends.select("node_id"), "node_id", "left_semi").join(chad.withColumnRenamed("chad", "node_id"), "node_id", "left_semi")  # of chads that are leaves
+    held = upper.unionByName(alone.withColumn("c", F.lit(1).cast("long")))
     own_n = chad.join(size.select(F.col("node_id").alias("chad"), F.col("n").alias("n_h")), "chad")
     own_c = chad.join(held.select(F.col("node_id").alias("chad"), "k", F.col("c").alias("c_h")), "chad")
-    own = chad.join(full.select(F.col("node_id").alias("chad"), "k"), "chad")
-    above = paths.where("hops > 0").select(F.col("desc_id").alias("chad"), F.col("anc_id").alias("node_id")).join(chad, "chad", "left_semi")
-    inside = paths.select(F.col("anc_id").alias("chad"), F.col("desc_id").alias("node_id")).join(chad, "chad", "left_semi")
+    own = chad.join(full.unionByName(alone).select(F.col("node_id").alias("chad"), "k"), "chad")
+    hung = chad.join(nodes.select(F.col("node_id").alias("chad"), "parent_id"), "chad")
+    above = hung.join(paths.select(F.col("desc_id").alias("parent_id"), F.col("anc_id").alias("node_id")), "parent_id").select("chad", "node_id")
+    inside = paths.select(F.col("anc_id").alias("chad"), F.col("desc_id").alias("node_id")).join(chad, "chad", "left_semi").union(chad.select("chad", F.col("chad").alias("node_id"))).distinct()
     # nodes above a chad without it: their leaves and events less the chad's
     left_n = above.join(size, "node_id").join(own_n, "chad").select("chad", "node_id", (F.col("n") - F.col("n_h")).alias("left"))
     left_c = above.join(held, "node_id").join(own_c, ["chad", "k"], "left").select("chad", "node_id", "k", (F.col("c") - F.coalesce("c_h", F.lit(0))).alias("c"))
     bare = left_n.where("left > 0").join(left_c, ["chad", "node_id"]).where("c = left").select("chad", "node_id", "k")
     # for each chad every node outside it that stays, with its children, its events and those that the chad has too
     children = nodes.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
-    table = nodes.select("node_id", "parent_id", "is_leaf").join(children, "node_id", "left")
+    table = nodes.where("NOT is_leaf").select("node_id", "parent_id").join(children, "node_id", "left")
     gone = inside.union(left_n.where("left = 0").select("chad", "node_id"))
     lost = above.join(nodes.select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child")), "node_id").join(gone.withColumnRenamed("node_id", "child"), ["chad", "child"]).groupBy("chad", "node_id").agg(F.count("*").alias("lost"))
     every = table.join(F.broadcast(chad)).join(gone, ["chad", "node_id"], "left_anti").join(lost, ["chad", "node_id"], "left")  # chads are the caller's few
@@ -52,14 +51,19 @@ def rehung(nodes: DataFrame, paths: DataFrame, events: DataFrame, chads: DataFra
     above_full = above.join(counted(bare, "left_full"), ["chad", "node_id"], "left").select("chad", "node_id", F.coalesce("left_full", F.lit(0)).alias("left_full"))
     state = every.join(plain, "node_id", "left").join(above_full, ["chad", "node_id"], "left").join(counted(shared, "both"), ["chad", "node_id"], "left")
     has = F.coalesce("left_full", "all_full", F.lit(0))
-    state = state.select("chad", "node_id", "parent_id", "is_leaf", (F.coalesce("children", F.lit(0)) - F.coalesce("lost", F.lit(0))).alias("children"), has.alias("full"), F.coalesce("both", F.lit(0)).alias("both"))
-    loss = state.where("parent_id IS NOT NULL AND NOT is_leaf AND full > both AND children > 1").select("chad", F.col("node_id").alias("anc_id"), ((F.col("children") - 1) * (F.col("full") - F.col("both"))).alias("loss"))
+    state = state.select("chad", "node_id", "parent_id", (F.coalesce("children", F.lit(0)) - F.coalesce("lost", F.lit(0))).alias("children"), has.alias("full"), F.coalesce("both", F.lit(0)).alias("both"))
+    state = written(state, "places")
+    loss = state.where("parent_id IS NOT NULL AND full > both AND children > 1").select("chad", F.col("node_id").alias("anc_id"), ((F.col("children") - 1) * (F.col("full") - F.col("both"))).alias("loss"))
     down = loss.join(paths.select("anc_id", "desc_id"), "anc_id").groupBy("chad", F.col("desc_id").alias("node_id")).agg(F.sum("loss").alias("loss"))
-    at = state.join(down, ["chad", "node_id"], "left").withColumn("loss", F.coalesce("loss", F.lit(0)))
-    on_node = at.where("NOT is_leaf").select("chad", F.col("node_id").alias("target"), F.lit("node").alias("place"), (F.col("loss") - F.when(F.col("parent_id").isNull(), 0).otherwise(F.col("both"))).alias("score"))
-    up = down.select("chad", F.col("node_id").alias("parent_id"), F.col("loss").alias("above_loss"))
+    at = written(state.join(down, ["chad", "node_id"], "left").withColumn("loss", F.coalesce("loss", F.lit(0))), "losses")
+    on_node = at.select("chad", F.col("node_id").alias("target"), F.lit("node").alias("place"), (F.col("loss") - F.when(F.col("parent_id").isNull(), 0).otherwise(F.col("both"))).alias("score"))
+    up = at.select("chad", F.col("node_id").alias("parent_id"), F.col("loss").alias("above_loss"))
     on_edge = at.where("parent_id IS NOT NULL").join(up, ["chad", "parent_id"], "left").select("chad", F.col("node_id").alias("target"), F.lit("edge").alias("place"), (F.coalesce("above_loss", F.lit(0)) - F.col("both")).alias("score"))
-    return on_node.unionByName(on_edge).join(_staying(nodes, chad, on_node, left_n), "chad").select("chad", "target", "place", (F.col("score") - F.col("stays")).cast("long").alias("change"))
+    ks = lambda rows, n: rows.groupBy(n).agg(F.collect_set("k").alias(f"{n}_ks"))  # noqa: E731  (few events a leaf)
+    leaves = ends.join(ks(events.select("node_id", "k"), "node_id"), "node_id", "left").join(up, "parent_id").join(F.broadcast(ks(own, "chad")), "chad", "left").where("node_id != chad")
+    both = F.when(F.col("node_id_ks").isNull() | F.col("chad_ks").isNull(), 0).otherwise(F.size(F.array_intersect("node_id_ks", "chad_ks")))
+    on_leaf = leaves.select("chad", F.col("node_id").alias("target"), F.lit("edge").alias("place"), (F.col("above_loss") - both).alias("score"))
+    return on_node.unionByName(on_edge).unionByName(on_leaf).join(F.broadcast(_staying(nodes, chad, on_node, left_n)), "chad").select("chad", "target", "place", (F.col("score") - F.col("stays")).cast("long").alias("change"))
 
 
 def _staying(nodes: DataFrame, chad: DataFrame, on_node: DataFrame, left: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ def rehung_subtrees(f: Fixture) -> DataFrame:
     """The first customer of each nation hung on every inner node and on every edge of the tree: how many places change the parsimony score
     by how much.  No SQL: a sum for each place; tests fold every place's tree again."""
     chads = f.customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c")).select(F.concat(F.lit("C"), F.col("c").cast("string")).alias("chad"))
-    found = moves.rehung(f.node, f.closure, _events(f), chads)
+    found = moves.rehung(f.node, f.upper, _events(f), chads)
     return found.groupBy("chad", "place", "change").agg(F.count("*").alias("places"), F.min("target").alias("first"))
 
 
