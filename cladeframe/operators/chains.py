@@ -101,8 +101,9 @@ class Search:
         first = written(first.select("chain", "tracts", "status", (missing(F.col("status")) == 0).alias("passed")).distinct(), "starts")
         links: list[DataFrame] = []
         frontier, steps = first, F.col("required") + F.col("extra")
-        for d in range(1, 1 + (table.agg(F.max(steps)).first()[0] or 0)):
-            here = frontier.join(table.where(steps >= d), "chain").withColumn("t", self.usable).withColumn("next", self.next).where(self.possible).withColumn("next_status", self.next_status)
+        longest = F.least(steps, F.bit_count("reach"))  # a step takes a target at least
+        for d in range(1, 1 + (table.agg(F.max(longest)).first()[0] or 0)):
+            here = frontier.join(table.where(longest >= d), "chain").withColumn("t", self.usable).withColumn("next", self.next).where(self.possible).withColumn("next_status", self.next_status)
             passes = (F.col("passed") | (missing(F.col("next_status")) == 0)).alias("next_passed")
             links.append(written(here.select("chain", "tracts", "passed", "next", "next_status", passes).distinct(), "moves"))
             frontier = links[-1].select("chain", F.col("next").alias("tracts"), F.col("next_status").alias("status"), F.col("next_passed").alias("passed")).distinct()
@@ -140,47 +141,70 @@ def close_states(chains: DataFrame, starts: DataFrame, n: int, extra: int = 1, m
     return Search(n).close(chains, starts, extra, most)
 
 
-def _shared_chains(rows: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chains, their starts, and the chain of each node: nodes with equal states, steps and starts have one.  starts: barcode, node_id, tracts."""
-    own = starts.groupBy(*NODE).agg(F.array_sort(F.collect_set("tracts")).alias("starts"))  # at most the budget's states
-    each = rows.join(own, NODE).select(*NODE, "parent_id", "state", "required", "asked", "starts")
-    name = F.sha2(F.to_json(F.struct("state", "required", "asked", "starts")), 256)
-    each = written(each.withColumn("chain", name), "edges")
-    chains = written(each.groupBy("chain").agg(F.first(F.struct("state", "required", "asked", "starts")).alias("x")).select("chain", "x.*"), "chains")
-    return chains, chains.select("chain", F.explode("starts").alias("tracts")), each.select(*NODE, "parent_id", "chain")
+def _named(starts: Column) -> Column:
+    return F.sha2(F.to_json(starts), 256)
 
 
-def tree_states(annotated: DataFrame, levels: DataFrame, n: int, extra: int = 1, most: int = 3000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _key(told: Callable[[Column], Column] | None) -> Column:
+    """What tells an edge's search and rates apart but for its starts: required, asked, and the state, of whose singletons only tract and told count."""
+    sets = F.transform("state", lambda x: F.struct(sa.is_singleton(x).alias("single"), *(x[c] for c in ("min_deact", "min_t", "max_t", "max_deact"))))
+    parts = ["state"] if told is None else [sets.alias("sets"), F.transform(sa.singletons(F.col("state")), told).alias("told")]
+    return F.sha2(F.to_json(F.struct(*parts, "required", "asked")), 256)
+
+
+def tree_states(annotated: DataFrame, levels: DataFrame, n: int, extra: int = 1, most: int = 3000, told: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Close states along a tree, from the root (no tract) down, a round a level.
 
     annotated: barcode, node_id, parent_id, state; levels: node_id, level.  The children of a node first search from all its states;
     the states that every child keeps are then the starts of all of them.  Returns (chain, tracts, status), nodes (barcode, node_id,
-    parent_id, chain) and chains (chain, state, required, asked, extra, statuses, over); the root's chain is 'root'."""
-    placed = written(edges(annotated).join(levels.select("node_id", "level"), "node_id"), "edges")
-    root = annotated.where("parent_id IS NULL").select(*NODE)
-    have = root.select(*NODE, F.array().cast(sa.TRACTS).alias("tracts"))
-    none = F.array().cast(sa.TRACTS)
-    spark = annotated.sparkSession
-    all_states = [spark.range(1).select(F.lit("root").alias("chain"), none.alias("tracts"), F.lit(0).cast("long").alias("status"))]
-    all_nodes = [root.select(*NODE, F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("chain"))]
-    all_chains, search = [], Search(n)
+    parent_id, chain) and chains (chain, state, required, asked, extra, statuses, over); the root's chain is 'root'.
+
+    Edges with equal states, steps and starts share a chain.  The search needs a singleton's tract alone: where rates need no more than
+    told of it (its trim's probability, say), edges that agree in tracts and told share one, and its state is that of any of them."""
+    none, spark = F.array().cast(sa.TRACTS), annotated.sparkSession
+    placed = edges(annotated).join(levels.select("node_id", "level"), "node_id").withColumn("key", _key(told))
+    placed = written(placed, "edges")
+    kinds = written(placed.groupBy("key").agg(F.first(F.struct("state", "required", "asked")).alias("x")).select("key", "x.*"), "kinds")
+    nodes = annotated.where("parent_id IS NULL").select(*NODE, F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("chain"))
+    states = spark.range(1).select(F.lit("root").alias("chain"), none.alias("tracts"), F.lit(0).cast("long").alias("status"))
+    all_states, all_nodes, all_chains, search = [states], [nodes], [], Search(n)
+
+    def searched(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Chains (with starts) of rows: chain, key, set; sets: set, starts.  And their states and report."""
+        own = written(rows.select("chain", "key", "set").distinct().join(kinds, "key").join(sets, "set").select("chain", "state", "required", "asked", "starts"), "chains")
+        return own, *search.close(own, own.select("chain", F.explode("starts").alias("tracts")), extra, most)
+
+    name = F.sha2(F.concat("key", "set"), 256)
     for level in range(1, 1 + (placed.agg(F.max("level")).first()[0] or 0)):
-        rows = placed.where(F.col("level") == level)
-        up = lambda t: rows.select(*NODE, "parent_id").join(t.withColumnRenamed("node_id", "parent_id"), ["barcode", "parent_id"]).select(*NODE, "tracts")
-        chains, starts, nodes = _shared_chains(rows, up(have))
-        states, report = search.close(chains, starts, extra, most)
-        children = rows.groupBy("barcode", "parent_id").agg(F.count("*").alias("children"))
-        kept = nodes.join(states.select("chain", "tracts"), "chain").groupBy("barcode", "parent_id", "tracts").agg(F.count("*").alias("k"))
-        shared = kept.join(children, ["barcode", "parent_id"]).where("k = children").select("barcode", F.col("parent_id").alias("node_id"), "tracts").join(have, [*NODE, "tracts"], "left_semi")
-        shared = written(shared, "shared")
-        parents = rows.select("barcode", F.col("parent_id").alias("node_id")).distinct()
-        if not have.join(parents, NODE, "left_semi").join(shared, [*NODE, "tracts"], "left_anti").isEmpty():  # else nothing changes
-            chains, starts, nodes = _shared_chains(rows, up(shared))
-            states, report = search.close(chains, starts, extra, most)
+        rows = placed.where(F.col("level") == level).select(*NODE, "parent_id", "key")
+        had = nodes.select("chain").distinct().join(states, "chain", "left").groupBy("chain").agg(F.array_sort(F.collect_set("tracts")).alias("starts"))  # at most the budget's states
+        had = written(had.withColumn("set", _named(F.col("starts"))), "sets")
+        above = nodes.select("barcode", F.col("node_id").alias("parent_id"), "chain").join(had.select("chain", "set"), "chain").drop("chain")
+        each = written(rows.join(above, ["barcode", "parent_id"]).withColumn("chain", name), "edges")
+        chains, states, report = searched(each, had.select("set", "starts").distinct())
+        kept = chains.select("chain", F.explode("starts").alias("tracts")).join(states, ["chain", "tracts"], "left_semi")
+        kept = written(kept, "kept")
+        left = kept.groupBy("chain").agg(F.count("*").alias("left"))
+        lost = written(chains.select("chain", F.size("starts").alias("n")).join(left, "chain", "left").where("n > coalesce(left, 0)").select("chain"), "lost")
+        if not lost.isEmpty():  # these nodes' children start from fewer states
+            parents = written(each.join(lost, "chain", "left_semi").select("barcode", "parent_id").distinct(), "parents")
+            below = written(each.join(parents, ["barcode", "parent_id"], "left_semi"), "edges")
+            lists = below.select("barcode", "parent_id", "chain").distinct()
+            shared = lists.join(kept, "chain").groupBy("barcode", "parent_id", "tracts").agg(F.count("*").alias("k"))
+            shared = shared.join(lists.groupBy("barcode", "parent_id").agg(F.count("*").alias("n")), ["barcode", "parent_id"]).where("k = n")
+            sets = parents.join(shared, ["barcode", "parent_id"], "left").groupBy("barcode", "parent_id").agg(F.array_sort(F.collect_set("tracts")).alias("starts"))
+            sets = written(sets.withColumn("set", _named(F.col("starts"))), "sets")
+            again = below.drop("set", "chain").join(sets.drop("starts"), ["barcode", "parent_id"]).withColumn("chain", name)
+            again = written(again, "edges")
+            new = again.join(chains, "chain", "left_anti")
+            more = searched(new, sets.select("set", "starts").distinct())
+            each = each.join(parents, ["barcode", "parent_id"], "left_anti").unionByName(again)
+            used = each.select("chain").distinct()
+            chains, states, report = (written(a.unionByName(b).join(used, "chain", "left_semi"), "all") for a, b in zip((chains, states, report), more))
+        nodes = each.select(*NODE, "parent_id", "chain")
         all_states.append(states)
         all_nodes.append(nodes)
         all_chains.append(chains.select("chain", "state", "required", "asked").join(report, "chain"))
-        have = nodes.select(*NODE, "chain").join(states.select("chain", "tracts"), "chain").select(*NODE, "tracts")
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return union(all_states).distinct(), union(all_nodes), union(all_chains).dropDuplicates(["chain"]) if all_chains else annotated.where("false").select(F.lit("").alias("chain"), "state")
 

@@ -108,7 +108,7 @@ def tree_chains(f: Fixture) -> tuple[DataFrame, DataFrame, DataFrame]:
     def make() -> tuple[DataFrame, DataFrame, DataFrame]:
         annotated = states.annotated(f).withColumn("barcode", F.lit(0))
         levels = trees.depths(f.node, f.closure).select("node_id", "level")
-        return tuple(written(t, "tree-chains") for t in chains.tree_states(annotated, levels, TARGETS))
+        return tuple(written(t, "tree-chains") for t in chains.tree_states(annotated, levels, TARGETS, told=trim))
 
     return f.at_rest("tree-chains", make)
 
@@ -119,7 +119,8 @@ def tree_close_states(f: Fixture) -> DataFrame:
     a search from each parent's states; tests hold it against a plain search."""
     found, nodes, own = tree_chains(f)
     size = found.groupBy("chain").agg(F.count("*").alias("states"), F.count_distinct("status").alias("statuses"))
-    return nodes.join(size, "chain").join(own.select("chain", "required", "extra", "over"), "chain", "left").select("node_id", "parent_id", "states", "statuses", "required", "extra", "over")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("states", "statuses")]  # a chain may have no state
+    return nodes.join(size, "chain", "left").join(own.select("chain", "required", "extra", "over"), "chain", "left").select("node_id", "parent_id", *counts, "required", "extra", "over")
 
 
 @plan()

@@ -248,3 +248,16 @@ def test_likelihood_by_plain_recursion(spark, built, weight):
         p = at(b, "r")[0]
         assert got[b] == pytest.approx(np.log(p), rel=1e-8) if p > 0 else got[b] is None
     assert any(at(b, "r")[0] > 0 for b in (0, 1))
+
+
+def test_sisters_alike_but_for_positions_share_a_chain_if_told(spark):
+    state = {"r": [], "x": [SIDE], "y": [sg(131, 5, 4, 4, 4, 4)], "z": [sg(130, 2, 4, 4, 4, 4)]}
+    annotated = spark.createDataFrame([(0, n, None if n == "r" else "r", x) for n, x in state.items()], ANNOTATED)
+    levels = spark.createDataFrame([(n, int(n != "r")) for n in state], "node_id string, level int")
+    states, nodes, own = chains.tree_states(annotated, levels, N, told=lambda x: x["del_len"])
+    name = {r.node_id: r.chain for r in nodes.collect()}
+    assert name["x"] == name["y"] != name["z"] and own.count() == 2
+    of = {}
+    for r in nodes.join(states, "chain").collect():
+        of.setdefault(r.node_id, set()).add(tuple(map(tuple, r.tracts)))
+    assert of == {"r": {()}, **{n: plain_close(state[n], {()}, 1, 1) for n in "xyz"}}
