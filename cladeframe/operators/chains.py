@@ -27,6 +27,8 @@ from ..tables import discard, written
 NODE = ["barcode", "node_id"]
 #: Units of uniformised time in one series; longer branches take several.
 _UNITS = 32.0
+#: Rates that are worked on side by side, and edges for a task at least.
+_SIDE, _EDGES = 50_000, 1_000
 
 
 def _all_tracts(n: int) -> Column:
@@ -265,36 +267,50 @@ def matrices(rates: DataFrame) -> DataFrame:
 
 # -- the exponential ------------------------------------------------------------------
 def act(starts: np.ndarray, ends: np.ndarray, values: np.ndarray, length: float, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(Q length) vector and its derivative by the length, Q given by coordinates, by uniformisation: powers of a stochastic matrix
-    weighed by a Poisson law, in pieces of _UNITS."""
-    times = lambda x: np.bincount(starts, values * x[ends], minlength=len(vector))
-    fastest = float(-values[starts == ends].min()) if len(values) else 0.0
-    if fastest > 0 and length > 0:
-        pieces = int(np.ceil(fastest * length / _UNITS))
-        units = fastest * length / pieces
-        for _ in range(pieces):
-            term, weight = vector, np.exp(-units)
-            out, total, k = weight * term, weight, 0
-            while total < 1 - 1e-15 and k < 10 * _UNITS:
-                k += 1
-                term = term + times(term) / fastest
-                weight *= units / k
-                total += weight
-                out = out + weight * term
-            vector = out
-    return vector, times(vector)
+    """exp(Q length) vector and its derivative by the length, Q given by coordinates."""
+    return act_all([(starts, ends, values, length, vector)])[0]
+
+
+def act_all(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """act() of each row, all rows' matrices side by side as one: by uniformisation, powers of a stochastic matrix weighed by a Poisson law,
+    in pieces of at most _UNITS.  Every row has its own unit of time, all have as many pieces and terms as the longest needs."""
+    sizes = np.array([len(r[4]) for r in rows])
+    row, first = np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    i, j = (np.concatenate([np.asarray(r[k], int) for r in rows]) + first[own] for k in (0, 1))
+    values, vector = (np.concatenate([np.asarray(r[k], float) for r in rows]) for k in (2, 4))
+    fastest = np.zeros(len(rows))
+    np.maximum.at(fastest, own[i == j], -values[i == j])
+    time = fastest * [max(r[3], 0.0) for r in rows]
+    pieces = int(np.ceil(time.max() / _UNITS))
+    scaled, units = values / np.where(fastest > 0, fastest, 1.0)[own], time / max(pieces, 1)
+    for _ in range(pieces):
+        term, weight, k = vector, np.exp(-units), 0
+        out = weight[row] * term
+        while k < 24 or k < 2 * units.max() or weight.max() > 1e-18:
+            k += 1
+            term = term + np.bincount(i, scaled * term[j], minlength=len(term))
+            weight = weight * units / k
+            out = out + weight[row] * term
+        vector = out
+    slope = np.bincount(i, values * vector[j], minlength=len(vector))
+    return list(zip(np.split(vector, first[1:]), np.split(slope, first[1:])))
 
 
 def acted(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows' named columns, statuses, down and slope: the exponential of each row's rates over its length, on its vector; slope is the
-    derivative by the length.  rows also has statuses, starts, ends, values, length, vector.  A row is an edge, its size the budget's."""
+    derivative by the length.  rows also has statuses, starts, ends, values, length, vector.  A row is an edge, its size the budget's;
+    rows of like lengths are worked out together, as many as have _SIDE rates."""
     kept = rows.select(*columns, "statuses", "starts", "ends", "values", "length", "vector")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*columns, "statuses").schema)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [act(*(np.asarray(x) for x in (s, e, v)), t, np.asarray(x, float)) for s, e, v, t, x in zip(batch.starts, batch.ends, batch["values"], batch.length, batch.vector)]
-            yield batch[[*columns, "statuses"]].assign(down=[a for a, _ in found], slope=[b for _, b in found])
+            batch = batch.sort_values("length", kind="stable")
+            part = (batch["values"].map(len).cumsum() // _SIDE).to_numpy()
+            for some in (batch[part == k] for k in np.unique(part)):
+                found = act_all(list(zip(some.starts, some.ends, some["values"], some.length, some.vector)))
+                yield some[[*columns, "statuses"]].assign(down=[a for a, _ in found], slope=[b for _, b in found])
 
     return kept.mapInPandas(solve, f"{schema}, down array<double>, slope array<double>")
 
@@ -317,16 +333,24 @@ def likelihood(tree: DataFrame, nodes: DataFrame, rates: DataFrame, leaf_status:
     leaves = below
     deepest = own.agg(F.max("level")).first()[0] or 0
     current = leaves.where(F.col("level") == deepest).drop("level")
+    known = held.select("chain", "statuses").unionByName(own.sparkSession.range(1).select(F.lit("root").alias("chain"), F.array(F.lit(0).cast("long")).alias("statuses")))
+    above = own.join(known, "chain").select("barcode", F.col("node_id").alias("parent_id"), F.col("statuses").alias("above"))
     for level in range(deepest, 0, -1):
         vectors = current.groupBy(*NODE).agg(F.max("log_p").alias("top"), F.map_from_entries(F.collect_list(F.struct("status", "log_p"))).alias("logs"))
-        rows = own.where(F.col("level") == level).join(vectors, NODE).join(held, "chain")
+        rows = own.where(F.col("level") == level).join(vectors, NODE).join(held.select("chain", "statuses"), "chain")
         value = lambda s: F.coalesce(F.exp(F.try_element_at("logs", s) - F.col("top")), F.lit(0.0))
         rows = rows.withColumn("vector", F.transform("statuses", value)).withColumn("times", F.lit(1.0) + (F.col("abundance") - 1) * weight)
-        up = acted(rows, ["barcode", "parent_id", "top", "times"]).select("barcode", F.col("parent_id").alias("node_id"), "top", "times", F.explode(F.arrays_zip("statuses", "down")).alias("x"))
-        logs = up.where("x.down > 0").select(*NODE, F.col("x.statuses").alias("status"), ((F.log("x.down") + F.col("top")) * F.col("times")).alias("part"))
+        rows = written(rows.withColumn("action", F.sha2(F.to_json(F.struct("chain", "length", "vector")), 256)).select("barcode", "parent_id", "chain", "top", "times", "length", "vector", "action"), "branches")
+        once = rows.groupBy("action").agg(F.first(F.struct("chain", "length", "vector")).alias("x")).select("action", "x.*")  # edges alike act alike
+        once = written(once, "actions")
+        tasks = min(-(-once.count() // _EDGES), 100_000) or 1
+        done = written(acted(once.join(held, "chain").repartition(tasks, "action"), ["action"]), "acted")
+        up = rows.select("barcode", "parent_id", "top", "times", "action").join(above, ["barcode", "parent_id"]).join(done, "action")
+        fit = F.filter(F.arrays_zip("statuses", "down"), lambda x: (x["down"] > 0) & F.array_contains("above", x["statuses"]))  # the parent's chain has these alone
+        logs = up.select("barcode", F.col("parent_id").alias("node_id"), "top", "times", F.explode(fit).alias("x"))
+        logs = logs.select(*NODE, F.col("x.statuses").alias("status"), ((F.log("x.down") + F.col("top")) * F.col("times")).alias("part"))
         sums = logs.groupBy(*NODE, "status").agg(F.sum("part").alias("log_p"), F.count("*").alias("k")).join(size, NODE).where("k = children")
-        placed = sums.join(own.select(*NODE, "chain", "spine"), NODE)
-        kept = placed.join(rates.select("chain", "status").distinct(), ["chain", "status"], "left_semi") if level > 1 else placed.where("status = 0")
+        kept = sums.join(own.select(*NODE, "spine"), NODE)
         kept = kept.select(*NODE, "status", (F.col("log_p") - F.col("spine") * hazards.away(F.col("status"))).alias("log_p"))
         root = written(kept, "inner")
         current = root.unionByName(leaves.where(F.col("level") == level - 1).drop("level"))

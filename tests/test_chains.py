@@ -261,3 +261,38 @@ def test_sisters_alike_but_for_positions_share_a_chain_if_told(spark):
     for r in nodes.join(states, "chain").collect():
         of.setdefault(r.node_id, set()).add(tuple(map(tuple, r.tracts)))
     assert of == {"r": {()}, **{n: plain_close(state[n], {()}, 1, 1) for n in "xyz"}}
+
+
+def test_short_branches_reach_statuses_many_steps_away():
+    i, j = np.array([0, 0, 1, 1, 2, 2, 3]), np.array([0, 1, 1, 2, 2, 3, 3])
+    q = np.array([-1.0, 1, -1, 1, -1, 1, -1])
+    got, _ = chains.act(i, j, q, 1e-7, np.array([0.0, 0, 0, 1]))
+    assert got[0] == pytest.approx(1e-21 / 6, rel=1e-6)
+
+
+def test_matrices_side_by_side():
+    rng, rows, one = np.random.default_rng(2), [], []
+    for n, t in ((1, 0.4), (5, 0.0), (8, 1.3), (8, 60.0), (3, 1e-6)):
+        q = np.triu(rng.random((n, n)), 1)
+        q -= np.diag(q.sum(axis=1) + rng.random(n))
+        i, j = np.nonzero(q)
+        rows.append((i, j, q[i, j], t, rng.random(n)))
+        one.append(series(q, t) @ rows[-1][4])
+    for (got, _), expected in zip(chains.act_all(rows), one):
+        assert got == pytest.approx(expected, rel=1e-9, abs=1e-25)
+
+
+def test_leaves_alike_are_worked_out_once(spark, monkeypatch):
+    leaves = [f"l{k}" for k in range(30)]
+    annotated = spark.createDataFrame([(0, "r", None, []), *((0, n, "r", [SIDE]) for n in leaves)], ANNOTATED)
+    levels = spark.createDataFrame([("r", 0), *((n, 1) for n in leaves)], "node_id string, level int")
+    states, nodes, own = chains.tree_states(annotated, levels, N)
+    rates = chains.rate_rows(states.where("chain != 'root'"), own, chains.Rates(*RATES), trim)
+    tree = spark.createDataFrame([("r", None, 0, 0.0, 0.0, 1), *((n, "r", 1, 0.4, 0.0, 1) for n in leaves)], "node_id string, parent_id string, level int, length double, spine double, abundance int")
+    seen, plain = [], chains.acted
+    monkeypatch.setattr(chains, "acted", lambda rows, columns: (seen.append(rows.count()), plain(rows, columns))[1])
+    status = spark.createDataFrame([(0, n, mask([tract(SIDE)])) for n in leaves], "barcode int, node_id string, status long")
+    (got,) = chains.likelihood(tree, nodes, rates, status, chains.Rates(*RATES)).collect()
+    known = sorted({mask(t) for t in plain_close([SIDE], {()}, 1, 1)})
+    p = (series(dense([SIDE], known), 0.4)[:-1, :-1] @ np.array([float(s == mask([tract(SIDE)])) for s in known]))[known.index(0)]
+    assert seen == [1] and got.log_lik == pytest.approx(30 * np.log(p), rel=1e-8)
