@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import bounded, numbered
+from ..tables import bounded, numbered, small_table
 from .common import WORD, written
 
 BLOCKS = 256
@@ -133,7 +133,7 @@ class Plan:
             rests.append(rest)
         subs: dict[str | None, list[int]] = {}
         if cut:
-            edge = spark.createDataFrame([(s, b) for s, (b, _) in cut.items()], "cut_source string, cut_block int")  # a row for each source
+            edge = small_table(spark, [(s, b) for s, (b, _) in cut.items()], "cut_source string, cut_block int")  # a row for each source
             rows = sizes.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("block") == F.col("cut_block")))
             inner: dict[str | None, dict[int, int]] = {}
             for r in rows.groupBy("source", "sub").agg(F.sum("size").alias("words")).collect():
@@ -158,15 +158,15 @@ class Plan:
 
     def source_table(self) -> DataFrame:
         """source, source_size, target."""
-        return self.spark.createDataFrame(list(zip(self.sources, self.sizes, self.targets)), "plan_source string, source_size long, target double")
+        return small_table(self.spark, list(zip(self.sources, self.sizes, self.targets)), "plan_source string, source_size long, target double")
 
     def tickets(self) -> DataFrame:
         """source, block, and the list of its tickets (pass, shard, cut: only chosen sub-blocks)."""
-        table = self.spark.createDataFrame(self.rows, "plan_source string, plan_block int, pass int, shard int, cut boolean")
+        table = small_table(self.spark, self.rows, "plan_source string, plan_block int, pass int, shard int, cut boolean")
         return table.groupBy("plan_source", "plan_block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "cut"))).alias("tickets"))
 
     def sub_table(self) -> DataFrame:
-        return self.spark.createDataFrame(self.subs, "sub_source string, plan_sub int").withColumn("chosen", F.lit(True))
+        return small_table(self.spark, self.subs, "sub_source string, plan_sub int").withColumn("chosen", F.lit(True))
 
     def drawn(self, placed: DataFrame) -> DataFrame:
         """placed (with source, block, sub) with draws: array<struct<pass, shard>> of the copies that the mix takes of the row."""

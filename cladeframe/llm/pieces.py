@@ -8,10 +8,9 @@ import numpy as np
 import sentencepiece
 import tiktoken
 
+from .common import only_tool
 from .prefix_bpe import read_ranks
 
-_HELD: dict[tuple, object] = {}
-
 
 def file_digest(path: str, *options: str) -> str:
     """Of a tokenizer's version: its file, its library and the options."""
@@ -43,14 +42,9 @@ class TwoVocabularies:
 
 
 def piece_counter(path: str) -> PieceCounter:
-    """One for each Python worker; workers outlive tasks."""
-    if ("count", path) not in _HELD:
-        _HELD["count", path] = PieceCounter(path)
-    return _HELD["count", path]
+    """One for each Python worker."""
+    return only_tool(("count", path), lambda: PieceCounter(path))
 
 
 def two_vocabularies(model_path: str, ranks_path: str, pattern: str) -> TwoVocabularies:
-    key = ("two", model_path, ranks_path, pattern)
-    if key not in _HELD:
-        _HELD[key] = TwoVocabularies(model_path, ranks_path, pattern)
-    return _HELD[key]
+    return only_tool(("two", model_path, ranks_path, pattern), lambda: TwoVocabularies(model_path, ranks_path, pattern))

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import only_tool
+
 #: Entries that a Python worker keeps of each memo (prefixes, chunks); beyond it work is done again, results are the same.
 MEMO_ENTRIES = 300_000
 
@@ -250,14 +252,9 @@ class TextEncoder:
         return b"".join(map(self._by_name.__getitem__, ids.split()))
 
 
-_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
-
-
 def encoder(path: str, pattern: str) -> TextEncoder:
-    """One encoder for each Python worker; workers outlive tasks."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = TextEncoder(read_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    """One encoder for each Python worker."""
+    return only_tool(("encoder", path, pattern), lambda: TextEncoder(read_ranks(path), pattern))
 
 
 def digest_column(text: Column, path: str, pattern: str) -> Column:

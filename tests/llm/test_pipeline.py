@@ -83,3 +83,32 @@ def test_run_by_brute_force(spark, tmp_path):
 def test_run_on_an_empty_table(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_mix_has_no_python_workers(spark):
+    from cladeframe.llm import mixing
+    from cladeframe.tables import small_table
+
+    sizes = spark.createDataFrame([(s, 10 + k, k % 7, k % 5) for k in range(60) for s in ("web", None)], "source string, size long, block int, sub int")
+    plan = mixing.Plan(spark, sizes, 1.5, 4, 11)
+    tables = [plan.source_table(), plan.tickets(), plan.sub_table(), small_table(spark, [], "a long, b string"), small_table(spark, [(1, None), (2, None)], "a long, b string")]
+    for t in tables:
+        assert "PythonRDD" not in t._jdf.queryExecution().toRdd().toDebugString()
+    assert [tuple(r) for r in tables[0].collect()] == list(zip(plan.sources, plan.sizes, plan.targets))
+    assert tables[3].count() == 0 and [tuple(r) for r in tables[4].collect()] == [(1, None), (2, None)]
+
+
+def test_a_worker_keeps_one_stage_s_tool():
+    import weakref
+
+    import public_tokenizers
+
+    from cladeframe.llm import pieces, prefix_bpe
+
+    path, pattern = public_tokenizers.path, public_tokenizers.PATTERN
+    first = pieces.two_vocabularies(path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), pattern)
+    assert first is pieces.two_vocabularies(path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), pattern)
+    gone = weakref.ref(first)
+    del first
+    encoder = prefix_bpe.encoder(path("byte_bpe_50k.tiktoken"), pattern)
+    assert gone() is None and encoder is prefix_bpe.encoder(path("byte_bpe_50k.tiktoken"), pattern)
