@@ -17,7 +17,7 @@ Spark counts every word of the training texts and turns texts into numbers of un
 Training deals training texts by their ids to one trainer for each ``tokens_a_trainer`` tokens,
 so the model depends on the data and not on the cluster.  A trainer goes
 over its tokens in mini-batches (AdaGrad in numpy; a cluster's noise is shared by a batch, a
-unit's drawn for each token); the vectors of all are averaged, _FAN trainers at a time, each unit's by
+unit's drawn for each token by Walker's aliases); the vectors of all are averaged, _FAN trainers at a time, each unit's by
 how often a trainer met it, in ``rounds`` rounds, each over its part of the texts and from the last
 one's mean, so that every training token is gone over once.
 
@@ -32,13 +32,13 @@ tokens every word is unknown; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +50,11 @@ END = 0
 SMOOTH = 0.1
 PREFIX = 3
 _REST = 64
-#: Distinct words that a task counts before it passes them on; texts whose words it holds at a time; tokens scored at once.
-_FLUSH, _SLICE, _CHUNK = 200_000, 256, 4096
+#: Words that a task counts before it passes them on; bytes of texts whose words it holds at a time; texts that a trainer or the
+#: model takes at a time; tokens whose contexts are worked out together; tokens scored at once.
+_FLUSH, _BYTES, _SLICE, _BLOCK, _CHUNK = 2_000_000, 2_000_000, 256, 65_536, 1024
+#: Logits of two contexts that together stay below this have exponentials whose products keep all their digits in 32 bits.
+_SAFE = 60.0
 #: Buckets of counts for each doubling when a bound for the most frequent words is looked for.
 _STEPS = 64
 #: Trainers whose vectors are averaged in one group.
@@ -63,6 +66,26 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts as words_of has them, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.greater(pc.binary_length(words), 0)  # at a text's ends space leaves empty ones
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), np.diff(upto[offsets])
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order, cut where texts together pass _BYTES; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 # -- units ----------------------------------------------------------------------
 @dataclass
 class Units:
@@ -74,6 +97,9 @@ class Units:
     cluster: np.ndarray  # of each unit
     members: list[np.ndarray]  # units of each cluster
     weight: np.ndarray  # log10 of the training tokens of a beginning's words, smoothed; 0 for words
+    place: np.ndarray  # of each unit among its cluster's
+    accept: np.ndarray  # for each unit in the order of clusters: the share of its slot that is its own
+    other: np.ndarray  # and the unit that has the rest of it
 
     @classmethod
     def of(cls, words: list[tuple[bytes, int]], prefixes: list[tuple[bytes, int, int]], rest: list[tuple[int, int]], ends: int) -> Units:
@@ -90,7 +116,12 @@ class Units:
         for k, part in enumerate(parts):
             cluster[part] = k
         share = (tokens + SMOOTH) / (tokens + SMOOTH).sum()
-        return cls({w: k + 1 for k, (w, _) in enumerate(words)}, {p: first + k for k, (p, _, _) in enumerate(prefixes)}, share, cluster, [np.sort(p) for p in parts], weight)
+        members, place = [np.sort(p) for p in parts], np.zeros(len(names), np.int64)
+        for own in members:
+            place[own] = np.arange(len(own))
+        accept, other = zip(*(slots(share[own]) for own in members))
+        other = np.concatenate([own[x] for own, x in zip(members, other)])
+        return cls({w: k + 1 for k, (w, _) in enumerate(words)}, {p: first + k for k, (p, _, _) in enumerate(prefixes)}, share, cluster, members, weight, place, np.concatenate(accept), other)
 
     def of_word(self, word: bytes) -> int:
         got = self.words.get(word)
@@ -99,6 +130,20 @@ class Units:
         return len(self.share) - _REST + rest_unit(word) if got is None else got
 
 
+def slots(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal slots for draws by share (Walker's aliases): what part of its slot each place keeps, and which place has the rest."""
+    left = (share / share.sum() * len(share)).tolist()
+    accept, other = np.ones(len(left)), np.arange(len(left))
+    small, large = [k for k, x in enumerate(left) if x < 1], [k for k, x in enumerate(left) if x >= 1]
+    while small and large:
+        k, much = small.pop(), large[-1]
+        accept[k], other[k] = left[k], much
+        left[much] -= 1 - left[k]
+        if left[much] < 1:
+            small.append(large.pop())
+    return accept, other
+
+
 def rest_unit(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word[:PREFIX]) % _REST
 
@@ -150,76 +195,124 @@ def packed(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint32)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def distinct(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of ids below n, and the place of each id among them; without a sort."""
+    seen, place = np.zeros(n, bool), np.empty(n, np.int64)
+    seen[ids] = True
+    own = np.flatnonzero(seen)
+    place[own] = np.arange(len(own))
+    return own, place.take(ids)
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place; exp may overflow to infinity, which gives 0."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 class Trainer:
-    """Noise-contrastive estimation of clusters and of units within them, by mini-batches of tokens with their two contexts."""
+    """Noise-contrastive estimation of clusters and of units within them, by mini-batches of tokens with their two contexts.
+
+    Vectors and biases stand in one table: rows of predicted units, of contexts (whose biases stay 0) and of clusters.  A batch
+    takes each row that it meets once, works on these and puts them back."""
 
     def __init__(self, start: Parameters, units: Units, noise: int, rate: float, seed: int):
-        self.p, self.units, self.noise, self.rate = start.filled(start.flat()), units, noise, rate
-        self.whole = np.bincount(units.cluster, units.share, len(units.members))
-        self.upto = np.cumsum(self.whole)
-        self.within = np.cumsum(np.concatenate([units.share[m] for m in units.members]))  # shares in the order of clusters
-        self.listed = np.concatenate(units.members)
-        self.first = np.concatenate([[0.0], self.within[np.cumsum([len(m) for m in units.members])[:-1] - 1]])
-        self.log_c = np.log(noise * self.whole).astype(np.float32)
+        self.units, self.noise, self.rate, self.dims = units, noise, rate, start.r.shape[1]
+        self.n_units, self.n_clusters = len(units.share), len(units.members)
+        none = np.zeros(self.n_units, np.float32)
+        self.vectors, self.biases, self.mix = np.concatenate([start.q, start.r, start.qc]), np.concatenate([start.b, none, start.bc]), np.concatenate([start.c1, start.c2])
+        self.vector_sums, self.bias_sums, self.mix_sums = (np.full(x.shape, 1e-3, np.float32) for x in (self.vectors, self.biases, self.mix))
+        whole = np.bincount(units.cluster, units.share, self.n_clusters)
+        self.upto = np.cumsum(whole)
         self.few = max(1, noise // 16)
-        self.log_u = np.log(self.few * units.share / self.whole[units.cluster]).astype(np.float32)
-        self.sums = [np.full(x.shape, 1e-3, np.float32) for x in self.p.arrays()]
-        self.met = np.zeros(len(units.share))  # tokens of each unit
+        self.logs = np.concatenate([np.log(self.few * units.share / whole[units.cluster]), none, np.log(noise * whole)]).astype(np.float32)  # of the noise expected of a row
+        self.sizes = np.array([len(m) for m in units.members])
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.listed = np.concatenate(units.members)
+        self.met = np.zeros(self.n_units)  # tokens of each unit
         self.rng = np.random.default_rng(seed)
+        # gradients are added up in pairs of numbers, which takes half the additions
+        self.pair = np.complex64 if self.dims % 2 == 0 else np.float32
+        self.across = np.arange(self.dims * 4 // np.dtype(self.pair).itemsize)
+
+    @property
+    def p(self) -> Parameters:
+        k = self.n_units
+        return Parameters(self.vectors[k : 2 * k], self.vectors[:k], self.biases[:k], self.mix[: self.dims], self.mix[self.dims :], self.vectors[2 * k :], self.biases[2 * k :])
+
+    def _move(self, x: np.ndarray, sums: np.ndarray, g: np.ndarray) -> None:
+        """An AdaGrad step, in place."""
+        by = g * g
+        sums += by
+        np.sqrt(sums, out=by)
+        np.divide(g, by, out=by)
+        by *= self.rate
+        x -= by
+
+    def _summed(self, at: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
+        """The sums of the rows of grads that go to each of n places."""
+        out = np.zeros((n, self.dims), np.float32)
+        spots = (at * len(self.across))[:, None] + self.across
+        np.add.at(out.view(self.pair).reshape(-1), spots.reshape(-1), grads.view(self.pair).reshape(-1))
+        return out
 
-    def _move(self, ids: np.ndarray, *moved: tuple[int, np.ndarray]) -> None:
-        """AdaGrad steps on rows of parameters (number, gradients of the ids); rows of equal ids are summed first."""
-        order = np.argsort(_short(ids, len(self.met)), kind="stable")
-        ranked = ids[order]
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        own = ranked[starts]
-        for k, grads in moved:
-            g = np.add.reduceat(grads[order], starts, axis=0)
-            x, s = self.p.arrays()[k], self.sums[k]
-            now = s[own] + g * g
-            s[own] = now
-            x[own] -= self.rate * g / np.sqrt(now)
-
-    def step(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
-        p, n, u = self.p, len(w), self.units
-        c = u.cluster[w]
-        r1, r2 = p.r[w1], p.r[w2]
-        h = r1 @ p.c1 + r2 @ p.c2
-        # clusters: noise shared by the batch
-        drawn = np.searchsorted(self.upto, self.rng.random(self.noise) * self.upto[-1]).clip(max=len(self.upto) - 1)
-        own, others = p.qc[c], p.qc[drawn]
-        true = _sigmoid((h * own).sum(axis=1) + p.bc[c] - self.log_c[c]) - 1
-        false = _sigmoid(h @ others.T + (p.bc[drawn] - self.log_c[drawn]))
-        dh = true[:, None] * own + false @ others
-        ids, g, gb = np.concatenate([c, drawn]), np.concatenate([true[:, None] * h, false.T @ h]), np.concatenate([true, false.sum(axis=0)])
-        # units: noise of each token from its own cluster
-        spread = self.first[c][:, None] + self.rng.random((n, self.few)) * self.whole[c][:, None]
-        noise = self.listed[np.searchsorted(self.within, spread).clip(max=len(self.listed) - 1)]
-        noise = np.where(u.cluster[noise] == c[:, None], noise, w[:, None])  # at a cluster's edge rounding may step outside
-        mine, theirs = p.q[w], p.q[noise]
-        true = _sigmoid((h * mine).sum(axis=1) + p.b[w] - self.log_u[w]) - 1
-        false = _sigmoid((theirs @ h[:, :, None])[:, :, 0] + p.b[noise] - self.log_u[noise])
-        dh += true[:, None] * mine + (false[:, None, :] @ theirs)[:, 0]
-        both = np.concatenate([w, noise.ravel()])
-        self._move(both, (1, np.concatenate([true[:, None] * h, (false[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])]) / n), (2, np.concatenate([true, false.ravel()]) / n))
-        self._move(ids, (5, g / n), (6, gb / n))
-        self._move(np.concatenate([w1, w2]), (0, np.concatenate([dh @ p.c1.T, dh @ p.c2.T]) / n))
-        for k, x, r in ((3, p.c1, r1), (4, p.c2, r2)):
-            grad = r.T @ dh / n
-            self.sums[k] += grad * grad
-            x -= self.rate * grad / np.sqrt(self.sums[k])
+    def _noise(self, c: np.ndarray) -> np.ndarray:
+        """Units by their shares in each token's cluster."""
+        spread = self.rng.random((self.few, len(c)))
+        spread *= self.sizes.take(c)
+        slot = spread.astype(np.int64)
+        spread -= slot
+        slot += self.firsts.take(c)
+        return np.where(spread < self.units.accept.take(slot), self.listed.take(slot), self.units.other.take(slot))
+
+    def step(self, w: np.ndarray, before: np.ndarray, drawn: np.ndarray) -> None:
+        """A batch: tokens, the two contexts of each, and clusters drawn as noise, which it shares."""
+        n, k = len(w), self.n_units
+        c = self.units.cluster.take(w)
+        # each token's unit, noise units from its cluster, its cluster; noise clusters; contexts
+        ids = np.concatenate([w, self._noise(c).reshape(-1), c + 2 * k, drawn + 2 * k, before.reshape(-1) + k])
+        own, at = distinct(ids, len(self.vectors))
+        vectors, vector_sums, biases, bias_sums = (x.take(own, axis=0) for x in (self.vectors, self.vector_sums, self.biases, self.bias_sums))
+        rows, offsets = vectors.take(at, axis=0), biases - self.logs.take(own)
+        i, j = len(ids) - 2 * n - self.noise, len(ids) - 2 * n
+        mine, others, r = rows[:i].reshape(-1, n, self.dims), rows[i:j], rows[j:].reshape(n, -1)
+        h = r @ self.mix
+        off = np.einsum("knd,nd->kn", mine, h)
+        off += offsets.take(at[:i]).reshape(-1, n)
+        _sigmoid(off)
+        off[0] -= 1
+        off[-1] -= 1
+        off /= n
+        false = h @ others.T
+        false += offsets.take(at[i:j])
+        _sigmoid(false)
+        false /= n
+        dh = false @ others
+        dh += np.einsum("kn,knd->nd", off, mine)
+        grads = np.empty_like(rows)
+        np.multiply(off[:, :, None], h, out=grads[:i].reshape(-1, n, self.dims))
+        np.matmul(false.T, h, out=grads[i:j])
+        np.matmul(dh, self.mix.T, out=grads[j:].reshape(n, -1))
+        self._move(self.mix, self.mix_sums, r.T @ dh)
+        self._move(vectors, vector_sums, self._summed(at, grads, len(own)))
+        self._move(biases, bias_sums, np.bincount(at[:j], np.concatenate([off.reshape(-1), false.sum(axis=0)]), len(own)).astype(np.float32))
+        self.biases[own], self.bias_sums[own] = biases, bias_sums
+        whole = np.dtype((np.void, vectors.strides[0]))  # rows go back as one value each
+        for table, new in ((self.vectors, vectors), (self.vector_sums, vector_sums)):
+            table.view(whole)[own] = new.view(whole)
 
     def texts(self, ids: np.ndarray, batch: int) -> None:
         """Goes over texts that follow each other, in mini-batches of their tokens in random order."""
-        one, two = contexts(ids)
+        before = np.stack(contexts(ids), axis=1)
         order = self.rng.permutation(len(ids))
-        for lo in range(0, len(ids), batch):
-            part = order[lo : lo + batch]
-            self.step(ids[part], one[part], two[part])
+        noise = self.rng.random((-(-len(ids) // batch), self.noise)) * self.upto[-1]
+        drawn = np.minimum(np.searchsorted(self.upto, noise), self.n_clusters - 1)
+        with np.errstate(over="ignore"):
+            for k, own in enumerate(drawn):
+                part = order[k * batch : (k + 1) * batch]
+                self.step(ids.take(part), before.take(part, axis=0), own)
         self.met += np.bincount(ids, minlength=len(self.met))
 
 
@@ -235,7 +328,7 @@ def _log_chances(h: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndar
     logits = h @ vectors
     got = logits[np.arange(len(logits)), own]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
+    total = logits @ np.ones(logits.shape[1], np.float32)
     if not np.isfinite(total).all() or not total.all():
         logits = h @ vectors
         top = logits.max(axis=1)
@@ -243,25 +336,45 @@ def _log_chances(h: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> np.ndar
     return got - np.log(total)
 
 
+def _log_clusters(p: Parameters, a: np.ndarray, b: np.ndarray, c: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    """log-probabilities of clusters.  As the predicted vector is a sum, exp of its products is the product of what each context gives,
+    which is worked out once for all tokens that it stands before."""
+    (one, at1), (two, at2) = distinct(w1, len(a)), distinct(w2, len(b))
+    first, second = a.take(one, axis=0) @ p.qc.T + p.bc, b.take(two, axis=0) @ p.qc.T
+    out = np.empty(len(c), np.float64)
+    if np.abs(first).max() + np.abs(second).max() > _SAFE:
+        for lo in range(0, len(c), _CHUNK):
+            part = slice(lo, lo + _CHUNK)
+            h = np.hstack([a.take(w1[part], axis=0) + b.take(w2[part], axis=0), np.ones((len(c[part]), 1), np.float32)])
+            out[part] = _log_chances(h, np.vstack([p.qc.T, p.bc]), c[part])
+        return out
+    got = first[at1, c] + second[at2, c]
+    np.exp(first, out=first)
+    np.exp(second, out=second)
+    for lo in range(0, len(c), _CHUNK):
+        part = slice(lo, lo + _CHUNK)
+        out[part] = np.einsum("nk,nk->n", first.take(at1[part], axis=0), second.take(at2[part], axis=0))
+    return got - np.log(out)
+
+
 def log_p(p: Parameters, units: Units, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of units given the two before: of the cluster, and of the unit in it."""
-    out, c = np.empty(len(w), np.float64), units.cluster[w]
-    a, b = p.r @ p.c1, p.r @ p.c2
-    h = np.ones((len(w), a.shape[1] + 1), np.float32)  # the last column meets the biases
-    np.add(a[w1], b[w2], out=h[:, :-1])
-    clusters = np.vstack([p.qc.T, p.bc])
-    with np.errstate(over="ignore"):
-        for lo in range(0, len(w), _CHUNK):
-            part = slice(lo, lo + _CHUNK)
-            out[part] = _log_chances(h[part], clusters, c[part])
+    if not len(w):
+        return np.empty(0)
+    c, a, b = units.cluster.take(w), p.r @ p.c1, p.r @ p.c2
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.concatenate([_log_clusters(p, a, b, c[part], w1[part], w2[part]) for lo in range(0, len(w), _BLOCK) for part in [slice(lo, lo + _BLOCK)]])
         order = np.argsort(_short(c, len(units.members)), kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) != 0, [True]]))
+        h = np.ones((len(w), a.shape[1] + 1), np.float32)  # the last column meets the biases
+        np.add(a.take(w1.take(order), axis=0), b.take(w2.take(order), axis=0), out=h[:, :-1])
+        ranked, own = c.take(order), units.place.take(w.take(order))
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(ranked) != 0, [True]])).tolist()
         for i, j in zip(edges[:-1], edges[1:]):
-            members = units.members[c[order[i]]]
+            members = units.members[ranked[i]]
             vectors = np.vstack([p.q[members].T, p.b[members]])
             for lo in range(i, j, _CHUNK):
-                at = order[lo : min(j, lo + _CHUNK)]
-                out[at] += _log_chances(h[at], vectors, np.searchsorted(members, w[at]))
+                part = slice(lo, min(j, lo + _CHUNK))
+                out[order[part]] += _log_chances(h[part], vectors, own[part])
     return out
 
 
@@ -273,19 +386,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- counting -------------------------------------------------------------------
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+    held: list[pa.Array] = []
 
     def send() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-        seen.clear()
-        return out
-
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            seen.update(words_of(text))
-            if len(seen) > _FLUSH:
-                yield send()
-    if seen:
+        counts = pa.chunked_array(held, pa.binary()).value_counts()
+        held.clear()
+        return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "c"])
+
+    for rows in _by_bytes(batches):
+        held.append(split_words(rows.column("text"))[0])
+        if sum(map(len, held)) > _FLUSH:
+            yield send()
+    if held:
         yield send()
 
 
@@ -400,36 +512,36 @@ def score(docs: DataFrame, words_a_unit: int = 16, fewest: int = 1024, many: int
     base_of = -np.log10(n + SMOOTH * (v + 1))
     end_base = float(np.log10(ends + SMOOTH) + base_of)
     known = sorted((bytes(r.word), r.c) for r in counts.where(F.col("c") > least).collect())
-    sent = spark.sparkContext.broadcast((units, {w: k for k, (w, _) in enumerate(known)}, np.array([units.of_word(w) for w, _ in known], np.int64), np.log10(np.array([c for _, c in known], np.float64) + SMOOTH)))
+    sent = spark.sparkContext.broadcast((units, [w for w, _ in known], np.array([units.of_word(w) for w, _ in known], np.int64), np.log10(np.array([c for _, c in known], np.float64) + SMOOTH)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units of each text; sums over the words that the head knows; the list of the others."""
-        units, place, unit_of, log_of = sent.value
-        unit_of, log_of = np.append(unit_of, END), np.append(log_of, 0.0)  # the last one stands for an end
+        units, head, unit_of, log_of = sent.value
+        unit_of, log_of = np.append(unit_of, END), np.append(log_of, 0.0)  # the last one stands for an end, and first for words that the head lacks
         inside_of = np.where(units.weight[unit_of] != 0, log_of, 0.0) - units.weight[unit_of]
-        get, end, unseen = place.get, len(unit_of) - 1, -1
-        for rows in _slices(batches):
-            texts = [words_of(t) for t in rows.column("text").to_pylist()]
-            lengths = np.array([len(x) + 1 for x in texts])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            at = np.full(int(lengths.sum()), end, np.int64)
-            flat = [w for x in texts for w in x]
-            inner = np.ones(len(at), bool)
-            inner[starts + lengths - 1] = False
-            at[inner] = np.fromiter((get(w, unseen) for w in flat), np.int64, len(flat))
-            missed = np.flatnonzero(at == unseen)
-            at[missed] = end
-            ids, inside, base = unit_of[at], inside_of[at], log_of[at]
-            spots = missed - np.searchsorted(starts, missed, side="right") + 1  # places among the words alone
-            others = [flat[k] for k in spots]
-            ids[missed] = [units.of_word(w) for w in others]
-            inside[missed] = -units.weight[ids[missed]]
-            counts_of = np.bincount(np.searchsorted(starts, missed, side="right") - 1, minlength=len(texts))
-            edges = np.concatenate([[0], np.cumsum(counts_of)]).tolist()
+        end, options = len(head), pc.SetLookupOptions(value_set=pa.array(head, pa.binary()))
+        for rows in _by_bytes(batches):
+            words, sizes = split_words(rows.column("text"))
+            lengths = sizes + 1
+            starts = np.cumsum(lengths) - lengths
+            found = pc.index_in(words, options=options)
+            inner = np.ones(int(lengths.sum()), bool)
+            inner[starts + sizes] = False
+            at = np.full(len(inner), end, np.int64)
+            at[inner] = pc.fill_null(found, end).to_numpy()
+            ids, inside, base = unit_of.take(at), inside_of.take(at), log_of.take(at)
+            missing = found.is_null()
+            others, missed = words.filter(missing), missing.to_numpy(zero_copy_only=False)
+            different = others.dictionary_encode()
+            unit = np.array([units.of_word(w) for w in different.dictionary.to_pylist()], np.int64).take(different.indices.to_numpy())
+            spots = np.flatnonzero(inner)[missed]
+            ids[spots], inside[spots] = unit, -units.weight.take(unit)
+            before = np.concatenate([[0], np.cumsum(missed)])
+            edges = before.take(np.concatenate([[0], np.cumsum(sizes)]))
             data = packed(ids)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), rows.column("trains"), rows.column("share"), pa.array(lengths), pa.array(np.add.reduceat(base, starts) + (lengths - 1) * base_of + end_base), pa.array(np.add.reduceat(inside, starts)),
-                 pa.array([data[i : i + n].tobytes() for i, n in zip(starts.tolist(), lengths.tolist())], pa.binary()), pa.array([others[i:j] for i, j in zip(edges[:-1], edges[1:])], pa.list_(pa.binary()))],
+                [rows.column("row"), rows.column("doc_id"), rows.column("trains"), rows.column("share"), pa.array(lengths), pa.array(np.add.reduceat(base, starts) + sizes * base_of + end_base), pa.array(np.add.reduceat(inside, starts)),
+                 pa.array([data[i : i + n].tobytes() for i, n in zip(starts.tolist(), lengths.tolist())], pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), others)],
                 ["row", "doc_id", "trains", "share", "n_tokens", "base", "inside", "ids", "rest"],
             )
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,79 @@ def test_model_learns_order():
     assert np.exp(lbl.log_p(trainer.p, units, every, np.full(len(every), 2), np.full(len(every), 3))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_contexts_are_worked_out_once(monkeypatch):
+    """Scoring 20,000 tokens after 40 different contexts: clusters take exponentials of these contexts, not of every token; values as by plain sums."""
+    units = lbl.Units.of([(b"%d" % k, 2) for k in range(3000)], [], [(0, 0)] * 64, 1)
+    rng, p, seen = np.random.default_rng(2), lbl.Parameters.start(units, 4, 1), []
+    w, w1, w2 = rng.integers(0, 3000, 20_000), rng.integers(0, 40, 20_000), rng.integers(0, 40, 20_000)
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *more, **named: (seen.append(np.size(x)), exp(x, *more, **named))[1])
+    got = lbl.log_p(p, units, w, w1, w2)
+    clusters, most = len(units.members), max(map(len, units.members))
+    assert sum(seen) <= 20_000 * most + 80 * clusters < 20_000 * (min(map(len, units.members)) + clusters)
+    for lost in (1e9, 0):  # both ways of the clusters' sums
+        monkeypatch.setattr(lbl, "_SAFE", lost)
+        assert lbl.log_p(p, units, w, w1, w2) == pytest.approx(got, abs=1e-4)
+    for k in range(0, 20_000, 997):
+        h = p.r[w1[k]].astype(float) @ p.c1 + p.r[w2[k]].astype(float) @ p.c2
+        members = units.members[units.cluster[w[k]]]
+        cluster, mine = h @ p.qc.T + p.bc, h @ p.q[members].T + p.b[members]
+        plain = cluster[units.cluster[w[k]]] - np.log(exp(cluster).sum()) + mine[members.tolist().index(w[k])] - np.log(exp(mine).sum())
+        assert got[k] == pytest.approx(plain, abs=1e-4)
+
+
+@pytest.mark.parametrize("dims", [3, 4])
+def test_step_by_plain_gradients(dims):
+    """A batch with units, contexts and noise met several times moves each row once, by the sum of its gradients, and no other row."""
+    units = lbl.Units.of([(b"%d" % k, k + 1) for k in range(30)], [], [(0, 0)] * 64, 1)
+    start = lbl.Parameters.start(units, dims, 1)
+    trainer, rng = lbl.Trainer(start, units, 32, 0.2, 1), np.random.default_rng(3)
+    w, before, drawn = rng.integers(0, 30, 50), rng.integers(0, 30, (50, 2)), rng.integers(0, len(units.members), 32)
+    noise = trainer._noise(units.cluster[w])
+    assert noise.shape == (2, 50) and (units.cluster[noise] == units.cluster[w]).all()
+    trainer._noise = lambda c: noise
+    trainer.step(w, before, drawn)
+    p, g = start.arrays(), [np.zeros(x.shape) for x in start.arrays()]
+    r, q, b, c1, c2, qc, bc = (x.astype(float) for x in p)
+    whole = np.bincount(units.cluster, units.share)
+    for t in range(50):
+        k, (x, y) = units.cluster[w[t]], before[t]
+        h, dh = r[x] @ c1 + r[y] @ c2, np.zeros(dims)
+        unit = [(w[t], 1), *((z, 0) for z in noise[:, t])]
+        for vectors, biases, at, rows, expected in ((q, b, 1, unit, lambda z: 2 * units.share[z] / whole[k]), (qc, bc, 5, [(k, 1), *((z, 0) for z in drawn)], lambda z: 32 * whole[z])):
+            for z, true in rows:
+                off = (1 / (1 + np.exp(-(h @ vectors[z] + biases[z] - np.log(expected(z))))) - true) / 50
+                dh += off * vectors[z]
+                g[at][z] += off * h
+                g[at + 1][z] += off
+        g[0][x] += dh @ c1.T
+        g[0][y] += dh @ c2.T
+        g[3] += np.outer(r[x], dh)
+        g[4] += np.outer(r[y], dh)
+    for old, new, grad in zip(p, trainer.p.arrays(), g):
+        assert new == pytest.approx(old - 0.2 * grad / np.sqrt(1e-3 + grad * grad), abs=1e-4)
+        assert (new[grad == 0] == old[grad == 0]).all()
+
+
+def test_slots_draw_by_shares():
+    for share in ([1.0], [0.5, 0.5], [1e-9, 3.0, 2.0, 1e-3, 7.5], np.random.default_rng(1).random(131) ** 8):
+        accept, other = lbl.slots(np.array(share))
+        chance = accept.copy()
+        np.add.at(chance, other, 1 - accept)
+        assert chance / len(chance) == pytest.approx(np.array(share) / np.sum(share), abs=1e-9)
+
+
+def test_words_of_columns_are_those_of_texts(monkeypatch):
+    texts = [" A  b\t\x0bC\x0c", "", None, "\x1c\x85 x\u00a0Y", "A\x00B \u00c9\u0130", "\n", "one", "x" * 50, None, "two words"]
+    for part in (pa.array(texts), pa.array(["left out", *texts, "too"])[1:-1], pa.array(texts[:0], pa.string())):
+        words, sizes = lbl.split_words(part)
+        assert words.to_pylist() == [w for t in part.to_pylist() for w in lbl.words_of(t)] and sizes.tolist() == [len(lbl.words_of(t)) for t in part.to_pylist()]
+    monkeypatch.setattr(lbl, "_BYTES", 9)
+    cut = [x.column("text").to_pylist() for x in lbl._by_bytes(iter([pa.record_batch({"text": pa.array(texts)})]))]
+    assert [t for x in cut for t in x] == texts and len(cut) > 3
+    assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= 9 for x in cut)
+
+
 def test_risk_gradient_of_positive_unlabelled_learning():
     """One step goes down prior R_p(+) + R_u(-) - prior R_p(-) where that part is not negative, and up the negative part where it is."""
     rng = np.random.default_rng(3)
