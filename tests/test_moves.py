@@ -81,6 +81,34 @@ def test_every_place_of_a_subtree_by_folding_again(spark, seed):
     assert len(got) == len(expected) and len(set(expected.values())) > 1
 
 
+def test_moves_among_nodes_without_leaves(spark):
+    """They are places as well, count as nobody's children, and moving one changes nothing; the result's plan does not hold the steps before it."""
+    rng = random.Random(4)
+    parent = random_tree(rng, 12) | {"d0": "i0", "d1": "d0", "d2": "r", "d3": "i1"}
+    events = {n: frozenset(k for k in range(5) if k < 2 or rng.random() < 0.7) for n in parent if n.startswith("l")}
+    nodes = spark.createDataFrame([(n, p, 1.0, n.startswith("l")) for n, p in parent.items()], NODES)
+    table = spark.createDataFrame([(n, k) for n, s in events.items() for k in s], "node_id string, k int")
+    below = children_of(parent)
+    inside = lambda n: {n}.union(*(inside(c) for c in below[n]))
+    empty = {n for n in parent if not any(x.startswith("l") for x in inside(n))}
+    held = lambda n: n if n not in empty else held(parent[n])
+    leaf, now = next(n for n in parent if n.startswith("l")), score(parent, events)
+    chads, expected = ["i0", "i2", leaf, "d0"], {}
+    for chad in chads:
+        rest = {n for n in parent if n not in inside(chad)}
+        alive = {n for n in rest if any(x.startswith("l") and x in rest for x in inside(n))}
+        for t in (t for t in rest if held(t) in alive):
+            if not t.startswith("l"):
+                expected[chad, t, "node"] = score({**parent, chad: t}, events) - now
+            if parent[t] is not None:
+                expected[chad, t, "edge"] = score({**parent, "middle": parent[t], t: "middle", chad: "middle"}, events) - now
+    found = moves.rehung(nodes, trees.closure(nodes.where("NOT is_leaf")), table, spark.createDataFrame([(c,) for c in chads], "chad string"))
+    assert {(r.chad, r.target, r.place): r.change for r in found.collect()} == expected
+    assert {"d1", "d2", "d3"} <= {t for c, t, _ in expected if c == leaf} and {v for (c, *_), v in expected.items() if c == "d0"} == {0} and len(set(expected.values())) > 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") < 10 and plan.count("Aggregate ") < 5
+
+
 def test_unrooted_splits_by_sets(spark):
     rng = random.Random(5)
     one = random_tree(rng, 12)
