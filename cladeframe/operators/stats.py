@@ -105,26 +105,40 @@ def shuffled_labels(labels: DataFrame, replicates: int) -> DataFrame:
     return sets.select("replicate", "node_id", F.explode_outer("own").alias("x")).select("replicate", "node_id", "x.*")  # no set is empty; outer, as explode would work the sets out again to filter them
 
 
-def shuffled_sets(labels: DataFrame, replicates: int, places: DataFrame | None = None) -> DataFrame:
+def shuffled_sets(labels: DataFrame, replicates: int, places: DataFrame | None = None, codes: bool = False) -> DataFrame:
     """replicate, node_id, own (array of organ and abundance): for each replicate from 0 on a random permutation of the leaves, whatever
     their number: the leaf with number i, in the order of names, takes the labels of the i-th in the order of digests of replicate and
     name.  Their abundances are dealt anew among as many distinct organs drawn from all, both in the order of digests.
 
-    labels: node_id, organ, abundance; places: node_id with columns of a leaf that go with it, null where it has none.  Leaves and digests
-    are numbered by range shuffles, so no task holds a whole replicate; digests go through theirs as bytes and are not written."""
+    labels: node_id, organ, abundance; places: node_id with columns of a leaf that go with it, null where it has none; codes: organs are
+    numbers, their places in the order of names.  Leaves and digests are numbered by range shuffles, so no task holds a whole replicate;
+    digests go through theirs as bytes, behind the replicate's, and are not written; most leaves have one label, of which the abundance is enough."""
     groups = labels.groupBy("node_id").agg(F.collect_list(F.struct("organ", "abundance")).alias("own"))
     leaves = numbered(groups, "node_id")
     leaves = written(leaves if places is None else leaves.join(places, "node_id", "left"), "leaves")
     n = leaves.count()
-    organs = bounded(labels.select("organ").distinct(), 10_000, "organs").agg(F.array_sort(F.collect_list("organ")).alias("organs"))
+    names = [r.organ for r in organ_codes(labels).orderBy("code").collect()]
     digest = lambda kind, x: F.md5(F.concat_ws("|", F.lit(kind), F.col("replicate").cast("string"), "node_id", x))
-    each = leaves.select("node_id", F.col("row_number").alias("giver"), "own", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    each = each.select("replicate", F.unhex(digest("leaf", F.lit(""))).alias("d"), "giver", "own")  # numbers are in the order of names
-    ranked = numbered(each, "replicate", "d", "giver", without=("d", "giver"))
-    givers = ranked.select("replicate", "own", (F.col("row_number") - F.col("replicate") * F.lit(n)).alias("row_number"))
-    moved = givers.join(leaves.drop("own"), "row_number").join(F.broadcast(organs))  # one row
-    alone = F.size("own") == 1
-    dealt = F.when(alone, F.transform("own", lambda x: x["abundance"])).otherwise(F.transform(F.sort_array(F.transform("own", lambda x: F.struct(digest("abundance", x["organ"]).alias("d"), x["abundance"].alias("abundance")))), lambda x: x["abundance"]))
-    drawn = F.slice(F.sort_array(F.transform("organs", lambda x: F.struct(digest("organ", x).alias("d"), x.alias("organ")))), 1, F.size("own"))
-    own = F.zip_with(dealt, drawn, lambda a, o: F.struct(o["organ"].alias("organ"), a.alias("abundance")))
+    one, several = F.size("own") == 1, F.when(F.size("own") > 1, F.col("own"))
+    each = leaves.select("node_id", F.col("row_number").alias("giver"), F.when(one, F.col("own")[0]["abundance"]).alias("abundance"), several.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    behind = F.unhex(F.concat(F.lpad(F.hex("replicate"), 8, "0"), digest("leaf", F.lit(""))))
+    each = each.select("replicate", behind.alias("d"), "giver", "abundance", "own")  # numbers are in the order of names
+    ranked = numbered(each, "d", "giver", without=("d", "giver"))
+    givers = ranked.select("replicate", "abundance", "own", (F.col("row_number") - F.col("replicate") * F.lit(n)).alias("row_number"))
+    moved = givers.join(leaves.drop("own"), "row_number")
+    if len(names) <= 32:  # as columns, which are quicker than a function of an array's elements
+        drawn = F.array(*(F.struct(digest("organ", F.lit(x)).alias("d"), F.lit(k).alias("code")) for k, x in enumerate(names)))
+    else:
+        drawn = F.transform(F.lit(names), lambda x, k: F.struct(digest("organ", x).alias("d"), k.alias("code")))
+    organ = (lambda code: code) if codes else lambda code: F.element_at(F.lit(names), code + 1)
+    pair = lambda code, a: F.struct(organ(code).alias("organ"), a.alias("abundance"))
+    dealt = F.transform(F.sort_array(F.transform("own", lambda x: F.struct(digest("abundance", x["organ"]).alias("d"), x["abundance"].alias("abundance")))), lambda x: x["abundance"])
+    mixed = F.zip_with(dealt, F.slice(F.sort_array(drawn), 1, F.size("own")), lambda a, o: pair(o["code"], a))
+    own = F.when(F.col("own").isNull(), F.array(pair(F.array_min(drawn)["code"], F.col("abundance")))).otherwise(mixed)
     return moved.select("replicate", "node_id", *([] if places is None else [c for c in places.columns if c != "node_id"]), own.alias("own"))
+
+
+def organ_codes(labels: DataFrame) -> DataFrame:
+    """organ, code: the place of each organ in the order of names, from 0."""
+    found = bounded(labels.select("organ").where("organ IS NOT NULL").distinct(), 10_000, "organs")
+    return found.withColumn("code", F.row_number().over(Window.orderBy("organ")) - 1)  # few, as just seen

@@ -90,13 +90,15 @@ def _matrix_sql(name: str, rows: str, n: str) -> str:
  "SELECT MIN(ow.r) AS r, AVG(CASE WHEN ABS(cr.r)>ABS(ow.r) THEN 1E0 ELSE 0E0 END) AS p, COUNT(*) AS replicates FROM cr, ow WHERE cr.replicate>=0"), "fx_tissue", "closure", "closure2", doubles="r p")
 def perm_test(f: Fixture) -> DataFrame:
     """Correlation of two trees' tissue matrices against that of shuffled labels."""
-    ends = lambda nodes, n: nodes.where("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias(f"parent_{n}"), F.col("dist").alias(f"dist_{n}"))
-    places = ends(f.node, "x").join(ends(f.other, "y"), "node_id", "full")
-    own = f.tissue.groupBy("node_id").agg(F.collect_set(F.struct("organ", "abundance")).alias("own")).join(places, "node_id").withColumn("replicate", F.lit(-1))
-    labelled = f.at_rest("labelled", lambda: trees.written(own.unionByName(stats.shuffled_sets(f.tissue, SHUFFLES, places)).drop("node_id"), "labelled"))
-    sets = lambda name: labelled.select("replicate", F.col(f"parent_{name}").alias("parent_id"), F.col(f"dist_{name}").alias("dist"), "own")
-    one = lambda nodes, paths, name: trees.distances_of_sets(nodes, paths, sets(name), "replicate").where("organ < other").select("replicate", "organ", "other", F.col("distance").alias(name))
-    both = f.at_rest("matrices", lambda: trees.written(one(f.node, f.upper, "x").join(one(f.other, f.other_upper, "y"), ["replicate", "organ", "other"]), "matrices"))
+    one, other = trees.numbered_inner(f.node, f.upper), trees.numbered_inner(f.other, f.other_upper)
+    side = lambda leaves, n: leaves.select("node_id", *(F.col(c).alias(f"{c}_{n}") for c in ("parent_id", "dist", "height")))
+    places = side(one[2], "x").join(side(other[2], "y"), "node_id", "full")
+    coded = f.tissue.join(F.broadcast(stats.organ_codes(f.tissue)), "organ").select("node_id", F.col("code").alias("organ"), "abundance")
+    own = coded.groupBy("node_id").agg(F.collect_set(F.struct("organ", "abundance")).alias("own")).join(places, "node_id").withColumn("replicate", F.lit(-1))
+    labelled = f.at_rest("labelled", lambda: trees.written(own.unionByName(stats.shuffled_sets(f.tissue, SHUFFLES, places, codes=True)).drop("node_id"), "labelled"))
+    sets = lambda n: labelled.select("replicate", *(F.col(f"{c}_{n}").alias(c) for c in ("parent_id", "dist", "height")), "own")
+    matrix = lambda tree, n: trees.distances_of_sets(*tree[:2], sets(n), "replicate").where("organ < other").select("replicate", "organ", "other", F.col("distance").alias(n))
+    both = f.at_rest("matrices", lambda: trees.written(matrix(one, "x").join(matrix(other, "y"), ["replicate", "organ", "other"]), "matrices"))
     return stats.permutation_test(both.where("replicate < 0"), both.where("replicate >= 0"), "x", "y")
 
 

@@ -1,5 +1,7 @@
 """Steps that must not grow faster than their input, against the plain results."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from cladeframe.operators import moves, stats, trees
@@ -29,6 +31,35 @@ def test_shuffled_sets_are_the_labels_with_places(spark):
     assert rows(one) == rows(trees.distances_of_sets(nodes, paths, sets, "replicate"))
 
 
+def test_distances_by_numbers_are_those_by_names_and_worked_out_once(spark):
+    """Inner nodes and tissues as numbers give the same distances; both directions read one written table, so no step before it runs twice."""
+    nodes = spark.createDataFrame(TREE, NODES)
+    inner = trees.closure(nodes.where("NOT is_leaf"))
+    labels = spark.createDataFrame(TISSUES + [("l6", None, 4)], "node_id string, organ string, abundance long")
+    tops, up, leaves = trees.numbered_inner(nodes, inner)
+    assert {(r.node_id, r.height is None) for r in leaves.collect()} == {(n, p == "r") for n, p, _, leaf in TREE if leaf}
+    names = [r.organ for r in stats.organ_codes(labels).orderBy("code").collect()]
+    assert names == ["x", "y", "z"]
+    kept = labels.where("organ IS NOT NULL")
+    sets = stats.shuffled_sets(kept, 3, leaves, codes=True)
+    found = trees.distances_of_sets(tops, up, sets, "replicate")
+    named = sorted((r.replicate, names[r.organ], names[r.other], round(r.one_way, 12), r.n) for r in found.collect())
+    plain = trees.tissue_distances(nodes, inner, stats.shuffled_labels(kept, 3), "replicate")
+    assert named == sorted((r.replicate, r.organ, r.other, round(r.one_way, 12), r.n) for r in plain.collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == plain._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert rows(trees.tissue_distances(nodes, inner, labels)) == rows(trees.tissue_distances(nodes, inner, kept))
+
+
+def test_many_organs_are_drawn_as_few_are(spark):
+    """Beyond the number that are columns a function of the array draws the same."""
+    few = spark.createDataFrame([(f"n{k:02d}", f"o{k % 40:02d}", k) for k in range(60)] + [(f"n{k:02d}", "o07", 3) for k in range(10, 20)], "node_id string, organ string, abundance long")
+    md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    organs = sorted({r.organ for r in few.collect()})
+    for labels, names in ((few, organs), (few.where("organ < 'o10'"), [o for o in organs if o < "o10"])):
+        got = stats.shuffled_sets(labels, 2).collect()
+        assert got and all([x.organ for x in r.own] == sorted(names, key=lambda o: md5("organ", r.replicate, r.node_id, o))[: len(r.own)] for r in got)  # noqa: B023
+
+
 def test_columns_of_the_order_alone_are_not_written(spark):
     placed = numbered(spark.range(10).select("id", F.md5(F.col("id").cast("string")).alias("d")), "d", without=("d",))
     assert placed.columns == ["id", "row_number"] and sorted(r.row_number for r in placed.collect()) == list(range(10))
